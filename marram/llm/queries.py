@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marram.llm import bpe, chat_format, exact_dedup, language_id, mixing, near_dedup, secret_scan, url_filter
+from marram.llm import bpe, chat_format, exact_dedup, language_id, mixing, near_dedup, secret_scan, suffix_tree_lm, url_filter
 from marram.llm.vocabulary import default_vocabulary
 
 
@@ -45,7 +45,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_near_dedup, op4_mixing, op5_exact_dedup, op7_url_filter, op8_bpe, op9_chat_format, op10_language_id)}
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_near_dedup, op4_mixing, op5_exact_dedup, op6_lm_scoring, op7_url_filter, op8_bpe, op9_chat_format, op10_language_id)}
 
 _OP5 = r"""
 WITH d AS (
