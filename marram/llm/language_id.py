@@ -24,6 +24,8 @@ LENGTHS = (1, 2, 3)
 PLACES = 1 << 16
 #: Bounds of the sample: rows of each language, and rows in all. Both only bound what is fitted on; every row is scored.
 TRAIN_PER_LANG, TRAIN_ROWS, LANDMARKS = 400, 4_000, 256
+#: Languages that are learned: the most frequent ones.
+MOST_LANGUAGES = 500
 RIDGE = 1e-2
 #: Rows multiplied at once.
 BLOCK = 256
@@ -104,10 +106,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG, most: int = TRAIN_ROWS) -> Model:
     """Fit on a bounded sample of ``labelled`` (lang, text, key): per language the rows of smallest hashed key.
 
-    The window keeps only per_lang rows of each language before its shuffle. The driver gets at
-    most ``most`` rows of at most 3 * 2^16 places each.
+    A first pass counts the languages; a hash threshold then leaves about twice per_lang rows of
+    each, so the text that is shuffled is bounded whatever the corpus. The driver gets at most
+    ``most`` rows of at most 3 * 2^16 places each.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("key"))
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.pmod(F.xxhash64("key"), F.lit(1 << 40)))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return fit([], [])
+    bar = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 40, (2 * per_lang + 100) * (1 << 40) // r["n"]))])
+    rows = rows.where(F.col("h") < F.element_at(bar, F.col("lang")))
     picked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= per_lang)
     picked = picked.orderBy("n", "lang").limit(most).select("lang", "text")
     found = picked.mapInArrow(_features, "lang string, places binary").collect()

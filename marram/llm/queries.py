@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marram.llm import bpe, chat_format, exact_dedup, language_id, mixing, near_dedup, secret_scan, suffix_tree_lm, url_filter
+from marram.llm import bpe, chat_format, exact_dedup, language_id, mixing, near_dedup, secret_scan, suffix_tree_lm, topk_search, url_filter
 from marram.llm.vocabulary import default_vocabulary
 
 
@@ -49,7 +50,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_near_dedup, op4_mixing, op5_exact_dedup, op6_lm_scoring, op7_url_filter, op8_bpe, op9_chat_format, op10_language_id)}
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_secret_scan, op3_near_dedup, op4_mixing, op5_exact_dedup, op6_lm_scoring, op7_url_filter, op8_bpe, op9_chat_format, op10_language_id)}
 
 _OP5 = r"""
 WITH d AS (
@@ -100,4 +105,16 @@ SELECT doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(c, doc_id) AS compo
 FROM s LEFT JOIN least_id ON a = doc_id
 """
 
-ORACLE_SQL = {"op3_near_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_chat_format": _OP9}
+_OP1 = r"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, r.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+    FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLE_SQL = {"op1_topk_search": _OP1, "op3_near_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_chat_format": _OP9}
