@@ -1,7 +1,57 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: from raw documents to token ids of a weighted mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marram.llm import bpe, exact_dedup, language_id, mixing, near_dedup
+from marram.llm.common import stored
+from marram.llm.vocabulary import default_vocabulary
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; texts without letters and hopeless scores go."""
+    return language_id.with_language(docs)
+
+
+def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id."""
+    return exact_dedup.without_copies(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    return near_dedup.without_near_copies(docs)
+
+
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes; a document comes back once for each time that it is used."""
+    return mixing.mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit), round_trip (decoding gives the text back)."""
+    return bpe.encode(docs, default_vocabulary(), carry=["source"]).select("doc_id", "source", "n_tokens", "ids", "round_trip")
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("exact dedup", one_of_each_text),
+    ("MinHash near-dedup", one_of_each_group),
+    ("mixing sources to target weights", target_mix),
+    ("BPE encoding and decoding", token_ids),
+]
+
+#: The language model, the mix's draws and BPE cannot be written as SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

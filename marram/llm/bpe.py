@@ -213,19 +213,23 @@ def read_vocabulary(path: str) -> str:
 GROUP_CHARS = 8_000_000
 
 
-def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids binary (little-endian unsigned 32-bit), n_tokens long, decoded string for every row.
+def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, ``carry`` columns, ids binary (little-endian unsigned 32-bit), n_tokens long, round_trip boolean, decoded string for every row.
 
-    Strings of the vocabulary's added tokens count as those tokens. A null text counts as empty and
-    encodes to no ids; repeated rows each give a row; a null id stays null; an empty table gives no
-    rows; other columns are ignored. Words are not truncated, however long.
+    round_trip tells whether decoding the ids gives the text back. Strings of the vocabulary's added
+    tokens count as those tokens. A null text counts as empty and encodes to no ids; repeated rows
+    each give a row; a null id stays null; an empty table gives no rows; other columns are ignored.
+    Words are not truncated, however long.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(carry or []), F.col(text_col).cast("string").alias("__text"))
+    n = len(rows.columns) - 1
+    names = [*rows.columns[:n], "ids", "n_tokens", "round_trip", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shared.value)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            texts = batch.column(n)
             start = 0
             while start < len(texts):
                 group, size = [], 0
@@ -233,14 +237,13 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                     group.append(texts[start + len(group)].as_py() or "")
                     size += len(group[-1])
                 packed = bpe.encode_batch(group)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, len(group)), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([bpe.decode(p) for p in packed], pa.string())],
-                    names=["doc_id", "ids", "n_tokens", "decoded"],
-                )
+                decoded = [bpe.decode(p) for p in packed]
+                made = [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([d == t for d, t in zip(decoded, group, strict=True)], pa.bool_()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(group)).columns[:n], *made], names=names)
                 start += len(group)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
+    return rows.mapInArrow(run, f"{fields}, ids binary, n_tokens long, round_trip boolean, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
