@@ -1 +1 @@
-
+"""Expression builders used by several operators."""
