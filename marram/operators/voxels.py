@@ -119,7 +119,7 @@ def ray_sigma(covariance: Column, origin: Vector, point: Vector, resolution: flo
     """Position sigma along the ray; under half a cell it counts as zero."""
     d = minus(point, origin)
     n = length(d)
-    s = F.sqrt(F.greatest(quadratic_form(covariance, tuple(x / n for x in d)), F.lit(0.0)))
+    s = F.sqrt(F.greatest(quadratic_form(covariance, tuple(F.coalesce(F.try_divide(x, n), F.lit(0.0)) for x in d)), F.lit(0.0)))
     return F.when(s >= resolution / 2, s).otherwise(0.0)
 
 
@@ -159,7 +159,7 @@ def free_end(origin: Vector, point: Vector, trunc: Column) -> tuple[Vector, Colu
     """The end of free carving, ``trunc`` short of the point, and whether anything is left."""
     d = minus(point, origin)
     n = length(d)
-    scale = F.least(F.greatest((n - trunc) / n, F.lit(0.0)), F.lit(1.0))
+    scale = F.least(F.greatest(F.coalesce(F.try_divide(n - trunc, n), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return tuple(o + x * scale for o, x in zip(origin, d, strict=True)), scale > 0
 
 
@@ -200,7 +200,7 @@ def clamped_fold(evidence: DataFrame, cell: list[str], order: str, value: str, c
 def attribution(evidence: DataFrame, frame: list[str], trace: str, value: str = "value") -> DataFrame:
     """cell, attribution: mean of ``trace`` over the frames that wrote a cell, weighted by the absolute evidence of single rays."""
     per = evidence.groupBy(*frame, *CELL).agg(F.sum(F.abs(value)).alias("__a"), F.first(trace).alias("__t"))
-    return per.groupBy(*CELL).agg((F.sum(F.col("__a") * F.col("__t")) / F.sum("__a")).alias("attribution"))
+    return per.groupBy(*CELL).agg(F.try_divide(F.sum(F.col("__a") * F.col("__t")), F.sum("__a")).alias("attribution"))
 
 
 def two_level_mean(df: DataFrame, frame: list[str], value: str, out: str) -> DataFrame:

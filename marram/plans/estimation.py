@@ -174,7 +174,7 @@ def run_report(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     raw = alignment.rmse(pairs.withColumn("error", length(minus(vec(*alignment.SRC), vec(*alignment.DST)))), ["label"]).select("label", F.col("rmse").alias("before"))
     out = alignment.rmse(alignment.aligned_by_yaw(pairs, ["label"]), ["label"]).withColumnRenamed("rmse", "after").join(raw, "label")
-    gain = 100 * (F.col("before") - F.col("after")) / F.col("before")
+    gain = F.try_divide(100 * (F.col("before") - F.col("after")), F.col("before"))
     return out.select("label", "n", r6("before").alias("before"), r6("after").alias("after"), F.round(gain, 4).alias("improve_pct"))
 
 

@@ -1 +1 @@
-
+"""Streaming forms of the map and of time association."""
