@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import crc32_residue, cut, stored
+from marram.llm.common import crc32_residue, cut, small_batches, stored
 
 DEPTH = 5
 #: Contexts and edges of the tree have this share of all symbols at least.
@@ -36,7 +36,7 @@ PRIOR = 16.0
 #: Words with this share of all words are looked up in a broadcast table (at most 1 / share); the rest are joined.
 WORD_SHARE = 1e-6
 #: Bytes of text that are counted or scored at once, and counts a task holds before it passes them on.
-CHUNK_BYTES, HELD_GRAMS, HELD_WORDS = 6_000_000, 2_500_000, 250_000
+CHUNK_BYTES, HELD_GRAMS, HELD_WORDS = 1_500_000, 2_000_000, 150_000
 
 END = b"\n"
 _PAD = END * DEPTH
@@ -205,7 +205,7 @@ def grow(total: int, symbols: dict[int, int], edges: list[tuple[np.ndarray, np.n
         smooth = (e_counts + PRIOR * below) / (n[of] + PRIOR)
         mass, mass_below, seen = (np.bincount(of, weights=w, minlength=len(n)) for w in (smooth, below, e_counts))
         rest, rest_below = np.maximum(n - seen, 0), np.maximum(1 - mass_below, 1e-12)
-        kl = np.bincount(of, weights=e_counts * np.log(e_counts / n[of] / below), minlength=len(n))
+        kl = np.bincount(of, weights=e_counts * np.log(e_counts / n[of] / below), minlength=len(n)).astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             kl += np.where(rest > 0, rest * np.log(rest / n / rest_below), 0)
         keep = (kl / n >= LEAST_DIVERGENCE) & (2 * kl >= LEAST_RATIO)
@@ -236,7 +236,7 @@ class Model:
     """Counts of a training corpus: a tree, and word counts as a bounded table and a DataFrame for the rest."""
 
     def __init__(self, training: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE, word_share: float = WORD_SHARE):
-        partial = training.select(F.col(text_col).cast("string")).mapInArrow(_count, "w binary, g long, n long")
+        partial = small_batches(training.select(F.col(text_col).cast("string"))).mapInArrow(_count, "w binary, g long, n long")
         stats = stored(partial.groupBy("w", "g").agg(F.sum("n").alias("n")))
         self.words = stats.where("w IS NOT NULL").select("w", "n")
         self.tokens, self.types = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -289,7 +289,7 @@ class Model:
 
         rows = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
-        scored = rows.mapInArrow(run, f"{fields}, n_tokens long, n_known long, base double, score double, rest array<binary>")
+        scored = small_batches(rows).mapInArrow(run, f"{fields}, n_tokens long, n_known long, base double, score double, rest array<binary>")
         scored = stored(scored.withColumn("row_id", F.monotonically_increasing_id()))
         rare = scored.select("row_id", F.explode("rest").alias("w")).groupBy("row_id", "w").agg(F.count(F.lit(1)).alias("k"))
         met = rare.join(self.others, "w").groupBy("row_id").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("add"))
