@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import crc32_residue
+from marram.llm.common import crc32_residue, small_batches
 
 LENGTHS = (1, 2, 3)
 PLACES = 1 << 16
@@ -27,8 +27,8 @@ TRAIN_PER_LANG, TRAIN_ROWS, LANDMARKS = 400, 4_000, 256
 #: Languages that are learned: the most frequent ones.
 MOST_LANGUAGES = 500
 RIDGE = 1e-2
-#: Rows multiplied at once.
-BLOCK = 256
+#: Rows multiplied at once, in scoring and in fitting.
+BLOCK, FIT_BLOCK = 256, 64
 
 
 def presence(text: str) -> np.ndarray:
@@ -77,16 +77,22 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     by_lang = {c: [i for i, x in enumerate(langs) if x == c] for c in languages}
     order = [i for turn in range(max(map(len, by_lang.values()))) for c in languages for i in by_lang[c][turn : turn + 1]]
     chosen = order[: min(landmarks, len(order))]
-    width = len(LENGTHS) * PLACES
-    marks = np.zeros((len(chosen), width), dtype=np.float32)
-    for k, i in enumerate(chosen):
-        marks[k, rows[i]] = 1 / np.sqrt(max(len(rows[i]), 1))
+    # Only places that some landmark has count in the kernel; the matrices are as wide as that.
+    used = np.unique(np.concatenate([rows[i] for i in chosen]))
+    column = np.full(len(LENGTHS) * PLACES, -1, dtype=np.int32)
+    column[used] = np.arange(len(used))
+
+    def dense(group: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(group), len(used)), dtype=np.float32)
+        for k, r in enumerate(group):
+            at = column[r]
+            out[k, at[at >= 0]] = 1 / np.sqrt(max(len(r), 1))
+        return out
+
+    marks = dense([rows[i] for i in chosen])
     kernel = np.zeros((len(rows), len(chosen)))
-    for at in range(0, len(rows), BLOCK):
-        block = np.zeros((len(rows[at : at + BLOCK]), width), dtype=np.float32)
-        for k, r in enumerate(rows[at : at + BLOCK]):
-            block[k, r] = 1 / np.sqrt(max(len(r), 1))
-        kernel[at : at + BLOCK] = block @ marks.T
+    for at in range(0, len(rows), FIT_BLOCK):
+        kernel[at : at + FIT_BLOCK] = dense(rows[at : at + FIT_BLOCK]) @ marks.T
     values, vectors = np.linalg.eigh((k := kernel[chosen]) @ np.eye(len(chosen)) * 0.5 + k.T * 0.5)
     good = values > 1e-6 * values[-1] if values[-1] > 0 else values > 0
     root = vectors[:, good] / np.sqrt(values[good])
@@ -95,7 +101,9 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     # Rows weigh so that each language counts alike.
     weight = np.array([1 / len(by_lang[c]) for c in langs])[:, None]
     solved = np.linalg.solve(features.T @ (weight * features) + ridge * np.eye(features.shape[1]) / len(langs), features.T @ (weight * wanted)) if features.shape[1] else np.zeros((0, len(languages)))
-    return Model(languages, (marks.T @ (root @ solved)).astype(np.float32))
+    weights = np.zeros((len(LENGTHS) * PLACES, len(languages)), dtype=np.float32)
+    weights[used] = marks.T @ (root @ solved)
+    return Model(languages, weights)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +126,7 @@ def learn(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG, most: int = TRAIN
     rows = rows.where(F.col("h") < F.element_at(bar, F.col("lang")))
     picked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= per_lang)
     picked = picked.orderBy("n", "lang").limit(most).select("lang", "text")
-    found = picked.mapInArrow(_features, "lang string, places binary").collect()
+    found = small_batches(picked).mapInArrow(_features, "lang string, places binary").collect()
     found = sorted((r["lang"], bytes(r["places"])) for r in found if r["places"])
     return fit([np.frombuffer(p, dtype=np.int32) for _, p in found], [c for c, _ in found])
 
@@ -127,12 +135,13 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "te
     """``carry`` columns of every row, with lang_pred string and score double in 0..1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 * 2^16 floats a language
     n = len(carry)
+    at = carry.index(text_col) if text_col in carry else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             preds, scores = [], []
-            texts = iter(batch.column(n))
+            texts = iter(batch.column(at))
             while block := [x.as_py() for x in islice(texts, BLOCK)]:
                 known = [has_letter(t) for t in block]
                 values = m.scores([presence(t) if ok else np.zeros(0, np.int32) for t, ok in zip(block, known, strict=True)])
@@ -146,9 +155,9 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "te
                         scores.append(float(min(1.0, max(0.0, (row[best] + 1) / 2))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 
-    rows = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*carry) if at < n else docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -171,5 +180,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def with_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` in a recognised language; ``und`` and scores under ``least`` go."""
     names = docs.columns
-    judged = predict(docs.withColumn("__copy", F.col("text")), learn(training_rows(docs)), names, "__copy")
+    judged = predict(docs, learn(training_rows(docs)), names)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(names)
