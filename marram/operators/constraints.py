@@ -17,8 +17,8 @@ class Config:
     use_ranges: bool = True
     use_anchor: bool = True
     use_inter: bool = True
-    use_height: bool = True
-    use_gravity: bool = False
+    use_height: bool = False
+    use_gravity: bool = True
     use_moment_arm: bool = False
     bias_mode: str = "const"
     range_bias: float = 0.14
@@ -30,7 +30,7 @@ class Config:
     inter_pairs: tuple[tuple[int, int], ...] | None = None
     robots: tuple[int, ...] = (0, 1, 2)
     gauge_per_robot: bool = False
-    huber: float = 1.5
+    huber: float = 1.0
     extra: dict = field(default_factory=dict)
 
 
