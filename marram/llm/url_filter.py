@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark import StorageLevel
 
-from marram.llm.common import ascii_lower
+from marram.llm.common import ascii_lower, small_batches
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -107,18 +109,41 @@ def place(token: str) -> int:
     return (h ^ h >> 29) % PLACES
 
 
+_MARKUP = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.DOTALL)
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Distinct words that a task holds before it passes its counts on.
+HELD_WORDS = 200_000
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of each task; the empty word has the number of all words."""
+
+    def out(words: Counter) -> pa.RecordBatch:
+        words[""] = sum(words.values())
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+    words: Counter = Counter()
+    for batch in batches:
+        for x in batch.column(0):
+            plain = _MARKUP.sub(" ", x.as_py() or "").lower()
+            words.update(w for w in _LETTERS.findall(plain) if len(w) <= LONGEST_WORD)
+            if len(words) > HELD_WORDS:
+                yield out(words)
+                words = Counter()
+    yield out(words)
+
+
 def lexicon(texts: DataFrame, text_col: str, least_share: float = LEAST_SHARE) -> Segmenter:
     """Words of letters in the texts, counted over all rows, as a segmenter.
 
     Mark-up is cut out first. Only words of at least ``least_share`` of all words reach the driver,
     1 / least_share at most.
     """
-    plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    words = texts.select(F.explode(F.split(F.lower(plain), r"[^\p{L}]+")).alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST_WORD))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).persist()
+    counts = small_batches(texts.select(F.col(text_col).cast("string"))).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = counts.persist(StorageLevel.DISK_ONLY)
     try:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        rows = counts.where(F.col("n") >= max(2, least_share * total)).collect() if total else []
+        total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
+        rows = counts.where((F.col("word") != "") & (F.col("n") >= max(2, least_share * total))).collect() if total else []
     finally:
         counts.unpersist()
     log_p = {r["word"]: math.log(r["n"] / total) for r in rows}
@@ -155,11 +180,14 @@ class NaiveBayes:
 
 def train(labelled: DataFrame, alpha: float = 1.0) -> NaiveBayes:
     """Multinomial naive Bayes from (verdict, places), counted over every labelled row; 2 * PLACES counts reach the driver."""
-    sums = labelled.select("verdict", F.explode("places").alias("place")).groupBy("verdict", "place").agg(F.count(F.lit(1)).alias("n"))
+    # Place -1 counts the rows.
+    each = F.explode(F.concat(F.col("places"), F.array(F.lit(-1)))).alias("place")
+    sums = labelled.select("verdict", each).groupBy("verdict", "place").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
     counts = {v: np.zeros(PLACES) for v in ("allow", "block")}
-    for r in sums.collect():
-        counts[r["verdict"]][r["place"]] = r["n"]
-    rows = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for r in sums:
+        if r["place"] >= 0:
+            counts[r["verdict"]][r["place"]] = r["n"]
+    rows = {r["verdict"]: r["n"] for r in sums if r["place"] < 0}
     used = max(1, int(((counts["allow"] + counts["block"]) > 0).sum()))
     log = {v: np.log((c + alpha) / (c.sum() + alpha * used)) for v, c in counts.items()}
     odds = np.where((counts["allow"] + counts["block"]) > 0, log["block"] - log["allow"], 0.0)
@@ -180,7 +208,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     hit = matching_rule(F.col("host"), F.col("path"), rules)
     ruled = urls.withColumn("hit", hit)
     labelled = ruled.where("hit IS NOT NULL").select(F.col("hit.verdict").alias("verdict"), "host", "path")
-    model = train(tokenised(labelled, segment, ["verdict", "host", "path"]).persist())
+    model = train(tokenised(labelled, segment, ["verdict", "host", "path"]))
     shared_model, shared_segment = (pages.sparkSession.sparkContext.broadcast(x) for x in (model, segment))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
