@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import WORDS, cut
+from marram.llm.common import WORDS, cut, small_batches
 
 #: Weights of the sources in code-point order, repeating, and the cap on repeats.
 WEIGHTS = (1, 2, 3)
@@ -188,7 +188,7 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """shard, source, slot, row_id, doc_id, from_word, n_words: what each slot takes of each document."""
-        taken = slots(self.plan, self.seed)
+        taken = slots(self.plan, self.seed).hint("merge")  # it grows with the corpus, whatever its estimate
         docs = laid_out(self.sizes).where("size > 0")
         span = F.sequence(F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(start + size - 1) div {BLOCK_WORDS}"))
         parts = docs.select("row_id", "doc_id", "source", "start", "size", F.explode(span).alias("block_index"))
@@ -235,7 +235,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     rows = rows.withColumn("__copy", F.lit(1) if tied else F.row_number().over(tie))
     match = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("__size") == F.col("of_size")) & (F.col("__copy") == F.col("of_copy"))
     joined = rows.join(of, match).select(*names, "uses")
-    return joined.mapInArrow(_take(names.index("text"), len(names)), docs.schema)
+    return small_batches(joined).mapInArrow(_take(names.index("text"), len(names)), docs.schema)
 
 
 def _take(text_at: int, n: int):
