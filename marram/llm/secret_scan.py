@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import stored
+from marram.llm.common import small_batches, stored
 
 #: Kinds in the order that breaks ties of equal starts; ``live`` are spans that this method adds.
 KINDS = ("assign", "access", "hex", "live")
@@ -92,7 +92,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found.append([{"start": s, "stop": e, "kind": k, "digest": hashlib.sha256(v.encode()).digest()[:16], "random": looks_random(v, 3.0)} for s, e, k, v in base + loose_spans(text, base)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, spans_type)], names=["doc_id", "repo", "owner", "spans"])
 
-    scanned = rows.mapInArrow(run, f"doc_id long, repo string, owner string, spans array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>")
+    scanned = small_batches(rows).mapInArrow(run, f"doc_id long, repo string, owner string, spans array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>")
     return scanned.withColumn("row_id", F.monotonically_increasing_id())
 
 

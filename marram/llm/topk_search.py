@@ -18,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marram.llm.common import small_batches
+
 #: Rows of a shard, queries of a block, and impact levels of a shard.
 SHARD_ROWS, QUERY_ROWS, LEVELS = 2048, 256, 8
 #: A query stops once this many rows may still belong to its result: rescoring them costs less than another level.
 RESCORE = 64
 SCALE = 256
+#: Scaled components beyond this size count as this size, so that they fit 64 bits.
+LARGEST = float(1 << 62)
 #: Queries whose bests a task remembers from shard to shard.
 REMEMBERED = 50_000
 
@@ -31,7 +35,7 @@ def integer_vector(vector: Column) -> Column:
     """floor(256 * x) of each component as a double; null where the vector is null or holds null, NaN or infinity."""
     double = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists(double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~F.coalesce(bad, F.lit(True)), F.transform(double, lambda x: F.floor(x * SCALE).cast("long")))
+    return F.when(~F.coalesce(bad, F.lit(True)), F.transform(double, lambda x: F.floor(F.greatest(F.least(x * SCALE, F.lit(LARGEST)), F.lit(-LARGEST))).cast("long")))
 
 
 def matrix(rows: list[list[int]], width: int) -> np.ndarray:
@@ -195,7 +199,7 @@ def top_k(vectors: DataFrame, query_ids: Column, k: int = 5, id_col: str = "vec_
     candidates are all returned; an empty table gives no rows; other columns are ignored.
     """
     groups = groups or 4 * vectors.sparkSession.sparkContext.defaultParallelism
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), integer_vector(F.col(vector_col)).alias("v"))
+    rows = small_batches(vectors).select(F.col(id_col).cast("long").alias("vec_id"), integer_vector(F.col(vector_col)).alias("v"))
     rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
     shards = rows.mapInArrow(_packed(SHARD_ROWS), _BLOCK).withColumn("unit", F.pmod(F.xxhash64("ids"), F.lit(groups)))
     blocks = rows.where(query_ids).mapInArrow(_packed(QUERY_ROWS), _BLOCK).toDF("q_n", "q_width", "q_ids", "q_data")
