@@ -19,11 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marram.llm.common import small_batches
+
 #: The word pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Encoded words that a Python worker keeps between batches, in two generations; it bounds memory and leaves results as they are.
-CACHE_WORDS = 300_000
+#: Encoded words that a Python worker keeps between batches, in two generations, and pairs of tokens that it has judged; they bound memory and leave results as they are.
+CACHE_WORDS, CACHE_PAIRS = 100_000, 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -80,7 +82,7 @@ class TrieBpe:
         pair = left, right
         known = self.may_follow.get(pair)
         if known is None:
-            if len(self.may_follow) > 8 * CACHE_WORDS:
+            if len(self.may_follow) > CACHE_PAIRS:
                 self.may_follow.clear()
             known = self.may_follow[pair] = self.apart(left, right) if self.one_way else self.merge([self.byte_token[b] for b in self.bytes_of[left] + self.bytes_of[right]]) == [left, right]
         return known
@@ -210,7 +212,7 @@ def read_vocabulary(path: str) -> str:
 
 
 #: Texts are taken in groups of so many characters, to bound what a worker holds besides its batch.
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 2_000_000
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -243,7 +245,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                 start += len(group)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
-    return rows.mapInArrow(run, f"{fields}, ids binary, n_tokens long, round_trip boolean, decoded string")
+    return small_batches(rows).mapInArrow(run, f"{fields}, ids binary, n_tokens long, round_trip boolean, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -277,4 +279,4 @@ def encode_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
