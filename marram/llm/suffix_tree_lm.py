@@ -7,28 +7,35 @@ distribution diverges from that of its longest proper suffix; every suffix of a
 Distributions are smoothed towards the suffix' distribution; a symbol without an edge of its own
 takes its share of the suffix' probability. A position is scored in its longest suffix state.
 
-Counts cover the whole training part: they are made per task, merged by a shuffle, and only
-contexts and edges with a share of LEAST_SHARE of all symbols come to the driver, of which there
-can be 1 / LEAST_SHARE a length: that bounds the model whatever the corpus.
+Counts cover the whole training part, and contexts and edges seen LEAST_COUNT times count, whatever
+the corpus' size, so the tree grows with it. Counts are made per task and merged by a shuffle.
+Lengths up to SHORT, of which there are 256 ** SHORT contexts at most, are built on the driver; the
+longer ones where all with the same last bytes have been brought together, into a table of slots.
+Texts are scored against as many slots at once as a worker holds, in several passes if need be.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from dataclasses import dataclass
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import crc32_residue, cut, small_batches, stored
+from marram.llm.common import crc32_residue, small_batches, stored
 
-DEPTH = 5
-#: Contexts and edges of the tree have this share of all symbols at least.
-LEAST_SHARE = 2e-6
+DEPTH = 7
+#: Contexts and edges of the tree were seen this often at least.
+LEAST_COUNT = 2
+#: Lengths that every worker has in full. Longer contexts with the same SHORT + 1 last bytes lie together.
+SHORT = 2
+#: Slots of the longer contexts, grams that one task builds from, and entries of the tree that a pass holds.
+SLOTS, TASK_GRAMS, PASS_ENTRIES = 4096, 1_500_000, 3_000_000
 #: A context is kept if its divergence (nats) and its log-likelihood ratio reach these.
 LEAST_DIVERGENCE, LEAST_RATIO = 0.005, 20.0
 #: Symbols' worth of belief in the suffix' distribution.
@@ -36,7 +43,7 @@ PRIOR = 16.0
 #: Words with this share of all words are looked up in a broadcast table (at most 1 / share); the rest are joined.
 WORD_SHARE = 1e-6
 #: Bytes of text that are counted or scored at once, and counts a task holds before it passes them on.
-CHUNK_BYTES, HELD_GRAMS, HELD_WORDS = 1_500_000, 2_000_000, 150_000
+CHUNK_BYTES, HELD_GRAMS, HELD_WORDS = 1_500_000, 4_000_000, 150_000
 
 END = b"\n"
 _PAD = END * DEPTH
@@ -188,15 +195,15 @@ class SuffixTree:
         return out
 
 
-def grow(total: int, symbols: dict[int, int], edges: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]]) -> SuffixTree:
-    """The tree from counts: symbols of the root; for each length sorted edge keys with counts, and context keys with counts."""
-    root = np.array([symbols.get(b, 0) + 1.0 for b in range(256)])
-    tree = SuffixTree(np.log(root / root.sum()), [], [])
+def grow(tree: SuffixTree, edges: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+    """Adds the next lengths in full to ``tree``, from sorted edge keys with counts and context keys with counts.
+
+    Returns edge keys, their logs, the edges' contexts, context keys, gamma and keep of each length.
+    """
     # From short to long: each length is judged and smoothed against the full lengths below it.
     built: list[tuple[np.ndarray, ...]] = []
-    for length in range(1, len(edges) + 1):
-        e_keys, e_counts = edges[length - 1]
-        c_keys, c_counts = contexts[length - 1]
+    for (e_keys, e_counts), (c_keys, c_counts) in zip(edges, contexts, strict=True):
+        length = len(tree.edges) + 1
         of = np.searchsorted(c_keys, e_keys >> _U(8))
         known = (of < len(c_keys)) & (c_keys[np.minimum(of, max(len(c_keys) - 1, 0))] == e_keys >> _U(8)) if len(c_keys) else np.zeros(len(e_keys), bool)
         e_keys, e_counts, of = e_keys[known], e_counts[known].astype(float), of[known]
@@ -213,16 +220,43 @@ def grow(total: int, symbols: dict[int, int], edges: list[tuple[np.ndarray, np.n
         built.append((e_keys, np.log(smooth), of, c_keys, gamma, keep))
         tree.edges.append(Table(e_keys, np.log(smooth)))
         tree.states.append(Table(c_keys, gamma))
-    # From long to short: suffixes of states are states. Then only states and their edges stay.
-    for length in range(len(built), 1, -1):
-        kept = np.unique(built[length - 1][3][built[length - 1][5]] & _U((1 << 8 * (length - 1)) - 1))
-        keys, keep = built[length - 2][3], built[length - 2][5]
-        keep |= np.isin(keys, kept)
-    tree.edges, tree.states = [], []
-    for e_keys, logs, of, c_keys, gamma, keep in built:
-        tree.edges.append(Table(e_keys[keep[of]], logs[keep[of]]))
-        tree.states.append(Table(c_keys[keep], gamma[keep]))
-    return tree
+    # From long to short: suffixes of states are states.
+    for at in range(len(built) - 1, 0, -1):
+        length = len(tree.edges) - len(built) + at
+        kept = np.unique(built[at][3][built[at][5]] & _U((1 << 8 * length) - 1))
+        built[at - 1][5][:] |= np.isin(built[at - 1][3], kept)
+    return built
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, longest: int, shortest: int, least: int) -> tuple[list, list]:
+    """Edges and contexts of the lengths shortest to longest, seen ``least`` times, from the grams of the longest."""
+    edges, contexts = [], []
+    for length in range(longest, shortest - 1, -1):
+        if len(keys):
+            keys, counts = _merge([(keys & _U((1 << 8 * (length + 1)) - 1), counts)])
+        above = _merge([(keys >> _U(8), counts)]) if len(keys) else (keys, counts)
+        edges.append((keys[counts >= least], counts[counts >= least]))
+        contexts.append((above[0][above[1] >= least], above[1][above[1] >= least]))
+    return edges[::-1], contexts[::-1]
+
+
+def _slot(contexts: np.ndarray) -> np.ndarray:
+    """The slot of contexts that are longer than SHORT."""
+    last = contexts & _U((1 << 8 * (SHORT + 1)) - 1)
+    return (((last * _U(0x9E3779B1)) >> _U(16)) % _U(SLOTS)).astype(np.int32)
+
+
+_ENTRY = pa.schema([("length", pa.int32()), ("edge", pa.bool_()), ("slot", pa.int32()), ("k", pa.int64()), ("v", pa.float32())])
+
+
+def _entries(built: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    for length, (e_keys, logs, of, c_keys, gamma, keep) in enumerate(built, SHORT + 1):
+        for edge, keys, values in ((True, e_keys[keep[of]], logs[keep[of]]), (False, c_keys[keep], gamma[keep])):
+            slots = _slot(keys >> _U(8) if edge else keys)
+            for at in range(0, len(keys), 200_000):
+                k = keys[at : at + 200_000]
+                columns = [np.full(len(k), length), np.full(len(k), edge), slots[at : at + 200_000], k.view(np.int64), values[at : at + 200_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENTRY, strict=True)], schema=_ENTRY)
 
 
 def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +269,7 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Counts of a training corpus: a tree, and word counts as a bounded table and a DataFrame for the rest."""
 
-    def __init__(self, training: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE, word_share: float = WORD_SHARE):
+    def __init__(self, training: DataFrame, text_col: str = "text", least_share: float = 0.0, word_share: float = WORD_SHARE):
         partial = small_batches(training.select(F.col(text_col).cast("string"))).mapInArrow(_count, "w binary, g long, n long")
         stats = stored(partial.groupBy("w", "g").agg(F.sum("n").alias("n")))
         self.words = stats.where("w IS NOT NULL").select("w", "n")
@@ -244,53 +278,122 @@ class Model:
         t = self.words.where(F.col("n") >= least).toArrow()
         self.frequent = dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True))
         self.others = self.words.where(F.col("n") < least)
-        self.tree = self._tree(stats.where("g IS NOT NULL").select("g", "n"), least_share)
-
-    def _tree(self, grams: DataFrame, least_share: float) -> SuffixTree:
-        total = grams.agg(F.sum("n")).first()[0] or 0
-        least = max(2, int(np.ceil(least_share * total)))
-        edges, contexts = [], []
-        for length in range(DEPTH, -1, -1):
-            if length < DEPTH:
-                grams = grams.groupBy(F.col("g").bitwiseAND((1 << 8 * (length + 1)) - 1).alias("g")).agg(F.sum("n").alias("n"))
-                if length == DEPTH - 1:
-                    grams = cut(grams)
-            if length:
-                contexts.append(_collect(grams.groupBy(F.shiftrightunsigned("g", 8).alias("g")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
-                edges.append(_collect(grams.where(F.col("n") >= least)))
-            else:
-                symbols = {r["g"]: r["n"] for r in grams.collect()}  # 256 at most
-        return grow(total, symbols, edges[::-1], contexts[::-1])
+        self.short, self.table, self.slots = self._build(stats.where("g IS NOT NULL").select("g", "n"), least_share)
+
+    def _build(self, grams: DataFrame, least_share: float) -> tuple[SuffixTree, DataFrame, dict[int, int]]:
+        """The tree of lengths up to SHORT, the table of the longer ones, and the number of its entries a slot."""
+        keys, counts = _collect(grams.groupBy(F.col("g").bitwiseAND((1 << 8 * (SHORT + 1)) - 1).alias("g")).agg(F.sum("n").alias("n")))
+        total = int(counts.sum())
+        least = max(LEAST_COUNT, int(np.ceil(least_share * total)))
+        root = np.ones(256)
+        np.add.at(root, (keys & _U(255)).astype(np.int64), counts)
+        short = SuffixTree(np.log(root / root.sum()), [], [])
+        grow(short, *_levels(keys, counts, SHORT, 1, least))
+        shared = grams.sparkSession.sparkContext.broadcast(short)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if len(b)]
+            if held:
+                base = shared.value
+                tree = SuffixTree(base.root, list(base.edges), list(base.states))
+                yield from _entries(grow(tree, *_levels(*_merge(held), DEPTH, SHORT + 1, least)))
+
+        parts = max(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // TASK_GRAMS))
+        last = F.shiftrightunsigned("g", 8).bitwiseAND((1 << 8 * (SHORT + 1)) - 1)
+        table = stored(grams.repartition(parts, last).select("g", "n").mapInArrow(run, "length int, edge boolean, slot int, k long, v float"))
+        return short, table, {r["slot"]: r["count"] for r in table.groupBy("slot").count().collect()}
+
+    def passes(self) -> list[list[int]]:
+        """Slots that are scored together, of PASS_ENTRIES entries in all, or one slot."""
+        out, size = [[]], 0
+        for slot in range(SLOTS):
+            own = self.slots.get(slot, 0)
+            if out[-1] and size + own > PASS_ENTRIES:
+                out.append([])
+                size = 0
+            out[-1].append(slot)
+            size += own
+        return out
+
+    def tree_of(self, slots: list[int]) -> SuffixTree:
+        """The tree with the longer contexts of these consecutive slots only."""
+        tree = SuffixTree(self.short.root, list(self.short.edges), list(self.short.states))
+        t = self.table.where(F.col("slot").between(slots[0], slots[-1])).select("length", "edge", "k", "v").toArrow()
+        length, edge, keys, values = (t.column(i).to_numpy() for i in range(4))
+        for at in range(SHORT + 1, DEPTH + 1):
+            for tables, kind in ((tree.edges, True), (tree.states, False)):
+                own = (length == at) & (edge == kind)
+                tables.append(Table(keys[own].view(np.uint64), values[own]))
+        return tree
+
+    @property
+    def tree(self) -> SuffixTree:
+        return self.tree_of([0, SLOTS - 1])
 
     def score(self, docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
         """carry columns with n_tokens, n_known, train_tokens, base_score, score for every row."""
         unit = -np.log10(self.tokens + self.types + 1)
         known = {w: float(np.log10(n + 1)) for w, n in self.frequent.items()}
-        shared = docs.sparkSession.sparkContext.broadcast((known, self.tree))
-        n = len(carry)
+        context = docs.sparkSession.sparkContext
+        words_shared = context.broadcast(known)
+        n = len(carry) + 1
         added = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.binary()))]
+        passes = self.passes()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words_known, tree = shared.value
-            get = words_known.get
-            for batch in batches:
-                for first, group in _chunks(batch.column(n)):
-                    keys, lengths = windows(group)
-                    logs = np.add.reduceat(tree.log_p(keys), np.concatenate(([0], np.cumsum(lengths)[:-1]))) / np.log(10)
-                    base, hits, rest = [], [], []
-                    for words in group:
-                        v = np.fromiter(map(get, [*words, END], repeat(-1.0)), dtype=np.float64, count=len(words) + 1)
-                        out = np.flatnonzero(v < 0)
-                        hits.append(len(v) - len(out))
-                        base.append(float(v.sum() + len(out)))
-                        rest.append([words[i] if i < len(words) else END for i in out])
-                    columns = [[len(w) + 1 for w in group], hits, base, logs, rest]
-                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(group)).columns[:n], *[pa.array(c, t) for c, (_, t) in zip(columns, added, strict=True)]], names=[*carry, *[a for a, _ in added]])
-
-        rows = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
+        def log_sums(tree: SuffixTree, slots: list[int], group: list[list[bytes]]) -> np.ndarray:
+            """For each text the sum over the positions whose contexts are in these slots."""
+            keys, lengths = windows(group)
+            if len(slots) == SLOTS:
+                logs = tree.log_p(keys)
+            else:
+                slot = _slot(keys >> _U(8))
+                own = np.flatnonzero((slot >= slots[0]) & (slot <= slots[-1]))
+                logs = np.zeros(len(keys))
+                logs[own] = tree.log_p(keys[own])
+            return np.add.reduceat(logs, np.concatenate(([0], np.cumsum(lengths)[:-1]))) / np.log(10)
+
+        def first_pass(shared, slots: list[int]):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                get, tree = words_shared.value.get, shared.value
+                for batch in batches:
+                    for first, group in _chunks(batch.column(n)):
+                        logs = log_sums(tree, slots, group)
+                        base, hits, rest = [], [], []
+                        for words in group:
+                            v = np.fromiter(map(get, [*words, END], repeat(-1.0)), dtype=np.float64, count=len(words) + 1)
+                            out = np.flatnonzero(v < 0)
+                            hits.append(len(v) - len(out))
+                            base.append(float(v.sum() + len(out)))
+                            rest.append([words[i] if i < len(words) else END for i in out])
+                        columns = [[len(w) + 1 for w in group], hits, base, logs, rest]
+                        yield pa.RecordBatch.from_arrays([*batch.slice(first, len(group)).columns[:n], *[pa.array(c, t) for c, (_, t) in zip(columns, added, strict=True)]], names=[*carry, "row_id", *[a for a, _ in added]])
+
+            return run
+
+        def later_pass(shared, slots: list[int]):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                tree = shared.value
+                for batch in batches:
+                    for first, group in _chunks(batch.column(1)):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(group)), pa.array(log_sums(tree, slots, group))], names=["row_id", "score"])
+
+            return run
+
+        rows = docs.select(*carry, F.monotonically_increasing_id().alias("row_id"), F.col(text_col).cast("string").alias("__text"))
+        if len(passes) > 1:
+            rows = stored(rows)  # every pass reads the same row ids
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
-        scored = small_batches(rows).mapInArrow(run, f"{fields}, n_tokens long, n_known long, base double, score double, rest array<binary>")
-        scored = stored(scored.withColumn("row_id", F.monotonically_increasing_id()))
+        scored, later = None, []
+        for slots in passes:
+            shared = context.broadcast(self.tree_of(slots))
+            if scored is None:
+                scored = stored(small_batches(rows).mapInArrow(first_pass(shared, slots), f"{fields}, n_tokens long, n_known long, base double, score double, rest array<binary>"))
+            else:
+                later.append(stored(small_batches(rows.select("row_id", "__text")).mapInArrow(later_pass(shared, slots), "row_id long, score double")))
+            shared.destroy()
+        if later:
+            more = reduce(DataFrame.unionByName, later).groupBy("row_id").agg(F.sum("score").alias("later"))
+            scored = scored.join(more, "row_id").withColumn("score", F.col("score") + F.col("later")).drop("later")
         rare = scored.select("row_id", F.explode("rest").alias("w")).groupBy("row_id", "w").agg(F.count(F.lit(1)).alias("k"))
         met = rare.join(self.others, "w").groupBy("row_id").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("add"))
         return scored.join(met, "row_id", "left").select(
