@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from marram.llm import suffix_tree_lm
+from marram.llm import secret_scan, suffix_tree_lm
 
 
 def test_lm_keeps_what_is_seen_a_few_times_in_a_large_corpus(spark, monkeypatch):
@@ -19,3 +19,11 @@ def test_lm_keeps_what_is_seen_a_few_times_in_a_large_corpus(spark, monkeypatch)
     assert len(model.passes()) > 2
     parts = {r["doc_id"]: r["score"] for r in model.score(docs, ["doc_id"]).collect()}
     assert len(parts) == 340 and all(abs(parts[i] - whole[i]) < 1e-6 * abs(whole[i]) for i in whole)
+
+
+def test_secret_scan_finds_long_unlabelled_keys(spark):
+    key = "".join("aZ3bY7cX1dW9eV5fU2gT"[i * 7 % 20] + "kP4mQ8nR6"[i * i % 9] for i in range(200))
+    rows = [(1, f"see {key} here", "a"), (2, f"see {key[:300]}== and {key[:200]} here", "b")]
+    out = {r["doc_id"]: r for r in secret_scan.with_digests(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert len(key) == 400 and out[1]["spans"] == "live:4:404"
+    assert out[2]["spans"] == "live:4:306,live:311:511"
