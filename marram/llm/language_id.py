@@ -5,11 +5,13 @@ that both contain, over the root of the numbers that each contains. N-grams are
 places a length. Landmarks and training rows are a bounded sample; Nystroem features and one
 ridge regression per language are solved on the driver, and, the kernel being linear in presence
 bits, the landmarks fold into one weight matrix of places x languages, by which batches of
-presence rows are multiplied.
+presence rows are multiplied. The score is evidence: a text that shares nothing with the landmarks,
+or that no language claims over the others, has 0.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -27,6 +29,8 @@ TRAIN_PER_LANG, TRAIN_ROWS, LANDMARKS = 400, 4_000, 256
 #: Languages that are learned: the most frequent ones.
 MOST_LANGUAGES = 500
 RIDGE = 1e-2
+#: One in so many sampled rows is not fitted on and sets the least score: so much of the score that this share of them miss.
+WITHHELD, LEAST_OF, MISSED = 5, 0.5, 0.01
 #: Rows multiplied at once, in scoring and in fitting.
 BLOCK, FIT_BLOCK = 256, 64
 
@@ -51,10 +55,10 @@ def has_letter(text: str | None) -> bool:
 
 
 class Model:
-    """weights: places x languages; languages sorted."""
+    """weights: places x languages; languages sorted; least: texts that score under it are in none of them."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray):
-        self.languages, self.weights = languages, weights
+    def __init__(self, languages: list[str], weights: np.ndarray, least: float = 0.0):
+        self.languages, self.weights, self.least = languages, weights, least
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         """Decision values of a block of presence rows: their 0/1 matrix times the weights, then normalised."""
@@ -68,6 +72,13 @@ class Model:
         return out
 
 
+def evidence(values: np.ndarray) -> float:
+    """0..1: the best decision value, or half its lead over the runner-up where that is less."""
+    top = np.sort(values)
+    lead = (top[-1] - top[-2]) / 2 if len(top) > 1 else top[-1]
+    return float(min(1.0, max(0.0, min(top[-1], lead))))
+
+
 def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Nystroem features of the rows on evenly spread landmarks, then one-versus-rest kernel ridge regression."""
     languages = sorted(set(langs))
@@ -128,7 +139,17 @@ def learn(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG, most: int = TRAIN
     picked = picked.orderBy("n", "lang").limit(most).select("lang", "text")
     found = small_batches(picked).mapInArrow(_features, "lang string, places binary").collect()
     found = sorted((r["lang"], bytes(r["places"])) for r in found if r["places"])
-    return fit([np.frombuffer(p, dtype=np.int32) for _, p in found], [c for c, _ in found])
+    rows, langs = [np.frombuffer(p, dtype=np.int32) for _, p in found], [c for c, _ in found]
+    turn: Counter = Counter()
+    fitted, withheld = [], []
+    for i, c in enumerate(langs):
+        turn[c] += 1
+        (fitted if turn[c] % WITHHELD else withheld).append(i)
+    model = fit([rows[i] for i in fitted], [langs[i] for i in fitted])
+    values = model.scores([rows[i] for i in withheld])
+    right = [evidence(v) for v, i in zip(values, withheld, strict=True) if model.languages[int(v.argmax())] == langs[i]]
+    model.least = LEAST_OF * float(np.quantile(right, MISSED)) if right else 0.0
+    return model
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -152,7 +173,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "te
                     else:
                         best = int(row.argmax())
                         preds.append(m.languages[best])
-                        scores.append(float(min(1.0, max(0.0, (row[best] + 1) / 2))))
+                        scores.append(evidence(row))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 
     rows = docs.select(*carry) if at < n else docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
@@ -177,8 +198,10 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, learn(training_rows(docs)), ["doc_id", "held_out"])
 
 
-def with_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` in a recognised language; ``und`` and scores under ``least`` go."""
+def with_language(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` in a recognised language; ``und``, scores of 0 and scores under ``least`` (the model's) go."""
     names = docs.columns
-    judged = predict(docs, learn(training_rows(docs)), names)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(names)
+    model = learn(training_rows(docs))
+    judged = predict(docs, model, names)
+    least = model.least if least is None else least
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") > 0) & (F.col("score") >= least)).select(names)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from marram.llm import secret_scan, suffix_tree_lm
+from marram.llm import language_id, secret_scan, suffix_tree_lm
 
 
 def test_lm_keeps_what_is_seen_a_few_times_in_a_large_corpus(spark, monkeypatch):
@@ -27,3 +27,14 @@ def test_secret_scan_finds_long_unlabelled_keys(spark):
     out = {r["doc_id"]: r for r in secret_scan.with_digests(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
     assert len(key) == 400 and out[1]["spans"] == "live:4:404"
     assert out[2]["spans"] == "live:4:306,live:311:511"
+
+
+def test_language_filter_drops_foreign_texts_and_junk(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    foreign = ["Het weer is vandaag erg mooi en wij gaan naar het strand met de kinderen", "Tämä on suomenkielinen lause jossa kerrotaan päivän säästä ja uutisista", "这是一个中文句子", "Это русское предложение о погоде", "Αυτή είναι μια πρόταση", "zxq vbnk qwrt pldf xkcd jjkw"]
+    own = spark.createDataFrame([(10**9 + 5 * i, t, None) for i, t in enumerate(foreign)], "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").unionByName(own)
+    stay = {r["doc_id"] for r in language_id.with_language(both).select("doc_id").collect()}
+    lettered = [r["doc_id"] for r in docs.collect() if language_id.has_letter(r["text"])]
+    assert not any(i >= 10**9 for i in stay)
+    assert len(stay) >= 0.98 * len(lettered)
