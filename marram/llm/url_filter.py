@@ -24,9 +24,8 @@ from marram.llm.common import ascii_lower, small_batches
 #: The rules of the contract, as (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-#: A lexicon word has this share of all words at least, so there are 1 / LEAST_SHARE of them at most.
-LEAST_SHARE = 2e-5
-LONGEST_WORD = 24
+#: A lexicon word was seen this often at least, and lies in some host.
+LEAST_COUNT = 2
 #: Token counts are kept in so many places a class: a size bound on what is broadcast.
 PLACES = 1 << 17
 #: Segmented hosts that a task remembers.
@@ -62,19 +61,27 @@ class Segmenter:
     unknown: float
     cache: dict[str, list[str]] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.lengths = sorted({len(w) for w in self.log_p}, reverse=True)
+
     def split(self, name: str) -> list[str]:
-        """The likeliest words of a name; ties go to the longer last word. Linear in the name's length."""
+        """The likeliest words of a name; ties go to the longer last word. Linear in the name's length for a given set of word lengths."""
         known = self.cache.get(name)
         if known is not None:
             return known
         n = len(name)
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        open_, start = -math.inf, 0  # the unknown piece, of any length, that is best so far, and its start
         for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
-                p = self.log_p.get(name[start:end])
-                score = best[start] + (p if p is not None else self.unknown * (1 + 0.9 * (end - start - 1)))
-                if score > best[end] + 1e-12:
-                    best[end], back[end] = score, start
+            own = best[end - 1] - self.unknown * 0.9 * (end - 1)
+            if own > open_ + 1e-12:
+                open_, start = own, end - 1
+            best[end], back[end] = open_ + self.unknown * (0.1 + 0.9 * end), start
+            for length in self.lengths:
+                if length <= end and (p := self.log_p.get(name[end - length : end])) is not None:
+                    score = best[end - length] + p
+                    if score > best[end] + 1e-12 or (score > best[end] - 1e-12 and end - length < back[end]):
+                        best[end], back[end] = score, end - length
         out, end = [], n
         while end:
             out.append(name[back[end] : end])
@@ -126,24 +133,46 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.column(0):
             plain = _MARKUP.sub(" ", x.as_py() or "").lower()
-            words.update(w for w in _LETTERS.findall(plain) if len(w) <= LONGEST_WORD)
+            words.update(_LETTERS.findall(plain))
             if len(words) > HELD_WORDS:
                 yield out(words)
                 words = Counter()
     yield out(words)
 
 
-def lexicon(texts: DataFrame, text_col: str, least_share: float = LEAST_SHARE) -> Segmenter:
-    """Words of letters in the texts, counted over all rows, as a segmenter.
+def _pieces(longest: int):
+    """Every run of letters within the hosts' labels, up to the longest word that there is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for batch in batches:
+            for x in batch.column(0):
+                for label in [y for y in x.as_py().split(".") if y][:-1]:
+                    for letters in _LETTERS.findall(label):
+                        for at in range(len(letters)):
+                            found.update(letters[at:end] for end in range(at + 1, min(len(letters), at + longest) + 1))
+                            if len(found) > HELD_WORDS:
+                                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
+                                found = set()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
+
+    return run
+
+
+def lexicon(texts: DataFrame, text_col: str, hosts: DataFrame) -> Segmenter:
+    """Words of letters in the texts, counted over all rows, as a segmenter for ``hosts`` (host).
 
-    Mark-up is cut out first. Only words of at least ``least_share`` of all words reach the driver,
-    1 / least_share at most.
+    Mark-up is cut out first. The words that reach the driver are those seen LEAST_COUNT times that
+    lie in some host's label, since no other can be part of a segmentation.
     """
     counts = small_batches(texts.select(F.col(text_col).cast("string"))).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = counts.persist(StorageLevel.DISK_ONLY)
     try:
         total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
-        rows = counts.where((F.col("word") != "") & (F.col("n") >= max(2, least_share * total))).collect() if total else []
+        words = counts.where((F.col("word") != "") & (F.col("n") >= LEAST_COUNT))
+        longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+        pieces = hosts.select("host").distinct().mapInArrow(_pieces(longest), "word string").distinct()
+        rows = words.join(pieces, "word", "left_semi").collect() if longest else []
     finally:
         counts.unpersist()
     log_p = {r["word"]: math.log(r["n"] / total) for r in rows}
@@ -203,8 +232,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     blocked by the prior alone, which then is even and allows; an empty table gives no rows; other
     columns are ignored.
     """
-    segment = lexicon(pages, html_col)
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    segment = lexicon(pages, html_col, urls)
     hit = matching_rule(F.col("host"), F.col("path"), rules)
     ruled = urls.withColumn("hit", hit)
     labelled = ruled.where("hit IS NOT NULL").select(F.col("hit.verdict").alias("verdict"), "host", "path")

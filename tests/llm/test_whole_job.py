@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from marram.llm import language_id, secret_scan, suffix_tree_lm
+from marram.llm import language_id, secret_scan, suffix_tree_lm, url_filter
 
 
 def test_lm_keeps_what_is_seen_a_few_times_in_a_large_corpus(spark, monkeypatch):
@@ -38,3 +38,10 @@ def test_language_filter_drops_foreign_texts_and_junk(spark, small_dir):
     lettered = [r["doc_id"] for r in docs.collect() if language_id.has_letter(r["text"])]
     assert not any(i >= 10**9 for i in stay)
     assert len(stay) >= 0.98 * len(lettered)
+
+
+def test_url_lexicon_keeps_rare_words_of_hosts(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    pages = spark.createDataFrame([(f"cheap pills {long} " * 3 + "the and of " * 100_000, "x.com"), ("", f"cheappills{long}.cheap.org")], "html string, host string")
+    segment = url_filter.lexicon(pages, "html", pages)
+    assert segment.split("cheappills" + long) == ["cheap", "pills", long] and "the" not in segment.log_p
