@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +44,13 @@ BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Arrow batches are held to BATCH_BYTES; it bounds memory and leaves results as they are."""
+    """``df``, after the session's Arrow batches are held to BATCH_BYTES, unless the user has set that bound.
+
+    It bounds memory and leaves results as they are. Results are lazy, so the setting stays.
+    """
     key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
-    spark.conf.set(key, str(BATCH_BYTES))
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
     return df
 
 
@@ -54,16 +60,77 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of stored tables, in the order of their making.
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, but columnar and compressed, so that later reads can prune columns.
 
-    The files lie in this application's part of the checkpoint folder and share its retention.
+    The files lie in the session's checkpoint folder until ``scratch`` or ``discard`` removes them.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Remove stored tables: those of ``paths``, or all that this process has made. What was read from them must be done with."""
+    for path in list(_STORED if paths is None else paths):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _STORED.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stored inside are removed at the end, but for folders that the body puts into the list."""
+    before, keep = set(_STORED), []
+    try:
+        yield keep
+    finally:
+        discard(spark, [p for p in _STORED if p not in before and p not in keep])
+
+
+def last_stored() -> str:
+    """The folder of the table stored last."""
+    return _STORED[-1]
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores as it takes to be none of ``columns`` (letter case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: Keys that may be hot: those with at least one row in so many.
+HOT_KEYS = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key and, in ``weight``, how many of the ``total`` rows carry it.
+
+    Keys with 1 / HOT_KEYS of the rows, of which there are HOT_KEYS at most, are broadcast, so their
+    rows stay where they are; the others are joined by key. Rows of ``table`` must be small. Both
+    sides are read twice and should be materialised. ``weight`` is dropped; a null key meets nothing.
+    """
+    share = F.col(weight) * HOT_KEYS
+    hot, cold = table.where(share >= total).drop(weight), table.where(share < total).drop(weight)
+    kept = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(kept.join(cold, keys))
+
+
 def crc32_residue(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as decimal text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

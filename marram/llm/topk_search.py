@@ -1,12 +1,13 @@
 """Exact top-k inner-product search on an impact-ordered, score-at-a-time index.
 
 Vectors are integers. The index keeps rows in shards; in a shard every dimension has posting
-segments, one per quantised impact (size of the component), and for each impact level the norm of
-what a row has in the levels below. A block of queries processes the segments from the highest
-impact down, adding to one accumulator per row and query. A row's score then lies within its
-accumulator plus or minus (norm of the query) * (norm of the row's unprocessed part). A query
-stops when few enough rows can still reach its k-th best lower bound; those rows are rescored
-exactly. Nothing is dropped without that proof.
+segments, one per quantised impact (size of the component). A query processes the segments from
+the highest impact, times its own component, down, adding to one accumulator a row. What is left
+of a row's score is at most (norm of the row's unprocessed part) * (norm of the query over the
+same dimensions), by Cauchy-Schwarz; a row whose accumulator plus that cannot reach the bar, the
+k-th best score that is sure by now, is proven out and its later postings are passed over. A query
+stops when few rows are left; those are rescored exactly. Nothing is dropped without that proof.
+The bar starts from exact scores against a small sample of the rows, which are candidates too.
 """
 
 from __future__ import annotations
@@ -18,131 +19,141 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import small_batches
+from marram.llm.common import small_batches, stored
 
-#: Rows of a shard, queries of a block, and impact levels of a shard.
-SHARD_ROWS, QUERY_ROWS, LEVELS = 2048, 256, 8
-#: A query stops once this many rows may still belong to its result: rescoring them costs less than another level.
-RESCORE = 64
-SCALE = 256
-#: Scaled components beyond this size count as this size, so that they fit 64 bits.
-LARGEST = float(1 << 62)
-#: Queries whose bests a task remembers from shard to shard.
-REMEMBERED = 50_000
+#: Rows of a shard, queries of a block, impact levels of a shard, and shards of a unit on average.
+SHARD_ROWS, QUERY_ROWS, LEVELS, UNIT_SHARDS = 4096, 256, 8, 8
+#: A query goes through a shard's segments in so many steps, each followed by proofs, until this many rows are left: rescoring them costs less than another step.
+STEPS, RESCORE = 32, 64
+#: Rows against which a query is scored first, to have a bar from the start.
+SAMPLE_ROWS = 1024
+SCALE = 256.0
+_EXACT = float(1 << 53)
 
 
-def integer_vector(vector: Column) -> Column:
-    """floor(256 * x) of each component as a double; null where the vector is null or holds null, NaN or infinity."""
+def whole_vector(vector: Column) -> Column:
+    """The components as doubles; null where the vector is null or holds null, NaN or infinity."""
     double = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists(double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~F.coalesce(bad, F.lit(True)), F.transform(double, lambda x: F.floor(F.greatest(F.least(x * SCALE, F.lit(LARGEST)), F.lit(-LARGEST))).cast("long")))
+    return F.when(~F.coalesce(bad, F.lit(True)), double)
 
 
-def matrix(rows: list[list[int]], width: int) -> np.ndarray:
-    """Rows as one matrix, shorter ones filled up with zeros."""
-    out = np.zeros((len(rows), width), dtype=np.int64)
+def matrix(rows: list[list[float]], width: int) -> np.ndarray:
+    """floor(256 * x) of the rows as one matrix of integers (as doubles), shorter rows filled up with zeros."""
+    out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
+    with np.errstate(over="ignore"):
+        out = np.floor(out * SCALE)
+    if np.isinf(out).any():
+        raise OverflowError("a component times 256 is beyond the range of doubles")
     return out
 
 
-def exact_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Integer products of paired rows; in Python integers where 64 bits might not hold them."""
+def exact_scores(rows: np.ndarray, queries: np.ndarray) -> list[int]:
+    """Integer products of paired rows, exact at any size."""
     if not rows.size:
-        return np.zeros(len(rows), dtype=np.int64)
+        return [0] * len(rows)
     most = float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1]
-    if most < 2**62:
-        return (rows * queries).sum(axis=1)
-    wide = (rows.astype(object) * queries.astype(object)).sum(axis=1)
-    return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
+    if most < _EXACT:
+        return (rows * queries).sum(axis=1).astype(np.int64).tolist()
+    whole = np.frompyfunc(int, 1, 1)
+    return (whole(rows) * whole(queries)).sum(axis=1).tolist()
+
+
+def packed_matrix(m: np.ndarray) -> tuple[str, bytes]:
+    """The smallest kind of number that holds a matrix of integers, and its bytes."""
+    top = float(np.abs(m).max(initial=0))
+    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<f8"
+    return kind, m.astype(kind).tobytes()
 
 
 class Shard:
-    """Impact-ordered segments of some rows."""
+    """Impact-ordered segments of some rows: postings sorted by level, then dimension."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        size = np.abs(rows).astype(np.float64)
+        size = np.abs(rows)
         # Level edges are quantiles of the impacts: segments hold about as many postings each.
-        inside = np.quantile(size, np.linspace(1, 0, LEVELS + 1)[1:-1]) if size.size else np.zeros(LEVELS - 1)
-        self.edges = np.concatenate((np.unique(inside)[::-1], [-1.0]))
-        level = np.searchsorted(-self.edges, -size, side="right") if size.size else np.zeros(size.shape, int)
-        # A component is in the first level whose edge lies below it.
-        level = np.minimum(level, len(self.edges) - 1)
-        self.segments = [[(d, at) for d in range(rows.shape[1]) if len(at := np.flatnonzero((level[:, d] == v) & (rows[:, d] != 0)))] for v in range(len(self.edges))]
-        square = size**2
-        self.below = [np.sqrt((square * (level > v)).sum(axis=1)) for v in range(len(self.edges))]
-        self.norm = np.sqrt(square.sum(axis=1))
+        inside = np.quantile(size, np.linspace(1, 0, LEVELS + 1)[1:-1]) if size.size else np.zeros(0)
+        edges = np.unique(inside)[::-1]
+        level = np.searchsorted(-edges, -size, side="right") if size.size else np.zeros(size.shape, int)
+        self.width = rows.shape[1]
+        self.tops = np.concatenate(([size.max(initial=0)], edges))
+        at, dim = np.nonzero(rows)
+        segment = level[at, dim] * self.width + dim
+        order = np.argsort(segment, kind="stable")
+        self.at, self.value = at[order].astype(np.int32), rows[at[order], dim[order]]
+        self.starts = np.searchsorted(segment[order], np.arange(len(self.tops) * self.width + 1))
+        self.square = (rows**2).sum(axis=1)
 
 
 class Best:
-    """The k best (score, id) of each query so far; ties go to the smaller id."""
+    """The k best (score, id) of a query so far; ties go to the smaller id."""
 
-    def __init__(self, k: int):
-        self.k, self.of = k, {}
+    def __init__(self, k: int, bar: float = -np.inf):
+        self.k, self.rows, self.sure = k, [], bar
 
-    def bar(self, query: int) -> float:
+    @property
+    def bar(self) -> float:
         """A score under which a row cannot enter."""
-        have = self.of.get(query, ())
-        return have[-1][0] if len(have) == self.k else -np.inf
-
-    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        rows = [*self.of.get(query, ()), *zip(scores.tolist(), ids.tolist(), strict=True)]
-        rows.sort(key=lambda r: (-r[0], r[1]))
-        self.of[query] = rows[: self.k]
-
-
-def search_shard(shard: Shard, q_ids: np.ndarray, queries: np.ndarray, best: Best) -> None:
-    """Bring the best of each query up to date with the rows of a shard."""
-    n, live = len(shard.ids), np.arange(len(q_ids))
-    q_norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    # Sums of up to that size are exact in single precision; else in double, where a slack covers rounding.
-    top = float(np.abs(shard.rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
-    kind, slack = (np.float32, 0.5) if top < 2**24 else (np.float64, 1.0 + top * 1e-12)
-    acc = np.zeros((n, len(q_ids)), dtype=kind)
-    weights = np.ascontiguousarray(queries.T.astype(kind))
-    rows = shard.rows.astype(kind)
-    bars = np.array([best.bar(int(q)) for q in q_ids])
-
-    def settle(reach: np.ndarray, last: bool) -> None:
-        """Finish the queries that few enough rows may still enter; at the last level, all of them."""
-        nonlocal live, acc, weights
-        room = reach[:, None] * q_norm[live][None, :] + slack
-        own = shard.ids[:, None] == q_ids[live][None, :]
-        low = np.where(own, -np.inf, acc - room)
-        k = min(best.k, n)
-        bar = np.maximum(np.partition(low, n - k, axis=0)[n - k] if n >= best.k else -np.inf, bars[live])
-        may = (acc + room >= bar[None, :]) & ~own
-        counts = may.sum(axis=0)
-        done = np.ones(len(live), dtype=bool) if last else counts <= RESCORE
-        for c in np.flatnonzero(done & (counts > 0)):
-            at = np.flatnonzero(may[:, c])
-            q = live[c]
-            best.add(int(q_ids[q]), exact_scores(shard.rows[at], np.broadcast_to(queries[q], (len(at), queries.shape[1]))), shard.ids[at])
-        live, acc, weights = live[~done], np.ascontiguousarray(acc[:, ~done]), np.ascontiguousarray(weights[:, ~done])
-
-    settle(shard.norm, False)
-    for v, segments in enumerate(shard.segments):
-        if not len(live):
-            return
-        for d, at in segments:
-            acc[at] += rows[at, d][:, None] * weights[d][None, :]
-        settle(shard.below[v], v == len(shard.segments) - 1)
+        return max(self.sure, float(self.rows[-1][0])) if len(self.rows) == self.k else self.sure
+
+    def add(self, scores: list[int], ids: np.ndarray) -> None:
+        self.rows = sorted([*self.rows, *zip(scores, ids.tolist(), strict=True)], key=lambda r: (-r[0], r[1]))[: self.k]
+
+
+def search_shard(shard: Shard, q_id: int, query: np.ndarray, best: Best) -> int:
+    """Bring the best of a query up to date with the rows of a shard; the number of postings that took."""
+    n, work = len(shard.ids), 0
+    acc, row_left, query_left = np.zeros(n), shard.square.copy(), np.full(n, float((query**2).sum()))
+    # Up to this size all sums are exact; beyond it, slack covers rounding.
+    top = float(shard.square.max(initial=0)) + float(query_left.max(initial=0))
+    slack = 0.0 if top < _EXACT else 1e-12 * top
+    open_ = shard.ids != q_id
+    bar = best.bar
+    reach = (shard.tops[:, None] * np.abs(query)[None, :]).ravel()
+    order = np.argsort(-reach, kind="stable")
+    step = max(1, -(-len(order) // STEPS))
+    for first in range(0, len(order), step):
+        if not reach[order[first]]:
+            break
+        segments = [(int(shard.starts[s]), int(shard.starts[s + 1]), float(query[s % shard.width])) for s in order[first : first + step]]
+        at = np.concatenate([shard.at[a:b] for a, b, _ in segments])
+        value = np.concatenate([shard.value[a:b] for a, b, _ in segments])
+        weight = np.repeat([w for _, _, w in segments], [b - a for a, b, _ in segments])
+        live = open_[at]
+        at, value, weight = at[live], value[live], weight[live]
+        work += len(at)
+        acc += np.bincount(at, value * weight, n)
+        row_left -= np.bincount(at, value**2, n)
+        query_left -= np.bincount(at, weight**2, n)
+        rows = np.flatnonzero(open_)
+        room = np.sqrt((np.maximum(row_left[rows], 0) + slack) * (np.maximum(query_left[rows], 0) + slack)) * (1 + 1e-9) + slack
+        if len(rows) >= best.k:
+            bar = max(bar, float(np.partition(acc[rows] - room, len(rows) - best.k)[len(rows) - best.k]))
+        open_[rows[acc[rows] + room < bar]] = False
+        if open_.sum() <= RESCORE:
+            break
+    at = np.flatnonzero(open_)
+    best.add(exact_scores(shard.rows[at], np.broadcast_to(query, (len(at), shard.width))), shard.ids[at])
+    return work
 
 
 def _packed(width: int):
-    """Rows (group, id, vector) of a sorted partition as blocks of at most that many rows."""
+    """Rows (id, vector) as blocks of at most that many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
-        rows: list[list[int]] = []
+        rows: list[list[float]] = []
 
         def block() -> pa.RecordBatch:
             m = matrix(rows, max(map(len, rows)))
-            out = pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([m.shape[1]], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["n", "width", "ids", "data"])
+            kind, data = packed_matrix(m)
+            columns = [pa.array([len(ids)], pa.int64()), pa.array([m.shape[1]], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([kind]), pa.array([data], pa.binary())]
             ids.clear()
             rows.clear()
-            return out
+            return pa.RecordBatch.from_arrays(columns, names=["n", "width", "ids", "kind", "data"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -156,55 +167,109 @@ def _packed(width: int):
     return run
 
 
-_BLOCK = "n long, width long, ids binary, data binary"
+_BLOCK = "n long, width long, ids binary, kind string, data binary"
 
 
-def _unpack(n, width, ids, data) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=np.int64).reshape(n, width)
+def _unpack(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["data"], dtype=r["kind"]).reshape(r["n"], r["width"]).astype(np.float64)
 
 
-def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, shard, shard_key = Best(k), None, None
+def _widened(rows: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(rows, ((0, 0), (0, width - rows.shape[1]))) if rows.shape[1] < width else rows
+
 
-        def out() -> pa.RecordBatch:
-            rows = [(q, i, s) for q, found in best.of.items() for s, i in found]
-            best.of.clear()
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+def _with_bars(sample: dict | None, k: int):
+    """Adds to each query block the k-th best score of its queries among the sample's rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s_ids, s_rows = _unpack(sample) if sample else (np.zeros(0, np.int64), np.zeros((0, 0)))
         for batch in batches:
+            bars = []
             for r in batch.to_pylist():
-                ids, rows = _unpack(r["n"], r["width"], r["ids"], r["data"])
-                q_ids, queries = _unpack(r["q_n"], r["q_width"], r["q_ids"], r["q_data"])
-                width = max(rows.shape[1], queries.shape[1])
-                if r["ids"] != shard_key or shard.rows.shape[1] != width:
-                    shard, shard_key = Shard(ids, np.pad(rows, ((0, 0), (0, width - rows.shape[1])))), r["ids"]
-                search_shard(shard, q_ids, np.pad(queries, ((0, 0), (0, width - queries.shape[1]))), best)
-                if len(best.of) > REMEMBERED:
-                    yield out()
-        yield out()
+                ids, rows = _unpack(r)
+                width = max(rows.shape[1], s_rows.shape[1])
+                queries, others = _widened(rows, width), _widened(s_rows, width)
+                found = queries @ others.T
+                found[ids[:, None] == s_ids[None, :]] = -np.inf
+                top = np.partition(found, len(s_ids) - k, axis=1)[:, len(s_ids) - k] if len(s_ids) >= k else np.full(len(ids), -np.inf)
+                # Products are rounded where they are beyond 53 bits; the bar gives way by more than that.
+                most = float(np.abs(queries).max(initial=0)) * float(np.abs(others).max(initial=0)) * max(1, width)
+                bars.append((top - (0.0 if most < _EXACT else 1e-12 * most)).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bars, pa.binary())], names=[*batch.schema.names, "bars"])
 
     return run
 
 
-def top_k(vectors: DataFrame, query_ids: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", groups: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of each query, every row but the query's own.
+def _search(k: int):
+    """Rows of a partition sorted by (unit, query): a unit's shards come first and are held, its query blocks stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, shards = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {name: batch.column(c)[i].as_py() for c, name in enumerate(batch.schema.names)}
+                if r["unit"] != unit:
+                    unit, shards = r["unit"], []
+                ids, rows = _unpack(r)
+                if not r["query"]:
+                    shards.append(Shard(ids, rows))
+                    continue
+                bars, out = np.frombuffer(r["bars"]), []
+                for j, q in enumerate(ids.tolist()):
+                    best = Best(k, float(bars[j]))
+                    for at, s in enumerate(shards):
+                        width = max(s.width, rows.shape[1])
+                        if s.width < width:
+                            s = shards[at] = Shard(s.ids, _widened(s.rows, width))
+                        search_shard(s, q, _widened(rows[j : j + 1], width)[0], best)
+                    out += [(q, i_, s_) for s_, i_ in best.rows]
+                if any(abs(s) >= 10**38 for _, _, s in out):
+                    raise OverflowError("a score has more than 38 digits")
+                columns = list(zip(*out, strict=True)) if out else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.decimal128(38, 0)), strict=True)], names=["query_id", "vec_id", "exact"])
 
-    query_ids: a condition on the column ``vec_id`` that tells the queries. groups: into how many
-    units the shards are dealt; each unit meets every block of queries, so queries are copied to
-    that many places, rows to none. Defined cases: rows with a null id or vector, or with null or
-    non-finite components, take no part; shorter vectors are filled up with zeros; rows that repeat
-    an id count once, with the smallest of their vectors; ties go to the smaller id; fewer than k
-    candidates are all returned; an empty table gives no rows; other columns are ignored.
+    return run
+
+
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The index as a table of shards (n, width, ids, kind, data); it can be written and searched again later."""
+    return _rows(vectors, id_col, vector_col).mapInArrow(_packed(SHARD_ROWS), _BLOCK)
+
+
+def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    rows = small_batches(vectors).select(F.col(id_col).cast("long").alias("vec_id"), whole_vector(F.col(vector_col)).alias("v"))
+    return rows.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, sample: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, exact_score: the k best rows of an index for each query (vec_id, v).
+
+    Shards are dealt to units of about UNIT_SHARDS, so a task holds a bounded part of the index; the
+    query blocks are copied to each unit and stream through it one by one, however many there are.
+    """
+    units = max(1, -(-index.count() // UNIT_SHARDS), min(index.sparkSession.sparkContext.defaultParallelism, index.count()))
+    shards = index.select(F.pmod(F.xxhash64("ids"), F.lit(units)).alias("unit"), F.lit(False).alias("query"), *_BLOCK.replace(",", "").split()[::2], F.lit(None).cast("binary").alias("bars"))
+    blocks = queries.mapInArrow(_packed(QUERY_ROWS), _BLOCK).mapInArrow(_with_bars(sample, k), _BLOCK + ", bars binary")
+    blocks = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(units - 1).cast("long"))).alias("unit"), F.lit(True).alias("query"), "n", "width", "ids", "kind", "data", "bars")
+    met = shards.unionByName(blocks).repartition("unit").sortWithinPartitions("unit", "query")
+    found = small_batches(met).mapInArrow(_search(k), "query_id long, vec_id long, exact decimal(38,0)")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id"))).where(F.col("rank") <= k)
+    fits = F.least(F.greatest("exact", F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)"))
+    return ranked.select("query_id", "rank", "vec_id", fits.cast("long").alias("score"), F.col("exact").alias("exact_score"))
+
+
+def top_k(vectors: DataFrame, query_ids: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score, exact_score: the k best rows of each query, every row but the query's own.
+
+    query_ids: a condition on the column ``vec_id`` that tells the queries. Defined cases: rows with
+    a null id or vector, or with null or non-finite components, take no part; shorter vectors are
+    filled up with zeros; rows that repeat an id count once, with the smallest of their vectors;
+    ties go to the smaller id; fewer than k candidates are all returned; an empty table gives no
+    rows; other columns are ignored. Scores are exact integers at any size and ranked as such;
+    score is held to 64 bits, exact_score has 38 digits, and more than that is an OverflowError.
+    A row is one value, however wide; shards and query blocks hold a fixed number of rows.
     """
-    groups = groups or 4 * vectors.sparkSession.sparkContext.defaultParallelism
-    rows = small_batches(vectors).select(F.col(id_col).cast("long").alias("vec_id"), integer_vector(F.col(vector_col)).alias("v"))
-    rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
-    shards = rows.mapInArrow(_packed(SHARD_ROWS), _BLOCK).withColumn("unit", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    blocks = rows.where(query_ids).mapInArrow(_packed(QUERY_ROWS), _BLOCK).toDF("q_n", "q_width", "q_ids", "q_data")
-    blocks = blocks.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = shards.repartition(groups, "unit").join(blocks.repartition(groups, "unit").hint("shuffle_hash"), "unit")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = stored(build_index(vectors, id_col, vector_col))
+    rows = _rows(vectors, id_col, vector_col)
+    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).coalesce(1).mapInArrow(_packed(SAMPLE_ROWS), _BLOCK).collect()
+    return search(index, rows.where(query_ids), k, sampled[0].asDict() if sampled else None)

@@ -241,7 +241,7 @@ def test_topk_proof_on_clustered_vectors(spark):
     centres = rng.normal(0, 0.2, (5, 32))
     rows = [(i, [float(x) for x in centres[i % 5] + rng.normal(0, 0.05, 32)]) for i in range(700)]
     got = {}
-    for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5, groups=3).orderBy("query_id", "rank").collect():
+    for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     ints = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows}
     for q in range(0, 700, 50):
