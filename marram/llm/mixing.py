@@ -10,6 +10,7 @@ pass, and slots and blocks meet in a join by index.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, exp, floor, inf, lgamma, log, log1p, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import WORDS, cut, small_batches
+from marram.llm.common import WORDS, cut, fresh, quoted, small_batches
 
 #: Weights of the sources in code-point order, repeating, and the cap on repeats.
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
 BLOCK_WORDS = 256
-SHARDS = 64
+#: Slots of an output shard (a million words), and shards whose draws one task makes.
+SHARD_SLOTS, TASK_SHARDS = 4096, 256
 #: Documents that are laid end to end in one window partition, on average.
 STREAM_ROWS = 20_000
 
@@ -61,14 +63,98 @@ def plan_slots(size: int, target: float, block: int = BLOCK_WORDS) -> tuple[int,
     return slots, (rest - 1) % block + 1 if rest else block
 
 
-_PLAN = "source string, source_size long, blocks long, target double, shard int, first_slot long, slots long, last_slot long, last_words long"
+def _stirling_rest(n: float) -> float:
+    """log(n!) less Stirling's formula, to double precision."""
+    if n < 16:
+        return lgamma(n + 1) - (n + 0.5) * log(n) + n - 0.5 * log(2 * pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (n * n)) / (n * n)) / (n * n)) / n
 
 
-def plan(sources: DataFrame, shards: int = SHARDS, seed: int = 0, block: int = BLOCK_WORDS) -> DataFrame:
-    """One row per source and shard with slots of its own, from (source, source_size).
+def _deviance(x: float, mean: float) -> float:
+    """x * log(x / mean) + mean - x, without cancellation where the two are close."""
+    d = (x - mean) / mean
+    if abs(d) < 0.1:
+        out, power, k = 0.0, d * d, 2
+        while abs(power) > 1e-18 * max(abs(out), 1e-300):
+            out += power / (k * (k - 1)) * (1 if k % 2 == 0 else -1)
+            power *= d
+            k += 1
+        return mean * out
+    return (x * log(x / mean) if x else 0.0) + mean - x
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Log of the binomial probability by saddle-point expansion: its error does not grow with n."""
+    if x == 0:
+        return n * log1p(-p) if p < 1 else (0.0 if n == 0 else -inf)
+    if x == n:
+        return n * log(p)
+    core = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+    return core + 0.5 * log(n / (2 * pi * x * (n - x)))
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n slots drawn without replacement from good + bad are good: one law at every size.
+
+    Rejection by the ratio of uniforms around the mode; the hat is that of Stadlober for
+    hypergeometric tails. The probabilities need no logarithm of a large factorial.
+    """
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    p = n / total
+    log_p = lambda x: _log_binomial(x, good, p) + _log_binomial(n - x, bad, p)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    at_mode = log_p(mode)
+    spread = sqrt((total - n) * (good / total) * (bad / total) * n / (total - 1) + 0.5)
+    centre, width = n * (good / total) + 0.5, 2 * sqrt(2 / exp(1)) * spread + 3 - 2 * sqrt(3 / exp(1))
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        x = centre + width * (v - 0.5) / u
+        if low <= x < high + 1:
+            k = floor(x)
+            if 2 * log(u) <= log_p(k) - at_mode:
+                return k
+
+
+def draw(rng: np.random.Generator, owed: list[int], n: int) -> list[int]:
+    """n slots drawn without replacement from what the sources owe, one source after the other."""
+    out, left, rest = [0] * len(owed), n, sum(owed)
+    for i, have in enumerate(owed):
+        rest -= have
+        if not left:
+            break
+        out[i] = left if not rest else hypergeometric(rng, have, rest, left) if have else 0
+        left -= out[i]
+    return out
+
+
+def dealt(owed: list[int], given: list[int], first: int, last: int, per_shard: int, stop: int, seed: int) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """The shards first to last - 1, which share ``owed``, as runs of at most ``stop`` shards: (first, last, owed, given before).
+
+    The urn is halved by shards again and again; each half's draw has a seed of its own, so runs
+    can be dealt further by different tasks and give what one task would have given.
+    """
+    if last - first <= stop:
+        yield first, last, owed, given
+        return
+    middle = (first + last) // 2
+    part = draw(np.random.default_rng([seed, first, last]), owed, min(sum(owed), (middle - first) * per_shard))
+    yield from dealt(part, given, first, middle, per_shard, stop, seed)
+    yield from dealt([a - b for a, b in zip(owed, part, strict=True)], [a + b for a, b in zip(given, part, strict=True)], middle, last, per_shard, stop, seed)
+
+
+_PLAN = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("blocks", pa.int64()), ("target", pa.float64()), ("last_slot", pa.int64()), ("last_words", pa.int64()), ("first_shard", pa.int64()), ("end_shard", pa.int64()), ("place", pa.int64()), ("first_slot", pa.int64()), ("slots", pa.int64())])
+_DDL = "source string, source_size long, blocks long, target double, last_slot long, last_words long, first_shard long, end_shard long, place long, first_slot long, slots long"
+
+
+def plan(sources: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS, task_shards: int = TASK_SHARDS) -> DataFrame:
+    """One row per source and run of shards, from (source, source_size): what the run takes of the source.
 
     Runs in one task over one row a source. The draws are multivariate hypergeometric: multinomial
-    counts of a shard given that all shards together meet every source's number of slots.
+    counts of a shard given that all shards together meet every source's number of slots. Here the
+    urn is split down to runs of ``task_shards`` shards; ``shares`` splits on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,42 +164,39 @@ def plan(sources: DataFrame, shards: int = SHARDS, seed: int = 0, block: int = B
             return
         sizes = [r[1] for r in rows]
         wanted = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
-        planned = [plan_slots(z, t, block) for z, t in zip(sizes, wanted, strict=True)]
-        owed = np.array([p[0] for p in planned], dtype=np.int64)
-        rng = np.random.default_rng(seed)
-        given = np.zeros(len(rows), dtype=np.int64)
-        per_shard = -(-int(owed.sum()) // shards)
-        out = []
-        for shard in range(shards):
-            n = min(per_shard, int(owed.sum()))
-            drawn = _draw(rng, owed, n)
-            out += [(*rows[i], -(-sizes[i] // block), wanted[i], shard, int(given[i]), int(k), planned[i][0] - 1, planned[i][1]) for i, k in enumerate(drawn) if k or shard == 0]
-            given += drawn
-            owed -= drawn
-        columns = list(zip(*out, strict=True))
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _PLAN.split(", ")])
-
-    return sources.select("source", "source_size").coalesce(1).mapInArrow(run, _PLAN)
-
-
-def _draw(rng: np.random.Generator, owed: np.ndarray, n: int) -> np.ndarray:
-    """n slots drawn without replacement from what the sources owe, one binomial-like step a source."""
-    out, left, rest = np.zeros_like(owed), n, int(owed.sum())
-    for i, have in enumerate(owed):
-        rest -= int(have)
-        if not left:
-            break
-        out[i] = left if not rest else _hypergeometric(rng, int(have), rest, left)
-        left -= int(out[i])
-    return out
+        planned = [plan_slots(z, t) for z, t in zip(sizes, wanted, strict=True)]
+        owed = [p[0] for p in planned]
+        shards = max(1, ceil(sum(owed) / shard_slots))
+        for first, end, own, given in dealt(owed, [0] * len(owed), 0, shards, shard_slots, task_shards, seed):
+            some = [i for i, k in enumerate(own) if k or not first]
+            columns = zip(*[(*rows[i], -(-sizes[i] // BLOCK_WORDS), wanted[i], planned[i][0] - 1, planned[i][1], first, end, i, given[i], own[i]) for i in some], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLAN, strict=True)], schema=_PLAN)
 
+    return sources.select("source", "source_size").coalesce(1).mapInArrow(run, _DDL)
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    # The library's generator stops there; a binomial held to what is possible stands in.
-    return int(min(good, max(n - bad, rng.binomial(n, good / (good + bad)))))
+
+def shares(planned: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The plan with its runs split into single shards: first_shard is the shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            held.sort(key=lambda r: r["place"])
+            first, end = held[0]["first_shard"], held[0]["end_shard"]
+            for shard, _, own, given in dealt([r["slots"] for r in held], [r["first_slot"] for r in held], first, end, shard_slots, 1, seed):
+                yield pa.RecordBatch.from_pylist([r | {"first_shard": shard, "end_shard": shard + 1, "first_slot": g, "slots": k} for r, g, k in zip(held, given, own, strict=True) if k], schema=_PLAN)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and r["first_shard"] != held[0]["first_shard"]:
+                    yield from out()
+                    held.clear()
+                held.append(r)
+        if held:
+            yield from out()
+
+    return planned.where("slots > 0").repartition("first_shard").sortWithinPartitions("first_shard", "place").mapInArrow(run, _DDL)
 
 
 def permuted(source: str | None, passes: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -138,10 +221,10 @@ def permuted(source: str | None, passes: np.ndarray, at: np.ndarray, n: int, see
     return x.astype(np.int64)
 
 
-def slots(planned: DataFrame, seed: int = 0) -> DataFrame:
+def slots(planned: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row per slot of the mix: shard, source, slot, block_index, words (how many of its block count)."""
-    spread = planned.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(slots - 1) div 4096"))).alias("part"))
-    spread = spread.select("source", "source_size", "blocks", "shard", "last_slot", "last_words", (F.col("first_slot") + F.col("part") * 4096).alias("first"), F.least(F.lit(4096).cast("long"), F.col("slots") - F.col("part") * 4096).alias("n")).repartition("source", "first")
+    spread = shares(planned, seed, shard_slots).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(slots - 1) div 4096"))).alias("part"))
+    spread = spread.select("source", "source_size", "blocks", F.col("first_shard").alias("shard"), "last_slot", "last_words", (F.col("first_slot") + F.col("part") * 4096).alias("first"), F.least(F.lit(4096).cast("long"), F.col("slots") - F.col("part") * 4096).alias("n")).repartition("source", "first")
     names = ["shard", "source", "slot", "block_index", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,55 +237,66 @@ def slots(planned: DataFrame, seed: int = 0) -> DataFrame:
                 index[inner] = permuted(r["source"], (slot // r["blocks"])[inner], index[inner], whole, seed)
                 words = np.where(slot == r["last_slot"], r["last_words"], BLOCK_WORDS)
                 n = len(slot)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["shard"], np.int32)), pa.array([r["source"]] * n, pa.string()), pa.array(slot), pa.array(index), pa.array(words)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["shard"], np.int64)), pa.array([r["source"]] * n, pa.string()), pa.array(slot), pa.array(index), pa.array(words)], names=names)
+
+    return spread.mapInArrow(run, "shard long, source string, slot long, block_index long, words long")
+
+
+#: What tells documents apart: rows tied in id, source and size are numbered by ``copy``.
+KEY = ("doc_id", "source", "size", "copy")
+
 
-    return spread.mapInArrow(run, "shard int, source string, slot long, block_index long, words long")
+def _join(left: DataFrame, right: DataFrame, names: tuple[str, ...] = KEY, how: str = "inner") -> DataFrame:
+    """Join on equal columns, where null equals null."""
+    other = right.select([F.col(c).alias(f"of_{c}") if c in names else F.col(c) for c in right.columns])
+    match = F.lit(True)
+    for name in names:
+        match &= F.col(name).eqNullSafe(F.col(f"of_{name}"))
+    return left.join(other, match, how).drop(*[f"of_{name}" for name in names])
 
 
 def laid_out(sizes: DataFrame) -> DataFrame:
-    """row_id, doc_id, source, size, start: each document's first word within its source.
+    """KEY columns and start: each document's first word within its source.
 
     Prefix sums in two levels: within streams of a source dealt by hashed row, and over a source's
     streams, of which there is one per STREAM_ROWS rows; so no source is summed up in one task.
     """
     n = sizes.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / STREAM_ROWS).cast("int").alias("streams"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    dealt = sizes.join(n, same(sizes, n)).select(sizes["*"], F.pmod(F.xxhash64("row_id"), F.col("streams")).cast("int").alias("stream"))
-    heads = dealt.groupBy("source", "stream").agg(F.sum("size").alias("words"))
+    dealt_out = _join(sizes, n, ("source",)).select(*KEY, F.pmod(F.xxhash64("doc_id", "size", "copy"), F.col("streams")).cast("int").alias("stream"))
+    heads = dealt_out.groupBy("source", "stream").agg(F.sum("size").alias("words"))
     heads = heads.select("source", "stream", (F.sum("words").over(Window.partitionBy("source").orderBy("stream")) - F.col("words")).alias("offset"))
-    within = F.sum("size").over(Window.partitionBy("source", "stream").orderBy("doc_id", "row_id")) - F.col("size")
-    rows = dealt.withColumn("within", within)
-    return rows.join(heads, same(rows, heads) & (rows["stream"] == heads["stream"])).select("row_id", "doc_id", rows["source"].alias("source"), "size", (F.col("within") + F.col("offset")).alias("start"))
+    rows = dealt_out.withColumn("within", F.sum("size").over(Window.partitionBy("source", "stream").orderBy("doc_id", "size", "copy")) - F.col("size"))
+    return _join(rows, heads, ("source", "stream")).select(*KEY, (F.col("within") + F.col("offset")).alias("start"))
 
 
 class Mix:
     """sizes, plan and pieces of one mix; ``pieces`` is the mix itself."""
 
-    def __init__(self, docs: DataFrame, seed: int = 0, shards: int = SHARDS):
+    def __init__(self, docs: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS):
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-        #: Tied rows (same id, source and size) are told apart by their number within the tie.
-        tie = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-        self.sizes = cut(rows.withColumn("copy", F.row_number().over(tie)).withColumn("row_id", F.xxhash64("doc_id", "source", "size", "copy")))
-        self.plan = cut(plan(self.sizes.groupBy("source").agg(F.sum("size").alias("source_size")), shards, seed))
-        self.seed = seed
+        # Ties are counted before anything is shuffled, so one that fills a third of the table is a few rows.
+        ties = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
+        self.sizes = cut(ties.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")))
+        self.plan = cut(plan(self.sizes.groupBy("source").agg(F.sum("size").alias("source_size")), seed, shard_slots))
+        self.seed, self.shard_slots = seed, shard_slots
 
     def pieces(self) -> DataFrame:
-        """shard, source, slot, row_id, doc_id, from_word, n_words: what each slot takes of each document."""
-        taken = slots(self.plan, self.seed).hint("merge")  # it grows with the corpus, whatever its estimate
+        """shard, slot, KEY, from_word, n_words: what each slot takes of each document."""
+        taken = slots(self.plan, self.seed, self.shard_slots).hint("merge")  # it grows with the corpus, whatever its estimate
         docs = laid_out(self.sizes).where("size > 0")
         span = F.sequence(F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(start + size - 1) div {BLOCK_WORDS}"))
-        parts = docs.select("row_id", "doc_id", "source", "start", "size", F.explode(span).alias("block_index"))
-        met = parts.join(taken.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")) & (parts["block_index"] == taken["block_index"])).drop(taken["block_index"])
+        parts = docs.select(*KEY, "start", F.explode(span).alias("block_index"))
+        met = _join(parts, taken, ("source", "block_index"))
         low = F.greatest(F.col("start"), F.col("block_index") * BLOCK_WORDS)
         high = F.least(F.col("start") + F.col("size"), F.col("block_index") * BLOCK_WORDS + F.col("words"))
-        return met.select("shard", "source", "slot", "row_id", "doc_id", (low - F.col("start")).alias("from_word"), (high - low).alias("n_words")).where("n_words > 0")
+        return met.select("shard", "slot", *KEY, (low - F.col("start")).alias("from_word"), (high - low).alias("n_words")).where("n_words > 0")
 
     def taken(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken for every row."""
-        words = self.pieces().groupBy("row_id").agg(F.sum("n_words").alias("taken"))
-        of = self.plan.where("shard = 0").select(F.col("source").alias("of"), "source_size", "target")
-        rows = self.sizes.join(of, F.col("source").eqNullSafe(F.col("of")))
-        return rows.join(words, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+        """doc_id, size, source_size, target, taken, source for every row."""
+        words = self.pieces().groupBy(*KEY).agg(F.sum("n_words").alias("taken"))
+        of = self.plan.where("first_shard = 0").select("source", "source_size", "target")
+        rows = _join(_join(self.sizes, of, ("source",)), words, how="left")
+        return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -210,8 +304,9 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     Defined cases: null text has size 0 and gives nothing; a null source is a source of its own,
     after all others; sources without words have target 0; rows that repeat an id are documents of
-    their own; an empty table gives no rows; other columns are ignored. Reruns agree: every draw
-    is seeded and rows are ordered by id.
+    their own; a text of any length is counted whole and laid over as many blocks as it takes; an
+    empty table gives no rows; other columns are ignored, whatever their names. Reruns agree: every
+    draw is seeded and rows are ordered by id, size and number of the tie.
     """
     return Mix(docs, seed).taken()
 
@@ -224,17 +319,20 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     A document comes back as up to three rows: the n-th holds, in order, the words that are taken n
     times at least, each with the white space after it. So the rows hold exactly the words taken.
+    Defined cases as for ``mix``; documents without words do not come back, rows tied in id, source
+    and size are told apart by their texts, and helper columns avoid the names of ``docs``.
     """
     names = docs.columns
     made = Mix(docs, seed)
-    uses = made.pieces().groupBy("row_id").agg(F.collect_list(F.struct("from_word", "n_words")).alias("uses"))
-    of = made.sizes.join(uses, "row_id").select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), F.col("copy").alias("of_copy"), "uses")
-    tie = Window.partitionBy("doc_id", "source", "__size").orderBy(F.lit(0))
-    rows = docs.withColumn("__size", word_count(F.col("text")))
-    tied = made.sizes.where("copy > 1").limit(1).isEmpty()
-    rows = rows.withColumn("__copy", F.lit(1) if tied else F.row_number().over(tie))
-    match = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("__size") == F.col("of_size")) & (F.col("__copy") == F.col("of_copy"))
-    joined = rows.join(of, match).select(*names, "uses")
+    uses = made.pieces().groupBy(*KEY).agg(F.collect_list(F.struct("from_word", "n_words")).alias("uses"))
+    size, copy, of_id, of_source, of_size, of_copy, spans = fresh(names, "size", "copy", "of_id", "of_source", "of_size", "of_copy", "uses")
+    of = uses.toDF(of_id, of_source, of_size, of_copy, spans)
+    rows = docs.withColumn(size, word_count(F.col("text")))
+    tie = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"), "text")
+    alone = made.sizes.where("copy > 1").limit(1).isEmpty()
+    rows = rows.withColumn(copy, F.lit(1).cast("long") if alone else F.row_number().over(tie).cast("long"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & F.col("source").cast("string").eqNullSafe(F.col(of_source)) & (F.col(size) == F.col(of_size)) & (F.col(copy) == F.col(of_copy))
+    joined = rows.join(of, match).select(*map(quoted, names), spans)
     return small_batches(joined).mapInArrow(_take(names.index("text"), len(names)), docs.schema)
 
 
