@@ -8,11 +8,16 @@ bucket key, and what is new is appended. Text itself never moves: only 32-byte d
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm.common import SPACES, cut
+from marram.llm.common import SPACES, cut, fresh, quoted, shared_folder, spread_join
+
+#: Batches in which a whole table is added to an index, and digests of the index that one bucket should hold.
+BATCHES, BUCKET_DIGESTS = 3, 4_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -47,39 +52,76 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def _lock_file(self):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(self.spark)}/../{self.name}.lock")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    @contextmanager
+    def locked(self) -> Iterator[None]:
+        """One writer at a time: a file beside the checkpoint folders marks the index as being written."""
+        files, where = self._lock_file()
+        files.mkdirs(where.getParent())
+        if not files.createNewFile(where):
+            raise RuntimeError(f"{self.name} is being written; if its writer has died, call unlock()")
+        try:
+            yield
+        finally:
+            files.delete(where, False)
+
+    def unlock(self) -> None:
+        """Take away the mark of a writer that died."""
+        files, where = self._lock_file()
+        files.delete(where, False)
+
+    def new(self, batch_digests: DataFrame) -> DataFrame:
+        """(digest, keep_id) of the digests that the index lacks, each with its smallest id (nulls last)."""
+        winners = batch_digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        if self.exists():
+            winners = winners.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        return winners
+
     def add(self, batch_digests: DataFrame, batch: str | None = None) -> None:
-        """Append the digests the index lacks, each with its smallest id (nulls last).
+        """Append the digests the index lacks.
 
         A digest that an earlier batch holds keeps that batch's id. Adding the same batch twice
         changes nothing, so a failed run can simply be repeated.
         """
-        winners = batch_digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-        if self.exists():
-            winners = winners.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            winners.withColumn("batch", F.lit(batch or uuid.uuid4().hex))
-            .repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .mode("append")
-            .saveAsTable(self.name)
-        )
+        with self.locked():
+            (
+                self.new(batch_digests)
+                .withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+                .repartition(self.buckets, "digest")
+                .write.bucketBy(self.buckets, "digest")
+                .sortBy("digest")
+                .mode("append")
+                .saveAsTable(self.name)
+            )
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def in_batches(batch_digests: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
+    """The rows in ranges of ascending doc_id, about as many in each, null ids last; an id lies in one range."""
+    edges = batch_digests.select(F.percentile_approx("doc_id", F.array(*[F.lit((i + 1) / batches) for i in range(batches - 1)]), F.lit(1000))).first()[0] if batches > 1 else None
+    edges = sorted(set(edges or []))
+    doc_id = F.col("doc_id")
+    lows, highs = [None, *edges], [*edges, None]
+    inside = [(F.lit(True) if low is None else doc_id > low) & (F.lit(True) if high is None else doc_id <= high) for low, high in zip(lows, highs, strict=True)]
+    inside[-1] = inside[-1] | doc_id.isNull()
+    return [batch_digests.where(c) for c in inside]
+
+
 def assign(batch_digests: DataFrame, index: DigestIndex) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     group_size counts the batch's rows. Of rows that share text and doc_id exactly one is kept.
-    A hot digest meets one index row only, so its rows can be split over tasks at will.
+    A hot digest meets one index row only, which is broadcast; the others are joined by digest.
     """
-    sizes = batch_digests.groupBy("digest").agg(F.sum("copies").alias("group_size"))
-    keep = index.table().select("digest", "keep_id")
+    sizes = batch_digests.groupBy("digest").agg(F.sum("copies").alias("group_size"), F.count(F.lit(1)).alias("rows"))
+    groups = cut(sizes.join(index.table().select("digest", "keep_id"), "digest"))
     return (
-        batch_digests.join(sizes, "digest")
-        .join(keep, "digest")
+        spread_join(batch_digests, groups, ["digest"], "rows", groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("turn"))
         .select(
             "doc_id",
@@ -91,35 +133,43 @@ def assign(batch_digests: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """Deduplicate ``docs`` against a fresh index; see ``assign`` for the result.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, batches: int = BATCHES) -> DataFrame:
+    """Deduplicate ``docs`` against a fresh index, batch by batch; see ``assign`` for the result.
 
-    Defined cases: null text counts as empty and groups with other empty texts; a null id loses to
-    any other id; an empty table gives no rows; other columns are ignored, whatever their names.
+    Each batch is anti-joined with what the index holds and its new digests are appended; batches
+    come in order of doc_id, so the smallest id of a text stays. Defined cases: null text counts as
+    empty and groups with other empty texts; a null id loses to any other id; a text is hashed
+    whole, however long; rows that repeat an id and a text count as copies; an empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
     own = cut(digests(docs, id_col, text_col))
+    wanted = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // BUCKET_DIGESTS))
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", wanted)
     try:
-        index.add(own)
+        for i, batch in enumerate(in_batches(own, batches)):
+            index.add(batch, str(i))
         return cut(assign(own, index))
     finally:
         index.drop()
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, columns unchanged; of fully tied rows one stays."""
+    """The rows of ``docs`` that stay, columns unchanged; of fully tied rows one stays.
+
+    Defined cases as for ``exact_dedup``; helper columns avoid the names of ``docs``.
+    """
+    names = docs.columns
+    of_id, sha = fresh(names, "of_id", "sha")
     found = exact_dedup(docs)
     dropped = found.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("all_rows")).where("stay < all_rows")
-    gone = dropped.where("stay = 0").select(F.col("doc_id").alias("gone_id"))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    tied = cut(dropped.where("stay > 0").select(F.col("doc_id").alias("tied_id")))
+    is_it = F.col("doc_id").eqNullSafe(F.col(of_id))
+    kept = docs.join(dropped.where("stay = 0").select(F.col("doc_id").alias(of_id)), is_it, "left_anti")
+    tied = cut(dropped.where("stay > 0").select(F.col("doc_id").alias(of_id)))
     if tied.isEmpty():
         return kept
     # Rows that share an id: one of each text stays, if that id won the text.
-    split = kept.join(tied, kept["doc_id"].eqNullSafe(tied["tied_id"]), "left_anti")
-    again = kept.join(tied, kept["doc_id"].eqNullSafe(tied["tied_id"]), "left_semi")
-    wins = found.where("kept").select(F.col("doc_id").alias("won_id"), F.col("text_sha256").alias("won_sha"))
-    again = again.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    again = again.join(wins, again["doc_id"].eqNullSafe(wins["won_id"]) & (again["__sha"] == wins["won_sha"]), "left_semi")
-    return split.unionByName(again.dropDuplicates(["doc_id", "__sha"]).select(docs.columns))
+    wins = found.where("kept").select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(sha + "_"))
+    again = kept.join(tied, is_it, "left_semi").withColumn(sha, F.sha2(normalised(F.col("text")), 256))
+    again = again.join(wins, is_it & (F.col(sha) == F.col(sha + "_")), "left_semi")
+    return kept.join(tied, is_it, "left_anti").unionByName(again.dropDuplicates(["doc_id", sha]).select(*map(quoted, names)))
