@@ -114,17 +114,20 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-#: Keys that may be hot: those with at least one row in so many.
-HOT_KEYS = 1000
+#: Keys that may be hot: those with at least one row in so many; and rows that are no burden for one task, whatever their keys.
+HOT_KEYS, FEW_ROWS = 1000, 20_000
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, few: int = FEW_ROWS) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row a key and, in ``weight``, how many of the ``total`` rows carry it.
 
     Keys with 1 / HOT_KEYS of the rows, of which there are HOT_KEYS at most, are broadcast, so their
     rows stay where they are; the others are joined by key. Rows of ``table`` must be small. Both
-    sides are read twice and should be materialised. ``weight`` is dropped; a null key meets nothing.
+    sides are read twice and should be materialised. Up to ``few`` rows all are joined by key.
+    ``weight`` is dropped; a null key meets nothing.
     """
+    if total <= few:
+        return rows.join(table.drop(weight), keys)
     share = F.col(weight) * HOT_KEYS
     hot, cold = table.where(share >= total).drop(weight), table.where(share < total).drop(weight)
     kept = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
