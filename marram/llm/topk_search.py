@@ -5,9 +5,10 @@ segments, one per quantised impact (size of the component). A query processes th
 the highest impact, times its own component, down, adding to one accumulator a row. What is left
 of a row's score is at most (norm of the row's unprocessed part) * (norm of the query over the
 same dimensions), by Cauchy-Schwarz; a row whose accumulator plus that cannot reach the bar, the
-k-th best score that is sure by now, is proven out and its later postings are passed over. A query
-stops when few rows are left; those are rescored exactly. Nothing is dropped without that proof.
-The bar starts from exact scores against a small sample of the rows, which are candidates too.
+k-th best score that is sure by now, is proven out and its later postings are passed over. When
+few rows are left, or the last step is done, those left are rescored exactly. Nothing is dropped
+without that proof. The bar starts from exact scores against one shard, whose rows are candidates
+too. The opening step runs as matrix products for a block of queries, the later ones by query.
 """
 
 from __future__ import annotations
@@ -21,12 +22,10 @@ from pyspark.sql import functions as F
 
 from marram.llm.common import small_batches, stored
 
-#: Rows of a shard, queries of a block, impact levels of a shard, and shards of a unit on average.
-SHARD_ROWS, QUERY_ROWS, LEVELS, UNIT_SHARDS = 4096, 256, 8, 8
-#: A query goes through a shard's segments in so many steps, each followed by proofs, until this many rows are left: rescoring them costs less than another step.
-STEPS, RESCORE = 32, 64
-#: Rows against which a query is scored first, to have a bar from the start.
-SAMPLE_ROWS = 1024
+#: Components of a shard and rows at most, queries of a block, impact levels of a shard, and shards of a unit on average.
+SHARD_CELLS, SHARD_ROWS, QUERY_ROWS, LEVELS, UNIT_SHARDS = 1 << 18, 4096, 256, 8, 8
+#: Shares of a shard's postings that a query has come through after each step, each followed by proofs, until this many rows are left: rescoring them costs less than another step.
+SHARES, RESCORE = (0.35, 0.5, 0.6, 0.7, 0.85), 64
 SCALE = 256.0
 _EXACT = float(1 << 53)
 
@@ -69,7 +68,7 @@ def packed_matrix(m: np.ndarray) -> tuple[str, bytes]:
 
 
 class Shard:
-    """Impact-ordered segments of some rows: postings sorted by level, then dimension."""
+    """Impact levels of some rows, and how many postings each segment (level, dimension) has."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
@@ -77,14 +76,10 @@ class Shard:
         # Level edges are quantiles of the impacts: segments hold about as many postings each.
         inside = np.quantile(size, np.linspace(1, 0, LEVELS + 1)[1:-1]) if size.size else np.zeros(0)
         edges = np.unique(inside)[::-1]
-        level = np.searchsorted(-edges, -size, side="right") if size.size else np.zeros(size.shape, int)
+        self.level = np.searchsorted(-edges, -size, side="right").astype(np.int8) if size.size else np.zeros(size.shape, np.int8)
         self.width = rows.shape[1]
         self.tops = np.concatenate(([size.max(initial=0)], edges))
-        at, dim = np.nonzero(rows)
-        segment = level[at, dim] * self.width + dim
-        order = np.argsort(segment, kind="stable")
-        self.at, self.value = at[order].astype(np.int32), rows[at[order], dim[order]]
-        self.starts = np.searchsorted(segment[order], np.arange(len(self.tops) * self.width + 1))
+        self.postings = np.array([((self.level == v) & (rows != 0)).sum(axis=0) for v in range(len(self.tops))])
         self.square = (rows**2).sum(axis=1)
 
 
@@ -103,64 +98,85 @@ class Best:
         self.rows = sorted([*self.rows, *zip(scores, ids.tolist(), strict=True)], key=lambda r: (-r[0], r[1]))[: self.k]
 
 
-def search_shard(shard: Shard, q_id: int, query: np.ndarray, best: Best) -> int:
-    """Bring the best of a query up to date with the rows of a shard; the number of postings that took."""
-    n, work = len(shard.ids), 0
-    acc, row_left, query_left = np.zeros(n), shard.square.copy(), np.full(n, float((query**2).sum()))
-    # Up to this size all sums are exact; beyond it, slack covers rounding.
-    top = float(shard.square.max(initial=0)) + float(query_left.max(initial=0))
-    slack = 0.0 if top < _EXACT else 1e-12 * top
-    open_ = shard.ids != q_id
-    bar = best.bar
-    reach = (shard.tops[:, None] * np.abs(query)[None, :]).ravel()
-    order = np.argsort(-reach, kind="stable")
-    step = max(1, -(-len(order) // STEPS))
-    for first in range(0, len(order), step):
-        if not reach[order[first]]:
-            break
-        segments = [(int(shard.starts[s]), int(shard.starts[s + 1]), float(query[s % shard.width])) for s in order[first : first + step]]
-        at = np.concatenate([shard.at[a:b] for a, b, _ in segments])
-        value = np.concatenate([shard.value[a:b] for a, b, _ in segments])
-        weight = np.repeat([w for _, _, w in segments], [b - a for a, b, _ in segments])
-        live = open_[at]
-        at, value, weight = at[live], value[live], weight[live]
-        work += len(at)
-        acc += np.bincount(at, value * weight, n)
-        row_left -= np.bincount(at, value**2, n)
-        query_left -= np.bincount(at, weight**2, n)
-        rows = np.flatnonzero(open_)
-        room = np.sqrt((np.maximum(row_left[rows], 0) + slack) * (np.maximum(query_left[rows], 0) + slack)) * (1 + 1e-9) + slack
-        if len(rows) >= best.k:
-            bar = max(bar, float(np.partition(acc[rows] - room, len(rows) - best.k)[len(rows) - best.k]))
-        open_[rows[acc[rows] + room < bar]] = False
-        if open_.sum() <= RESCORE:
-            break
-    at = np.flatnonzero(open_)
-    best.add(exact_scores(shard.rows[at], np.broadcast_to(query, (len(at), shard.width))), shard.ids[at])
+def search_shard(shard: Shard, q_ids: np.ndarray, queries: np.ndarray, bests: list[Best]) -> int:
+    """Bring the bests of a block of queries up to date with the rows of a shard; the number of postings that took."""
+    n, levels = len(shard.ids), len(shard.tops)
+    # Sums of up to that size are exact in single precision, or in double; beyond it, slack covers rounding.
+    top = float(shard.square.max(initial=0)) + float((queries**2).sum(axis=1).max(initial=0))
+    kind, loose = (np.float32, 1e-6) if top < 1 << 24 else (np.float64, 1e-12)
+    slack = 1e-3 if top < 1 << 24 else 0.5 if top < _EXACT else 1e-12 * top
+    rows, q, tops = shard.rows.astype(kind), queries.astype(kind), shard.tops.astype(kind)
+    size, q_square = np.abs(q), q**2
+    reach = (tops[None, :, None] * size[:, None, :]).reshape(len(q), -1)
+    order = np.argsort(-reach, axis=1, kind="stable")
+    done = np.cumsum(shard.postings.ravel()[order], axis=1)
+    ends = [np.take_along_axis(reach, np.take_along_axis(order, np.argmax(done >= share * done[:, -1:], axis=1)[:, None], 1), 1)[:, 0] if reach.size else np.zeros(len(q), kind) for share in SHARES]
+
+    def room(row_left: np.ndarray, query_left: np.ndarray) -> np.ndarray:
+        return np.sqrt((np.maximum(row_left, 0) + slack) * (np.maximum(query_left, 0) + slack)) * kind(1 + loose) + kind(slack)
+
+    def bar_of(low: np.ndarray, best: Best, bar: float) -> float:
+        return max(bar, float(np.partition(low, len(low) - best.k)[len(low) - best.k])) if len(low) >= best.k else bar
+
+    taken = (reach >= ends[0][:, None]).astype(kind)
+    segments = np.concatenate([np.where(shard.level == v, rows, kind(0)) for v in range(levels)], axis=1)
+    mine = taken * np.tile(q, (1, levels))
+    acc = segments @ mine.T
+    row_left = shard.square.astype(kind)[:, None] - segments**2 @ taken.T
+    query_left = q_square.sum(axis=1)[None, :] - (segments != 0).astype(kind) @ (mine**2).T
+    work = int((taken @ shard.postings.ravel().astype(np.float64)).sum())
+    space = room(row_left, query_left)
+    high, low = acc + space, acc - space
+    others = shard.ids[:, None] != q_ids[None, :]
+    for j, best in enumerate(bests):
+        at = np.flatnonzero(others[:, j])
+        bar = bar_of(low[at, j], best, best.bar)
+        at = at[high[at, j] >= bar]
+        own, left, q_left = acc[at, j], row_left[at, j], query_left[at, j]
+        for before, end in zip(ends, ends[1:]):
+            if len(at) <= RESCORE:
+                break
+            part = rows[at]
+            reached = tops[shard.level[at]] * size[j][None, :]
+            now = (reached < before[j]) & (reached >= end[j]) & (part != 0)
+            part = np.where(now, part, kind(0))
+            work += int(now.sum())
+            own = own + part @ q[j]
+            left = left - np.einsum("ij,ij->i", part, part)
+            q_left = q_left - now.astype(kind) @ q_square[j]
+            space = room(left, q_left)
+            bar = bar_of(own - space, best, bar)
+            stay = own + space >= bar
+            at, own, left, q_left = at[stay], own[stay], left[stay], q_left[stay]
+        work += int((shard.rows[at] != 0).sum())
+        best.add(exact_scores(shard.rows[at], np.broadcast_to(queries[j], (len(at), shard.width))), shard.ids[at])
     return work
 
 
-def _packed(width: int):
-    """Rows (id, vector) as blocks of at most that many rows."""
+def _packed(most: int, cells: int):
+    """Rows (id, vector) as blocks of at most that many rows and components (but one row at least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         rows: list[list[float]] = []
+        width = 0
 
         def block() -> pa.RecordBatch:
-            m = matrix(rows, max(map(len, rows)))
+            m = matrix(rows, width)
             kind, data = packed_matrix(m)
-            columns = [pa.array([len(ids)], pa.int64()), pa.array([m.shape[1]], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([kind]), pa.array([data], pa.binary())]
+            columns = [pa.array([len(ids)], pa.int64()), pa.array([width], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([kind]), pa.array([data], pa.binary())]
             ids.clear()
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, names=["n", "width", "ids", "kind", "data"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ids and (len(ids) == most or (len(ids) + 1) * max(width, len(v)) > cells):
+                    yield block()
+                    width = 0
+                width = max(width, len(v))
                 ids.append(i)
                 rows.append(v)
-                if len(ids) == width:
-                    yield block()
         if ids:
             yield block()
 
@@ -214,15 +230,13 @@ def _search(k: int):
                 if not r["query"]:
                     shards.append(Shard(ids, rows))
                     continue
-                bars, out = np.frombuffer(r["bars"]), []
-                for j, q in enumerate(ids.tolist()):
-                    best = Best(k, float(bars[j]))
-                    for at, s in enumerate(shards):
-                        width = max(s.width, rows.shape[1])
-                        if s.width < width:
-                            s = shards[at] = Shard(s.ids, _widened(s.rows, width))
-                        search_shard(s, q, _widened(rows[j : j + 1], width)[0], best)
-                    out += [(q, i_, s_) for s_, i_ in best.rows]
+                bests = [Best(k, float(bar)) for bar in np.frombuffer(r["bars"])]
+                for at, s in enumerate(shards):
+                    width = max(s.width, rows.shape[1])
+                    if s.width < width:
+                        s = shards[at] = Shard(s.ids, _widened(s.rows, width))
+                    search_shard(s, ids, _widened(rows, width), bests)
+                out = [(q, i_, s_) for q, best in zip(ids.tolist(), bests, strict=True) for s_, i_ in best.rows]
                 if any(abs(s) >= 10**38 for _, _, s in out):
                     raise OverflowError("a score has more than 38 digits")
                 columns = list(zip(*out, strict=True)) if out else [[], [], []]
@@ -233,7 +247,7 @@ def _search(k: int):
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The index as a table of shards (n, width, ids, kind, data); it can be written and searched again later."""
-    return _rows(vectors, id_col, vector_col).mapInArrow(_packed(SHARD_ROWS), _BLOCK)
+    return _rows(vectors, id_col, vector_col).mapInArrow(_packed(SHARD_ROWS, SHARD_CELLS), _BLOCK)
 
 
 def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -247,11 +261,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, sample: dict | None
     Shards are dealt to units of about UNIT_SHARDS, so a task holds a bounded part of the index; the
     query blocks are copied to each unit and stream through it one by one, however many there are.
     """
-    units = max(1, -(-index.count() // UNIT_SHARDS), min(index.sparkSession.sparkContext.defaultParallelism, index.count()))
+    count = index.count()
+    units = max(1, -(-count // UNIT_SHARDS), min(index.sparkSession.sparkContext.defaultParallelism, count))
     shards = index.select(F.pmod(F.xxhash64("ids"), F.lit(units)).alias("unit"), F.lit(False).alias("query"), *_BLOCK.replace(",", "").split()[::2], F.lit(None).cast("binary").alias("bars"))
-    blocks = queries.mapInArrow(_packed(QUERY_ROWS), _BLOCK).mapInArrow(_with_bars(sample, k), _BLOCK + ", bars binary")
+    blocks = queries.mapInArrow(_packed(QUERY_ROWS, SHARD_CELLS), _BLOCK).mapInArrow(_with_bars(sample, k), _BLOCK + ", bars binary")
     blocks = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(units - 1).cast("long"))).alias("unit"), F.lit(True).alias("query"), "n", "width", "ids", "kind", "data", "bars")
-    met = shards.unionByName(blocks).repartition("unit").sortWithinPartitions("unit", "query")
+    met = shards.unionByName(blocks).repartition(units, "unit").sortWithinPartitions("unit", "query")
     found = small_batches(met).mapInArrow(_search(k), "query_id long, vec_id long, exact decimal(38,0)")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id"))).where(F.col("rank") <= k)
     fits = F.least(F.greatest("exact", F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)"))
@@ -267,9 +282,10 @@ def top_k(vectors: DataFrame, query_ids: Column, k: int = 5, id_col: str = "vec_
     ties go to the smaller id; fewer than k candidates are all returned; an empty table gives no
     rows; other columns are ignored. Scores are exact integers at any size and ranked as such;
     score is held to 64 bits, exact_score has 38 digits, and more than that is an OverflowError.
-    A row is one value, however wide; shards and query blocks hold a fixed number of rows.
+    A row is one value, however wide; shards and query blocks hold a bounded number of components.
     """
     index = stored(build_index(vectors, id_col, vector_col))
     rows = _rows(vectors, id_col, vector_col)
-    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).coalesce(1).mapInArrow(_packed(SAMPLE_ROWS), _BLOCK).collect()
-    return search(index, rows.where(query_ids), k, sampled[0].asDict() if sampled else None)
+    largest = index.agg(F.max(F.struct("n", F.xxhash64("ids").alias("h")))).first()[0]
+    sample = index.where(F.xxhash64("ids") == largest["h"]).first().asDict() if largest else None
+    return search(index, rows.where(query_ids), k, sample)
