@@ -2,8 +2,8 @@
 
 One pass over whole texts finds candidate spans and hashes their values. The hashes are then
 counted over distinct repositories and owners of the whole corpus: a value that several owners
-have is a copied example, one that a single owner has and that looks drawn at random is a
-live-looking credential. Only hashes, positions and ids are shuffled, never text or secrets.
+have, or two owners in many repositories, is a copied example; one that a single owner has, in
+however many repositories, and that looks drawn at random is a live-looking credential. Only hashes, positions and ids are shuffled, never text or secrets.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import small_batches, stored
+from marram.llm.common import cut, small_batches, spread_join, stored
 
 #: Kinds in the order that breaks ties of equal starts; ``live`` are spans that this method adds.
 KINDS = ("assign", "access", "hex", "live")
@@ -97,32 +97,37 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """digest, n_repos, n_owners over the whole corpus, from exploded candidates (digest, repo, owner).
+    """digest, rows, n_repos, n_owners over the whole corpus, from exploded candidates (digest, repo, owner).
 
     Distinct counts have a partial step before each shuffle, so a value that fills a third of the
     corpus arrives as a few rows from every task.
     """
     return found.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("rows"),
         F.count_distinct(F.coalesce("repo", F.lit(""))).alias("n_repos"),
         F.count_distinct(F.coalesce("owner", F.lit(""))).alias("n_owners"),
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", copied_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", copied_owners: int = 3, copied_repos: int = 20) -> DataFrame:
     """One row per document: row_id, doc_id, spans array<struct<start, stop, kind, verdict, n_repos>>.
 
-    verdict is ``copied`` for values of copied_owners or more distinct owners, ``live`` for
-    random-looking values of a single owner, else ``plain``. Loose candidates stay only where they are live; base spans stay
-    always. Defined cases: null text is empty; a null owner counts as one owner of that name
-    (empty); repeated rows each give a row and count once as a repository; a null id stays null;
-    an empty table gives no rows; other columns are ignored.
+    verdict is ``copied`` for values of copied_owners or more distinct owners, and of two owners in
+    copied_repos or more distinct repositories; ``live`` for random-looking values of a single owner;
+    else ``plain``. Loose candidates stay only where they are live; base spans stay always. Defined
+    cases: null text is empty; a text is scanned whole and a value may be of any length; a null owner
+    counts as one owner of that name (empty); repeated rows each give a row and count once as a
+    repository; a null id stays null; an empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
     rows = stored(candidates(docs, id_col, text_col, repo_col, owner_col))
     each = rows.select("row_id", "repo", "owner", F.explode("spans").alias("s")).select("row_id", "repo", "owner", "s.*")
-    counts = ownership(each)
-    verdict = F.when(F.col("n_owners") >= copied_owners, "copied").when(F.col("random") & (F.col("n_owners") == 1), "live").otherwise("plain")
+    counts = cut(ownership(each))
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    copied = (F.col("n_owners") >= copied_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= copied_repos))
+    verdict = F.when(copied, "copied").when(F.col("random") & (F.col("n_owners") == 1), "live").otherwise("plain")
     judged = (
-        each.join(counts, "digest")
+        spread_join(each, counts, ["digest"], "rows", total)
         .withColumn("verdict", verdict)
         .where((F.col("kind") < 3) | (F.col("verdict") == "live"))
         .groupBy("row_id")
