@@ -38,6 +38,8 @@ SHORT = 2
 SLOTS, TASK_GRAMS, PASS_ENTRIES = 4096, 1_500_000, 3_000_000
 #: A context is kept if its divergence (nats) and its log-likelihood ratio reach these.
 LEAST_DIVERGENCE, LEAST_RATIO = 0.005, 20.0
+#: Sums over rows go through this type, so that they are the same in any order.
+EXACT = "decimal(38,12)"
 #: Symbols' worth of belief in the suffix' distribution.
 PRIOR = 16.0
 #: Words with this share of all words are looked up in a broadcast table (at most 1 / share); the rest are joined.
@@ -392,10 +394,10 @@ class Model:
                 later.append(stored(small_batches(rows.select("row_id", "__text")).mapInArrow(later_pass(shared, slots), "row_id long, score double")))
             shared.destroy()
         if later:
-            more = reduce(DataFrame.unionByName, later).groupBy("row_id").agg(F.sum("score").alias("later"))
+            more = reduce(DataFrame.unionByName, later).groupBy("row_id").agg(F.sum(F.col("score").cast(EXACT)).cast("double").alias("later"))
             scored = scored.join(more, "row_id").withColumn("score", F.col("score") + F.col("later")).drop("later")
         rare = scored.select("row_id", F.explode("rest").alias("w")).groupBy("row_id", "w").agg(F.count(F.lit(1)).alias("k"))
-        met = rare.join(self.others, "w").groupBy("row_id").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("add"))
+        met = rare.join(self.others, "w").groupBy("row_id").agg(F.sum("k").alias("more"), F.sum((F.col("k") * F.log10(F.col("n") + 1)).cast(EXACT)).cast("double").alias("add"))
         return scored.join(met, "row_id", "left").select(
             *carry,
             "n_tokens",
@@ -410,9 +412,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     Learned from the documents that are not held out. Defined cases: null text is empty and scores
-    its end alone; a null id counts as empty text for the split; repeated rows each give a row and
-    count twice in training; with nothing to learn from every symbol has probability 1/256; an
-    empty table gives no rows; other columns are ignored.
+    its end alone; a text of any length is learned from and scored whole; a null id counts as empty
+    text for the split; repeated rows each give a row and count twice in training; with nothing to
+    learn from every symbol has probability 1/256; an empty table gives no rows; other columns are
+    ignored, whatever their names. Reruns agree to the last digit.
     """
     rows = docs.select("doc_id", "text", (crc32_residue(F.col("doc_id"), 7) == 2).alias("held_out"))
     return Model(rows.where("NOT held_out")).score(rows, ["doc_id", "held_out"])
