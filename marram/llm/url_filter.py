@@ -1,8 +1,9 @@
 """URL filter: host rules first, then naive Bayes on words segmented out of hosts and paths.
 
 Concatenated host names are split by a unigram Viterbi search over a lexicon counted on the
-corpus' own pages. The tokens are judged by multinomial naive Bayes, learned from the URLs that
-the rules decide.
+corpus' own pages; each distinct part of a host meets the words that lie in it by a join, so no
+task holds the lexicon. The tokens are judged by multinomial naive Bayes, learned from the URLs
+that the rules decide; counts are kept by token and joined with the tokens of every URL.
 """
 
 from __future__ import annotations
@@ -11,25 +12,21 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
 
-from marram.llm.common import ascii_lower, small_batches
+from marram.llm.common import ascii_lower, cut, small_batches, spread_join, stored
 
 #: The rules of the contract, as (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 #: A lexicon word was seen this often at least, and lies in some host.
 LEAST_COUNT = 2
-#: Token counts are kept in so many places a class: a size bound on what is broadcast.
-PLACES = 1 << 17
-#: Segmented hosts that a task remembers.
-CACHE_HOSTS = 100_000
+#: Log odds are summed in this type, so that sums are the same in any order.
+EXACT = "decimal(38,15)"
 
 
 def host_of(url: Column) -> Column:
@@ -59,16 +56,12 @@ class Segmenter:
 
     log_p: dict[str, float]
     unknown: float
-    cache: dict[str, list[str]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.lengths = sorted({len(w) for w in self.log_p}, reverse=True)
 
     def split(self, name: str) -> list[str]:
         """The likeliest words of a name; ties go to the longer last word. Linear in the name's length for a given set of word lengths."""
-        known = self.cache.get(name)
-        if known is not None:
-            return known
         n = len(name)
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         open_, start = -math.inf, 0  # the unknown piece, of any length, that is best so far, and its start
@@ -86,34 +79,26 @@ class Segmenter:
         while end:
             out.append(name[back[end] : end])
             end = back[end]
-        out.reverse()
-        if len(self.cache) >= CACHE_HOSTS:
-            self.cache.clear()
-        self.cache[name] = out
-        return out
+        return out[::-1]
 
 
 _ALNUM = re.compile(r"[^\W_]+")
 
 
-def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Segmented host words, marked h:, with h. for the last label; path words, marked p:, digits as their number of digits."""
+def host_parts(host: str) -> list[str]:
+    """The letter and digit runs of a host's labels but the last."""
+    return [part for label in [x for x in host.split(".") if x][:-1] for part in _ALNUM.findall(label)]
+
+
+def host_tokens(host: str, words_of: dict[str, list[str]]) -> list[str]:
+    """Segmented host words, marked h:, after the last label, marked h. ."""
     labels = [x for x in host.split(".") if x]
-    out = ["h." + x for x in labels[-1:]]
-    for label in labels[:-1]:
-        for part in _ALNUM.findall(label):
-            out += ["h:" + w for w in segment.split(part)]
-    for part in _ALNUM.findall(path.lower()):
-        out.append(f"p:#{len(part)}" if part.isdigit() else "p:" + part)
-    return out
+    return ["h." + x for x in labels[-1:]] + ["h:" + w for part in host_parts(host) for w in words_of[part]]
 
 
-def place(token: str) -> int:
-    """A token's place, the same in every process."""
-    h = 0xCBF29CE484222325
-    for b in token.encode("utf-8", "surrogatepass"):
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return (h ^ h >> 29) % PLACES
+def path_tokens(path: str) -> list[str]:
+    """Path words, marked p:, digits as their number of digits."""
+    return [f"p:#{len(part)}" if part.isdigit() else "p:" + part for part in _ALNUM.findall(path.lower())]
 
 
 _MARKUP = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.DOTALL)
@@ -140,112 +125,123 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(words)
 
 
+#: Characters of pieces that a task holds before it passes them on.
+HELD_CHARS = 4_000_000
+
+
 def _pieces(longest: int):
-    """Every run of letters within the hosts' labels, up to the longest word that there is."""
+    """(part, word): every run of letters within a host part, up to the longest word that there is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[str] = set()
+        def out(part: str, found: set[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.string()), pa.array(list(found), pa.string())], names=["part", "word"])
+
         for batch in batches:
             for x in batch.column(0):
-                for label in [y for y in x.as_py().split(".") if y][:-1]:
-                    for letters in _LETTERS.findall(label):
-                        for at in range(len(letters)):
-                            found.update(letters[at:end] for end in range(at + 1, min(len(letters), at + longest) + 1))
-                            if len(found) > HELD_WORDS:
-                                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
-                                found = set()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
+                part, found, held = x.as_py(), set(), 0
+                for letters in _LETTERS.findall(part):
+                    for at in range(len(letters)):
+                        for end in range(at + 1, min(len(letters), at + longest) + 1):
+                            found.add(letters[at:end])
+                            held += end - at + len(part)
+                            if held > HELD_CHARS:
+                                yield out(part, found)
+                                found, held = set(), 0
+                yield out(part, found)
 
     return run
 
 
-def lexicon(texts: DataFrame, text_col: str, hosts: DataFrame) -> Segmenter:
-    """Words of letters in the texts, counted over all rows, as a segmenter for ``hosts`` (host).
-
-    Mark-up is cut out first. The words that reach the driver are those seen LEAST_COUNT times that
-    lie in some host's label, since no other can be part of a segmentation.
-    """
+def word_counts(texts: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """(word, n) of the words of letters in the texts, mark-up cut out, counted over all rows and seen LEAST_COUNT times; and the number of all."""
     counts = small_batches(texts.select(F.col(text_col).cast("string"))).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = counts.persist(StorageLevel.DISK_ONLY)
-    try:
-        total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
-        words = counts.where((F.col("word") != "") & (F.col("n") >= LEAST_COUNT))
-        longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-        pieces = hosts.select("host").distinct().mapInArrow(_pieces(longest), "word string").distinct()
-        rows = words.join(pieces, "word", "left_semi").collect() if longest else []
-    finally:
-        counts.unpersist()
-    log_p = {r["word"]: math.log(r["n"] / total) for r in rows}
-    return Segmenter(log_p, -math.log(total + 1) - 1)
-
-
-def tokenised(urls: DataFrame, segment: Segmenter, carry: list[str]) -> DataFrame:
-    """``carry`` columns (host and path last) with places array<int>."""
-    shared = urls.sparkSession.sparkContext.broadcast(segment)
-    n = len(carry)
+    counts = stored(counts)
+    total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    return counts.where((F.col("word") != "") & (F.col("n") >= LEAST_COUNT)), total
+
+
+def segmented(parts: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(part, words array<string>) of the distinct parts of hosts, each split with the probabilities of the words that lie in it."""
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    parts = cut(parts.select("part").distinct())
+    pieces = stored(parts.mapInArrow(_pieces(longest), "part string, word string").distinct())
+    known = cut(pieces.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).join(words, "word"))
+    met = spread_join(pieces, known, ["word"], "rows", known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    within = met.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    unknown = -math.log(total + 1) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = shared.value
         for batch in batches:
-            hosts, paths = batch.column(n - 2), batch.column(n - 1)
-            found = [[place(t) for t in tokens(h.as_py(), p.as_py(), seg)] for h, p in zip(hosts, paths, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*carry, "places"])
+            split = [Segmenter({w["word"]: math.log(w["n"] / total) for w in known or ()}, unknown).split(part) for part, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(split, pa.list_(pa.string()))], names=["part", "words"])
 
-    rows = urls.select(*carry)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, places array<int>")
+    return parts.join(within, "part", "left").select("part", "known").mapInArrow(run, "part string, words array<string>")
 
 
-@dataclass
-class NaiveBayes:
-    """Log odds of block over allow: prior and one number a place. ``margin`` over 0 blocks."""
+def _host_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(set(host_parts(x))) for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["host", "parts"])
 
-    prior: float
-    odds: np.ndarray
 
-    def margin(self, places: np.ndarray) -> float:
-        return float(self.prior + self.odds[places].sum())
+def _host_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = [host_tokens(h, {w["part"]: w["words"] for w in words or ()}) for h, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.list_(pa.string()))], names=["host", "rows", "tokens"])
+
+
+def _path_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([path_tokens(p) for p in batch.column(4).to_pylist()], pa.list_(pa.string()))], names=[*batch.schema.names, "of_path"])
 
 
-def train(labelled: DataFrame, alpha: float = 1.0) -> NaiveBayes:
-    """Multinomial naive Bayes from (verdict, places), counted over every labelled row; 2 * PLACES counts reach the driver."""
-    # Place -1 counts the rows.
-    each = F.explode(F.concat(F.col("places"), F.array(F.lit(-1)))).alias("place")
-    sums = labelled.select("verdict", each).groupBy("verdict", "place").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
-    counts = {v: np.zeros(PLACES) for v in ("allow", "block")}
-    for r in sums:
-        if r["place"] >= 0:
-            counts[r["verdict"]][r["place"]] = r["n"]
-    rows = {r["verdict"]: r["n"] for r in sums if r["place"] < 0}
-    used = max(1, int(((counts["allow"] + counts["block"]) > 0).sum()))
-    log = {v: np.log((c + alpha) / (c.sum() + alpha * used)) for v, c in counts.items()}
-    odds = np.where((counts["allow"] + counts["block"]) > 0, log["block"] - log["allow"], 0.0)
-    return NaiveBayes(math.log((rows.get("block", 0) + 1) / (rows.get("allow", 0) + 1)), odds)
+def tokenised(ruled: DataFrame, pages: DataFrame, html_col: str) -> DataFrame:
+    """``ruled`` (page_id, rule, ruled, host, path) with row_id and tokens array<string>.
+
+    Hosts are segmented once each; the rows of a host that a third of all pages share meet its
+    tokens by a broadcast.
+    """
+    hosts = cut(ruled.groupBy("host").agg(F.count(F.lit(1)).alias("rows")))
+    parts = stored(hosts.select("host").mapInArrow(_host_parts, "host string, parts array<string>"))
+    each = parts.select("host", F.explode("parts").alias("part"))
+    split = stored(segmented(each, *word_counts(pages, html_col)))
+    of_host = each.join(split, "part").groupBy("host").agg(F.collect_list(F.struct("part", "words")).alias("words"))
+    of_host = cut(hosts.join(of_host, "host", "left").select("host", "words", "rows").mapInArrow(_host_tokens, "host string, rows long, tokens array<string>"))
+    rows = stored(ruled.mapInArrow(_path_tokens, "page_id long, rule string, ruled string, host string, path string, of_path array<string>").withColumn("row_id", F.monotonically_increasing_id()))
+    total = hosts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return spread_join(rows, of_host, ["host"], "rows", total).withColumn("tokens", F.concat("tokens", "of_path")).drop("of_path")
+
+
+def train(tokens: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, float]:
+    """Multinomial naive Bayes from (ruled, token) and one row of (ruled) a page: (token, odds, rows) and the prior's log odds of block.
+
+    Counts cover every labelled row. rows is how often a token occurs in all URLs; tokens of no
+    labelled URL have no odds.
+    """
+    counts = cut(tokens.groupBy("token").agg(F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block"), F.count(F.lit(1)).alias("rows")))
+    seen = counts.where("allow + block > 0")
+    allow, block, used = seen.agg(F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0)), F.count(F.lit(1))).first()
+    log_p = lambda c, n: F.log((F.col(c) + alpha) / F.lit(float(n + alpha * max(1, used))))
+    n_allow, n_block = labels.agg(F.count_if(F.col("ruled") == "allow"), F.count_if(F.col("ruled") == "block")).first()
+    return seen.select("token", (log_p("block", block) - log_p("allow", allow)).cast(EXACT).alias("odds"), "rows"), math.log((n_block + 1) / (n_allow + 1))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, margin for every row.
 
     verdict is the rule's, else ``block`` where naive Bayes has a margin over 0 (a tie allows).
-    Defined cases: a null url, or one without ``://``, has empty host and path; repeated rows each
-    give a row; a null id stays null; without a single rule match everything else is allowed or
-    blocked by the prior alone, which then is even and allows; an empty table gives no rows; other
-    columns are ignored.
+    Defined cases: a null url, or one without ``://``, has empty host and path; urls and pages are
+    read whole, however long; repeated rows each give a row; a null id stays null; without a single
+    rule match everything else is allowed or blocked by the prior alone, which then is even and
+    allows; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    segment = lexicon(pages, html_col, urls)
-    hit = matching_rule(F.col("host"), F.col("path"), rules)
-    ruled = urls.withColumn("hit", hit)
-    labelled = ruled.where("hit IS NOT NULL").select(F.col("hit.verdict").alias("verdict"), "host", "path")
-    model = train(tokenised(labelled, segment, ["verdict", "host", "path"]))
-    shared_model, shared_segment = (pages.sparkSession.sparkContext.broadcast(x) for x in (model, segment))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nb, seg = shared_model.value, shared_segment.value
-        for batch in batches:
-            margins = [nb.margin(np.array([place(t) for t in tokens(h.as_py(), p.as_py(), seg)], dtype=np.int64)) for h, p in zip(batch.column(3), batch.column(4), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margins, pa.float64())], names=["page_id", "rule", "ruled", "host", "path", "margin"])
-
-    scored = ruled.select("page_id", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled"), "host", "path").mapInArrow(run, "page_id long, rule string, ruled string, host string, path string, margin double")
+    hit = urls.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
+    ruled = hit.select("page_id", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled"), "host", "path")
+    rows = stored(tokenised(ruled, pages, html_col))
+    each = rows.select("row_id", "ruled", F.explode("tokens").alias("token"))
+    odds, prior = train(each, rows)
+    met = spread_join(each, odds, ["token"], "rows", odds.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    sums = met.groupBy("row_id").agg(F.sum("odds").alias("sum"))
+    scored = rows.join(sums, "row_id", "left").withColumn("margin", F.lit(prior) + F.coalesce(F.col("sum").cast("double"), F.lit(0.0)))
     verdict = F.coalesce("ruled", F.when(F.col("margin") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "margin")

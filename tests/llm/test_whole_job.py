@@ -43,5 +43,6 @@ def test_language_filter_drops_foreign_texts_and_junk(spark, small_dir):
 def test_url_lexicon_keeps_rare_words_of_hosts(spark):
     long = "donaudampfschifffahrtsgesellschaft"
     pages = spark.createDataFrame([(f"cheap pills {long} " * 3 + "the and of " * 100_000, "x.com"), ("", f"cheappills{long}.cheap.org")], "html string, host string")
-    segment = url_filter.lexicon(pages, "html", pages)
-    assert segment.split("cheappills" + long) == ["cheap", "pills", long] and "the" not in segment.log_p
+    parts = pages.select(F.explode(F.split("host", r"\.")).alias("part"))
+    split = {r["part"]: r["words"] for r in url_filter.segmented(parts, *url_filter.word_counts(pages, "html")).collect()}
+    assert split["cheappills" + long] == ["cheap", "pills", long] and split["x"] == ["x"]
