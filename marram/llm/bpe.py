@@ -35,11 +35,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def refuse_unknown(spec: dict) -> None:
+    """Raises where a vocabulary file asks for more than byte-level BPE, which would be encoded wrongly."""
+    model, before, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    asks = {
+        "a normalizer": spec.get("normalizer"),
+        "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "dropout": model.get("dropout"),
+        "a word affix": model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"),
+        "byte fallback": model.get("byte_fallback"),
+        "whole words before merges": model.get("ignore_merges"),
+        "another pre-tokenizer": before.get("type") != "ByteLevel" or not before.get("use_regex", True),
+        "a leading space": before.get("add_prefix_space"),
+        "another decoder": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+        "added tokens that match partly or stretch over spaces": any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added),
+    }
+    if found := [name for name, asked in asks.items() if asked]:
+        raise ValueError(f"the vocabulary file asks for {', '.join(found)}, which this encoder does not do")
+
+
 class TrieBpe:
     """Encoder and decoder for one vocabulary file (its text, not its path, so that tasks need no file)."""
 
     def __init__(self, vocabulary_json: str):
         spec = json.loads(vocabulary_json)
+        refuse_unknown(spec)
         letters = byte_letters()
         self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in word) for word, i in spec["model"]["vocab"].items() if all(c in letters for c in word)}
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -211,6 +231,13 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
+def known_vocabulary(path: str) -> str:
+    """The file's text, after a look at the driver whether this encoder can do what it asks for."""
+    text = read_vocabulary(path)
+    refuse_unknown(json.loads(text))
+    return text
+
+
 #: Texts are taken in groups of so many characters, to bound what a worker holds besides its batch.
 GROUP_CHARS = 2_000_000
 
@@ -223,7 +250,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     each give a row; a null id stays null; an empty table gives no rows; other columns are ignored.
     Words are not truncated, however long.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    shared = docs.sparkSession.sparkContext.broadcast(known_vocabulary(vocabulary_path))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(carry or []), F.col(text_col).cast("string").alias("__text"))
     n = len(rows.columns) - 1
     names = [*rows.columns[:n], "ids", "n_tokens", "round_trip", "decoded"]
@@ -249,11 +276,13 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
 
 def encode_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """``encode`` with its ids and decoded text as SHA-256 digests, taken where they are made.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encode`` with its ids and decoded text as digests, taken where they are made.
+
+    Defined cases as for ``encode``.
 
     Only digests leave the Python worker, so nothing of the corpus' size is copied back.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    shared = docs.sparkSession.sparkContext.broadcast(known_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shared.value)
