@@ -3,8 +3,8 @@
 Template: a block of adjacent turns of one role is ``<s>[role]text[SEP]text</s>``. The control
 strings all need ``<``, ``[`` or ``]``; inside roles and texts these, and ``&``, are written as
 ``&lt;``, ``&#91;``, ``&#93;`` and ``&amp;``, so no text can hold a control string, and replacing
-back in the other order (``&amp;`` last) is exact. The loss mask covers the texts of the loss
-role's blocks, without block marks and separators.
+back in the other order (``&amp;`` last) is exact. The loss mask gives the spans of the loss role's
+texts in the formatted string, without block marks and separators.
 """
 
 from __future__ import annotations
@@ -32,31 +32,48 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, formatted string: one row per conversation.
+def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
+    """conv_id, formatted string, loss_mask array<struct<start, stop>>: one row per conversation.
 
     Turns are collected as structs and sorted by turn, ties by role and then text, null turns
-    first. Defined cases: null texts and roles are empty; an empty text stays a turn; repeated
-    rows are repeated turns; rows of null conv_id make one conversation; an empty table gives no
-    rows; other columns are ignored. A conversation becomes one value and so must fit in one.
+    first; adjacent turns of one role are gathered into one block's array of texts. loss_mask has
+    the code points of ``formatted`` (stop exclusive) that carry loss, a span for each text of the
+    loss role. Defined cases: null texts and roles are empty; an empty text stays a turn; texts are
+    taken whole; repeated rows are repeated turns; rows of null conv_id make one conversation; an
+    empty table gives no rows; other columns are ignored, whatever their names. A conversation
+    becomes one value and so must fit in one.
     """
     safe = lambda c: escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), safe(role_col).alias("role"), safe(text_col).alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # A turn opens a block when its role differs from the one before; the last turn of a block closes it.
-    spoken = F.transform(
-        "turns",
-        lambda t, i: F.concat(
-            F.when((i > 0) & (F.get(F.col("turns"), i - 1)["role"] == t["role"]), F.lit(SEP)).otherwise(F.concat(F.lit(OPEN), t["role"], F.lit(ROLE_END))),
-            t["text"],
-            F.when((i + 1 < F.size("turns")) & (F.get(F.col("turns"), i + 1)["role"] == t["role"]), F.lit("")).otherwise(F.lit(CLOSE)),
-        ),
-    )
-    return sorted_turns.select("conv_id", F.array_join(spoken, "").alias("formatted"))
+    # A turn opens a block when its role differs from the one before.
+    index = F.sequence(F.lit(0), F.size("turns") - 1)
+    opens = F.filter(index, lambda i: (i == 0) | (F.get(F.col("turns"), i - 1)["role"] != F.get(F.col("turns"), i)["role"]))
+    opened = sorted_turns.select("conv_id", "turns", opens.alias("opens"))
+    end = lambda k: F.coalesce(F.get(F.col("opens"), k + 1), F.size("turns"))
+    blocks = F.transform("opens", lambda first, k: F.struct(F.get(F.col("turns"), first)["role"].alias("role"), F.transform(F.slice("turns", first + 1, end(k) - first), lambda t: t["text"]).alias("texts")))
+    merged = opened.select("conv_id", blocks.alias("blocks"))
+    text = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(ROLE_END), F.array_join(b["texts"], SEP), F.lit(CLOSE))), "")
+    return merged.select("conv_id", text.alias("formatted"), _mask(escape(F.lit(loss_role))).alias("loss_mask"))
+
+
+def _mask(role: Column) -> Column:
+    """Spans of the texts of ``role``'s blocks, by one walk over the blocks that adds up lengths."""
+    length = lambda x: F.char_length(x).cast("long")
+    spans_type = "array<struct<start:bigint,stop:bigint>>"
+    state = lambda at, spans: F.struct(at.alias("at"), spans.alias("spans"))
+
+    def block(s: Column, b: Column) -> Column:
+        first = s["at"] + len(OPEN) + length(b["role"]) + len(ROLE_END)
+        size = F.aggregate(b["texts"], F.lit(0).cast("long"), lambda n, t: n + length(t)) + len(SEP) * (F.size(b["texts"]) - 1).cast("long")
+        spoken = F.aggregate(b["texts"], state(first, F.array().cast(spans_type)), lambda u, t: state(u["at"] + length(t) + len(SEP), F.array_append(u["spans"], F.struct(u["at"].alias("start"), (u["at"] + length(t)).alias("stop")))))
+        return state(first + size + len(CLOSE), F.when(b["role"] == role, F.concat(s["spans"], spoken["spans"])).otherwise(s["spans"]))
+
+    return F.aggregate("blocks", state(F.lit(0).cast("long"), F.array().cast(spans_type)), block)["spans"]
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, blocks array<struct<role, texts>> parsed from the formatted string alone."""
+    """conv_id, formatted, loss_mask, blocks array<struct<role, texts>> parsed from the formatted string alone."""
     marks = F.split("formatted", "</s>")
     pieces = F.slice(marks, 1, F.greatest(F.size(marks) - 1, F.lit(0)))
     parsed = F.transform(
@@ -66,13 +83,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
             F.transform(F.split(F.substr(p, F.locate(ROLE_END, p) + 1), r"\[SEP\]"), unescape).alias("texts"),
         ),
     )
-    return formatted.select("conv_id", "formatted", parsed.alias("blocks"))
+    return formatted.select("conv_id", "formatted", "loss_mask", parsed.alias("blocks"))
 
 
-def digests(parsed: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """The contract's columns from ``read_back``."""
+def digests(parsed: DataFrame) -> DataFrame:
+    """The contract's columns from ``read_back``: turns from the blocks, loss from what the mask covers."""
     said = F.array_join(F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t: F.concat(b["role"], F.lit("\n"), t, F.lit("\n"))))), "")
-    loss = F.array_join(F.flatten(F.transform(F.filter("blocks", lambda b: b["role"] == loss_role), lambda b: b["texts"])), "")
+    loss = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
     turns = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.size(b["texts"]))
     return parsed.select("conv_id", turns.alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
