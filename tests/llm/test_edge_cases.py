@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from marram.llm import bpe, chat_format, exact_dedup, language_id, mixing, near_dedup, secret_scan, suffix_tree_lm, topk_search, url_filter
@@ -22,7 +23,7 @@ ROWS = [
     (None, "ein zwei drei vier fünf", "de", "b", 1),
     (8, "12 34 ...", "de", "b", 1),
 ]
-CLASHES = ["size", "row_id", "digest", "keep_id", "kept", "id", "component", "n", "key", "held_out", "lang_pred", "score", "spans", "owner", "repo", "start", "stream", "taken", "w", "g", "h", "copy", "bk", "sig", "ids", "__text", "gone_id"]
+CLASHES = ["size", "row_id", "digest", "keep_id", "kept", "id", "component", "n", "key", "held_out", "lang_pred", "score", "spans", "owner", "repo", "start", "stream", "taken", "w", "g", "h", "copy", "bk", "sig", "ids", "__text", "gone_id", "uses", "of_id", "__size", "__copy", "of_key", "sha", "rows", "bar", "text_key", "d1", "component_id", "n_shingles", "copies", "of_source", "turn", "n_tokens", "round_trip", "decoded"]
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +61,31 @@ def test_one_row_each_and_clashing_columns_change_nothing(name, docs, clashing,
     assert run(empty).count() == 0
 
 
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_take_clashing_columns_and_empty_tables(name, spark, docs, clashing, empty):
+    stage = STAGES[name]
+    plain = stage(spark, docs, "")
+    got = stage(spark, clashing, "")
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert plain.columns == docs.columns and got.columns == clashing.columns
+    rows = sorted(map(repr, plain.collect()))
+    assert sorted(map(repr, got.select(plain.columns).collect())) == rows and rows
+    assert stage(spark, empty, "").count() == 0
+
+
+def test_near_dedup_judges_rows_that_repeat_an_id_by_their_texts(spark):
+    one, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, one), (2, one + " more"), (2, other), (3, other.upper()), (3, "all by itself here now")]
+    stay = near_dedup.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in stay) == sorted([(1, one), (2, other), (3, "all by itself here now")])
+    rows = [(1, one), (1, one.upper()), (1, other)]
+    stay = near_dedup.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(stay) == 2 and other in {r["text"] for r in stay}
+
+
 def test_exact_dedup_keeps_one_of_tied_rows(docs):
     rows = exact_dedup.exact_dedup(docs).collect()
     of = lambda i: [r for r in rows if r["doc_id"] == i]
@@ -81,12 +107,29 @@ def test_index_takes_batches_and_repeats(spark, docs):
         n = index.table().count()
         index.add(first)
         assert index.table().count() == n == 3
-        index.add(exact_dedup.digests(docs))
-        assert index.table().count() == exact_dedup.digests(docs).select("digest").distinct().count()
+        everything = exact_dedup.digests(docs)
+        plan = index.new(everything)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan
+        index.add(everything)
+        assert index.table().count() == everything.select("digest").distinct().count()
+        with index.locked(), pytest.raises(RuntimeError):
+            index.add(first)
+        index.add(first)
     finally:
         index.drop()
 
 
+@pytest.mark.parametrize("batches", [1, 2, 7])
+def test_batches_come_in_order_of_ids_and_change_nothing(docs, batches):
+    rows = exact_dedup.digests(docs)
+    parts = [[r["doc_id"] for r in b.collect()] for b in exact_dedup.in_batches(rows, batches)]
+    assert sorted(i or 0 for p in parts for i in p) == sorted(r["doc_id"] or 0 for r in rows.collect())
+    known = [[i for i in p if i is not None] for p in parts if p]
+    assert all(max(a) < min(b) for a, b in zip(known, known[1:]) if a and b) and None not in [i for p in parts[:-1] for i in p]
+    got = exact_dedup.exact_dedup(docs, batches=batches)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, exact_dedup.exact_dedup(docs).collect()))
+
+
 def test_near_dedup_defined_cases(docs):
     rows = near_dedup.near_dedup(docs).collect()
     assert {(r["doc_id"], r["n_shingles"]) for r in rows if r["doc_id"] in (1, 2, 3)} == {(1, 0), (2, 0), (3, 0)}
@@ -126,6 +169,10 @@ def test_topk_defined_cases(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("v", "n", "ids", "unit", "score", "rank")})
     out = topk_search.top_k(v, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect()
     first = [(r["vec_id"], r["score"]) for r in out if r["query_id"] == 0]
+    big = spark.createDataFrame([(0, [2.0**70, 1.0]), (1, [2.0**50, 0.0]), (2, [2.0**50, 1.0]), (3, [2.0**50 + 2.0, 0.0]), (4, [-(2.0**50), 0.0])], "vec_id long, embedding array<double>")
+    exact = topk_search.top_k(big.where("vec_id > 0").unionByName(big.where("vec_id = 0").withColumn("embedding", F.array(F.lit(2.0**30), F.lit(1.0)))), F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [(r["vec_id"], int(r["exact_score"])) for r in exact] == [(3, 2**16 * (2**80 + 2**31)), (2, 2**16 * (2**80 + 1)), (1, 2**96), (4, -(2**96))]
+    assert [r["score"] for r in exact] == [2**63 - 1] * 3 + [-(2**63)]
     assert first == [(8, 256_000_000 * 384), (1, 256 * 256 + 128 * 128), (6, 128 * 256), (7, 0), (50, -256 * 256 + 64 * 128)]
     assert topk_search.top_k(v.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
