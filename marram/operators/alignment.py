@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.geometry import length, minus, vec
+from marram.operators.lie import rotation_of
 
 SRC, DST = ("sx", "sy", "sz"), ("dx", "dy", "dz")
 
@@ -58,23 +59,31 @@ def rmse(errors: DataFrame, by: list[str], least_rows: int = 5) -> DataFrame:
 
 
 def similarity(sums: dict[str, float], n: int, with_scale: bool) -> tuple[float, np.ndarray, np.ndarray]:
-    """Scale, rotation and translation from moments: means and centred products of SRC and DST."""
-    mean_s, mean_d = (np.array([sums[c] / n for c in cs]) for cs in (SRC, DST))
-    cross = np.array([[sums[f"{a}{b}"] for b in DST] for a in SRC]) / n - np.outer(mean_s, mean_d)
-    spread = sum(sums[f"{a}{a}"] for a in SRC) / n - float(mean_s @ mean_s)
-    u, d, vt = np.linalg.svd(cross)
-    flip = np.ones(3)
-    if np.linalg.det(u) * np.linalg.det(vt) < 0:
-        flip[2] = -1
-    rotation = vt.T @ np.diag(flip) @ u.T
-    scale = float((d * flip).sum() / spread) if with_scale and spread > 0 else 1.0
-    return scale, rotation, mean_d - scale * rotation @ mean_s
+    """Scale, unit quaternion (xyzw) and translation from moments: sums and products of SRC and DST.
+
+    Horn's form: the best rotation's quaternion is the top eigenvector of a symmetric 4x4 matrix of
+    the centred products, and the eigenvalue is the sum of target times rotated source.
+    """
+    centre_s, centre_d = (np.array([sums[c] for c in cs]) / n for cs in (SRC, DST))
+    m = {f"{a[1]}{b[1]}": sums[f"{a}{b}"] - n * centre_s[i] * centre_d[j] for i, a in enumerate(SRC) for j, b in enumerate(DST)}
+    form = np.empty((4, 4))
+    form[0, 0] = m["xx"] - m["yy"] - m["zz"]
+    form[1, 1] = m["yy"] - m["xx"] - m["zz"]
+    form[2, 2] = m["zz"] - m["xx"] - m["yy"]
+    form[3, 3] = m["xx"] + m["yy"] + m["zz"]
+    for i, j, a, b, sign in ((0, 1, "xy", "yx", 1), (0, 2, "zx", "xz", 1), (1, 2, "yz", "zy", 1), (0, 3, "yz", "zy", -1), (1, 3, "zx", "xz", -1), (2, 3, "xy", "yx", -1)):
+        form[i, j] = form[j, i] = m[a] + sign * m[b]
+    values, vectors = np.linalg.eigh(form)
+    own = sum(sums[f"{a}{a}"] for a in SRC) - n * float(centre_s @ centre_s)
+    scale = float(values[-1]) / own if with_scale and own > 0 else 1.0
+    quaternion = vectors[:, -1]
+    return scale, quaternion, centre_d - scale * rotation_of(quaternion) @ centre_s
 
 
 def similarity_alignment(pairs: DataFrame, by: list[str], with_scale: bool = True) -> DataFrame:
-    """by, n, scale, rotation array<double> (row-major 9), translation array<double> (3).
+    """by, n, scale, rotation array<double> (row-major 9), translation array<double> (3), quaternion array<double> (xyzw).
 
-    Moments are plain aggregates; only one row per group reaches the 3x3 decomposition. Groups are
+    Moments are plain aggregates; only one row per group reaches the 4x4 eigenproblem. Groups are
     first moved by their means, so that far origins cost no digits.
     """
     centre = pairs.groupBy(*by).agg(*[F.avg(c).alias(f"o_{c}") for c in (*SRC, *DST)])
@@ -90,15 +99,16 @@ def similarity_alignment(pairs: DataFrame, by: list[str], with_scale: bool = Tru
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                scale, rotation, shift = similarity(r, r["n"], with_scale)
+                scale, quaternion, shift = similarity(r, r["n"], with_scale)
+                rotation = rotation_of(quaternion)
                 shift = shift + np.array([r[f"o_{c}"] for c in DST]) - scale * rotation @ np.array([r[f"o_{c}"] for c in SRC])
-                out.append((r["n"], scale, rotation.reshape(-1).tolist(), shift.tolist()))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *made], names=[*by, "n", "scale", "rotation", "translation"])
+                out.append((r["n"], scale, rotation.reshape(-1).tolist(), shift.tolist(), quaternion.tolist()))
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), *[pa.list_(pa.float64())] * 3), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *made], names=[*by, "n", "scale", "rotation", "translation", "quaternion"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
-    return rows.mapInArrow(run, f"{fields}, n long, scale double, rotation array<double>, translation array<double>")
+    return rows.mapInArrow(run, f"{fields}, n long, scale double, rotation array<double>, translation array<double>, quaternion array<double>")
 
 
 def aligned_by_similarity(pairs: DataFrame, by: list[str], with_scale: bool = True) -> DataFrame:

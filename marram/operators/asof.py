@@ -21,12 +21,17 @@ def nearest_asof(
 
     Of two equally near rows the earlier wins; of rows at one time the one that is first by
     tie_order. gap is the absolute distance, and rows over ``tolerance`` (inclusive) are dropped.
-    ``right_on`` comes back as ``matched_on``. Left rows without any right row are dropped.
+    ``right_on`` comes back as ``matched_on``. Left rows without any right row are dropped, and so
+    are rows of a null entity or time on either side: an unknown entity is not the same as another.
 
     With ``slot`` (a length of time) each entity is cut into slots: the windows then run within
     (entity, slot), and what lies beyond a slot is carried in from one summary row per slot, so an
     entity with a third of all rows is spread over tasks. Without it an entity is one window.
     """
+    known = F.lit(True)
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    left, right = left.where(known), right.where(known)
     node = F.struct(F.col(right_on).alias("at"), *[F.col(c) for c in carry])
     first = F.min(F.struct(F.col(tie_order or right_on).alias("__o"), node.alias("node"))).alias("__m")
     nodes = right.where(F.col(right_on).isNotNull()).groupBy(*by, right_on).agg(first).select(*by, F.col(right_on).alias("__t"), F.col("__m.node").alias("__node"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.functions.geometry import Vector, length, minus, plus, rotate
+from marram.session import materialised
 
 
 @dataclass
@@ -31,6 +32,21 @@ class Config:
     robots: tuple[int, ...] = (0, 1, 2)
     gauge_per_robot: bool = False
     huber: float = 1.0
+    #: "track": a node's start is its robot's whole track fitted to the truth, by yaw or, with yaw_only off, by a rotation; "first_pose": by the first pose alone, and every ungrounded robot has a gauge of its own.
+    start: str = "track"
+    yaw_only: bool = True
+    #: Every how many range rows and height rows count.
+    range_every: int = 1
+    height_every: int = 1
+    sigma_override: float | None = None
+    motion_sigma: bool = True
+    use_true_range: bool = False
+    true_range_sigma: float = 0.05
+    #: Synthetic measurements in place of the ranges: sigma, bias, outlier and seed of ``cleaning.injected_range``.
+    injected: dict | None = None
+    bias_sigma: float = 1.0
+    #: Anchors as variables that a tight prior holds, instead of constants.
+    pin_anchors: bool = False
     extra: dict = field(default_factory=dict)
 
 
@@ -102,31 +118,37 @@ def untouched(nodes: DataFrame, factors: list[tuple[DataFrame, list[list[str]]]]
     return nodes.join(seen.distinct(), key, "left_anti")
 
 
-def gauge_targets(sizes: dict[int, int], config: Config) -> list[int]:
-    """Entities that carry a gauge constraint: one per component of the configured pairs without a grounded member.
+def linked_entities(entities: DataFrame, config: Config) -> DataFrame:
+    """Edges (a, b) between entities (id) that the configuration lets range each other, whatever ranges survived.
 
-    Pairs come from the configuration, not from the ranges that survived. This runs over the handful
-    of entities that a configuration names; ``connected`` does the same for tables.
+    Where all may, each is tied to the next by id, which connects the same.
     """
-    live = sorted(k for k, n in sizes.items() if n > 0)
-    root = {k: k for k in live}
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    if config.use_inter and config.use_ranges:
-        pairs = config.inter_pairs if config.inter_pairs is not None else [(a, b) for a in live for b in live if a < b]
-        for a, b in pairs:
-            if a in root and b in root:
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-    grounded = set(config.anchor_robots if config.anchor_robots is not None else live) if config.use_ranges and config.use_anchor else set()
-    groups: dict[int, list[int]] = {}
-    for k in live:
-        groups.setdefault(find(k), []).append(k)
-    return [min(g) for g in groups.values() if not grounded & set(g)]
+    if not (config.use_inter and config.use_ranges):
+        return entities.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    if config.inter_pairs is None:
+        ahead = F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("id"))  # one row an entity
+        return entities.select(F.col("id").alias("a"), ahead.alias("b")).where("b IS NOT NULL")
+    pairs = entities.sparkSession.createDataFrame([tuple(p) for p in config.inter_pairs], "a int, b int")
+    for side in "ab":
+        pairs = pairs.join(entities.select(F.col("id").alias(side)), side, "left_semi")
+    return pairs
+
+
+def gauge_entities(entities: DataFrame, config: Config) -> DataFrame:
+    """id of the entities that carry a gauge constraint, of ``entities`` (id): the first of each component that nothing grounds.
+
+    Anchors ground the entities that may range them. Where each track starts from its own first
+    pose, every entity is a component.
+    """
+    anchored = config.use_ranges and config.use_anchor
+    if not anchored:
+        grounded = entities.where("false")
+    else:
+        grounded = entities if config.anchor_robots is None else entities.where(F.col("id").isin(list(config.anchor_robots)))
+    alone = entities.select("id", F.col("id").alias("component"))
+    groups = alone if config.start == "first_pose" else connected(linked_entities(entities, config), entities)
+    fixed = groups.join(grounded, "id", "left_semi").select("component").distinct()
+    return groups.join(fixed, "component", "left_anti").groupBy("component").agg(F.min("id").alias("id")).select("id")
 
 
 def connected(edges: DataFrame, vertices: DataFrame, rounds: int = 50) -> DataFrame:
@@ -139,7 +161,7 @@ def connected(edges: DataFrame, vertices: DataFrame, rounds: int = 50) -> DataFr
         # A label may jump to its label's label, which halves the rounds that long chains take.
         up = moved.select(F.col("id").alias("up_id"), F.col("component").alias("up"))
         moved = moved.join(up, F.col("component") == F.col("up_id")).select("id", F.least("component", "up").alias("component"))
-        moved = moved.checkpoint()
+        moved = materialised(moved)
         changed = moved.join(labels.withColumnRenamed("component", "was"), "id").where("component <> was").limit(1).count()
         labels = moved
         if not changed:

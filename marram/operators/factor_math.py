@@ -43,6 +43,13 @@ def inter_range(ra, pa, rb, pb, z, bias=0.0, arm_a=None, arm_b=None):
     return n - z + bias, range_jacobian(ra, u, arm_a), range_jacobian(rb, -u, arm_b)
 
 
+def scalar_jacobian(r: np.ndarray) -> np.ndarray:
+    """n*6 derivative of a scalar that is kept as the x of a pose."""
+    out = np.zeros((len(r), 6))
+    out[:, 3:] = r[:, 0, :]
+    return out
+
+
 def height(r, p, h):
     out = np.zeros((len(p), 6))
     out[:, 3:] = r[:, 2, :]

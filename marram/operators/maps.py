@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marram.operators.ranks import quantiles, ranked
 from marram.operators.voxels import CELL
 
 #: Neighbour offsets by face bit: +x, -x, +y, -y, +z, -z.
@@ -76,30 +77,19 @@ def voxel_index(points: DataFrame, resolution: float, names: tuple[str, str, str
 def thinned(rows: DataFrame, most: int, order: list[str]) -> DataFrame:
     """At most ``most`` rows, evenly spaced in an explicit order: positions trunc(i * (n - 1) / (most - 1)).
 
-    A row at position p is kept if some i maps to it, which its own position tells; the row count
-    comes in as one broadcast row. Positions are ranks within ranges of the order, offset by the
-    ranges' counts, so no task ranks all rows.
+    A row at position p is kept if some i maps to it, which its own position tells; no task ranks
+    all rows.
     """
     n = rows.count()
     if n <= most:
         return rows
     if most == 1:
         return rows.orderBy(*order).limit(1)
-    parts = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    parts = parts.persist()
-    counts = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    offset = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    pos = rank + F.element_at(offset, F.col("__part").cast("long"))
     step = F.lit((n - 1) / (most - 1))
     i = F.ceil(F.col("__pos") / step)
     hit = [F.floor((i + k) * step) == F.col("__pos") for k in (-1, 0)]
     inside = [(i + k >= 0) & (i + k <= most - 1) for k in (-1, 0)]
-    kept = parts.withColumn("__pos", pos).where((hit[0] & inside[0]) | (hit[1] & inside[1]) | (F.col("__pos") == n - 1))
-    return kept.drop("__part", "__pos")
+    return ranked(rows, order, "__pos").where((hit[0] & inside[0]) | (hit[1] & inside[1]) | (F.col("__pos") == n - 1)).drop("__pos")
 
 
 def framing(points: DataFrame) -> DataFrame:
@@ -107,8 +97,9 @@ def framing(points: DataFrame) -> DataFrame:
 
     The core lies strictly between the two z percentiles.
     """
-    z = points.agg(F.percentile("z", 0.01).alias("z_low"), F.percentile("z", 0.99).alias("z_high"))
-    core = points.crossJoin(F.broadcast(z)).where("z > z_low AND z < z_high")  # one row
-    middle = core.agg(*[F.percentile(a, 0.5).alias(f"c{a}") for a in "xyz"])
-    far = core.crossJoin(F.broadcast(middle)).select(F.sqrt(sum((F.pow(F.col(a) - F.col(f"c{a}"), 2) for a in "xyz"), F.lit(0.0))).alias("r"))
-    return z.crossJoin(middle).crossJoin(far.agg(F.percentile("r", 0.97).alias("radius")))
+    low, high = quantiles(points, F.col("z"), [0.01, 0.99])
+    core = points.where((F.col("z") > F.lit(low)) & (F.col("z") < F.lit(high)))
+    middle = [quantiles(core, F.col(a), [0.5])[0] for a in "xyz"]
+    far = F.sqrt(sum(((F.col(a) - F.lit(m)) * (F.col(a) - F.lit(m)) for a, m in zip("xyz", middle, strict=True)), F.lit(0.0)))
+    radius = quantiles(core, far, [0.97])[0]
+    return points.sparkSession.createDataFrame([(low, high, *middle, radius)], "z_low double, z_high double, cx double, cy double, cz double, radius double")

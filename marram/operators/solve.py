@@ -1,9 +1,14 @@
 """Levenberg-Marquardt over a table of constraints, and marginal covariances.
 
-Constraints meet the current nodes in joins, are linearised in batches where they lie, and their
-normal-equation blocks are summed per (row, column) by a grouped aggregate. Only those blocks, one
-per node and one per pair of linked nodes, come to the driver, which factorises them in time order:
-links join nodes close in time, so the factor stays banded.
+``optimise_groups`` solves independent problems (runs, sequences, components) each in a task of its
+own, where its constraints lie. ``optimise`` is for one problem too large for a task: constraints
+meet the current nodes in joins, are linearised in batches where they lie, and their normal-equation
+blocks are summed per (row, column) by a grouped aggregate; only those blocks, one per node and one
+per pair of linked nodes, come to the driver, which factorises them in time order: links join nodes
+close in time, so the factor stays banded.
+
+A scalar unknown, such as a range bias, is the x of a node whose other five degrees a tight prior
+holds, so it takes part like any pose.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ from pyspark.sql import functions as F
 from marram.operators import factor_math as fm
 from marram.operators.lie import quat_of, rotation_of, se3_exp
 
-#: Columns of a node and of a constraint. meas: position and quaternion xyzw, or [range] or [height];
-#: point: anchor; arm_a, arm_b: antenna arms; sigma: 6 or 1 values; huber: 0 for none.
+#: Columns of a node and of a constraint. a, b: its poses; c: the node of its bias; meas: position
+#: and quaternion xyzw, or [range] or [height]; point: anchor; arm_a, arm_b: antenna arms; sigma: 6
+#: or 1 values; huber: 0 for none.
 NODE = "id long, x double, y double, z double, qx double, qy double, qz double, qw double"
-FACTOR = "kind string, a long, b long, meas array<double>, point array<double>, arm_a array<double>, arm_b array<double>, sigma array<double>, huber double"
+FACTOR = "kind string, a long, b long, meas array<double>, point array<double>, arm_a array<double>, arm_b array<double>, sigma array<double>, huber double, c long"
 
 _H = [f"h{i}" for i in range(36)]
 _G = [f"g{i}" for i in range(6)]
@@ -35,93 +41,134 @@ def _poses(pdf: pd.DataFrame, side: str) -> tuple[np.ndarray, np.ndarray]:
     return rotation_of(v[:, 3:]), v[:, :3]
 
 
-def linearise(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(row positions, whitened residuals n*k, costs n, Jacobian by a n*k*6, by b or None) for each kind in a batch."""
+@dataclass
+class Linear:
+    """Constraints of one kind: row positions, whitened residuals n*k, costs n, and Jacobians n*k*6 by the nodes of each side."""
+
+    at: np.ndarray
+    residual: np.ndarray
+    cost: np.ndarray
+    by: dict[str, np.ndarray]
+
+
+def linearise(pdf: pd.DataFrame) -> list[Linear]:
+    """A batch of constraints with their nodes' columns (a_x, ..., c_qw), kind by kind, biased ones apart."""
     out = []
-    for kind, rows in pdf.groupby("kind", sort=False):
+    biased = pdf["c"].notna() if "c" in pdf else pd.Series(False, index=pdf.index)
+    for (kind, has_bias), rows in pdf.groupby(["kind", biased.rename("biased")], sort=False):
         at = rows.index.to_numpy()
         ra, pa = _poses(rows, "a")
         meas, sigma = (np.stack(rows[c].to_list()).astype(float) for c in ("meas", "sigma"))
         stack = lambda c, rows=rows: np.stack(rows[c].to_list()).astype(float) if rows[c].iloc[0] is not None else None
-        jb = None
+        by: dict[str, np.ndarray] = {}
         if kind in ("anchor_range", "ma_anchor_range"):
             e, ja = fm.anchor_range(ra, pa, stack("point"), meas[:, 0], arm=stack("arm_a"))
-            e, ja = e[:, None], ja[:, None]
+            e, by["a"] = e[:, None], ja[:, None]
         elif kind in ("inter_range", "ma_inter_range", "native_range"):
             rb, pb = _poses(rows, "b")
             e, ja, jb = fm.inter_range(ra, pa, rb, pb, meas[:, 0], arm_a=stack("arm_a"), arm_b=stack("arm_b"))
-            e, ja, jb = e[:, None], ja[:, None], jb[:, None]
+            e, by["a"], by["b"] = e[:, None], ja[:, None], jb[:, None]
         elif kind == "height":
             e, ja = fm.height(ra, pa, meas[:, 0])
-            e, ja = e[:, None], ja[:, None]
+            e, by["a"] = e[:, None], ja[:, None]
         elif kind == "odometry":
             rb, pb = _poses(rows, "b")
             rm, pm = rotation_of(meas[:, 3:]), meas[:, :3]
             e = fm.odometry(ra, pa, rb, pb, rm, pm)
-            ja = fm.numeric(lambda r, p: fm.odometry(r, p, rb, pb, rm, pm), ra, pa)
-            jb = fm.numeric(lambda r, p: fm.odometry(ra, pa, r, p, rm, pm), rb, pb)
-        elif kind == "pose_prior":
+            by["a"] = fm.numeric(lambda r, p: fm.odometry(r, p, rb, pb, rm, pm), ra, pa)
+            by["b"] = fm.numeric(lambda r, p: fm.odometry(ra, pa, r, p, rm, pm), rb, pb)
+        elif kind in ("pose_prior", "bias_prior", "anchor_pin"):
             r0, p0 = rotation_of(meas[:, 3:]), meas[:, :3]
             e = fm.pose_prior(ra, pa, r0, p0)
-            ja = fm.numeric(lambda r, p: fm.pose_prior(r, p, r0, p0), ra, pa)
+            by["a"] = fm.numeric(lambda r, p: fm.pose_prior(r, p, r0, p0), ra, pa)
         elif kind == "gravity":
             e = fm.gravity(ra, meas)
-            ja = fm.numeric(lambda r, p: fm.gravity(r, meas), ra, pa)
+            by["a"] = fm.numeric(lambda r, p: fm.gravity(r, meas), ra, pa)
         else:
             raise ValueError(f"no such kind of constraint: {kind}")
+        if has_bias:
+            rc, pc = _poses(rows, "c")
+            e, by["c"] = e + pc[:, :1], fm.scalar_jacobian(rc)[:, None]
         sigma = np.broadcast_to(sigma, e.shape) if sigma.shape[1] == 1 else sigma
         k = rows["huber"].to_numpy(dtype=float)
         sigma = np.where(k[:, None] > 0, np.maximum(sigma, 1e-2), sigma)
-        e, ja = e / sigma, ja / sigma[..., None]
+        e, by = e / sigma, {s: j / sigma[..., None] for s, j in by.items()}
         size = np.linalg.norm(e, axis=1)
         over = (k > 0) & (size > k)
         cost = np.where(over, k * (size - 0.5 * k), 0.5 * size**2)
         root = np.sqrt(np.where(over, k / np.maximum(size, 1e-300), 1.0))[:, None]
-        out.append((at, e * root, cost, ja * root[..., None], None if jb is None else jb / sigma[..., None] * root[..., None]))
+        out.append(Linear(at, e * root, cost, {s: j * root[..., None] for s, j in by.items()}))
     return out
 
 
+def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Normal-equation blocks of a batch of constraints, summed per (i, j) with i <= j: _BLOCKS columns."""
+    pdf = pdf.reset_index(drop=True)
+    parts = []
+
+    def part(i, j, h, g, c):
+        frame = pd.DataFrame(np.concatenate([h.reshape(len(h), 36), g], axis=1), columns=_H + _G)
+        for name, v in (("cost", c), ("j", j), ("i", i)):
+            frame.insert(0, name, v)
+        parts.append(frame)
+
+    t = lambda m: np.swapaxes(m, -1, -2)
+    for found in linearise(pdf):
+        none, zero = np.zeros((len(found.at), 6)), np.zeros(len(found.at))
+        ids = {s: pdf[s].to_numpy()[found.at].astype(np.int64) for s in found.by}
+        sides = list(found.by)
+        for n, s in enumerate(sides):
+            j = found.by[s]
+            part(ids[s], ids[s], t(j) @ j, (t(j) @ found.residual[..., None])[..., 0], zero if n else found.cost)
+            for other in sides[n + 1 :]:
+                swap = ids[s] > ids[other]
+                cross = t(j) @ found.by[other]
+                part(np.minimum(ids[s], ids[other]), np.maximum(ids[s], ids[other]), np.where(swap[:, None, None], t(cross), cross), none, zero)
+    frame = pd.concat(parts, ignore_index=True)
+    return frame.groupby(["i", "j"], as_index=False).sum()[["i", "j", "cost", *_H, *_G]]
+
+
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        pdf = pdf.reset_index(drop=True)
-        parts = []
-        for at, e, cost, ja, jb in linearise(pdf):
-            a, b = pdf["a"].to_numpy()[at], pdf["b"].to_numpy()[at]
-
-            def part(i, j, h, g, c):
-                frame = pd.DataFrame(np.concatenate([h.reshape(len(h), 36), g], axis=1), columns=_H + _G)
-                frame.insert(0, "cost", c)
-                frame.insert(0, "j", j)
-                frame.insert(0, "i", i)
-                parts.append(frame)
-
-            t = lambda m: np.swapaxes(m, -1, -2)
-            none = np.zeros((len(e), 6))
-            part(a, a, t(ja) @ ja, (t(ja) @ e[..., None])[..., 0], cost)
-            if jb is not None:
-                b = b.astype(np.int64)
-                part(b, b, t(jb) @ jb, (t(jb) @ e[..., None])[..., 0], np.zeros(len(e)))
-                swap = a > b
-                cross = t(ja) @ jb
-                part(np.minimum(a, b), np.maximum(a, b), np.where(swap[:, None, None], t(cross), cross), none, np.zeros(len(e)))
-        if parts:
-            frame = pd.concat(parts, ignore_index=True)
-            yield frame.groupby(["i", "j"], as_index=False).sum()[["i", "j", "cost", *_H, *_G]]
+        if len(pdf):
+            yield blocks(pdf)
+
+
+def _as_system(pdf: pd.DataFrame) -> tuple[dict, dict, float]:
+    """Blocks {(i, j): 6*6}, gradients {i: 6} and the cost from _BLOCKS rows."""
+    h, g = {}, {}
+    for i, j, hs, gs in zip(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf[_H].to_numpy(), pdf[_G].to_numpy(), strict=True):
+        h[(int(i), int(j))] = hs.reshape(6, 6)
+        if i == j:
+            g[int(i)] = gs
+    return h, g, float(pdf["cost"].sum())
+
+
+def with_nodes(factors: DataFrame, nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Constraints with the columns of their nodes, a_x to c_qw."""
+    by = by or []
+    side = lambda s: nodes.select(*by, F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _POSE])
+    return factors.join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"], "left").join(side("c"), [*by, "c"], "left")
 
 
 def normal_equations(factors: DataFrame, nodes: DataFrame) -> tuple[dict, dict, float]:
     """Blocks {(i, j): 6*6} with i <= j, gradients {i: 6} and the cost at ``nodes``."""
-    side = lambda s: nodes.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _POSE])
-    rows = factors.join(side("a"), "a").join(side("b"), "b", "left")
-    summed = rows.mapInPandas(_blocks, _BLOCKS).groupBy("i", "j").agg(F.sum("cost").alias("cost"), *[F.sum(c).alias(c) for c in _H + _G])
-    h, g, cost = {}, {}, 0.0
-    pdf = summed.toPandas()
-    for r, hs, gs in zip(pdf[["i", "j", "cost"]].itertuples(index=False), pdf[_H].to_numpy(), pdf[_G].to_numpy(), strict=True):
-        h[(int(r.i), int(r.j))] = hs.reshape(6, 6)
-        cost += r.cost
-        if r.i == r.j:
-            g[int(r.i)] = gs
-    return h, g, cost
+    summed = with_nodes(factors, nodes).mapInPandas(_blocks, _BLOCKS).groupBy("i", "j").agg(F.sum("cost").alias("cost"), *[F.sum(c).alias(c) for c in _H + _G])
+    return _as_system(summed.toPandas())
+
+
+def residuals(factors: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, residual array<double> (divided by sigma, and weighted where robust) and cost of every constraint at ``nodes``."""
+    rows = with_nodes(factors, nodes)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            for found in linearise(pdf) if len(pdf) else []:
+                yield pdf.loc[found.at, keep].assign(residual=[r.tolist() for r in found.residual], cost=found.cost)
+
+    return rows.mapInPandas(run, f"{fields}, residual array<double>, cost double")
 
 
 class BlockCholesky:
@@ -179,6 +226,42 @@ class BlockCholesky:
         return {k: inverse[(n, n)] for n, k in enumerate(self.order)}
 
 
+def moved(pose: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """A pose (x, y, z, quaternion) after a right tangent."""
+    r, (dr, dt) = rotation_of(pose[3:]), se3_exp(step)
+    return np.concatenate([pose[:3] + r @ dt, quat_of(r @ dr)])
+
+
+@dataclass
+class Descent:
+    state: dict[int, np.ndarray]
+    cost: float
+    first_cost: float
+    rounds: int
+    blocks: dict
+
+
+def descend(system, state: dict[int, np.ndarray], order: list[int], most: int, tolerance: float) -> Descent:
+    """Levenberg-Marquardt; system(state) gives blocks, gradients and cost."""
+    h, g, cost = system(state)
+    first, damping, rounds = cost, 1e-4, 0
+    while rounds < most:
+        rounds += 1
+        step = BlockCholesky(h, order, damping).solve({k: -v for k, v in g.items()})
+        there = {k: moved(v, step[k]) for k, v in state.items()}
+        h2, g2, cost2 = system(there)
+        if cost2 <= cost:
+            gain = cost - cost2
+            state, h, g, cost, damping = there, h2, g2, cost2, max(damping / 10, 1e-12)
+            if gain <= tolerance * max(cost, 1e-12) or max(np.abs(x).max() for x in step.values()) < 1e-9:
+                break
+        else:
+            damping *= 10
+            if damping > 1e8:
+                break
+    return Descent(state, cost, first, rounds, h)
+
+
 @dataclass
 class Solution:
     nodes: DataFrame
@@ -189,37 +272,56 @@ class Solution:
 
 
 def optimise(spark: SparkSession, factors: DataFrame, nodes: DataFrame, order: list[int] | None = None, most: int = 100, tolerance: float = 1e-9, with_marginals: bool = False) -> Solution:
-    """Minimise the constraints' cost from ``nodes`` (NODE columns). order: node ids in time order, else by id."""
+    """Minimise one problem's cost from ``nodes`` (NODE columns). order: node ids in time order, else by id."""
     factors = factors.persist()
     state = {int(r["id"]): np.array([r[c] for c in _POSE]) for r in nodes.collect()}
     order = order or sorted(state)
     frame = lambda s: spark.createDataFrame([(k, *map(float, v)) for k, v in s.items()], NODE)
     try:
-        h, g, cost = normal_equations(factors, frame(state))
-        first, damping, rounds = cost, 1e-4, 0
-        while rounds < most:
-            rounds += 1
-            step = BlockCholesky(h, order, damping).solve({k: -v for k, v in g.items()})
-            moved = {}
-            for k, v in state.items():
-                r, (dr, dt) = rotation_of(v[3:]), se3_exp(step[k])
-                moved[k] = np.concatenate([v[:3] + r @ dt, quat_of(r @ dr)])
-            h2, g2, cost2 = normal_equations(factors, frame(moved))
-            if cost2 <= cost:
-                gain = cost - cost2
-                state, h, g, cost, damping = moved, h2, g2, cost2, max(damping / 10, 1e-12)
-                if gain <= tolerance * max(cost, 1e-12) or max(np.abs(x).max() for x in step.values()) < 1e-9:
-                    break
-            else:
-                damping *= 10
-                if damping > 1e8:
-                    break
-        marginals = BlockCholesky(h, order).marginals() if with_marginals else None
-        return Solution(frame(state), cost, first, rounds, marginals)
+        found = descend(lambda s: normal_equations(factors, frame(s)), state, order, most, tolerance)
+        marginals = BlockCholesky(found.blocks, order).marginals() if with_marginals else None
+        return Solution(frame(found.state), found.cost, found.first_cost, found.rounds, marginals)
     finally:
         factors.unpersist()
 
 
+def optimise_groups(factors: DataFrame, nodes: DataFrame, by: list[str], most: int = 100, tolerance: float = 1e-9, with_marginals: bool = False) -> DataFrame:
+    """by, NODE columns, cost, first_cost, rounds, covariance array<double> (36, of [rotation, translation]; null without marginals).
+
+    Each group of factors and nodes is a problem of its own and is solved in one task, so many are
+    solved at once and nothing comes to the driver; a group must fit in a task.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+
+    def run(own_nodes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own_nodes = own_nodes.sort_values("id", ignore_index=True)
+        ids = own_nodes["id"].to_numpy(dtype=np.int64)
+        poses = own_nodes[_POSE].to_numpy(dtype=float)
+        own = own.reset_index(drop=True)
+        at = {s: np.searchsorted(ids, own[s].fillna(ids[0] if len(ids) else 0).to_numpy(dtype=np.int64)) for s in "abc"}
+
+        def system(state: dict[int, np.ndarray]):
+            now = np.stack([state[k] for k in ids.tolist()])
+            sides = [pd.DataFrame(now[at[s]], columns=[f"{s}_{c}" for c in _POSE]) for s in "abc"]
+            return _as_system(blocks(pd.concat([own, *sides], axis=1)))
+
+        if len(own) and len(ids):
+            order = ids.tolist()
+            found = descend(system, dict(zip(order, poses, strict=True)), order, most, tolerance)
+            now, cost, first, rounds = np.stack([found.state[k] for k in order]), found.cost, found.first_cost, found.rounds
+            marginals = BlockCholesky(found.blocks, order).marginals() if with_marginals else {}
+        else:
+            now, cost, first, rounds, marginals = poses, 0.0, 0.0, 0, {}
+        out = own_nodes[[*by, "id"]].copy()
+        out[_POSE] = now
+        out["cost"], out["first_cost"], out["rounds"] = cost, first, rounds
+        out["covariance"] = [marginals[k].reshape(-1).tolist() if k in marginals else None for k in ids.tolist()]
+        return out
+
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    return nodes.select(*by, "id", *_POSE).groupBy(*by).cogroup(factors.groupBy(*by)).applyInPandas(run, f"{fields}, {NODE}, cost double, first_cost double, rounds int, covariance array<double>")
+
+
 def multilaterate(ranges: DataFrame, by: list[str], most: int = 50) -> DataFrame:
     """by, x, y, z, cost, trace: each group's position from ranges (ax, ay, az, z, sigma) to fixed points, with the trace of its covariance.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.functions.geometry import Vector, length, minus, quadratic_form, times, vec
+from marram.operators.ranks import quantiles
 
 CELL = ("ix", "iy", "iz")
 
@@ -26,7 +27,14 @@ class Occupancy:
     beta: float = 0.5
     weighted: bool = True
     use_pose_weight: bool = True
+    #: Pose uncertainty moves the occupied evidence along the ray, over so many sigmas.
     spread: bool = False
+    spread_reach: float = 2.0
+    #: Or it lessens free evidence only: "off", "scale" or "truncate".
+    free_mode: str = "off"
+    free_alpha: float | None = None
+    truncate_sigmas: float = 1.0
+    #: 0 keeps what is seen of others.
     dynamic_radius: float = 0.35
 
 
@@ -129,7 +137,7 @@ def free_scale(value: Column, sigma: Column, resolution: float, alpha: float | N
 
 def survives_truncation(sigma: Column, resolution: float, k: float, pos: Column, cells: Column) -> Column:
     """Whether a cell stays when a ray loses its last floor(k * sigma / resolution) cells."""
-    return pos < cells - F.least(F.floor(k * sigma / resolution), cells)
+    return pos < cells - dropped_cells(sigma, resolution, k, cells)
 
 
 def spread_endpoints(points: DataFrame, keep: list[str], origin: tuple[str, str, str], point: tuple[str, str, str], sigma: str, value: str, resolution: float, reach: float = 2.0) -> DataFrame:
@@ -208,19 +216,74 @@ def two_level_mean(df: DataFrame, frame: list[str], value: str, out: str) -> Dat
     return df.groupBy(*frame).agg(F.avg(value).alias("__m")).agg(F.avg("__m").alias(out))
 
 
-def integrate(points: DataFrame, c: Occupancy, frame: list[str], origin: tuple[str, str, str], point: tuple[str, str, str], others: str | None = None) -> DataFrame:
+def kept_rays(points: DataFrame, c: Occupancy, origin: tuple[str, str, str], point: tuple[str, str, str]) -> DataFrame:
+    """Points whose ray is longer than a cell and no longer than max_ray."""
+    n = length(minus(vec(*point), vec(*origin)))
+    return points.where((n > c.resolution) & (n <= c.max_ray))
+
+
+def integrate(points: DataFrame, c: Occupancy, frame: list[str], origin: tuple[str, str, str], point: tuple[str, str, str], others: str | None = None, covariance: str | None = None) -> DataFrame:
     """Evidence rows (frame, ix, iy, iz, value) of points with columns tr and sigma_z: occupied ends and free cells.
 
     Rays no longer than a cell or over max_ray go. A point near another entity leaves no occupied
-    evidence but still carves.
+    evidence but still carves. With ``spread``, a frame's position sigma (root of tr) spreads the
+    occupied evidence along the ray and free cells end before the uncertain band; under half a cell
+    nothing changes. With a free_mode, the position covariance (array of 9) projected on the ray
+    scales the free evidence, or cuts off the last cells.
     """
+    if c.free_mode not in ("off", "scale", "truncate"):
+        raise ValueError(f"no such free_mode: {c.free_mode}")
+    by_ray = c.free_mode != "off" and not c.spread
+    if by_ray and covariance is None:
+        raise ValueError("free_mode needs the position covariance")
     o, p = vec(*origin), vec(*point)
-    n = length(minus(p, o))
-    rows = points.withColumn("__w", weight(F.col("tr"), F.col("sigma_z"), c)).where((n > c.resolution) & (n <= c.max_ray)).withColumn("__ray", F.monotonically_increasing_id())
-    still = rows if others is None else rows.where(~near_any(p, F.col(others), c.dynamic_radius))
-    ends = still.select(*frame, *[x.alias(k) for x, k in zip(cell_of(p, c.resolution), CELL, strict=True)], (F.col("__w") * c.l_occ).alias("value"))
-    free = crossed_cells(rows, [*frame, "__ray", "__w"], origin, point, c.resolution).select(*frame, *CELL, (F.col("__w") * c.l_free).alias("value"))
-    return ends.unionByName(free)
+    rows = kept_rays(points.withColumn("__w", weight(F.col("tr"), F.col("sigma_z"), c)), c, origin, point)
+    still = rows if others is None or c.dynamic_radius <= 0 else rows.where(~near_any(p, F.col(others), c.dynamic_radius))
+    if c.spread:
+        sigma = F.sqrt(F.greatest(F.col("tr"), F.lit(0.0)))
+        still = still.withColumns({"__sigma": sigma, "__value": F.col("__w") * c.l_occ})
+        ends = spread_endpoints(still, frame, origin, point, "__sigma", "__value", c.resolution, c.spread_reach)
+        end, live = free_end(o, p, F.when(sigma >= c.resolution / 2, c.spread_reach * sigma).otherwise(0.0))
+        rows = rows.withColumns({f"__e{k}": x for k, x in enumerate(end)}).where(live)
+        free = crossed_cells(rows, [*frame, "__w"], origin, ("__e0", "__e1", "__e2"), c.resolution)
+    else:
+        ends = still.select(*frame, *[x.alias(k) for k, x in zip(CELL, cell_of(p, c.resolution), strict=True)], (F.col("__w") * c.l_occ).alias("value"))
+        rows = rows.withColumn("__su", ray_sigma(F.col(covariance), o, p, c.resolution) if by_ray else F.lit(0.0))
+        free = crossed_cells(rows, [*frame, "__w", "__su"], origin, point, c.resolution)
+    value = F.col("__w") * c.l_free
+    if by_ray and c.free_mode == "scale":
+        value = free_scale(value, F.col("__su"), c.resolution, c.free_alpha)
+    elif by_ray:
+        free = free.where(survives_truncation(F.col("__su"), c.resolution, c.truncate_sigmas, F.col("pos"), F.col("cells")))
+    return ends.unionByName(free.select(*frame, *CELL, value.alias("value")))
+
+
+def frame_counts(frames: DataFrame, points: DataFrame, c: Occupancy, origin: tuple[str, str, str], point: tuple[str, str, str]) -> DataFrame:
+    """One row (n_frames, n_points): all frames, those without a ray too, and the rays that were kept."""
+    n = kept_rays(points, c, origin, point).agg(F.count(F.lit(1)).alias("n_points"))
+    return frames.agg(F.count(F.lit(1)).alias("n_frames")).crossJoin(n)  # one row each
+
+
+def sigma_stats(rays: DataFrame, sigma: str) -> DataFrame:
+    """One row (median, p90) of a sigma over all rays of all frames."""
+    return rays.sparkSession.createDataFrame([tuple(quantiles(rays, F.col(sigma), [0.5, 0.9]))], "median double, p90 double")
+
+
+def dropped_cells(sigma: Column, resolution: float, k: float, cells: Column) -> Column:
+    """How many of a ray's cells truncation takes."""
+    return F.least(F.floor(k * sigma / resolution), cells)
+
+
+def trace_range(poses: DataFrame, by: list[str], trace: str) -> DataFrame:
+    """by, low, middle, high: least, median and greatest covariance trace; an entity's distinct values must fit in a task."""
+    return poses.groupBy(*by).agg(F.min(trace).alias("low"), F.percentile(trace, 0.5).alias("middle"), F.max(trace).alias("high"))
+
+
+def sampled_frames(pixels: DataFrame, frame: list[str], valid: Column, row: str, column: str, least: int = 100, step: int = 4) -> DataFrame:
+    """Valid pixels of every step-th row and column, of frames with ``least`` valid pixels before that."""
+    good = pixels.where(valid)
+    frames = good.groupBy(*frame).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    return good.where((F.col(row) % step == 0) & (F.col(column) % step == 0)).join(frames, frame, "left_semi")
 
 
 def position_windows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

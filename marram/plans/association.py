@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marram.operators import cleaning
 from marram.operators.asof import nearest_asof, nearest_to_first
 from marram.plans.registry import DAY, HOUR, events, of_type, points, query, r6, table
+from marram.sources import logs
 
 _KINDS = "p AS (SELECT user_id, event_id, value, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, event_id, value, epoch_us(ts) AS t FROM events WHERE event_type = '{}')"
 
@@ -189,7 +190,39 @@ def smoothing_spline(spark, sf_dir):
     return cleaning.smoothed(e, ["user_id"], "t", ["value"], 0.9999)
 
 
-@query()
+@query("""
+WITH RECURSIVE u AS (SELECT label, vec_id, embedding[1]::DOUBLE / n AS a, embedding[2]::DOUBLE / n AS b, embedding[3]::DOUBLE / n AS c, embedding[4]::DOUBLE / n AS d, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k
+    FROM (SELECT *, sqrt(embedding[1]::DOUBLE ** 2 + embedding[2]::DOUBLE ** 2 + embedding[3]::DOUBLE ** 2 + embedding[4]::DOUBLE ** 2) AS n FROM embeddings)),
+r AS (SELECT label, k, a AS ga, b AS gb, c AS gc, d AS gd, false AS bad FROM u WHERE k = 1
+    UNION ALL SELECT label, k, CASE WHEN bad THEN ga ELSE a END, CASE WHEN bad THEN gb ELSE b END, CASE WHEN bad THEN gc ELSE c END, CASE WHEN bad THEN gd ELSE d END, bad
+    FROM (SELECT u.*, r.ga, r.gb, r.gc, r.gd, 2 * acos(least(1.0, abs(u.a * r.ga + u.b * r.gb + u.c * r.gc + u.d * r.gd))) > 1.0 AS bad FROM r JOIN u ON u.label = r.label AND u.k = r.k + 1))
+SELECT u.label, u.vec_id FROM u JOIN r ON u.label = r.label AND u.k = r.k LEFT JOIN r s ON s.label = r.label AND s.k = r.k + 1 WHERE r.bad OR coalesce(s.bad, false)""")
 def rotation_outliers(spark, sf_dir):
     quat = ["qx", "qy", "qz", "qw"]
     return cleaning.rotation_outliers(points(spark, sf_dir, quat), ["label"], "vec_id", quat).where("flagged").select("label", "vec_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS n FROM events) WHERE n % 9 = 0")
+def raw_subsample_all(spark, sf_dir):
+    """Every ninth row of the whole log, ranked range by range."""
+    return cleaning.every_kth(events(spark, sf_dir), 9, [], ["t", "event_id"]).select("event_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 3")
+def first_frames(spark, sf_dir):
+    return cleaning.first_rows(events(spark, sf_dir), 3, ["user_id"], ["t", "event_id"]).select("user_id", "event_id")
+
+
+@query(f"""
+WITH k AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'),
+f AS (SELECT DISTINCT epoch_us(date_trunc('minute', ts)) AS t, strftime(date_trunc('minute', ts), '%Y%m%d%H%M') AS name FROM events WHERE event_type = 'view'
+      INTERSECT SELECT epoch_us(date_trunc('minute', ts)), strftime(date_trunc('minute', ts), '%Y%m%d%H%M') FROM events WHERE event_type = 'click'),
+p AS (SELECT k.event_id, 'l/' || (f.t // 1000000) || '.jpeg' AS left_path, 'r/' || (f.t // 1000000) || '.jpeg' AS right_path, abs(k.t - f.t) AS gap, f.t AS ft FROM k, f WHERE abs(k.t - f.t) <= {12 * HOUR})
+SELECT event_id, left_path, right_path FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap, ft) AS n FROM p) WHERE n = 1""")
+def frame_index(spark, sf_dir):
+    """Keyframes with the stereo pair nearest in time, told by the stems that both folders have."""
+    e = events(spark, sf_dir)
+    listing = lambda kind, folder: of_type(e, kind).select(F.concat(F.lit(folder + "/"), (F.floor(F.col("t") / 60_000_000) * 60).cast("string"), F.lit(".jpeg")).alias("path")).distinct()
+    keyframes = of_type(e, "purchase").select("event_id", (F.col("t") / 1e6).alias("t"))
+    met = logs.nearest_frames(keyframes, listing("view", "l"), listing("click", "r"), 12 * 3600.0)
+    return met.select("event_id", "left_path", "right_path")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from marram.functions.geometry import CIVIDIS, VIRIDIS, colour, vec
+from marram.functions.geometry import CIVIDIS, VIRIDIS, colour, logistic, rotate, vec
 from marram.operators import maps, voxels
 from marram.operators.voxels import CELL
 from marram.plans.registry import events, points, query, r6, table
+from marram.sources import sinks
 
 FX, FY, CX, CY, FB = 386.0, 386.0, 424.0, 240.0, 20.0
 
@@ -29,9 +32,8 @@ WITH f AS (SELECT l_shipdate FROM lineitem WHERE l_quantity BETWEEN 4 AND 45 GRO
 SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate IN (SELECT l_shipdate FROM f) AND l_partkey % 4 = 0 AND l_suppkey % 4 = 0 AND l_quantity BETWEEN 4 AND 45""")
 def valid_frames(spark, sf_dir):
     """Frames with enough valid pixels, counted before every fourth row and column is taken."""
-    valid = table(spark, sf_dir, "lineitem").where("l_quantity BETWEEN 4 AND 45").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
-    frames = valid.groupBy("l_shipdate").agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
-    return valid.where("l_partkey % 4 = 0 AND l_suppkey % 4 = 0").join(frames, "l_shipdate", "left_semi").select("l_orderkey", "l_linenumber")
+    pixels = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
+    return voxels.sampled_frames(pixels, ["l_shipdate"], F.col("l_quantity").between(4, 45), "l_partkey", "l_suppkey", 12, 4).select("l_orderkey", "l_linenumber")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(least(greatest(exp(-l_discount / 0.3) * exp(-((l_tax * 5) * (l_tax * 5)) / 0.5), 0), 1), 6) AS w FROM lineitem""")
@@ -236,7 +238,7 @@ def framing_percentiles(spark, sf_dir):
 
 @query("SELECT round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events")
 def sigma_u_stats(spark, sf_dir):
-    return events(spark, sf_dir).agg(r6(F.percentile("value", 0.5)).alias("median"), r6(F.percentile("value", 0.9)).alias("p90"))
+    return voxels.sigma_stats(events(spark, sf_dir), "value").select(r6("median").alias("median"), r6("p90").alias("p90"))
 
 
 @query("SELECT round(avg(m), 6) AS mean_drop FROM (SELECT avg(value) AS m FROM events GROUP BY user_id)")
@@ -246,7 +248,112 @@ def trunc_stats(spark, sf_dir):
 
 @query("SELECT event_type, min(value) AS low, quantile_cont(value, 0.5) AS middle, max(value) AS high FROM events GROUP BY event_type")
 def trace_range(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(F.min("value").alias("low"), F.percentile("value", 0.5).alias("middle"), F.max("value").alias("high"))
+    return voxels.trace_range(events(spark, sf_dir), ["event_type"], "value")
+
+
+#: Rays of frames (label) with a depth sigma and a pose covariance diag(c, c / 2, c / 4), c = 0.2 * label; the trace is 1.75 c.
+_MAP = voxels.Occupancy(resolution=RES, max_ray=4.0, dynamic_radius=1.0)
+_KEPT = f"""kept AS (SELECT *, least(greatest({{weight}}, 0), 1) AS w, sqrt(least({", ".join(f"(px - {a}::DOUBLE) ** 2 + (py - {b}::DOUBLE) ** 2 + (pz - {c}::DOUBLE) ** 2" for a, b, c in _OTHERS)})) < 1.0 AS near
+    FROM (SELECT *, sqrt((px - ox) ** 2 + (py - oy) ** 2 + (pz - oz) ** 2) AS n, label * 0.2 * 1.75 AS tr, (vec_id % 10) / 20.0::DOUBLE AS sz FROM ray) WHERE n > {RES} AND n <= 4.0)"""
+_WEIGHT = "exp(-tr / 0.3) * exp(-(sz * sz) / 0.5)"
+_ENDS = f"""ends AS (SELECT label, floor(px / {RES})::BIGINT AS ix, floor(py / {RES})::BIGINT AS iy, floor(pz / {RES})::BIGINT AS iz, w * 0.85 AS value FROM kept WHERE NOT near)"""
+
+
+def _integrated(spark, sf_dir, c):
+    rays = _rays(spark, sf_dir)
+    k, zero = F.col("label") * 0.2, F.lit(0.0)
+    others = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "xyz", strict=True)]) for o in _OTHERS])
+    rays = rays.withColumns({"tr": k * 1.75, "sigma_z": (F.col("vec_id") % 10) / 20.0, "sigma_pos": F.array(k, zero, zero, zero, k * 0.5, zero, zero, zero, k * 0.25), "mates": others})
+    found = voxels.frame_evidence(voxels.integrate(rays, c, ["label"], ORIGIN, POINT, "mates", "sigma_pos"), ["label"])
+    return found.select("label", *CELL, (r6("value") + 0.0).alias("value"))
+
+
+def _integrate_sql(free: str, more: str = "") -> str:
+    return f"""WITH RECURSIVE {_RAYS}{more}, {_KEPT.format(weight=_WEIGHT)}, {_ENDS},
+    free AS (SELECT kept.label, c.ix, c.iy, c.iz, {free})
+    SELECT label, ix, iy, iz, round(sum(value), 6) + 0.0 AS value FROM (SELECT * FROM ends UNION ALL SELECT * FROM free) GROUP BY ALL"""
+
+
+@query(_integrate_sql("w * -0.4 AS value FROM kept JOIN crossed c USING (vec_id)"))
+def integrate_plain(spark, sf_dir):
+    return _integrated(spark, sf_dir, _MAP)
+
+
+@query(_integrate_sql(f"w * -0.4 * exp(-(su * su) / {RES * RES}) AS value FROM kept JOIN crossed c USING (vec_id) JOIN sig USING (vec_id)", ", " + _SIGMA))
+def integrate_free_scale(spark, sf_dir):
+    return _integrated(spark, sf_dir, replace(_MAP, free_mode="scale"))
+
+
+@query(_integrate_sql(f"w * -0.4 AS value FROM kept JOIN crossed c USING (vec_id) JOIN sig USING (vec_id) WHERE pos < cells - least(floor(1.0 * su / {RES}), cells)", ", " + _SIGMA))
+def integrate_free_truncate(spark, sf_dir):
+    return _integrated(spark, sf_dir, replace(_MAP, free_mode="truncate"))
+
+
+_SPREAD_RAYS = _RAYS.replace("embedding[4]::DOUBLE * 10 AS px", "embedding[4]::DOUBLE * 10 AS fx").replace("embedding[5]::DOUBLE * 10 AS py", "embedding[5]::DOUBLE * 10 AS fy").replace("embedding[6]::DOUBLE * 10 AS pz FROM embeddings)", f"""embedding[6]::DOUBLE * 10 AS fz FROM embeddings),
+    cut AS (SELECT *, sqrt((fx - ox) ** 2 + (fy - oy) ** 2 + (fz - oz) ** 2) AS n, sqrt(label * 0.2 * 1.75) AS s FROM full_ray),
+    stop AS (SELECT *, least(greatest((n - CASE WHEN s >= {RES / 2} THEN 2.0 * s ELSE 0.0 END) / n, 0), 1) AS q FROM cut),
+    ray AS (SELECT vec_id, label, ox, oy, oz, ox + (fx - ox) * q AS px, oy + (fy - oy) * q AS py, oz + (fz - oz) * q AS pz FROM stop WHERE q > 0 AND n > {RES} AND n <= 4.0)""").replace("ray AS (SELECT vec_id, label", "full_ray AS (SELECT vec_id, label", 1)
+
+
+@query(f"""WITH RECURSIVE {_SPREAD_RAYS},
+    kept AS (SELECT *, exp(-(((vec_id % 10) / 20.0::DOUBLE) ** 2) / 0.5) AS w, sqrt(least({", ".join(f"(fx - {a}::DOUBLE) ** 2 + (fy - {b}::DOUBLE) ** 2 + (fz - {c}::DOUBLE) ** 2" for a, b, c in _OTHERS)})) < 1.0 AS near FROM stop WHERE n > {RES} AND n <= 4.0),
+    k AS (SELECT *, CASE WHEN s >= {RES / 2} THEN 2.0 * s ELSE 0.0 END AS tr, CASE WHEN s >= {RES / 2} THEN ceil(2 * (2.0 * s) / {RES})::INT + 1 ELSE 1 END AS m FROM kept WHERE NOT near),
+    x AS (SELECT *, CASE WHEN m > 1 THEN -tr + i * (2 * tr / (m - 1)) ELSE 0.0 END AS off FROM (SELECT *, unnest(range(m)) AS i FROM k)),
+    g AS (SELECT *, CASE WHEN m > 1 THEN exp(-(off * off) / (2 * s * s)) ELSE 1.0 END AS d FROM x),
+    ends AS (SELECT label, floor((fx + (fx - ox) / n * off) / {RES})::BIGINT AS ix, floor((fy + (fy - oy) / n * off) / {RES})::BIGINT AS iy, floor((fz + (fz - oz) / n * off) / {RES})::BIGINT AS iz, w * 0.85 * (d / sum(d) OVER (PARTITION BY vec_id)) AS value FROM g),
+    free AS (SELECT kept.label, c.ix, c.iy, c.iz, w * -0.4 AS value FROM kept JOIN crossed c USING (vec_id))
+    SELECT label, ix, iy, iz, round(sum(value), 6) + 0.0 AS value FROM (SELECT * FROM ends UNION ALL SELECT * FROM free) GROUP BY ALL""")
+def integrate_spread(spark, sf_dir):
+    """Occupied evidence spread along the ray, free cells ended before the uncertain band."""
+    return _integrated(spark, sf_dir, replace(_MAP, spread=True))
+
+
+@query(f"""WITH {_RAYS.split(',' + chr(10) + 'cells AS')[0]}, k AS (SELECT count(*) AS n_points FROM ray WHERE sqrt((px - ox) ** 2 + (py - oy) ** 2 + (pz - oz) ** 2) > {RES} AND sqrt((px - ox) ** 2 + (py - oy) ** 2 + (pz - oz) ** 2) <= 4.0)
+SELECT (SELECT count(DISTINCT label) FROM ray) AS n_frames, n_points FROM k""")
+def frame_counts(spark, sf_dir):
+    rays = _rays(spark, sf_dir)
+    return voxels.frame_counts(rays.select("label").distinct(), rays, _MAP, ORIGIN, POINT)
+
+
+_QUAT_SQL = """q AS (SELECT vec_id, label, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y, embedding[3]::DOUBLE * 10 AS z, embedding[4]::DOUBLE / n AS a, embedding[5]::DOUBLE / n AS b, embedding[6]::DOUBLE / n AS c, embedding[7]::DOUBLE / n AS w
+    FROM (SELECT *, sqrt(embedding[4]::DOUBLE ** 2 + embedding[5]::DOUBLE ** 2 + embedding[6]::DOUBLE ** 2 + embedding[7]::DOUBLE ** 2) AS n FROM embeddings))"""
+
+
+@query(f"""WITH {_QUAT_SQL} SELECT vec_id, round((1 - 2 * (b * b + c * c)) * x + 2 * (a * b - c * w) * y + 2 * (a * c + b * w) * z + 1.5, 6) AS wx,
+    round(2 * (a * b + c * w) * x + (1 - 2 * (a * a + c * c)) * y + 2 * (b * c - a * w) * z - 0.5, 6) AS wy, round(2 * (a * c - b * w) * x + 2 * (b * c + a * w) * y + (1 - 2 * (a * a + b * b)) * z + 0.25, 6) AS wz FROM q""")
+def world_points(spark, sf_dir):
+    """Camera points moved to the world by a row-major rotation and a position."""
+    p = points(spark, sf_dir, ["x", "y", "z", "qx", "qy", "qz", "qw"])
+    n = F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2 + F.col("qw") ** 2)
+    q = tuple(F.col(c) / n for c in ("qx", "qy", "qz", "qw"))
+    axes = [rotate(q, tuple(F.lit(1.0 if i == k else 0.0) for i in range(3))) for k in range(3)]
+    matrix = F.array(*[axes[k][r] for r in range(3) for k in range(3)])
+    out = voxels.to_world(matrix, tuple(F.col(c) * 10 for c in "xyz"), (F.lit(1.5), F.lit(-0.5), F.lit(0.25)))
+    return p.select("vec_id", *[r6(c).alias(k) for c, k in zip(out, ("wx", "wy", "wz"), strict=True)])
+
+
+@query(f"""WITH {_RAYS.split(',' + chr(10) + 'cells AS')[0]}, d AS (SELECT *, sqrt((px - ox) ** 2 + (py - oy) ** 2 + (pz - oz) ** 2) AS n, label * 0.4 AS trunc FROM ray),
+s AS (SELECT *, least(greatest((n - trunc) / n, 0), 1) AS k FROM d)
+SELECT vec_id, round(ox + (px - ox) * k, 6) AS x, round(oy + (py - oy) * k, 6) AS y, round(oz + (pz - oz) * k, 6) AS z, k > 0 AS live FROM s""")
+def free_end(spark, sf_dir):
+    end, live = voxels.free_end(vec(*ORIGIN), vec(*POINT), F.col("label") * 0.4)
+    return _rays(spark, sf_dir).select("vec_id", *[r6(c).alias(k) for c, k in zip(end, "xyz", strict=True)], live.alias("live"))
+
+
+@query("""WITH c AS (SELECT vec_id, floor(embedding[1]::DOUBLE * 10 / 0.00003::DOUBLE + 1e-6::DOUBLE)::BIGINT AS ix, floor(embedding[2]::DOUBLE * 10 / 0.00003::DOUBLE + 1e-6::DOUBLE)::BIGINT AS iy, floor(embedding[3]::DOUBLE * 10 / 0.00003::DOUBLE + 1e-6::DOUBLE)::BIGINT AS iz FROM embeddings)
+SELECT vec_id, ix, iy, iz FROM c WHERE abs(ix) < 32767 AND abs(iy) < 32767 AND abs(iz) < 32767""")
+def int16_cells(spark, sf_dir):
+    return maps.voxel_index(points(spark, sf_dir, ["x", "y", "z"], 10.0), 0.00003).select("vec_id", *CELL)
+
+
+@query(f"WITH {_VOXELS} SELECT ix, iy, iz FROM c WHERE (iz + 0.5::DOUBLE) * 1.0 BETWEEN -0.5 AND 1.5")
+def height_slice(spark, sf_dir):
+    return sinks.height_slice(_voxels(spark, sf_dir), 1.0, -0.5, 1.5)
+
+
+@query(f"WITH {_EVIDENCE}, {_FOLD} SELECT ix, iy, iz, round(1 / (1 + exp(-l)), 6) AS p FROM fold")
+def occupancy_probability(spark, sf_dir):
+    return _fold(spark, sf_dir).select(*CELL, r6(logistic(F.col("l"))).alias("p"))
 
 
 def _stops_sql(stops) -> str:

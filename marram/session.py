@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,3 +30,26 @@ def local_session(cpus: int | None = None, memory: str = "8g", app: str = "marra
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder.
+
+    A temporary one is set only in local mode with none configured; on a cluster a missing
+    setting is an error, for a machine-local folder would lose data with its executor.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = context.getConf().get("spark.checkpoint.dir", None)
+        if configured is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="marram-checkpoint-")
+        context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -6,12 +6,11 @@ through the session's file systems, so a root may be in any store that Spark rea
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.operators import cleaning
+from marram.operators.asof import nearest_asof
 from marram.sources import schemas
 
 
@@ -85,45 +84,81 @@ def smoothed_truth(raw: DataFrame, at: DataFrame, smooth: float = 0.9999) -> Dat
 
 
 def ranges(spark: SparkSession, root: str, seq: str, robots: list[str], most_std: float = 0.5) -> DataFrame:
-    """Ranges of all robots, the first of each (timestamp, from_id, to_id) in robot order, then the quality bound; with kind, by time."""
+    """Ranges of all robots, the first of each (timestamp, from_id, to_id) in robot order, then the quality bound; with kind."""
     paths = [f"{root}/{seq}/{r}/uwb_range.csv" for r in robots]
     found = [_csv(spark, p, schemas.RANGES) for p in paths if exists(spark, p)]
     if not found:
         raise FileNotFoundError(f"no ranges for sequence {seq}")
     # Rows of one file keep their order of reading among equal keys.
     found = [p.withColumn("__row", F.monotonically_increasing_id()) for p in found]
-    tagged = reduce(DataFrame.unionByName, [p.withColumn("__part", F.lit(i)) for i, p in enumerate(found)])
-    kept = cleaning.keep_first(tagged, ["timestamp", "from_id", "to_id"], ["__part", "__row"]).where(F.col("std") <= most_std)
-    return kept.withColumn("kind", cleaning.range_kind(F.col("to_id"))).drop("__part", "__row").orderBy("timestamp")
+    kept = cleaning.union_ranges(found, ["timestamp", "from_id", "to_id"], "std", most_std, ["__row"])
+    return kept.withColumn("kind", cleaning.range_kind(F.col("to_id"))).drop("__row")
+
+
+def by_time(rows: DataFrame, time: str = "timestamp", most: int | None = None) -> DataFrame:
+    """Rows in time order for output, the first ``most`` of them if given; readers leave order to who needs it."""
+    ordered = rows.orderBy(time)
+    return ordered if most is None else ordered.limit(most)
 
 
 def heights(spark: SparkSession, root: str, seq: str, robot: str, bias: float) -> DataFrame:
     rows = _csv(spark, f"{root}/{seq}/{robot}/height.csv", schemas.HEIGHT)
-    return rows.select("timestamp", (F.col("range") - bias).alias("h")).orderBy("timestamp")
+    return rows.select("timestamp", (F.col("range") - bias).alias("h"))
 
 
 def keyframes(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless text of eight columns between white space, by time."""
+    """Headerless text of eight columns between white space."""
     if not exists(spark, path):
         return spark.createDataFrame([], ", ".join(f"{c} double" for c in schemas.KEYFRAMES))
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(F.trim("value") != "")
-    return rows.select(*[F.get(parts, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(schemas.KEYFRAMES)]).orderBy("t")
+    return rows.select(*[F.get(parts, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(schemas.KEYFRAMES)])
 
 
 def odometry(spark: SparkSession, path: str, timeshift: float = 0.0, stride: int = 2) -> DataFrame:
     """t (seconds after the shift), pose (w-first in the file) and speed; every stride-th row in time order."""
     rows = _csv(spark, path, schemas.ODOMETRY, header=False)
     speed = cleaning.norm("vx", "vy", "vz")
-    rows = rows.select((F.col("ns") / 1e9 - timeshift).alias("t"), "x", "y", "z", "qx", "qy", "qz", "qw", speed.alias("v")).withColumn("one", F.lit(0))
-    return cleaning.every_kth(rows, stride, ["one"], ["t"]).drop("one").orderBy("t")
+    rows = rows.select((F.col("ns") / 1e9 - timeshift).alias("t"), "x", "y", "z", "qx", "qy", "qz", "qw", speed.alias("v"))
+    return cleaning.every_kth(rows, stride, [], ["t"])
 
 
 def frame_pairs(left: DataFrame, right: DataFrame, path: str = "path") -> DataFrame:
     """File names (with stem as a number) that both listings have, by stem."""
     name = F.substring_index(F.col(path), "/", -1).alias("name")
     both = left.select(name).intersect(right.select(name))
-    return both.withColumn("t", F.regexp_replace("name", r"\.[^.]*$", "").cast("double")).orderBy("t")
+    return both.withColumn("t", F.regexp_replace("name", r"\.[^.]*$", "").cast("double"))
+
+
+def nearest_frames(keyframes: DataFrame, left: DataFrame, right: DataFrame, tolerance: float = 0.05, most: int | None = None, path: str = "path") -> DataFrame:
+    """Keyframes (t, ...) with the stereo pair nearest in time: frame_t, left_path, right_path; none over ``tolerance`` apart.
+
+    The pair is told by the stem that both listings have; ``most`` keeps the first so many in time.
+    """
+    one = F.lit(0)
+    pairs = frame_pairs(left, right, path).select(one.alias("__one"), F.col("t").alias("frame_t"), "name")
+    met = nearest_asof(keyframes.withColumn("__one", one), pairs, ["__one"], "t", "frame_t", ["name"], tolerance).withColumnRenamed("matched_on", "frame_t").drop("__one", "gap")
+    side = lambda df, alias: df.select(F.substring_index(F.col(path), "/", -1).alias("name"), F.col(path).alias(alias))
+    out = met.join(side(left, "left_path"), "name").join(side(right, "right_path"), "name").drop("name")
+    return out if most is None else by_time(out, "t", most)
+
+
+def enough_keyframes(spark: SparkSession, paths: dict[str, str], least: int = 20) -> dict[str, int]:
+    """Keyframes of each robot's file (0 where it is missing); robots under ``least`` are left out, for their front-end should run again."""
+    counts = {robot: keyframes(spark, path).count() for robot, path in paths.items()}
+    return {robot: n for robot, n in counts.items() if n >= least}
+
+
+def with_retries(run, robots: list[str], count, least: int = 20, attempts: int = 3) -> dict[str, int]:
+    """Runs ``run(robot)`` until ``count(robot)`` gives ``least`` keyframes, ``attempts`` times at most; the last count of each robot."""
+    out = {}
+    for robot in robots:
+        for _ in range(attempts):
+            run(robot)
+            out[robot] = count(robot)
+            if out[robot] >= least:
+                break
+    return out
 
 
 def image_listing(spark: SparkSession, folder: str, pattern: str = "*.jpeg") -> DataFrame:
@@ -145,5 +180,24 @@ def poses(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("p_body", F.coalesce("p_body", F.struct(at(3).alias("x"), at(7).alias("y"), at(11).alias("z"))))
 
 
+def npz_poses(spark: SparkSession, path: str, robot: str) -> DataFrame:
+    """A pose dump of NumPy arrays t, T, tr_sigma_pos and, if there, p_body and sigma_pos, as rows of schemas.DUMP; read in a task."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    poses = z["T"].reshape(-1, 16)
+                    body = z["p_body"] if "p_body" in z.files else z["T"][:, :3, 3]
+                    sigma = z["sigma_pos"].reshape(-1, 9).tolist() if "sigma_pos" in z.files else [None] * len(poses)
+                    yield pd.DataFrame({"robot": robot, "i": np.arange(len(poses), dtype=np.int32), "t": z["t"].astype(float), "T": poses.astype(float).tolist(), "tr_sigma_pos": z["tr_sigma_pos"].astype(float), "p_body": [dict(zip("xyz", map(float, b), strict=True)) for b in body], "sigma_pos": sigma})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schemas.DUMP)
+
+
 def seconds(ns: Column) -> Column:
     return ns / 1e9

@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marram.functions.geometry import colour
+from marram.operators import maps, ranks
+
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One file through Spark's file systems, replacing what is there."""
@@ -62,12 +65,97 @@ def viewer_payload(cells: DataFrame, resolution: float, most: int) -> dict:
     }
 
 
+#: Colours of the first three tracks in the viewer, and of any other.
+TRACK_COLOURS, OTHER_COLOUR = ((0.96, 0.65, 0.14), (0.18, 0.83, 0.75), (0.88, 0.36, 0.78)), (0.7, 0.7, 0.7)
+
+
+def viewer_scene(cells: DataFrame, tracks: DataFrame, resolution: float, most: int = 500_000, most_free: int = 60_000) -> dict:
+    """The viewer's whole payload from a map (ix, iy, iz, l) and camera tracks (robot, t, x, y, z).
+
+    Occupied cells (at most ``most``; more are an error) are coloured by height between the exact
+    first and last percentiles and come with neighbourhood shade and hidden faces; free cells are
+    thinned evenly; the view is framed on the tracks and the bulk of the occupied cells.
+    """
+    labelled = cells.withColumn("label", maps.classify(F.col("l")))
+    small = " AND ".join(f"abs({c}) < 32767" for c in maps.CELL)
+    occupied = labelled.where("label = 'occupied'").where(small).select(*maps.CELL)
+    centre = lambda c: (F.col(c) + 0.5) * resolution
+    low, high = ranks.quantiles(occupied, centre("iz"), [0.01, 0.99])
+    low, high = (0.0, 1.0) if low is None else (low, high if high - low >= 1e-3 else low + 1.0)
+    seen = maps.ambient_occlusion(occupied, []).join(maps.face_mask(occupied, []), list(maps.CELL))
+    shown = seen.select(*maps.CELL, *[c.alias(n) for c, n in zip(colour((centre("iz") - low) / (high - low)), "rgb", strict=True)], "ao", "mask")
+    dense = viewer_payload(shown, resolution, most)
+    free = maps.thinned(labelled.where("label = 'free'").where(small).select(*maps.CELL), most_free, list(maps.CELL))
+    span = occupied.agg(F.min(centre("iz")), F.max(centre("iz"))).first()
+    bulk = occupied.select(*[centre(c).alias(a) for c, a in zip(maps.CELL, "xyz", strict=True)]).where((F.col("z") > low) & (F.col("z") < high))
+    cloud = tracks.select("x", "y", "z").unionByName(bulk)
+    middle = [ranks.quantiles(cloud, F.col(a), [0.5])[0] or 0.0 for a in "xyz"]
+    far = F.sqrt(sum(((F.col(a) - m) * (F.col(a) - m) for a, m in zip("xyz", middle, strict=True)), F.lit(0.0)))
+    paths: dict = {}
+    for r in tracks.orderBy("robot", "t").select("robot", "x", "y", "z").collect():  # poses that carried a frame
+        paths.setdefault(r["robot"], []).append([round(r[a], 3) for a in "xyz"])
+    colours = dict(zip(sorted(paths), TRACK_COLOURS, strict=False))
+    return {
+        "res": resolution,
+        "occ_idx_b64": dense["idx"],
+        "occ_col_b64": dense["rgb"],
+        "occ_ao_b64": dense["ao"],
+        "occ_mask_b64": dense["mask"],
+        "free_idx_b64": packed(free.orderBy(*maps.CELL).toPandas()[list(maps.CELL)].to_numpy(), "<i2"),
+        "zmin": round(span[0] or 0.0, 2),
+        "zmax": round(1.0 if span[1] is None else span[1], 2),
+        "czmin": round(low, 2),
+        "czmax": round(high, 2),
+        "center": [round(m, 2) for m in middle],
+        "radius": round(ranks.quantiles(cloud, far, [0.97])[0] or 0.0, 2),
+        "trajs": [{"name": name, "color": list(colours.get(name, OTHER_COLOUR)), "pts": points} for name, points in paths.items()],
+        "color_mode": "height",
+        "color_label": "Voxel height (viridis)",
+    }
+
+
 def viewer_html(spark: SparkSession, template: str, payload: dict, title: str, subtitle: str, path: str) -> None:
     """Fill a template's marks for data, title and subtitle."""
     page = template.replace("/*__OCC_DATA__*/null", json.dumps(payload)).replace("__TITLE__", title).replace("__SUBTITLE__", subtitle)
     write_text(spark, path, page)
 
 
+def height_slice(cells: DataFrame, resolution: float, low: float, high: float) -> DataFrame:
+    """Cells whose centre lies in a height slice, bounds included."""
+    return cells.where(((F.col("iz") + 0.5) * resolution).between(low, high))
+
+
 def slice_count(cells: DataFrame, resolution: float, low: float, high: float) -> int:
-    """Cells whose centre lies in a height slice."""
-    return cells.where(((F.col("iz") + 0.5) * resolution).between(low, high)).count()
+    return height_slice(cells, resolution, low, high).count()
+
+
+#: Keys and numbers of the front-end's settings that do not depend on the camera.
+FRONT_END = (
+    ("Camera.fps", "30"),
+    ("Camera.RGB", "1"),
+    ("loopClosing", "1"),
+    ("loopCorrection", "0"),
+    ("ORBextractor.nFeatures", "1500"),
+    ("ORBextractor.scaleFactor", "1.2"),
+    ("ORBextractor.nLevels", "8"),
+    ("ORBextractor.iniThFAST", "20"),
+    ("ORBextractor.minThFAST", "7"),
+    ("Viewer.KeyFrameSize", "0.05"),
+    ("Viewer.KeyFrameLineWidth", "1.0"),
+    ("Viewer.GraphLineWidth", "0.9"),
+    ("Viewer.PointSize", "2.0"),
+    ("Viewer.CameraSize", "0.08"),
+    ("Viewer.CameraLineWidth", "3.0"),
+    ("Viewer.ViewpointX", "0.0"),
+    ("Viewer.ViewpointY", "-0.7"),
+    ("Viewer.ViewpointZ", "-1.8"),
+    ("Viewer.ViewpointF", "500.0"),
+)
+
+
+def front_end_settings(calibration) -> str:
+    """Settings text of the keyframe front-end for camera 0 of a ``dimensions.StereoCalibration``."""
+    head = [("File.version", '"1.0"'), ("Camera.type", '"PinHole"')]
+    camera = [(f"Camera1.{k}", repr(v)) for k, v in zip(("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2"), (*calibration.intrinsics[0], *calibration.distortion[0]), strict=True)]
+    size = [(f"Camera.{k}", str(v)) for k, v in zip(("width", "height"), calibration.size, strict=True)]
+    return "%YAML:1.0\n" + "".join(f"{k}: {v}\n" for k, v in (*head, *camera, *size, *FRONT_END))

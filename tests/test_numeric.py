@@ -70,8 +70,65 @@ def test_similarity_recovers_a_transform():
         sums[a + a] = float((src[:, i] ** 2).sum())
         for j, b in enumerate(("dx", "dy", "dz")):
             sums[a + b] = float((src[:, i] * dst[:, j]).sum())
-    scale, rotation, shift = similarity(sums, 30, True)
-    assert np.isclose(scale, 1.7) and np.allclose(rotation, r) and np.allclose(shift, [1, 2, 3])
+    scale, quaternion, shift = similarity(sums, 30, True)
+    assert np.isclose(scale, 1.7) and np.allclose(lie.rotation_of(quaternion), r) and np.allclose(shift, [1, 2, 3])
+
+
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_similarity_is_a_rotation_and_the_best_one(mirrored):
+    src = RNG.normal(size=(40, 3))
+    dst = src @ lie.so3_exp(np.array([0.2, 0.5, -0.4])).T + RNG.normal(0, 0.3, (40, 3))
+    if mirrored:
+        dst[:, 2] *= -1
+    sums = {c: float(v) for c, v in zip(("sx", "sy", "sz", "dx", "dy", "dz"), np.r_[src.sum(0), dst.sum(0)], strict=True)}
+    sums |= {f"{a}{b}": float((src[:, i] * dst[:, j]).sum()) for i, a in enumerate(("sx", "sy", "sz")) for j, b in enumerate(("dx", "dy", "dz"))}
+    sums |= {a + a: float((src[:, i] ** 2).sum()) for i, a in enumerate(("sx", "sy", "sz"))}
+    _, q, shift = similarity(sums, 40, False)
+    error = lambda r, t: ((src @ r.T + t - dst) ** 2).sum()
+    best = lie.rotation_of(q)
+    assert np.isclose(np.linalg.det(best), 1)
+    for _ in range(50):
+        r = best @ lie.so3_exp(RNG.normal(0, 0.1, 3))
+        assert error(best, shift) <= error(r, (dst - src @ r.T).mean(0)) + 1e-9
+
+
+def test_banded_solver_against_dense():
+    from marram.operators.cleaning import _banded
+
+    for m in (1, 2, 3, 63, 64, 65, 200):
+        a = np.stack([RNG.uniform(4, 5, m), RNG.uniform(-1, 1, m), RNG.uniform(-1, 1, m)])
+        dense = np.diag(a[0]) + sum(np.diag(a[k, : m - k], k) + np.diag(a[k, : m - k], -k) for k in (1, 2) if m > k)
+        b = RNG.normal(size=m)
+        assert np.allclose(_banded(a, b), np.linalg.solve(dense, b))
+
+
+def test_spline_query_against_dense_normal_equations(spark, small_dir):
+    """The registered query's rows against the same minimum found with dense matrices."""
+    from marram.plans import association
+    from marram.plans.registry import events
+
+    got = {}
+    for r in association.smoothing_spline(spark, small_dir).collect():
+        got.setdefault(r["user_id"], []).append((r["t"], r["value"]))
+    rows = {}
+    for r in events(spark, small_dir).collect():
+        rows.setdefault(r["user_id"], []).append((r["t"] / 1e6, r["value"]))
+    assert got.keys() == rows.keys()
+    for user, raw in rows.items():
+        raw.sort(key=lambda r: r[0])
+        t, y = (np.array(v) for v in zip(*raw, strict=True))
+        if len(t) < 3 or len(set(t)) < len(t):
+            continue
+        h, m = np.diff(t), len(t) - 2
+        q, r = np.zeros((len(t), m)), np.zeros((m, m))
+        for k in range(m):
+            q[k : k + 3, k] = 1 / h[k], -1 / h[k] - 1 / h[k + 1], 1 / h[k + 1]
+            r[k, k] = (h[k] + h[k + 1]) / 3
+            if k + 1 < m:
+                r[k, k + 1] = r[k + 1, k] = h[k + 1] / 6
+        lam = (1 - 0.9999) / 0.9999
+        want = y - lam * q @ np.linalg.solve(r + lam * q.T @ q, q.T @ y)
+        assert np.allclose([v for _, v in sorted(got[user])], want, rtol=1e-6, atol=1e-6)
 
 
 def test_cholesky_and_marginals_against_dense():
@@ -102,14 +159,14 @@ def world(spark, outliers):
     rows = []
     for i in range(n - 1):
         dr, dt = lie.between(r[i : i + 1], p[i : i + 1], r[i + 1 : i + 2], p[i + 1 : i + 2])
-        rows.append(("odometry", i, i + 1, [*map(float, dt[0]), *map(float, lie.quat_of(dr)[0])], None, None, None, [0.02] * 6, 0.0))
+        rows.append(("odometry", i, i + 1, [*map(float, dt[0]), *map(float, lie.quat_of(dr)[0])], None, None, None, [0.02] * 6, 0.0, None))
     k = 0
     for i in range(n):
         for a in anchors:
             k += 1
             z = float(np.linalg.norm(p[i] - a)) + (1.5 if k in outliers else 0.0)
-            rows.append(("anchor_range", i, None, [z], list(map(float, a)), None, None, [0.1], 1.5))
-    rows.append(("pose_prior", 0, None, [*map(float, p[0]), *map(float, q[0])], None, None, None, [0.05] * 6, 0.0))
+            rows.append(("anchor_range", i, None, [z], list(map(float, a)), None, None, [0.1], 1.5, None))
+    rows.append(("pose_prior", 0, None, [*map(float, p[0]), *map(float, q[0])], None, None, None, [0.05] * 6, 0.0, None))
     start = [(i, *(p[i] + RNG.normal(0, 0.1, 3)).tolist(), *lie.quat_of(r[i : i + 1] @ lie.so3_exp(RNG.normal(0, 0.05, (1, 3))))[0].tolist()) for i in range(n)]
     return p, spark.createDataFrame(rows, solve.FACTOR), spark.createDataFrame(start, solve.NODE)
 
@@ -122,6 +179,41 @@ def test_solver_finds_a_clean_world(spark):
     assert all(np.linalg.eigvalsh(m).min() > 0 for m in found.marginals.values())
 
 
+def test_groups_are_solved_as_one_by_one(spark):
+    p, factors, nodes = world(spark, (3,))
+    whole = solve.optimise(spark, factors, nodes, with_marginals=True)
+    twice = lambda df: df.withColumn("g", F.lit("a")).unionByName(df.withColumn("g", F.lit("b")))
+    rows = solve.optimise_groups(twice(factors), twice(nodes).unionByName(nodes.limit(1).withColumn("g", F.lit("c"))), ["g"], with_marginals=True).collect()
+    want = {r["id"]: [r[c] for c in ("x", "y", "z")] for r in whole.nodes.collect()}
+    assert {r["g"] for r in rows} == {"a", "b", "c"} and len(rows) == 13
+    for r in rows:
+        if r["g"] != "c":
+            assert np.allclose([r["x"], r["y"], r["z"]], want[r["id"]], atol=1e-6) and np.isclose(r["cost"], whole.cost, atol=1e-9)
+            assert np.allclose(np.array(r["covariance"]).reshape(6, 6), whole.marginals[r["id"]], atol=1e-9)
+        else:
+            assert r["covariance"] is None and r["rounds"] == 0
+
+
+def test_pose_marginals_against_a_dense_inverse(spark, small_dir):
+    """The registered query's covariances against the inverse of the whole information matrix."""
+    from marram.plans import estimation
+
+    got = {r["id"]: r for r in estimation.pose_marginals(spark, small_dir).collect()}
+    nodes, factors = estimation._chain(spark, small_dir)
+    label = nodes.groupBy("label").count().orderBy("count").first()["label"]
+    solved = solve.optimise_groups(factors, nodes, ["label"]).where(F.col("label") == label)
+    h, _, _ = solve.normal_equations(factors.where(F.col("label") == label).drop("label"), solved)
+    ids = sorted({i for i, _ in h})
+    dense = np.zeros((6 * len(ids),) * 2)
+    for (i, j), m in h.items():
+        a, b = 6 * ids.index(i), 6 * ids.index(j)
+        dense[a : a + 6, b : b + 6] = m
+        dense[b : b + 6, a : a + 6] = m.T
+    inverse = np.linalg.inv(dense)
+    for k, i in enumerate(ids):
+        assert np.allclose(np.array(got[i]["sigma_pos"]).reshape(3, 3), inverse[6 * k + 3 : 6 * k + 6, 6 * k + 3 : 6 * k + 6], rtol=1e-5, atol=1e-9)
+
+
 def test_robust_beats_plain_with_outliers(spark):
     p, factors, nodes = world(spark, (3, 17))
     error = []

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marram.operators import cleaning, constraints, maps, voxels
+from marram.operators import cleaning, constraints, maps, ranks, voxels
 from marram.operators.asof import nearest_asof
 from marram.operators.voxels import CELL, Occupancy
 
@@ -102,14 +102,18 @@ def test_raster_truncates_towards_zero(spark):
     assert [(r["gx"], r["gy"], r["label"]) for r in maps.raster(rows, [], 0.0, 1.0, 0.5, (-2.0, 2.0, -2.0, 2.0)).collect()] == [(0, 4, 1)]
 
 
-def test_gauge_follows_the_configuration():
-    c = constraints.Config
-    sizes = {0: 5, 1: 5, 2: 5}
-    assert constraints.gauge_targets(sizes, c()) == []
-    assert constraints.gauge_targets(sizes, c(use_anchor=False)) == [0]
-    assert constraints.gauge_targets(sizes, c(use_anchor=False, inter_pairs=())) == [0, 1, 2]
-    assert constraints.gauge_targets(sizes, c(use_anchor=False, inter_pairs=((0, 1),))) == [0, 2]
-    assert constraints.gauge_targets({0: 0, 1: 5, 2: 5}, c(anchor_robots=(2,), inter_pairs=())) == [1]
+def test_gauge_follows_the_configuration(spark):
+    def targets(ids, **c):
+        entities = spark.createDataFrame([(i,) for i in ids], "id int")
+        return sorted(r["id"] for r in constraints.gauge_entities(entities, constraints.Config(**c)).collect())
+
+    assert targets([0, 1, 2]) == []
+    assert targets([0, 1, 2], use_anchor=False) == [0]
+    assert targets([0, 1, 2], use_anchor=False, inter_pairs=()) == [0, 1, 2]
+    assert targets([0, 1, 2], use_anchor=False, inter_pairs=((0, 1), (1, 7))) == [0, 2]
+    assert targets([1, 2], anchor_robots=(2,), inter_pairs=()) == [1]
+    assert targets([0, 1, 2], anchor_robots=(2,), start="first_pose") == [0, 1]
+    assert targets([0, 1, 2], anchor_robots=(1,), use_inter=False) == [0, 2]
 
 
 def test_thinning_positions(spark):
@@ -119,7 +123,94 @@ def test_thinning_positions(spark):
         assert sorted(r["id"] for r in maps.thinned(rows, most, ["id"]).collect()) == want
 
 
-def test_numpy_noise_depends_on_the_row_alone(spark):
-    rows = spark.createDataFrame([(float(i), 1, i % 15, 2.0, "anchor" if i % 15 < 10 else "inter") for i in range(40)], "timestamp double, from_id int, to_id int, gt_range double, kind string")
-    a, b = (sorted(map(tuple, cleaning.numpy_injected_range(r, "z", 0.2).collect())) for r in (rows, rows.repartition(5)))
-    assert a == b and len({r[-1] for r in a}) > 30
+def test_noise_depends_on_the_row_alone(spark):
+    rows = spark.createDataFrame([(float(i), 1, i % 15, 2.0, "anchor" if i % 15 < 10 else "inter") for i in range(400)], "timestamp double, from_id int, to_id int, gt_range double, kind string")
+    z = cleaning.injected_range(F.col("gt_range"), F.col("kind"), F.concat_ws("|", "timestamp", "from_id", "to_id"), 0.2)
+    a, b = (sorted(map(tuple, r.select("*", z.alias("z")).collect())) for r in (rows, rows.repartition(5)))
+    assert a == b and len({r[-1] for r in a}) > 300
+
+
+@pytest.mark.parametrize("slot", [None, 10])
+def test_asof_drops_unknown_entities(spark, slot):
+    left = spark.createDataFrame([("a", 5, 1), (None, 5, 2)], LEFT)
+    right = spark.createDataFrame([("a", 6, 1), (None, 5, 2)], RIGHT)
+    assert [r["q"] for r in nearest_asof(left, right, ["k"], "t", "r", ["n"], None, slot).collect()] == [1]
+
+
+def jumps(rows, far):
+    """The state machine, row by row."""
+    bad, good = [False] * len(rows), rows[0] if rows else None
+    for i in range(1, len(rows)):
+        if far(rows[i], good):
+            bad[i - 1] = bad[i] = True
+        else:
+            good = rows[i]
+    return bad
+
+
+def test_outliers_equal_the_loop_across_batches(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k, n in ((0, 700), (1, 1), (2, 300), (None, 90)):
+        v = np.cumsum(rng.normal(0, 1, n)) + rng.choice([0, 0, 0, 30], n)
+        v[n // 2 : n // 2 + 40] += 100  # a long stretch that is far from the last good row
+        rows += [(k, i, float(x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "k int, o int, v double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {}
+        for r in cleaning.jump_outliers(df, ["k"], "o", "v", 5.0).orderBy("o").collect():
+            got.setdefault(r["k"], []).append(r["flagged"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in (0, 1, 2, None):
+        assert got[k] == jumps([v for kk, _, v in rows if kk == k], lambda a, b: abs(a - b) > 5.0)
+
+
+def test_ranks_and_quantiles(spark):
+    rng = np.random.default_rng(1)
+    values = np.round(rng.gamma(2.0, 3.0, 20_000), 2)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id int, v double").repartition(5)
+    got = {r["id"]: r["pos"] for r in ranks.ranked(rows, ["v", "id"]).collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i], i))
+    assert [got[i] for i in order] == list(range(len(values)))
+    shares = [0.0, 0.01, 0.37, 0.5, 0.97, 1.0]
+    for small in (10**6, 50):  # by one aggregate, and by narrowing brackets
+        assert np.allclose(ranks.quantiles(rows, F.col("v"), shares, small), np.quantile(values, shares), atol=1e-12)
+    assert ranks.quantiles(rows.where("false"), F.col("v"), [0.5]) == [None]
+    assert sorted(r["id"] for r in cleaning.every_kth(rows, 7, [], ["id"]).collect()) == list(range(0, 20_000, 7))
+
+
+def test_pixels_are_thinned_after_frames_are_judged(spark):
+    rows = [(f, u, v, (u + v) % (2 + f) == 0) for f in range(3) for u in range(12) for v in range(12)]
+    df = spark.createDataFrame(rows, "f int, u int, v int, ok boolean")
+    got = voxels.sampled_frames(df, ["f"], F.col("ok"), "v", "u", 48, 4).collect()
+    assert {r["f"] for r in got} == {0, 1} and all(r["u"] % 4 == 0 and r["v"] % 4 == 0 for r in got)
+
+
+RAYS = "f int, ox double, oy double, oz double, px double, py double, pz double, tr double, sigma_z double, s array<double>"
+
+
+def test_pose_uncertainty_modes(spark):
+    flat = [0.04, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    pts = spark.createDataFrame([(0, 0.01, 0.01, 0.01, 2.01, 0.01, 0.01, 0.04, 0.0, flat), (1, 0.01, 0.01, 0.01, 0.01, 2.01, 0.01, 0.0, 0.0, flat)], RAYS)
+
+    def run(**c):
+        rows = voxels.integrate(pts, Occupancy(use_pose_weight=False, **c), ["f"], ("ox", "oy", "oz"), ("px", "py", "pz"), covariance="s")
+        out = {0: {}, 1: {}}
+        for r in voxels.frame_evidence(rows, ["f"]).collect():
+            out[r["f"]][(r["ix"], r["iy"], r["iz"])] = r["value"]
+        return out
+
+    plain, scale, cut, spread = run(), run(free_mode="scale"), run(free_mode="truncate", truncate_sigmas=2.0), run(spread=True)
+    # The second ray is across the uncertain axis, its frame has no trace: nothing changes it.
+    assert all(math.isclose(m[1][c], v) for m in (scale, cut, spread) for c, v in plain[1].items()) and all(len(m[1]) == len(plain[1]) for m in (scale, cut, spread))
+    assert len(plain[0]) == 20 and math.isclose(scale[0][(5, 0, 0)], -0.4 * math.exp(-4)) and scale[0][(20, 0, 0)] == 0.85
+    assert len(cut[0]) == 16 and (15, 0, 0) in cut[0] and (16, 0, 0) not in cut[0]
+    assert math.isclose(sum(v for v in spread[0].values() if v > 0), 0.85, rel_tol=1e-9) and min(c[0] for c, v in spread[0].items() if v > 0) == 16
+    with pytest.raises(ValueError):
+        voxels.integrate(pts, Occupancy(free_mode="scale"), ["f"], ("ox", "oy", "oz"), ("px", "py", "pz"))
+    with pytest.raises(ValueError):
+        run(free_mode="else")
+    counts = voxels.frame_counts(pts.select("f").unionAll(spark.range(2).select(F.lit(9))), pts, Occupancy(max_ray=1.0), ("ox", "oy", "oz"), ("px", "py", "pz")).first()
+    assert tuple(counts) == (4, 0)

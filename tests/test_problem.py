@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marram.operators import constraints, problem, solve
 from marram.operators.lie import quat_of, rotation_of, so3_exp
@@ -59,8 +60,55 @@ def test_switches(spark, world):
     assert kinds(use_anchor=False, use_gravity=False, inter_pairs=()) == {"odometry": 14, "pose_prior": 2}
     assert kinds(use_ranges=False, max_odometry_gap=0.1, use_gravity=False) == {"pose_prior": 16}
     assert kinds(anchor_robots=(1,), use_inter=False, use_gravity=False) == {"odometry": 14, "anchor_range": 32, "pose_prior": 1}
-    with pytest.raises(NotImplementedError):
-        kinds(bias_mode="online")
+    assert kinds(bias_mode="online", use_gravity=False) == {"odometry": 14, "anchor_range": 64, "inter_range": 8, "bias_prior": 2}
+    assert kinds(pin_anchors=True, use_gravity=False) == {"odometry": 14, "native_range": 72, "anchor_pin": 4}
+    assert kinds(range_every=2, use_gravity=False, max_odometry_gap=0.1)["anchor_range"] == 32
+    truth = truth.select("*", *[F.lit(v).alias(c) for c, v in (("qx", 0.0), ("qy", 0.0), ("qz", 0.0), ("qw", 1.0))])
+    assert kinds(use_anchor=False, use_gravity=False, start="first_pose") == {"odometry": 14, "native_range": 8, "pose_prior": 2}
+
+
+def solve_world(spark, world, config, heights=None):
+    at, tracks, truth, ranges, anchors = world
+    made = problem.build(tracks, truth, ranges, anchors, config, heights=heights)
+    one = F.lit(0).alias("run")
+    found = solve.optimise_groups(made.factors.select(one, "*"), made.nodes.select(one, "*"), ["run"]).drop("run")
+    got = np.array([[r["x"], r["y"], r["z"]] for r in problem.trajectory(found, made.nodes).orderBy("robot", "i").collect()])
+    return found, np.abs(got - np.concatenate([at[0], at[1]])).max()
+
+
+def test_biases_are_solved_for(spark, world):
+    # A tight prior at 0 would hold them back; a weak one leaves them to the ranges.
+    found, error = solve_world(spark, world, constraints.Config(bias_mode="online", bias_sigma=100.0, range_bias=0.0))
+    biases = {r["robot"]: r["bias"] for r in problem.biases(found).collect()}
+    assert error < 1e-3 and set(biases) == {0, 1}
+    assert all(abs(b - 0.14) < 1e-3 for b in biases.values())
+    plain, _ = solve_world(spark, world, constraints.Config())
+    assert problem.biases(plain).count() == 0
+
+
+def test_pinned_anchors_and_true_ranges_and_gauges(spark, world):
+    assert solve_world(spark, world, constraints.Config(pin_anchors=True))[1] < 1e-3
+    assert solve_world(spark, world, constraints.Config(use_true_range=True, bias_mode="off"))[1] < 1e-3
+    assert solve_world(spark, world, constraints.Config(injected={"sigma": 0.0}))[1] < 1e-3
+    noisy = [solve_world(spark, world, constraints.Config(injected={"sigma": 0.05, "bias": True, "outlier": True, "seed": s}))[1] for s in (1, 1, 2)]
+    assert noisy[0] == pytest.approx(noisy[1], abs=1e-9) and abs(noisy[0] - noisy[2]) > 1e-6 and max(noisy) < 1.0
+    heights = world[2].select("robot", "t", F.col("z").alias("h"))
+    found, error = solve_world(spark, world, constraints.Config(use_height=True, height_every=2), heights)
+    assert error < 1e-3
+
+
+def test_first_pose_start(spark, world):
+    at, tracks, truth, ranges, anchors = world
+    whole = truth.join(tracks.select("robot", "t", *[F.col(c) for c in ("qx", "qy", "qz", "qw")]), ["robot", "t"])
+    yaw = {0: 0.3, 1: 1.3}
+    turned = [(r["robot"], r["t"], r["x"], r["y"], r["z"], *map(float, quat_of(so3_exp(np.array([0.0, 0.0, yaw[r["robot"]]])) @ rotation_of(np.array([r[c] for c in ("qx", "qy", "qz", "qw")]))))) for r in whole.collect()]
+    truth = spark.createDataFrame(turned, "robot int, t double, x double, y double, z double, qx double, qy double, qz double, qw double")
+    nodes = problem.placed(problem.numbered(tracks), truth, constraints.Config(start="first_pose"))
+    got = np.array([[r["x"], r["y"], r["z"]] for r in nodes.orderBy("robot", "i").collect()])
+    assert np.abs(got - np.concatenate([at[0], at[1]])).max() < 1e-9
+    free = problem.placed(problem.numbered(tracks), truth, constraints.Config(yaw_only=False))
+    got = np.array([[r["x"], r["y"], r["z"]] for r in free.orderBy("robot", "i").collect()])
+    assert np.abs(got - np.concatenate([at[0], at[1]])).max() < 1e-6
 
 
 def test_arms_must_be_known(spark, world):

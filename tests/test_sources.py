@@ -40,7 +40,7 @@ def root(tmp_path_factory):
 
 
 def test_ranges_dedup_then_bound(spark, root):
-    rows = logs.ranges(spark, str(root), "run_a", ["r1", "r2", "r3"]).collect()
+    rows = logs.by_time(logs.ranges(spark, str(root), "run_a", ["r1", "r2", "r3"])).collect()
     assert [(r["timestamp"], r["to_id"], r["kind"]) for r in rows] == [(1.0, 2, "anchor"), (3.0, 21, "inter")]
     with pytest.raises(FileNotFoundError):
         logs.ranges(spark, str(root), "run_b", ["r1"])
@@ -57,13 +57,35 @@ def test_truth_is_cleaned_and_smoothed(spark, root):
 
 
 def test_other_logs(spark, root):
-    assert [(r["timestamp"], r["h"]) for r in logs.heights(spark, str(root), "run_a", "r1", 0.25).collect()] == [(1.0, 1.0), (2.0, 1.25)]
-    assert [(r["t"], r["x"], r["v"]) for r in logs.odometry(spark, f"{root}/vio.csv", 0.5).collect()] == [(0.5, 4.0, 5.0), (2.5, 2.0, 5.0), (4.5, 0.0, 5.0)]
-    assert [(r["t"], r["x"]) for r in logs.keyframes(spark, f"{root}/kf.txt").collect()] == [(1.0, 4.0), (2.0, 1.0)]
+    assert [(r["timestamp"], r["h"]) for r in logs.by_time(logs.heights(spark, str(root), "run_a", "r1", 0.25)).collect()] == [(1.0, 1.0), (2.0, 1.25)]
+    assert [(r["t"], r["x"], r["v"]) for r in logs.by_time(logs.odometry(spark, f"{root}/vio.csv", 0.5), "t").collect()] == [(0.5, 4.0, 5.0), (2.5, 2.0, 5.0), (4.5, 0.0, 5.0)]
+    assert [(r["t"], r["x"]) for r in logs.by_time(logs.keyframes(spark, f"{root}/kf.txt"), "t").collect()] == [(1.0, 4.0), (2.0, 1.0)]
     assert logs.keyframes(spark, f"{root}/none.txt").count() == 0
     assert [tuple(r) for r in logs.image_list(spark, f"{root}/list.txt").collect()] == [(1.5, "a/b.jpeg")]
     a, b = (spark.createDataFrame([(p,) for p in ps], "path string") for ps in (["x/1.5.jpeg", "x/2.jpeg"], ["y/2.jpeg", "y/3.jpeg"]))
     assert [tuple(r) for r in logs.frame_pairs(a, b).collect()] == [("2.jpeg", 2.0)]
+    near = logs.nearest_frames(spark.createDataFrame([(1.97, 1), (2.2, 2), (2.04, 3)], "t double, k int"), a, b)
+    assert sorted((r["k"], r["frame_t"], r["left_path"], r["right_path"]) for r in near.collect()) == [(1, 2.0, "x/2.jpeg", "y/2.jpeg"), (3, 2.0, "x/2.jpeg", "y/2.jpeg")]
+    assert [r["k"] for r in logs.nearest_frames(spark.createDataFrame([(2.04, 3), (1.97, 1)], "t double, k int"), a, b, most=1).collect()] == [1]
+
+
+def test_npz_dump(spark, tmp_path):
+    poses = np.tile(np.eye(4), (3, 1, 1))
+    poses[:, :3, 3] = np.arange(9).reshape(3, 3)
+    np.savez(tmp_path / "a.npz", t=np.array([0.0, 1.0, 2.0]), T=poses, tr_sigma_pos=np.array([0.1, 0.2, 0.3]))
+    np.savez(tmp_path / "b.npz", t=np.array([0.5]), T=poses[:1], tr_sigma_pos=np.array([0.1]), p_body=np.array([[7.0, 8.0, 9.0]]), sigma_pos=np.eye(3)[None])
+    a, b = (sorted(logs.npz_poses(spark, f"{tmp_path}/{n}.npz", n).collect(), key=lambda r: r["i"]) for n in "ab")
+    assert [(r["t"], r["tr_sigma_pos"], r["p_body"]["y"], r["sigma_pos"]) for r in a] == [(0.0, 0.1, 1.0, None), (1.0, 0.2, 4.0, None), (2.0, 0.3, 7.0, None)]
+    assert b[0]["robot"] == "b" and b[0]["p_body"]["x"] == 7.0 and b[0]["sigma_pos"] == [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0] and b[0]["T"][15] == 1.0
+
+
+def test_keyframe_policy(spark, root):
+    assert logs.enough_keyframes(spark, {"r1": f"{root}/kf.txt", "r2": f"{root}/none.txt"}, 2) == {"r1": 2}
+    tries = []
+    assert logs.with_retries(tries.append, ["a", "b"], lambda r: 25 if r == "a" or len(tries) > 2 else 3) == {"a": 25, "b": 25}
+    assert tries == ["a", "b", "b"]
+    tries.clear()
+    assert logs.with_retries(tries.append, ["a"], lambda r: 3) == {"a": 3} and len(tries) == 3
 
 
 def test_dimensions(spark, root):
