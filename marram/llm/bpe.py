@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import small_batches
+from marram.llm.common import lean, small_batches
 
 #: The word pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -272,7 +272,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                 start += len(group)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
-    return small_batches(rows).mapInArrow(run, f"{fields}, ids binary, n_tokens long, round_trip boolean, decoded string")
+    return small_batches(rows).mapInArrow(lean(run), f"{fields}, ids binary, n_tokens long, round_trip boolean, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -308,4 +308,4 @@ def encode_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(rows).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

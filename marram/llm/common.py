@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from ctypes import CDLL
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marram.session import shared_folder
+
 #: White space of the corpus contracts: space and the five ASCII controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -22,23 +26,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    A temporary one is set only in local mode with none configured; on a cluster a missing
-    setting is an error, for a machine-local folder would lose data with its executor.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            configured = tempfile.mkdtemp(prefix="marram-checkpoint-")
-        context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
-
-
 #: Bytes of an Arrow batch: a task holds a few of them in the JVM and as many in Python.
 BATCH_BYTES = 4 << 20
 
@@ -54,6 +41,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Batches) -> Batches:
+    """``run`` for mapInArrow, whose worker gives the memory it no longer uses back when the task ends: workers outlive tasks."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(CDLL(None), "malloc_trim", None)  # the GNU allocator has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage there."""
     shared_folder(df.sparkSession)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import WORDS, cut, fresh, quoted, small_batches
+from marram.llm.common import WORDS, cut, fresh, lean, quoted, small_batches
 
 #: Weights of the sources in code-point order, repeating, and the cap on repeats.
 WEIGHTS = (1, 2, 3)
@@ -333,7 +333,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     rows = rows.withColumn(copy, F.lit(1).cast("long") if alone else F.row_number().over(tie).cast("long"))
     match = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & F.col("source").cast("string").eqNullSafe(F.col(of_source)) & (F.col(size) == F.col(of_size)) & (F.col(copy) == F.col(of_copy))
     joined = rows.join(of, match).select(*map(quoted, names), spans)
-    return small_batches(joined).mapInArrow(_take(names.index("text"), len(names)), docs.schema)
+    return small_batches(joined).mapInArrow(lean(_take(names.index("text"), len(names))), docs.schema)
 
 
 def _take(text_at: int, n: int):
