@@ -8,10 +8,11 @@ Distributions are smoothed towards the suffix' distribution; a symbol without an
 takes its share of the suffix' probability. A position is scored in its longest suffix state.
 
 Counts cover the whole training part, and contexts and edges seen LEAST_COUNT times count, whatever
-the corpus' size, so the tree grows with it. Counts are made per task and merged by a shuffle.
-Lengths up to SHORT, of which there are 256 ** SHORT contexts at most, are built on the driver; the
-longer ones where all with the same last bytes have been brought together, into a table of slots.
-Texts are scored against as many slots at once as a worker holds, in several passes if need be.
+the corpus' size, so the tree grows with it. Lengths up to SHORT, of which there are 256 ** SHORT
+contexts at most, are built on the driver. For the longer ones each task merges its counts and sends
+them, packed as sorted arrays, to the task that builds all contexts with the same last bytes, into a
+table of slots. Texts are scored against as many slots at once as a worker holds, in several passes
+if need be.
 """
 
 from __future__ import annotations
@@ -27,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import crc32_residue, small_batches, stored
+from marram.llm.common import crc32_residue, lean, small_batches, stored
 
 DEPTH = 7
 #: Contexts and edges of the tree were seen this often at least.
 LEAST_COUNT = 2
 #: Lengths that every worker has in full. Longer contexts with the same SHORT + 1 last bytes lie together.
 SHORT = 2
-#: Slots of the longer contexts, grams that one task builds from, and entries of the tree that a pass holds.
-SLOTS, TASK_GRAMS, PASS_ENTRIES = 4096, 1_500_000, 3_000_000
+#: Slots of the longer contexts, training symbols for each part that one task builds from, and entries of the tree that a pass holds.
+SLOTS, PART_SYMBOLS, PASS_ENTRIES = 4096, 3_000_000, 3_000_000
 #: A context is kept if its divergence (nats) and its log-likelihood ratio reach these.
 LEAST_DIVERGENCE, LEAST_RATIO = 0.005, 20.0
 #: Sums over rows go through this type, so that they are the same in any order.
@@ -44,8 +45,8 @@ EXACT = "decimal(38,12)"
 PRIOR = 16.0
 #: Words with this share of all words are looked up in a broadcast table (at most 1 / share); the rest are joined.
 WORD_SHARE = 1e-6
-#: Bytes of text that are counted or scored at once, and counts a task holds before it passes them on.
-CHUNK_BYTES, HELD_GRAMS, HELD_WORDS = 1_500_000, 4_000_000, 150_000
+#: Bytes of text that are counted and that are scored at once, and counts a task holds before it passes them on.
+CHUNK_BYTES, SCORE_BYTES, HELD_GRAMS, HELD_WORDS = 1_500_000, 300_000, 4_000_000, 150_000
 
 END = b"\n"
 _PAD = END * DEPTH
@@ -76,18 +77,41 @@ def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Consecutive rows as word lists, about CHUNK_BYTES at a time, with the index of the first."""
+class Held:
+    """Counts of keys, merged now and then so that about HELD_GRAMS are held at most."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> bool:
+        """Whether even merged counts are many, so that they should be passed on."""
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+        if self.size <= HELD_GRAMS:
+            return False
+        self.parts = [_merge(self.parts)]
+        self.size = len(self.parts[0][0])
+        return self.size > HELD_GRAMS // 2
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = _merge(self.parts)
+        self.parts, self.size = [], 0
+        return out
+
+
+def _chunks(column: pa.Array, most: int) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Consecutive rows as word lists, about ``most`` bytes at a time, with the index of the first."""
     at = 0
     while at < len(column):
         first, group, size = at, [], 0
-        while at < len(column) and (size < CHUNK_BYTES or not group):
+        while at < len(column) and (size < most or not group):
             text = column[at].as_py()
             group.append(words_of(text))
             size += len(text or "")
@@ -96,43 +120,65 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, g, n): words, with END counting the texts, and grams of SHORT + 1 bytes."""
     schema = pa.schema([("w", pa.binary()), ("g", pa.int64()), ("n", pa.int64())])
 
-    def grams_out(held) -> Iterator[pa.RecordBatch]:
-        keys, counts = _merge(held)
-        for at in range(0, len(keys), 200_000):
-            k = keys[at : at + 200_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(counts[at : at + 200_000])], schema=schema)
-
     def words_out(words: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], schema=schema)
 
-    held, size, words, texts = [], 0, Counter(), 0
+    short, words, texts = np.zeros(0, np.uint64), Counter(), 0
+    counts = np.zeros(0, np.int64)
     for batch in batches:
-        for _, group in _chunks(batch.column(0)):
+        for _, group in _chunks(batch.column(0), CHUNK_BYTES):
             texts += len(group)
             for w in group:
                 words.update(w)
             if len(words) > HELD_WORDS:
                 yield words_out(words)
                 words = Counter()
-            keys, counts = np.unique(windows(group)[0], return_counts=True)
-            held.append((keys, counts.astype(np.int64)))
-            size += len(keys)
-            if size > HELD_GRAMS:
-                held = [_merge(held)]
-                size = len(held[0][0])
-                if size > HELD_GRAMS // 2:
-                    yield from grams_out(held)
-                    held, size = [], 0
+            keys, n = np.unique(windows(group)[0] & _U((1 << 8 * (SHORT + 1)) - 1), return_counts=True)
+            short, counts = _merge([(short, counts), (keys, n.astype(np.int64))])
     if words:
         yield words_out(words)
-    if held:
-        yield from grams_out(held)
-    if texts:  # END as a word counts the texts
+    if len(short):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.binary()), pa.array(short.view(np.int64)), pa.array(counts)], schema=schema)
+    if texts:
         yield words_out(Counter({END: texts}))
 
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part that builds a gram's contexts, by their last SHORT + 1 bytes."""
+    last = (keys >> _U(8)) & _U((1 << 8 * (SHORT + 1)) - 1)
+    return (((last * _U(0x9E3779B97F4A7C15)) >> _U(20)) % _U(parts)).astype(np.uint32)
+
+
+def _pack(parts: int):
+    """(part, keys, counts): grams of DEPTH + 1 bytes and how often a task saw them, as arrays of 64 and 32 bits, sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
+
+        def out() -> pa.RecordBatch:
+            keys, counts = held.take()
+            part = _part(keys, parts)
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+            part, keys, counts = part[order], keys[order], counts[order].astype(np.uint32)
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ends = np.r_[edges[1:], len(part)]
+            packed = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(edges, ends, strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int32)), packed(keys), packed(counts)], names=["part", "keys", "counts"])
+
+        for batch in batches:
+            for _, group in _chunks(batch.column(0), CHUNK_BYTES):
+                keys, counts = np.unique(windows(group)[0], return_counts=True)
+                if len(keys) and held.add(keys, counts.astype(np.int64)):
+                    yield out()
+        if held.size:
+            yield out()
+
+    return run
+
+
 class Table:
     """Open-addressing hash table from 64-bit keys to floats, looked up by whole arrays."""
 
@@ -272,37 +318,47 @@ class Model:
     """Counts of a training corpus: a tree, and word counts as a bounded table and a DataFrame for the rest."""
 
     def __init__(self, training: DataFrame, text_col: str = "text", least_share: float = 0.0, word_share: float = WORD_SHARE):
-        partial = small_batches(training.select(F.col(text_col).cast("string"))).mapInArrow(_count, "w binary, g long, n long")
-        stats = stored(partial.groupBy("w", "g").agg(F.sum("n").alias("n")))
+        texts = small_batches(training.select(F.col(text_col).cast("string")))
+        stats = stored(texts.mapInArrow(lean(_count), "w binary, g long, n long").groupBy("w", "g").agg(F.sum("n").alias("n")))
         self.words = stats.where("w IS NOT NULL").select("w", "n")
         self.tokens, self.types = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         least = max(1, int(np.ceil(word_share * self.tokens)))
         t = self.words.where(F.col("n") >= least).toArrow()
         self.frequent = dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True))
         self.others = self.words.where(F.col("n") < least)
-        self.short, self.table, self.slots = self._build(stats.where("g IS NOT NULL").select("g", "n"), least_share)
+        self.short, self.table, self.slots = self._build(texts, _collect(stats.where("g IS NOT NULL").select("g", "n")), least_share)
 
-    def _build(self, grams: DataFrame, least_share: float) -> tuple[SuffixTree, DataFrame, dict[int, int]]:
+    def _build(self, texts: DataFrame, short_grams: tuple[np.ndarray, np.ndarray], least_share: float) -> tuple[SuffixTree, DataFrame, dict[int, int]]:
         """The tree of lengths up to SHORT, the table of the longer ones, and the number of its entries a slot."""
-        keys, counts = _collect(grams.groupBy(F.col("g").bitwiseAND((1 << 8 * (SHORT + 1)) - 1).alias("g")).agg(F.sum("n").alias("n")))
+        keys, counts = short_grams
         total = int(counts.sum())
         least = max(LEAST_COUNT, int(np.ceil(least_share * total)))
         root = np.ones(256)
         np.add.at(root, (keys & _U(255)).astype(np.int64), counts)
         short = SuffixTree(np.log(root / root.sum()), [], [])
         grow(short, *_levels(keys, counts, SHORT, 1, least))
-        shared = grams.sparkSession.sparkContext.broadcast(short)
+        shared = texts.sparkSession.sparkContext.broadcast(short)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if len(b)]
-            if held:
-                base = shared.value
-                tree = SuffixTree(base.root, list(base.edges), list(base.states))
-                yield from _entries(grow(tree, *_levels(*_merge(held), DEPTH, SHORT + 1, least)))
-
-        parts = max(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // TASK_GRAMS))
-        last = F.shiftrightunsigned("g", 8).bitwiseAND((1 << 8 * (SHORT + 1)) - 1)
-        table = stored(grams.repartition(parts, last).select("g", "n").mapInArrow(run, "length int, edge boolean, slot int, k long, v float"))
+            held, part = Held(), None
+
+            def built() -> Iterator[pa.RecordBatch]:
+                if held.size:
+                    base = shared.value
+                    tree = SuffixTree(base.root, list(base.edges), list(base.states))
+                    yield from _entries(grow(tree, *_levels(*held.take(), DEPTH, SHORT + 1, least)))
+
+            for batch in batches:
+                for p, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    if p != part:
+                        yield from built()
+                        part = p
+                    held.add(np.frombuffer(k.as_buffer(), dtype=np.uint64).copy(), np.frombuffer(c.as_buffer(), dtype=np.uint32).astype(np.int64))
+            yield from built()
+
+        parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SYMBOLS))
+        packed = texts.mapInArrow(lean(_pack(parts)), "part int, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+        table = stored(packed.mapInArrow(lean(run), "length int, edge boolean, slot int, k long, v float"))
         return short, table, {r["slot"]: r["count"] for r in table.groupBy("slot").count().collect()}
 
     def passes(self) -> list[list[int]]:
@@ -358,7 +414,7 @@ class Model:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 get, tree = words_shared.value.get, shared.value
                 for batch in batches:
-                    for first, group in _chunks(batch.column(n)):
+                    for first, group in _chunks(batch.column(n), SCORE_BYTES):
                         logs = log_sums(tree, slots, group)
                         base, hits, rest = [], [], []
                         for words in group:
@@ -376,7 +432,7 @@ class Model:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tree = shared.value
                 for batch in batches:
-                    for first, group in _chunks(batch.column(1)):
+                    for first, group in _chunks(batch.column(1), SCORE_BYTES):
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(group)), pa.array(log_sums(tree, slots, group))], names=["row_id", "score"])
 
             return run
@@ -389,9 +445,9 @@ class Model:
         for slots in passes:
             shared = context.broadcast(self.tree_of(slots))
             if scored is None:
-                scored = stored(small_batches(rows).mapInArrow(first_pass(shared, slots), f"{fields}, n_tokens long, n_known long, base double, score double, rest array<binary>"))
+                scored = stored(small_batches(rows).mapInArrow(lean(first_pass(shared, slots)), f"{fields}, n_tokens long, n_known long, base double, score double, rest array<binary>"))
             else:
-                later.append(stored(small_batches(rows.select("row_id", "__text")).mapInArrow(later_pass(shared, slots), "row_id long, score double")))
+                later.append(stored(small_batches(rows.select("row_id", "__text")).mapInArrow(lean(later_pass(shared, slots)), "row_id long, score double")))
             shared.destroy()
         if later:
             more = reduce(DataFrame.unionByName, later).groupBy("row_id").agg(F.sum(F.col("score").cast(EXACT)).cast("double").alias("later"))
