@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -89,6 +90,12 @@ def discard(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
         _STORED.remove(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner see what is done with: shuffle files stay on disk until the driver has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables stored inside are removed at the end, but for folders that the body puts into the list."""

@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm.common import SPACES, cut, fresh, quoted, shared_folder, spread_join
+from marram.llm.common import SPACES, cut, fresh, quoted, shared_folder, spread_join, tidy
 
 #: Batches in which a whole table is added to an index, and digests of the index that one bucket should hold.
 BATCHES, BUCKET_DIGESTS = 3, 4_000_000
@@ -161,7 +161,9 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     of_id, sha = fresh(names, "of_id", "sha")
+    tidy(docs.sparkSession)
     found = exact_dedup(docs)
+    tidy(docs.sparkSession)
     dropped = found.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("all_rows")).where("stay < all_rows")
     is_it = F.col("doc_id").eqNullSafe(F.col(of_id))
     kept = docs.join(dropped.where("stay = 0").select(F.col("doc_id").alias(of_id)), is_it, "left_anti")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import WORDS, cut, fresh, lean, quoted, small_batches
+from marram.llm.common import WORDS, cut, fresh, lean, quoted, small_batches, tidy
 
 #: Weights of the sources in code-point order, repeating, and the cap on repeats.
 WEIGHTS = (1, 2, 3)
@@ -323,6 +323,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     and size are told apart by their texts, and helper columns avoid the names of ``docs``.
     """
     names = docs.columns
+    tidy(docs.sparkSession)
     made = Mix(docs, seed)
     uses = made.pieces().groupBy(*KEY).agg(F.collect_list(F.struct("from_word", "n_words")).alias("uses"))
     size, copy, of_id, of_source, of_size, of_copy, spans = fresh(names, "size", "copy", "of_id", "of_source", "of_size", "of_copy", "uses")
