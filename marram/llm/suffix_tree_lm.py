@@ -152,8 +152,20 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((last * _U(0x9E3779B97F4A7C15)) >> _U(20)) % _U(parts)).astype(np.uint32)
 
 
+def squeezed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts, compressed: differences of keys and 32-bit counts, byte by byte of all."""
+    planes = [np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T, counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T]
+    return pa.compress(b"".join(np.ascontiguousarray(p).tobytes() for p in planes), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=12 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    keys = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(keys, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+
+
 def _pack(parts: int):
-    """(part, keys, counts): grams of DEPTH + 1 bytes and how often a task saw them, as arrays of 64 and 32 bits, sorted by key."""
+    """(part, n, grams): grams of DEPTH + 1 bytes and how often a task saw them, squeezed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
@@ -162,11 +174,11 @@ def _pack(parts: int):
             keys, counts = held.take()
             part = _part(keys, parts)
             order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
-            part, keys, counts = part[order], keys[order], counts[order].astype(np.uint32)
+            part, keys, counts = part[order], keys[order], counts[order]
             edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             ends = np.r_[edges[1:], len(part)]
-            packed = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(edges, ends, strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int32)), packed(keys), packed(counts)], names=["part", "keys", "counts"])
+            packed = [squeezed(keys[x:y], counts[x:y]) for x, y in zip(edges, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int32)), pa.array((ends - edges).astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "n", "grams"])
 
         for batch in batches:
             for _, group in _chunks(batch.column(0), CHUNK_BYTES):
@@ -349,15 +361,15 @@ class Model:
                     yield from _entries(grow(tree, *_levels(*held.take(), DEPTH, SHORT + 1, least)))
 
             for batch in batches:
-                for p, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                for p, n, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     if p != part:
                         yield from built()
                         part = p
-                    held.add(np.frombuffer(k.as_buffer(), dtype=np.uint64).copy(), np.frombuffer(c.as_buffer(), dtype=np.uint32).astype(np.int64))
+                    held.add(*unsqueezed(grams.as_py(), n))
             yield from built()
 
         parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SYMBOLS))
-        packed = texts.mapInArrow(lean(_pack(parts)), "part int, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+        packed = texts.mapInArrow(lean(_pack(parts)), "part int, n int, grams binary").repartition(parts, "part").sortWithinPartitions("part")
         table = stored(packed.mapInArrow(lean(run), "length int, edge boolean, slot int, k long, v float"))
         return short, table, {r["slot"]: r["count"] for r in table.groupBy("slot").count().collect()}
 

@@ -235,6 +235,15 @@ def test_tree_scores_by_the_definition(spark, small_dir):
         assert got[r["doc_id"]] == pytest.approx(score(r["text"]), rel=1e-4, abs=1e-4)
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_squeezed_grams_come_back(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    counts = rng.integers(1, 2**32, len(keys)).astype(np.int64)
+    k, c = suffix_tree_lm.unsqueezed(suffix_tree_lm.squeezed(keys, counts), len(keys))
+    assert (k == keys).all() and (c == counts).all()
+
+
 def test_lm_reruns_agree_to_the_last_digit(spark, small_dir, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "WORD_SHARE", 0.01)
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
