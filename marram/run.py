@@ -109,7 +109,7 @@ def fuse(spark: SparkSession, at: Layout, seq: str, out: str, config: Config | N
 
 
 def fused_poses(made: Problem, found: DataFrame, extrinsics: dict[int, list[float]], robots: tuple[str, ...] = ROBOTS) -> DataFrame:
-    """Rows of schemas.DUMP: camera poses T = body pose * extrinsic, the body's position, and its position covariance."""
+    """Rows of schemas.DUMP: camera poses (body pose * extrinsic), the body's position, and its position covariance."""
     spark = found.sparkSession
     cameras = spark.createDataFrame([(k, [float(v) for v in m]) for k, m in extrinsics.items()], "robot int, camera array<double>")
     rows = found.join(made.nodes.where("robot IS NOT NULL").select("id", "robot", "i", "t"), "id").join(F.broadcast(cameras), "robot")
@@ -124,7 +124,7 @@ def fused_poses(made: Problem, found: DataFrame, extrinsics: dict[int, list[floa
     camera = [sum((body[r][k] * m(k, c) for k in range(1, 4)), body[r][0] * m(0, c)) for r in range(4) for c in range(4)]
     sigma = [F.get("covariance", F.lit(6 * r + c)) for r in (3, 4, 5) for c in (3, 4, 5)]
     names = F.array(*map(F.lit, robots))
-    return rows.select(F.get(names, F.col("robot")).alias("robot"), "i", "t", F.array(*camera).alias("T"), (sigma[0] + sigma[4] + sigma[8]).alias("tr_sigma_pos"), F.struct("x", "y", "z").alias("p_body"), F.array(*sigma).alias("sigma_pos"))
+    return rows.select(F.get(names, F.col("robot")).alias("robot"), "i", "t", F.array(*camera).alias("pose"), (sigma[0] + sigma[4] + sigma[8]).alias("tr_sigma_pos"), F.struct("x", "y", "z").alias("p_body"), F.array(*sigma).alias("sigma_pos"))
 
 
 def dump(spark: SparkSession, at: Layout, seq: str, path: str, anchor_free: bool = False, write: tuple[str, ...] = ROBOTS, robots: tuple[str, ...] = ROBOTS) -> DataFrame:
@@ -158,7 +158,7 @@ def observations(poses: DataFrame, disparities: DataFrame, calibrations: dict[st
     pixels = pixels.withColumn("z", F.when(z.between(0.3, 5.0), z))
     pixels = voxels.sampled_frames(pixels, ["robot", "i"], F.col("z").isNotNull(), "v", "u", least_pixels, step)
     sigma = (F.col("z") * F.col("z") / F.col("fb")).cast("float").cast("double")
-    at = lambda k: F.get("T", F.lit(k))
+    at = lambda k: F.get("pose", F.lit(k))
     local = ((F.col("u") - F.col("cx")) * F.col("z") / F.col("fx"), (F.col("v") - F.col("cy")) * F.col("z") / F.col("fy"), F.col("z"))
     point = voxels.to_world(F.array(*[at(4 * r + k) for r in range(3) for k in range(3)]), local, (at(3), at(7), at(11)))
     world = pixels.join(mates, ["robot", "i"], "left")

@@ -174,9 +174,9 @@ def image_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def poses(spark: SparkSession, path: str) -> DataFrame:
-    """Fused pose dump; p_body falls back to the translation of T."""
+    """Fused pose dump; p_body falls back to the pose's translation."""
     rows = spark.read.schema(schemas.DUMP).parquet(path)
-    at = lambda i: F.get("T", F.lit(i))
+    at = lambda i: F.get("pose", F.lit(i))
     return rows.withColumn("p_body", F.coalesce("p_body", F.struct(at(3).alias("x"), at(7).alias("y"), at(11).alias("z"))))
 
 
@@ -194,7 +194,7 @@ def npz_poses(spark: SparkSession, path: str, robot: str) -> DataFrame:
                     poses = z["T"].reshape(-1, 16)
                     body = z["p_body"] if "p_body" in z.files else z["T"][:, :3, 3]
                     sigma = z["sigma_pos"].reshape(-1, 9).tolist() if "sigma_pos" in z.files else [None] * len(poses)
-                    yield pd.DataFrame({"robot": robot, "i": np.arange(len(poses), dtype=np.int32), "t": z["t"].astype(float), "T": poses.astype(float).tolist(), "tr_sigma_pos": z["tr_sigma_pos"].astype(float), "p_body": [dict(zip("xyz", map(float, b), strict=True)) for b in body], "sigma_pos": sigma})
+                    yield pd.DataFrame({"robot": robot, "i": np.arange(len(poses), dtype=np.int32), "t": z["t"].astype(float), "pose": poses.astype(float).tolist(), "tr_sigma_pos": z["tr_sigma_pos"].astype(float), "p_body": [dict(zip("xyz", map(float, b), strict=True)) for b in body], "sigma_pos": sigma})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schemas.DUMP)
 

@@ -19,7 +19,7 @@ DUMP = T.StructType(
         T.StructField("robot", T.StringType()),
         T.StructField("i", T.IntegerType()),
         *doubles("t"),
-        T.StructField("T", T.ArrayType(T.DoubleType())),
+        T.StructField("pose", T.ArrayType(T.DoubleType())),
         *doubles("tr_sigma_pos"),
         T.StructField("p_body", T.StructType(doubles("x", "y", "z"))),
         T.StructField("sigma_pos", T.ArrayType(T.DoubleType())),

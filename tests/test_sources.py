@@ -76,7 +76,7 @@ def test_npz_dump(spark, tmp_path):
     np.savez(tmp_path / "b.npz", t=np.array([0.5]), T=poses[:1], tr_sigma_pos=np.array([0.1]), p_body=np.array([[7.0, 8.0, 9.0]]), sigma_pos=np.eye(3)[None])
     a, b = (sorted(logs.npz_poses(spark, f"{tmp_path}/{n}.npz", n).collect(), key=lambda r: r["i"]) for n in "ab")
     assert [(r["t"], r["tr_sigma_pos"], r["p_body"]["y"], r["sigma_pos"]) for r in a] == [(0.0, 0.1, 1.0, None), (1.0, 0.2, 4.0, None), (2.0, 0.3, 7.0, None)]
-    assert b[0]["robot"] == "b" and b[0]["p_body"]["x"] == 7.0 and b[0]["sigma_pos"] == [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0] and b[0]["T"][15] == 1.0
+    assert b[0]["robot"] == "b" and b[0]["p_body"]["x"] == 7.0 and b[0]["sigma_pos"] == [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0] and b[0]["pose"][15] == 1.0
 
 
 def test_keyframe_policy(spark, root):
