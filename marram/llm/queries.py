@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import bpe, chat_format, exact_dedup, language_id, mixing, near_dedup, secret_scan, suffix_tree_lm, topk_search, url_filter
+from marram.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, near_dedup, secret_scan, suffix_tree_lm, topk_search, url_filter
 from marram.llm.vocabulary import default_vocabulary
 
 
@@ -54,7 +54,11 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5).drop("exact_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_secret_scan, op3_near_dedup, op4_mixing, op5_exact_dedup, op6_lm_scoring, op7_url_filter, op8_bpe, op9_chat_format, op10_language_id)}
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_secret_scan, op3_near_dedup, op4_mixing, op5_exact_dedup, op6_lm_scoring, op7_url_filter, op8_bpe, op9_chat_format, op10_language_id, op13_line_dedup)}
 
 _OP5 = r"""
 WITH d AS (
@@ -117,4 +121,19 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE_SQL = {"op1_topk_search": _OP1, "op3_near_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_chat_format": _OP9}
+_OP13 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+    SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS position FROM d
+), k AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), frequent AS (
+    SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT k.doc_id, count(*) AS n_lines, count(last_doc) FILTER (k.doc_id <> last_doc) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (last_doc IS NULL OR k.doc_id = last_doc), '')) AS kept_sha256
+FROM k LEFT JOIN frequent USING (key) GROUP BY r, k.doc_id
+"""
+
+ORACLE_SQL = {"op1_topk_search": _OP1, "op3_near_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_chat_format": _OP9, "op13_line_dedup": _OP13}
