@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, near_dedup, secret_scan, suffix_tree_lm, topk_search, url_filter
+from marram.llm import bpe, chat_format, conversation_repair, exact_dedup, language_id, line_dedup, mixing, near_dedup, ranked_search, secret_scan, suffix_tree_lm, topk_search, url_filter
 from marram.llm.vocabulary import default_vocabulary
 
 
@@ -54,11 +54,21 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5).drop("exact_score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, copies = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(conversation_repair.repair(rows, copies))
+
+
+def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), 20)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_secret_scan, op3_near_dedup, op4_mixing, op5_exact_dedup, op6_lm_scoring, op7_url_filter, op8_bpe, op9_chat_format, op10_language_id, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_secret_scan, op3_near_dedup, op4_mixing, op5_exact_dedup, op6_lm_scoring, op7_url_filter, op8_bpe, op9_chat_format, op10_language_id, op11_conversation_repair, op12_block_max_wand, op13_line_dedup)}
 
 _OP5 = r"""
 WITH d AS (
@@ -121,6 +131,87 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+_OP11 = r"""
+WITH RECURSIVE o AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+    FROM conversations
+), c AS (
+    SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)),
+        lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS code
+    FROM o
+), dmg AS (
+    SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM c, range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS copies(i)
+), n AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+           trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS inside
+    FROM dmg
+), f AS (
+    SELECT *, CASE WHEN inside = '' THEN 'b' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd'
+                   WHEN right(inside, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+           left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM n
+), stats AS (
+    SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM f GROUP BY conv_id
+), inserts(said, now, cost, letters, added) AS (
+    VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+           (0, 2, 3, 'I', chr(10) || 'user:'), (1, 2, 3, 'I', chr(10) || 'user:'), (3, 2, 3, 'I', chr(10) || 'user:'), (2, 3, 3, 'I', chr(10) || 'assistant:'),
+           (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), edits(said, then_said, role, keep) AS (
+    VALUES (0, 2, 'user', 'u'), (1, 2, 'user', 'u'), (2, 3, 'assistant', 'a'), (3, 2, 'user', 'u'), (0, 1, NULL, 's')
+), p AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS said, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM f
+    UNION ALL
+    SELECT conv_id, i, said, cost, audit, lines FROM (
+        SELECT p.conv_id, f.i, e.said, (p.cost + s.cost + e.cost)::BIGINT AS cost, p.audit || s.letters || e.letter AS audit, p.lines || s.added || e.line AS lines
+        FROM p JOIN inserts s ON s.said = p.said JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1,
+        LATERAL (
+            SELECT s.now AS said, 4 AS cost, 'D' AS letter, '' AS line
+            UNION ALL
+            SELECT then_said, CASE fault WHEN 't' THEN 3 ELSE 0 END, 'K', chr(10) || f.role || ':' || f.text FROM edits WHERE edits.said = s.now AND keep = initial AND fault IN ('-', 't')
+            UNION ALL
+            SELECT then_said, CASE fault WHEN 't' THEN 6 ELSE 3 END, 'R', chr(10) || edits.role || ':' || f.text FROM edits WHERE edits.said = s.now AND edits.role IS NOT NULL AND fault IN ('-', 't')
+        ) e
+    ) QUALIFY row_number() OVER (PARTITION BY conv_id, said ORDER BY cost, audit) = 1
+), done AS (
+    SELECT p.conv_id, (p.cost + s.cost)::BIGINT AS cost, p.audit || s.letters AS audit, p.lines || s.added AS lines
+    FROM p JOIN stats ON stats.conv_id IS NOT DISTINCT FROM p.conv_id AND stats.n = p.i JOIN inserts s ON s.said = p.said AND s.now IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + s.cost, p.audit || s.letters) = 1
+)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+_OP12 = r"""
+WITH t AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM t WHERE len(terms) > 0),
+p AS (
+    SELECT r, doc_id, len(terms) AS n, u.term, count(*) AS tf FROM t, unnest(terms) AS u(term) GROUP BY ALL
+), w AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, n_docs
+), q AS (
+    SELECT r, item_id, u.term FROM (
+        SELECT row_number() OVER () AS r, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM benchmark
+    ), unnest(terms) AS u(term)
+), c AS (
+    SELECT q.r AS q, item_id, p.r, doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST))::INT AS rank, doc_id, score
+FROM c WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) <= 20
+"""
+
 _OP13 = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -136,4 +227,4 @@ SELECT k.doc_id, count(*) AS n_lines, count(last_doc) FILTER (k.doc_id <> last_d
 FROM k LEFT JOIN frequent USING (key) GROUP BY r, k.doc_id
 """
 
-ORACLE_SQL = {"op1_topk_search": _OP1, "op3_near_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_chat_format": _OP9, "op13_line_dedup": _OP13}
+ORACLE_SQL = {"op1_topk_search": _OP1, "op3_near_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_chat_format": _OP9, "op11_conversation_repair": _OP11, "op12_block_max_wand": _OP12, "op13_line_dedup": _OP13}
