@@ -6,23 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_asof(
-    left: DataFrame,
-    right: DataFrame,
-    by: list[str],
-    on: str,
-    right_on: str,
-    carry: list[str],
-    tolerance: float | None = None,
-    slot: float | None = None,
-    tie_order: str | None = None,
-) -> DataFrame:
-    """Every left row with the right row nearest in time, right columns ``carry``, and ``gap``.
+#: Slots of so many tolerances, unless a slot is given; seconds of a track that make a slot where there is no tolerance.
+SLOT_TOLERANCES, TRACK_SLOT = 64, 60.0
 
-    Of two equally near rows the earlier wins; of rows at one time the one that is first by
-    tie_order. gap is the absolute distance, and rows over ``tolerance`` (inclusive) are dropped.
-    ``right_on`` comes back as ``matched_on``. Left rows without any right row are dropped, and so
-    are rows of a null entity or time on either side: an unknown entity is not the same as another.
+
+def bracketed(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, carry: list[str], slot: float | None = None, tie_order: str | None = None) -> DataFrame:
+    """Left rows with the nearest right row at their time or before (__back) and at it or after (__fwd), as structs (at, *carry), null where there is none.
+
+    Of right rows at one time the one that is first by tie_order counts. Rows of a null entity or
+    time are dropped on either side: an unknown entity is not the same as another.
 
     With ``slot`` (a length of time) each entity is cut into slots: the windows then run within
     (entity, slot), and what lies beyond a slot is carried in from one summary row per slot, so an
@@ -54,10 +46,35 @@ def nearest_asof(
         after = F.last("__lo", True).over(order.orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, -1))
         ends = ends.select(*by, "__slot", before.alias("__before"), after.alias("__after"))
         met = met.join(ends, [*by, "__slot"]).withColumn("__back", F.coalesce("__back", "__before")).withColumn("__fwd", F.coalesce("__fwd", "__after"))
+    return met.where("__back IS NOT NULL OR __fwd IS NOT NULL").select("__row.*", "__t", "__back", "__fwd")
+
+
+def nearest_asof(
+    left: DataFrame,
+    right: DataFrame,
+    by: list[str],
+    on: str,
+    right_on: str,
+    carry: list[str],
+    tolerance: float | None = None,
+    slot: float | None = None,
+    tie_order: str | None = None,
+) -> DataFrame:
+    """Every left row with the right row nearest in time, right columns ``carry``, and ``gap``.
+
+    Of two equally near rows the earlier wins; of rows at one time the one that is first by
+    tie_order. gap is the absolute distance, and rows over ``tolerance`` (inclusive) are dropped.
+    ``right_on`` comes back as ``matched_on``. Left rows without any right row are dropped. Entities
+    are cut into slots as in ``bracketed``, of SLOT_TOLERANCES tolerances unless ``slot`` is given;
+    with neither an entity is one window.
+    """
+    if slot is None and tolerance:
+        slot = SLOT_TOLERANCES * tolerance
+    met = bracketed(left, right, by, on, right_on, carry, slot, tie_order)
     back, fwd = F.col("__t") - F.col("__back.at"), F.col("__fwd.at") - F.col("__t")
-    nearest = F.when(F.col("__fwd").isNull() | (back <= fwd), F.col("__back")).otherwise(F.col("__fwd"))
-    out = met.withColumn("__hit", nearest).where("__hit IS NOT NULL")
-    out = out.select("__row.*", F.col("__hit.at").alias("matched_on"), *[F.col(f"__hit.{c}").alias(c) for c in carry], F.abs(F.col("__t") - F.col("__hit.at")).alias("gap"))
+    nearest = F.when(F.col("__back").isNotNull() & (F.col("__fwd").isNull() | (back <= fwd)), F.col("__back")).otherwise(F.col("__fwd"))
+    out = met.withColumn("__hit", nearest)
+    out = out.select(*left.columns, F.col("__hit.at").alias("matched_on"), *[F.col(f"__hit.{c}").alias(c) for c in carry], F.abs(F.col("__t") - F.col("__hit.at")).alias("gap"))
     return out if tolerance is None else out.where(F.col("gap") <= tolerance)
 
 

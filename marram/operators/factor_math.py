@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from marram.operators.lie import between, se3_exp, se3_log, skew
+from marram.operators.lie import adjoint, between, inverse_right_jacobian, se3_exp, se3_log, skew
 
 LEAST_LENGTH = 1e-6
 
@@ -61,18 +61,34 @@ def odometry(ra, pa, rb, pb, rm, pm):
     return se3_log(*between(rm, pm, *between(ra, pa, rb, pb)))
 
 
+def odometry_jacobians(e, ra, pa, rb, pb):
+    """n*6*6 by each pose, at residual ``e``: a step of b comes last, one of a is carried through the motion between them."""
+    by_b = inverse_right_jacobian(e)
+    return -by_b @ adjoint(*between(rb, pb, ra, pa)), by_b
+
+
 def pose_prior(r, p, r0, p0):
     return se3_log(*between(r0, p0, r, p))
 
 
 def gravity(r, measured, up=np.array([0.0, 0.0, 1.0])):
     """Tilt between the world's up seen in the body and the measured one, as two components across the latter (n*2)."""
-    seen = (np.swapaxes(r, -1, -2) @ up[..., None])[..., 0]
+    return (_across(measured) @ (np.swapaxes(r, -1, -2) @ up[..., None]))[..., 0]
+
+
+def gravity_jacobian(r, measured, up=np.array([0.0, 0.0, 1.0])):
+    """n*2*6: what is seen turns against the pose."""
+    out = np.zeros((len(r), 2, 6))
+    out[..., :3] = _across(measured) @ skew((np.swapaxes(r, -1, -2) @ up[..., None])[..., 0])
+    return out
+
+
+def _across(measured):
+    """n*2*3: two directions across each vector."""
     least = np.abs(measured).argmin(axis=1)
     e1 = np.cross(measured, np.eye(3)[least])
     e1 /= np.linalg.norm(e1, axis=1, keepdims=True)
-    e2 = np.cross(measured, e1)
-    return np.stack([(seen * e1).sum(axis=1), (seen * e2).sum(axis=1)], axis=1)
+    return np.stack([e1, np.cross(measured, e1)], axis=1)
 
 
 def numeric(residual, r, p, eps: float = 1e-6) -> np.ndarray:

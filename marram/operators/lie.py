@@ -76,3 +76,34 @@ def between(ra, ta, rb, tb) -> tuple[np.ndarray, np.ndarray]:
     """inverse(a) * b."""
     rt = np.swapaxes(ra, -1, -2)
     return rt @ rb, (rt @ (tb - ta)[..., None])[..., 0]
+
+
+def adjoint(r: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """n*6*6 that carries a tangent through a pose."""
+    out = np.zeros((*r.shape[:-2], 6, 6))
+    out[..., :3, :3] = out[..., 3:, 3:] = r
+    out[..., 3:, :3] = skew(t) @ r
+    return out
+
+
+def inverse_right_jacobian(x: np.ndarray) -> np.ndarray:
+    """n*6*6 derivative of log(exp(x) exp(d)) by d at 0.
+
+    It is the inverse of the left Jacobian at -x, whose lower left block is a series in the products
+    of the two parts' skew matrices, summed in closed form (by its first terms near no rotation).
+    """
+    w, v = -x[..., :3], -x[..., 3:]
+    a = np.linalg.norm(w, axis=-1)[..., None, None]
+    small = a < 1e-2
+    s = np.where(small, 1.0, a)
+    k, l = skew(w), skew(v)
+    second = np.where(small, 1 / 6 - a**2 / 120, (s - np.sin(s)) / s**3)
+    third = np.where(small, 1 / 24 - a**2 / 720, (s**2 + 2 * np.cos(s) - 2) / (2 * s**4))
+    fourth = np.where(small, 1 / 120 - a**2 / 2520, (2 * s - 3 * np.sin(s) + s * np.cos(s)) / (2 * s**5))
+    kl, lk, klk = k @ l, l @ k, k @ l @ k
+    lower = l / 2 + second * (kl + lk + klk) + third * (k @ kl + lk @ k - 3 * klk) + fourth * (klk @ k + k @ klk)
+    own = np.linalg.inv(left_jacobian(w))
+    out = np.zeros((*x.shape[:-1], 6, 6))
+    out[..., :3, :3] = out[..., 3:, 3:] = own
+    out[..., 3:, :3] = -own @ lower @ own
+    return out

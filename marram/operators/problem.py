@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marram.functions.geometry import minus, plus, rotate, times, vec
 from marram.operators import alignment, cleaning, constraints
-from marram.operators.asof import nearest_asof, nearest_to_first
+from marram.operators.asof import TRACK_SLOT, nearest_asof, nearest_to_first
 from marram.operators.constraints import Config
 
 #: Sigmas of odometry, tilt, gauge, per-robot and weak priors, heights; all in radians and metres.
@@ -78,7 +78,7 @@ def placed(nodes: DataFrame, truth: DataFrame, config: Config | None = None) ->
     else:
         right = truth.select("robot", F.col("t").alias("rt"), *[F.col(c).alias(d) for c, d in zip("xyz", alignment.DST, strict=True)])
         left = nodes.select("robot", "t", *[F.col(c).alias(s) for c, s in zip("xyz", alignment.SRC, strict=True)])
-        pairs = nearest_asof(left, right, ["robot"], "t", "rt", list(alignment.DST))
+        pairs = nearest_asof(left, right, ["robot"], "t", "rt", list(alignment.DST), slot=TRACK_SLOT)
         fit = alignment.yaw_alignment(pairs, ["robot"]) if config.yaw_only else alignment.similarity_alignment(pairs, ["robot"], False)
         moved = nodes.join(fit.drop("n"), "robot")
     if config.start == "first_pose" or config.yaw_only:

@@ -1,11 +1,8 @@
 """Levenberg-Marquardt over a table of constraints, and marginal covariances.
 
 ``optimise_groups`` solves independent problems (runs, sequences, components) each in a task of its
-own, where its constraints lie. ``optimise`` is for one problem too large for a task: constraints
-meet the current nodes in joins, are linearised in batches where they lie, and their normal-equation
-blocks are summed per (row, column) by a grouped aggregate; only those blocks, one per node and one
-per pair of linked nodes, come to the driver, which factorises them in time order: links join nodes
-close in time, so the factor stays banded.
+own, where its constraints lie; blocks are eliminated in time order: links join nodes close in time,
+so the factor stays banded. ``segmented.optimise`` is for one problem too large for a task.
 
 A scalar unknown, such as a range bias, is the x of a node whose other five degrees a tight prior
 holds, so it takes part like any pose.
@@ -18,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.operators import factor_math as fm
-from marram.operators.lie import quat_of, rotation_of, se3_exp
+from marram.operators.lie import inverse_right_jacobian, quat_of, rotation_of, se3_exp
 
 #: Columns of a node and of a constraint. a, b: its poses; c: the node of its bias; meas: position
 #: and quaternion xyzw, or [range] or [height]; point: anchor; arm_a, arm_b: antenna arms; sigma: 6
@@ -75,15 +72,14 @@ def linearise(pdf: pd.DataFrame) -> list[Linear]:
             rb, pb = _poses(rows, "b")
             rm, pm = rotation_of(meas[:, 3:]), meas[:, :3]
             e = fm.odometry(ra, pa, rb, pb, rm, pm)
-            by["a"] = fm.numeric(lambda r, p: fm.odometry(r, p, rb, pb, rm, pm), ra, pa)
-            by["b"] = fm.numeric(lambda r, p: fm.odometry(ra, pa, r, p, rm, pm), rb, pb)
+            by["a"], by["b"] = fm.odometry_jacobians(e, ra, pa, rb, pb)
         elif kind in ("pose_prior", "bias_prior", "anchor_pin"):
             r0, p0 = rotation_of(meas[:, 3:]), meas[:, :3]
             e = fm.pose_prior(ra, pa, r0, p0)
-            by["a"] = fm.numeric(lambda r, p: fm.pose_prior(r, p, r0, p0), ra, pa)
+            by["a"] = inverse_right_jacobian(e)
         elif kind == "gravity":
             e = fm.gravity(ra, meas)
-            by["a"] = fm.numeric(lambda r, p: fm.gravity(r, meas), ra, pa)
+            by["a"] = fm.gravity_jacobian(ra, meas)
         else:
             raise ValueError(f"no such kind of constraint: {kind}")
         if has_bias:
@@ -262,29 +258,6 @@ def descend(system, state: dict[int, np.ndarray], order: list[int], most: int, t
     return Descent(state, cost, first, rounds, h)
 
 
-@dataclass
-class Solution:
-    nodes: DataFrame
-    cost: float
-    first_cost: float
-    rounds: int
-    marginals: dict[int, np.ndarray] | None = None
-
-
-def optimise(spark: SparkSession, factors: DataFrame, nodes: DataFrame, order: list[int] | None = None, most: int = 100, tolerance: float = 1e-9, with_marginals: bool = False) -> Solution:
-    """Minimise one problem's cost from ``nodes`` (NODE columns). order: node ids in time order, else by id."""
-    factors = factors.persist()
-    state = {int(r["id"]): np.array([r[c] for c in _POSE]) for r in nodes.collect()}
-    order = order or sorted(state)
-    frame = lambda s: spark.createDataFrame([(k, *map(float, v)) for k, v in s.items()], NODE)
-    try:
-        found = descend(lambda s: normal_equations(factors, frame(s)), state, order, most, tolerance)
-        marginals = BlockCholesky(found.blocks, order).marginals() if with_marginals else None
-        return Solution(frame(found.state), found.cost, found.first_cost, found.rounds, marginals)
-    finally:
-        factors.unpersist()
-
-
 def optimise_groups(factors: DataFrame, nodes: DataFrame, by: list[str], most: int = 100, tolerance: float = 1e-9, with_marginals: bool = False) -> DataFrame:
     """by, NODE columns, cost, first_cost, rounds, covariance array<double> (36, of [rotation, translation]; null without marginals).
 

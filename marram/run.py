@@ -7,8 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.operators import alignment, maps, problem, solve, voxels
-from marram.operators.asof import nearest_asof
+from marram.operators import alignment, maps, problem, segmented, solve, voxels
+from marram.operators.asof import TRACK_SLOT, nearest_asof
 from marram.operators.cleaning import first_rows
 from marram.operators.constraints import Config
 from marram.operators.problem import Problem
@@ -69,9 +69,20 @@ def read_inputs(spark: SparkSession, at: Layout, seq: str, robots: tuple[str, ..
     return Inputs(tracks, truth, logs.ranges(spark, at.logs, seq, list(robots)), dimensions.anchors(spark, at.config("uwb/anchors.yaml"), seq), dimensions.tag_arms(spark, at.config("uwb/tags.yaml")), heights)
 
 
-def solved(inputs: Inputs, config: Config, with_marginals: bool = False, most: int = 100) -> tuple[Problem, DataFrame]:
-    """The problem and its solved nodes, with cost, rounds and, if asked for, covariance."""
+#: Nodes of a run that one task solves; a longer run is cut into segments of so many seconds.
+TASK_NODES, SEGMENT_SECONDS = 20_000, 60.0
+
+
+def solved(inputs: Inputs, config: Config, with_marginals: bool = False, most: int = 100, task_nodes: int = TASK_NODES, seconds: float = SEGMENT_SECONDS) -> tuple[Problem, DataFrame]:
+    """The problem and its solved nodes, with cost, rounds and, if asked for, covariance.
+
+    A run of up to ``task_nodes`` nodes is solved in one task, a longer one by segments of time,
+    each where it lies; the solution is the same.
+    """
     made = problem.build(inputs.tracks, inputs.truth, inputs.ranges, inputs.anchors, config, inputs.arms, inputs.heights)
+    if made.nodes.count() > task_nodes:
+        found = segmented.optimise(made.factors, made.nodes, F.floor(F.col("t") / seconds), F.col("t"), most=most, with_marginals=with_marginals)
+        return made, found.nodes.withColumns({"cost": F.lit(found.cost), "first_cost": F.lit(found.first_cost), "rounds": F.lit(found.rounds)})
     one = F.lit(0).alias("run")
     found = solve.optimise_groups(made.factors.select(one, "*"), made.nodes.select(one, "*"), ["run"], most, with_marginals=with_marginals)
     return made, found.drop("run")
@@ -81,7 +92,7 @@ def scored(tracks: DataFrame, truth: DataFrame, with_scale: bool = False) -> Dat
     """robot, n, rmse of tracks (robot, t, x, y, z) against the truth nearest in time, after a rigid (or similarity) fit."""
     left = tracks.select("robot", "t", *[F.col(c).alias(s) for c, s in zip("xyz", alignment.SRC, strict=True)])
     right = truth.select("robot", F.col("t").alias("rt"), *[F.col(c).alias(d) for c, d in zip("xyz", alignment.DST, strict=True)])
-    pairs = nearest_asof(left, right, ["robot"], "t", "rt", list(alignment.DST))
+    pairs = nearest_asof(left, right, ["robot"], "t", "rt", list(alignment.DST), slot=TRACK_SLOT)
     return alignment.rmse(alignment.aligned_by_similarity(pairs, ["robot"], with_scale), ["robot"])
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -53,3 +56,36 @@ def materialised(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Workspace:
+    """Tables written to the shared folder while an iterative job runs; ``drop`` removes what is done with.
+
+    What a result still reads stays until the application ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+        atexit.register(self._close)
+
+    def _close(self) -> None:
+        if SparkContext._active_spark_context is not None:
+            self.drop_all_but()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read back: its lineage ends there, whichever executor is lost."""
+        path = f"{shared_folder(self.spark)}/work-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table), (None, None))
+            if path is not None:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*[t for t, _ in list(self.paths.values()) if all(t is not k for k in tables)])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.operators import cleaning
-from marram.operators.asof import nearest_asof
+from marram.operators.asof import TRACK_SLOT, nearest_asof
 from marram.sources import schemas
 
 
@@ -57,30 +57,17 @@ def clean_truth(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def smoothed_truth(raw: DataFrame, at: DataFrame, smooth: float = 0.9999) -> DataFrame:
-    """Smoothed pose of each entity at the times of ``at`` (entity, timestamp), which are clipped to the clean span."""
-    import numpy as np
-    import pandas as pd
+    """Smoothed pose of each entity at the times of ``at`` (entity, timestamp), which are clipped to the clean span.
 
+    Of clean rows at one time the least is fitted. A long track is cleaned, fitted and evaluated in pieces.
+    """
     columns = ["x", "y", "z", *_QUAT]
     clean, _ = clean_truth(raw)
-
-    def run(key, track: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("timestamp").drop_duplicates("timestamp")
-        t = track["timestamp"].to_numpy(dtype=float)
-        out = pd.DataFrame({"entity": asked["entity"], "timestamp": asked["timestamp"]})
-        if not len(t) or not len(asked):
-            return pd.DataFrame({c: pd.Series(dtype=float) for c in ["entity", "timestamp", *columns]}).astype({"entity": asked["entity"].dtype})
-        out["timestamp"] = np.clip(asked["timestamp"].to_numpy(dtype=float), t[0], t[-1])
-        for c in columns:
-            level, curve = cleaning.smoothing_spline(t, track[c].to_numpy(dtype=float), smooth)
-            out[c] = cleaning.spline_at(t, level, curve, out["timestamp"].to_numpy())
-        q = out[_QUAT].to_numpy()
-        out[_QUAT] = q / np.linalg.norm(q, axis=1, keepdims=True)
-        return out
-
-    kind = dict(at.dtypes)["entity"]
-    schema = f"entity {kind}, timestamp double, " + ", ".join(f"{c} double" for c in columns)
-    return clean.groupBy("entity").cogroup(at.groupBy("entity")).applyInPandas(run, schema)
+    once = clean.groupBy("entity", "timestamp").agg(F.min(F.struct(*columns)).alias("least")).select("entity", "timestamp", "least.*")
+    knots = cleaning.fitted(once, ["entity"], "timestamp", columns, smooth)
+    found = cleaning.evaluated(knots, at.select("entity", "timestamp"), ["entity"], "timestamp", columns, TRACK_SLOT)
+    n = cleaning.norm(*_QUAT)
+    return found.select("entity", "timestamp", "x", "y", "z", *[(F.col(c) / n).alias(c) for c in _QUAT])
 
 
 def ranges(spark: SparkSession, root: str, seq: str, robots: list[str], most_std: float = 0.5) -> DataFrame:

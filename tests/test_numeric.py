@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marram.operators import factor_math as fm
-from marram.operators import lie, solve
+from marram.operators import lie, segmented, solve
 from marram.operators.alignment import similarity
 from marram.operators.cleaning import smoothing_spline, spline_at
 
@@ -93,13 +93,13 @@ def test_similarity_is_a_rotation_and_the_best_one(mirrored):
 
 
 def test_banded_solver_against_dense():
-    from marram.operators.cleaning import _banded
+    from marram.operators.banded import five_diagonals
 
     for m in (1, 2, 3, 63, 64, 65, 200):
         a = np.stack([RNG.uniform(4, 5, m), RNG.uniform(-1, 1, m), RNG.uniform(-1, 1, m)])
         dense = np.diag(a[0]) + sum(np.diag(a[k, : m - k], k) + np.diag(a[k, : m - k], -k) for k in (1, 2) if m > k)
         b = RNG.normal(size=m)
-        assert np.allclose(_banded(a, b), np.linalg.solve(dense, b))
+        assert np.allclose(five_diagonals(a, b), np.linalg.solve(dense, b))
 
 
 def test_spline_query_against_dense_normal_equations(spark, small_dir):
@@ -173,23 +173,23 @@ def world(spark, outliers):
 
 def test_solver_finds_a_clean_world(spark):
     p, factors, nodes = world(spark, ())
-    found = solve.optimise(spark, factors, nodes, with_marginals=True)
+    found = segmented.optimise(factors, nodes, with_marginals=True)
     at = np.array([[r["x"], r["y"], r["z"]] for r in found.nodes.orderBy("id").collect()])
     assert found.cost < 1e-8 < found.first_cost and np.abs(at - p).max() < 1e-4
-    assert all(np.linalg.eigvalsh(m).min() > 0 for m in found.marginals.values())
+    assert all(np.linalg.eigvalsh(m).min() > 0 for m in [np.array(r["covariance"]).reshape(6, 6) for r in found.nodes.collect()])
 
 
 def test_groups_are_solved_as_one_by_one(spark):
     p, factors, nodes = world(spark, (3,))
-    whole = solve.optimise(spark, factors, nodes, with_marginals=True)
+    whole = segmented.optimise(factors, nodes, with_marginals=True)
     twice = lambda df: df.withColumn("g", F.lit("a")).unionByName(df.withColumn("g", F.lit("b")))
     rows = solve.optimise_groups(twice(factors), twice(nodes).unionByName(nodes.limit(1).withColumn("g", F.lit("c"))), ["g"], with_marginals=True).collect()
-    want = {r["id"]: [r[c] for c in ("x", "y", "z")] for r in whole.nodes.collect()}
+    want = {r["id"]: r for r in whole.nodes.collect()}
     assert {r["g"] for r in rows} == {"a", "b", "c"} and len(rows) == 13
     for r in rows:
         if r["g"] != "c":
-            assert np.allclose([r["x"], r["y"], r["z"]], want[r["id"]], atol=1e-6) and np.isclose(r["cost"], whole.cost, atol=1e-9)
-            assert np.allclose(np.array(r["covariance"]).reshape(6, 6), whole.marginals[r["id"]], atol=1e-9)
+            assert np.allclose([r[c] for c in "xyz"], [want[r["id"]][c] for c in "xyz"], atol=1e-6) and np.isclose(r["cost"], whole.cost, atol=1e-9)
+            assert np.allclose(np.array(r["covariance"]).reshape(6, 6), np.array(want[r["id"]]["covariance"]).reshape(6, 6), atol=1e-9)
         else:
             assert r["covariance"] is None and r["rounds"] == 0
 
@@ -219,7 +219,7 @@ def test_robust_beats_plain_with_outliers(spark):
     p, factors, nodes = world(spark, (3, 17))
     error = []
     for rows in (factors, factors.withColumn("huber", F.lit(0.0))):
-        at = np.array([[r["x"], r["y"], r["z"]] for r in solve.optimise(spark, rows, nodes).nodes.orderBy("id").collect()])
+        at = np.array([[r["x"], r["y"], r["z"]] for r in segmented.optimise(rows, nodes).nodes.orderBy("id").collect()])
         error.append(np.abs(at - p).max())
     assert error[0] < error[1]
 
