@@ -175,7 +175,7 @@ class Unit:
         self.data, self.totals = blocks["data"].combine_chunks(), (n_docs, n_terms)
         coded = blocks["term"].combine_chunks().dictionary_encode()
         ends = np.searchsorted(coded.indices.to_numpy(), np.arange(len(coded.dictionary)), "right")
-        self.lists = {t: (int(a), int(b)) for t, a, b in zip(coded.dictionary.to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True)}
+        self.lists = {t: (int(a), int(b)) for t, a, b in zip(coded.dictionary.to_pylist(), np.concatenate([[0], ends])[: len(ends)], ends, strict=True)}
         self.opened = 0
 
     def open(self, blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
