@@ -36,7 +36,9 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 def long_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """row_key, doc_id, position and line (hash of the key): a row for each line whose key has ``least_chars`` or more."""
     doc_id, text = quoted(id_col), quoted(text_col)
-    exploded = docs.select(_row_key(doc_id, text).alias("row_key"), doc_id.alias("doc_id"), F.posexplode(_lines_of(text)).alias("position", "raw"))
+    # The key is made before lines are exploded, or every line would carry its whole text to it.
+    rows = docs.select(_row_key(doc_id, text).alias("row_key"), doc_id.alias("doc_id"), _lines_of(text).alias("lines"))
+    exploded = rows.select("row_key", "doc_id", F.posexplode("lines").alias("position", "raw"))
     # A key is not longer than its line, so short lines go before they are normalised.
     keyed = exploded.where(F.char_length("raw") >= least_chars).withColumn("key", line_key(F.col("raw")))
     return keyed.where(F.char_length("key") >= least_chars).select("row_key", "doc_id", "position", F.unhex(F.md5("key")).alias("line"))
