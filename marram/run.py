@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.operators import alignment, maps, problem, segmented, solve, voxels
+from marram.operators import alignment, maps, problem, segmented, solve, stereo, voxels
 from marram.operators.asof import TRACK_SLOT, nearest_asof
 from marram.operators.cleaning import first_rows
 from marram.operators.constraints import Config
@@ -147,16 +147,33 @@ def dump(spark: SparkSession, at: Layout, seq: str, path: str, anchor_free: bool
     return voxels.trace_range(logs.poses(spark, path), ["robot"], "tr_sigma_pos")
 
 
-def observations(poses: DataFrame, disparities: DataFrame, calibrations: dict[str, dimensions.StereoCalibration], c: Occupancy, stride: int = 2, most_frames: int | None = None, tolerance: float = 0.05, least_pixels: int = 100, step: int = 4, mates_within: float = 0.5) -> DataFrame:
+def stereo_frames(images: DataFrame, calibrations: dict[str, dimensions.StereoCalibration], most: int = 96, reach: int = 3) -> DataFrame:
+    """robot, t, u, v, disparity from raw grey images (robot, t, camera 0 or 1, v, u, grey), rectified first."""
+    spark, sides = images.sparkSession, []
+    dealt = images.repartition("robot", "t")
+    for robot, k in calibrations.items():
+        flat = stereo.rectification(k)
+        own = dealt.where(F.col("robot") == robot)
+        view = lambda camera, name, own=own, k=k, flat=flat: stereo.remapped(own.where(F.col("camera") == camera), ["robot", "t"], stereo.rectifying_map(spark, k, flat, camera)).select("robot", "t", "v", "u", F.round("grey").alias(name))
+        sides.append(view(0, "left").join(view(1, "right"), ["robot", "t", "v", "u"]))
+    return stereo.disparities(_all(sides), ["robot", "t"], most, reach)
+
+
+def observations(poses: DataFrame, disparities: DataFrame, calibrations: dict[str, dimensions.StereoCalibration], c: Occupancy, stride: int = 2, most_frames: int | None = None, tolerance: float = 0.05, least_pixels: int = 100, step: int = 4, mates_within: float = 0.5, rectified: bool = False) -> DataFrame:
     """World points of every stride-th pose's stereo frame: robot, i, t, frame, o*, p*, tr, sigma_z, sigma_pos, mates.
 
     disparities: robot, t, u, v, disparity (pixels of rectified frames). A pose takes the frame
     nearest in time; frames with too few valid depths go; mates are the other robots' bodies at the
     time, a track without a pose near enough has none. frame numbers the poses in time over robots.
+    ``rectified``: disparities are those of ``stereo_frames``, so points lie in the rectified
+    camera's frame and are turned back into the raw one; else the cameras count as rectified.
     """
     spark = poses.sparkSession
-    rows = [(r, *k.intrinsics[0], k.intrinsics[0][0] * k.baseline) for r, k in calibrations.items()]
-    intrinsics = F.broadcast(spark.createDataFrame(rows, "robot string, fx double, fy double, cx double, cy double, fb double"))
+    same_frame = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    flat = {r: stereo.rectification(k) for r, k in calibrations.items()} if rectified else {}
+    rows = [(r, f.focal, f.focal, f.cx, f.cy, f.focal * f.baseline, list(f.rotations[0])) for r, f in flat.items()]
+    rows = rows or [(r, *k.intrinsics[0], k.intrinsics[0][0] * k.baseline, same_frame) for r, k in calibrations.items()]
+    intrinsics = F.broadcast(spark.createDataFrame(rows, "robot string, fx double, fy double, cx double, cy double, fb double, turned array<double>"))
     used = poses.where(F.col("i") % stride == 0)
     frames = disparities.select("robot", "t").distinct().select("robot", F.col("t").alias("ft"))
     met = nearest_asof(used, frames, ["robot"], "t", "ft", [], tolerance).drop("gap").withColumnRenamed("matched_on", "ft")
@@ -170,7 +187,7 @@ def observations(poses: DataFrame, disparities: DataFrame, calibrations: dict[st
     pixels = voxels.sampled_frames(pixels, ["robot", "i"], F.col("z").isNotNull(), "v", "u", least_pixels, step)
     sigma = (F.col("z") * F.col("z") / F.col("fb")).cast("float").cast("double")
     at = lambda k: F.get("pose", F.lit(k))
-    local = ((F.col("u") - F.col("cx")) * F.col("z") / F.col("fx"), (F.col("v") - F.col("cy")) * F.col("z") / F.col("fy"), F.col("z"))
+    local = voxels.backproject(F.col("u"), F.col("v"), F.col("z"), F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"), F.col("turned") if rectified else None)
     point = voxels.to_world(F.array(*[at(4 * r + k) for r in range(3) for k in range(3)]), local, (at(3), at(7), at(11)))
     world = pixels.join(mates, ["robot", "i"], "left")
     out = world.select("robot", "i", "t", *[at(4 * k + 3).alias(n) for k, n in enumerate(("ox", "oy", "oz"))], *[x.alias(n) for x, n in zip(point, ("px", "py", "pz"), strict=True)], F.col("tr_sigma_pos").alias("tr"), sigma.alias("sigma_z"), "sigma_pos", "mates")
