@@ -33,12 +33,16 @@ def parser() -> argparse.ArgumentParser:
     for name, text in (("map", "fold depth observations into a voxel map"), ("compare", "weighted against uniform map"), ("export", "viewer page")):
         p = command(name, text)
         p.add_argument("--poses", required=True, help="what dump wrote")
-        p.add_argument("--disparities", required=True, help="Parquet of robot, t, u, v, disparity")
+        source = p.add_mutually_exclusive_group(required=True)
+        source.add_argument("--disparities", help="Parquet of robot, t, u, v, disparity")
+        source.add_argument("--images", help="Parquet of robot, t, camera (0 or 1), v, u, grey: raw pairs, rectified and matched here")
         p.add_argument("--stride", type=int, default=3 if name == "export" else 2)
         p.add_argument("--frames", type=int, help="at most so many of each robot")
         p.add_argument("--resolution", type=float, default=0.10)
         p.add_argument("--uniform", action="store_true")
         p.add_argument("--keep-mates", action="store_true", help="keep what is seen of other robots")
+        if name == "map":
+            p.add_argument("--octree", help="write the map as a binary octree file too")
         if name == "compare":
             p.add_argument("--height", type=float, default=0.8)
         if name == "export":
@@ -73,11 +77,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None):
     c = Occupancy(resolution=a.resolution, weighted=not a.uniform, dynamic_radius=0.0 if a.keep_mates else Occupancy.dynamic_radius)
     poses = logs.poses(spark, a.poses)
     known = {r: dimensions.stereo_calibration(spark, at.config(f"realsense/{r}/intrinsics.yaml")) for r in robots}
-    points = run.observations(poses, spark.read.parquet(a.disparities), known, c, a.stride, a.frames)
+    frames = run.stereo_frames(spark.read.parquet(a.images), known) if a.images else spark.read.parquet(a.disparities)
+    points = run.observations(poses, frames, known, c, a.stride, a.frames, rectified=bool(a.images))
     if a.command == "map":
-        from marram.sources import sinks
+        from marram.sources import octree, sinks
 
         sinks.voxel_map(run.occupancy_map(points, c), a.out)
+        if a.octree:
+            octree.write_octree(spark.read.parquet(a.out), a.octree, a.resolution)
         return None
     if a.command == "compare":
         found = run.compare(points, c, a.height)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +55,31 @@ def quantiles(rows: DataFrame, value: Column, shares: list[float], small: int =
     return out
 
 
+def grouped_quantiles(rows: DataFrame, by: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """by, and for each name the group's exact quantile, linear between neighbours; null if all its values are.
+
+    All groups at once: the values are ranked in ranges of (group, value), a group's first rank and
+    length tell which ranks it needs, and these are looked up. No task holds a group.
+    """
+    values = rows.select(*by, value.cast("double").alias("__v"))
+    known = ranked(values.where("__v IS NOT NULL"), [*by, "__v"], "__rank")
+    spans = values.groupBy(*by).agg(F.count("__v").alias("__n")).withColumnsRenamed({c: f"{c}__of" for c in by})
+    starts = known.groupBy(*by).agg(F.min("__rank").alias("__start"))
+    match = lambda suffix: reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(c + suffix)) for c in by], F.lit(True))
+    spans = spans.join(starts, match("__of"), "left").select(*[F.col(f"{c}__of").alias(c) for c in by], "__n", "__start")
+    at = {name: share * (F.col("__n") - 1) for name, share in shares.items()}
+    needed = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at.values()])))
+    asked = spans.withColumn("__at", F.explode(needed)).withColumn("__rank", F.col("__start") + F.col("__at"))
+    met = asked.join(known.select("__rank", "__v"), "__rank", "left")
+    pick = lambda place: F.max(F.when(F.col("__at") == place, F.col("__v")))
+    out = []
+    for name, a in at.items():
+        low, high = pick(F.floor(a)), pick(F.ceil(a))
+        part = F.max(a - F.floor(a))
+        out.append((low + part * (high - low)).alias(name))
+    return met.groupBy(*by).agg(*out)
+
+
 def _kth(values: DataFrame, k: int, n: int, small: int) -> float:
     below = 0
     while n > small:

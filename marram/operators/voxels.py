@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.functions.geometry import Vector, length, minus, quadratic_form, times, vec
-from marram.operators.ranks import quantiles
+from marram.operators.ranks import grouped_quantiles, quantiles
 
 CELL = ("ix", "iy", "iz")
 
@@ -197,12 +198,36 @@ def clamped_fold(evidence: DataFrame, cell: list[str], order: str, value: str, c
     if chunk is None:
         rows = evidence.groupBy(*cell).agg(F.array_sort(F.collect_list(step)).alias("steps"))
         return rows.select(*cell, F.aggregate("steps", F.lit(0.0), lambda a, x: hold(a + x["v"])).alias("l"))
+    return fold_triples(evidence, cell, order, value, c, chunk).select(*cell, F.greatest("lo", F.least("hi", "s")).alias("l"))
+
+
+#: Chunks of a cell that are composed at once; a cell with more is composed level by level.
+FAN = 4096
+
+
+def fold_triples(evidence: DataFrame, cell: list[str], order: str, value: str, c: Occupancy, chunk: int) -> DataFrame:
+    """cell, s, lo, hi: what a cell's frames do, in order, to the value x that they find: min(hi, max(lo, x + s))."""
+    step = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+    low, high = F.lit(c.low), F.lit(c.high)
+    hold = lambda x: F.greatest(low, F.least(high, x))
     parts = evidence.groupBy(*cell, F.floor(F.col(order) / chunk).alias("__part")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    whole = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    triple = F.aggregate("steps", whole, lambda a, x: F.struct((a["s"] + x["v"]).alias("s"), hold(a["lo"] + x["v"]).alias("lo"), hold(a["hi"] + x["v"]).alias("hi")))
-    parts = parts.select(*cell, F.struct(F.col("__part").alias("o"), triple.alias("f")).alias("f"))
-    rows = parts.groupBy(*cell).agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    return rows.select(*cell, F.aggregate("fs", F.lit(0.0), lambda a, x: F.greatest(x["f"]["lo"], F.least(x["f"]["hi"], a + x["f"]["s"]))).alias("l"))
+    triple = F.aggregate("steps", _untouched(), lambda a, x: F.struct((a["s"] + x["v"]).alias("s"), hold(a["lo"] + x["v"]).alias("lo"), hold(a["hi"] + x["v"]).alias("hi")))
+    parts = parts.select(*cell, "__part", triple.alias("f")).select(*cell, "__part", "f.*")
+    parts = composed(parts, [*cell, F.floor(F.col("__part") / FAN).alias("__group")], "__part").withColumnRenamed("__group", "__part")
+    return composed(parts, cell, "__part")
+
+
+def _untouched() -> Column:
+    return F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+
+
+def composed(triples: DataFrame, by: list[str | Column], order: str) -> DataFrame:
+    """by, s, lo, hi: a group's triples, one after the other in order, as one."""
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "s", "lo", "hi")))
+    rows = triples.groupBy(*by).agg(held.alias("fs"))
+    after = lambda x, v: F.greatest(x["lo"], F.least(x["hi"], v + x["s"]))
+    one = F.aggregate("fs", _untouched(), lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), after(x, a["lo"]).alias("lo"), after(x, a["hi"]).alias("hi")))
+    return rows.withColumn("f", one).select(*[c for c in rows.columns if c != "fs"], "f.*")
 
 
 def attribution(evidence: DataFrame, frame: list[str], trace: str, value: str = "value") -> DataFrame:
@@ -275,8 +300,26 @@ def dropped_cells(sigma: Column, resolution: float, k: float, cells: Column) ->
 
 
 def trace_range(poses: DataFrame, by: list[str], trace: str) -> DataFrame:
-    """by, low, middle, high: least, median and greatest covariance trace; an entity's distinct values must fit in a task."""
-    return poses.groupBy(*by).agg(F.min(trace).alias("low"), F.percentile(trace, 0.5).alias("middle"), F.max(trace).alias("high"))
+    """by, low, middle, high: least, median and greatest covariance trace."""
+    return grouped_quantiles(poses, by, F.col(trace), {"low": 0.0, "middle": 0.5, "high": 1.0})
+
+
+def near_rows(points: DataFrame, others: DataFrame, frame: list[str], point: tuple[str, str, str], other: tuple[str, str, str], radius: float, how: str = "left_semi") -> DataFrame:
+    """Points strictly nearer than radius to one of their frame's others (or, by a left_anti join, to none).
+
+    Each of the others is told to the 27 grid cells, of the radius' size, around it, and a point
+    meets those of its own cell alone; so neither side is gathered by frame, however many of either
+    it has. Rows with a null coordinate are near nothing.
+    """
+    at = lambda names: [F.floor(F.col(c) / radius).cast("long") for c in names]
+    steps = [F.lit(d) for d in (-1, 0, 1)]
+    rows = others.select(*[F.col(c).alias(f"__f{k}") for k, c in enumerate(frame)], *[F.col(c).alias(f"__o{k}") for k, c in enumerate(other)], *[c.alias(f"__g{k}") for k, c in enumerate(at(other))])
+    for k in range(3):
+        rows = rows.withColumn(f"__g{k}", F.explode(F.array(*[F.col(f"__g{k}") + d for d in steps])))
+    meets = [F.col(c) == F.col(f"__f{k}") for k, c in enumerate(frame)] + [c == F.col(f"__g{k}") for k, c in enumerate(at(point))]
+    apart = [F.col(c) - F.col(f"__o{k}") for k, c in enumerate(point)]
+    meets.append(F.sqrt(sum((a * a for a in apart[1:]), apart[0] * apart[0])) < radius)
+    return points.join(rows, reduce(Column.__and__, meets), how)
 
 
 def sampled_frames(pixels: DataFrame, frame: list[str], valid: Column, row: str, column: str, least: int = 100, step: int = 4) -> DataFrame:

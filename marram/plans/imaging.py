@@ -1,4 +1,4 @@
-"""Queries: rectification and disparities. The components of an embedding stand for a grey image of eight by eight pixels."""
+"""Queries: rectification, disparities and octrees. The components of an embedding stand for a grey image of eight by eight pixels."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from marram.operators import stereo
 from marram.plans.registry import points, query, r6, table
+from marram.session import Workspace
+from marram.sources import octree
 from marram.sources.dimensions import StereoCalibration
 
 _SIDE, _MOST = 8, 4
@@ -86,3 +88,27 @@ def stereo_disparity(spark, sf_dir):
     shifted = images.select("vec_id", "v", (F.col("u") - F.col("vec_id") % 3).alias("u"), F.col("grey").alias("right"))
     pairs = images.withColumnRenamed("grey", "left").join(shifted, ["vec_id", "v", "u"], "left").withColumn("right", F.coalesce("right", -F.col("left")))
     return stereo.disparities(pairs, ["vec_id"], _MOST, reach=1).select("vec_id", "v", F.col("u").cast("int").alias("u"), r6("disparity").alias("disparity"))
+
+
+def _spread_sql(c: str, k: int) -> str:
+    return f"list_sum(list_transform(range(16), lambda i: ((({c} + 32768) >> i) & 1) << (3 * i + {k})))::BIGINT"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT l_partkey % 23 - 9 AS ix, l_suppkey % 9 - 4 AS iy, l_linenumber::BIGINT - 3 AS iz, max(l_discount) - 0.05 >= 0 AS hit FROM lineitem GROUP BY ALL),
+b AS (SELECT ix // 2 AS x, iy // 2 AS y, iz // 2 AS z, max(ix) AS ix, max(hit) AS hit FROM c WHERE ix >= 0 AND iy >= 0 AND iz >= 0 GROUP BY 1, 2, 3),
+cells AS (SELECT ix, iy, iz, hit FROM c UNION ALL SELECT 100 + 2 * x + i % 2, 2 * y + i // 2 % 2, 2 * z + i // 4, hit FROM b, range(8) AS r(i)),
+up AS (
+    SELECT 16 AS depth, {_spread_sql("ix", 0)} + {_spread_sql("iy", 1)} + {_spread_sql("iz", 2)} AS code, CASE WHEN hit THEN 2 ELSE 1 END AS kind, 0 AS children, 0::BIGINT AS n FROM cells
+    UNION ALL
+    SELECT any_value(depth) - 1, code >> 3, CASE WHEN count(*) = 8 AND min(kind) = max(kind) AND max(kind) < 3 THEN max(kind) ELSE 3 END, sum(kind::INT << (2 * (code & 7))::INT)::INT, count(*)
+    FROM up WHERE depth > 0 GROUP BY code >> 3
+)
+SELECT depth, code, children, n FROM up WHERE kind = 3 AND depth < 16""")
+def octree_nodes(spark, sf_dir):
+    """Inner nodes of a pruned octree; the second part of the map is made of blocks of eight equal cells."""
+    key = [(F.col("l_partkey") % 23 - 9).alias("ix"), (F.col("l_suppkey") % 9 - 4).alias("iy"), (F.col("l_linenumber").cast("long") - 3).alias("iz")]
+    cells = table(spark, sf_dir, "lineitem").select(*key, (F.col("l_discount") - 0.05).alias("l")).groupBy("ix", "iy", "iz").agg(F.max("l").alias("l"))
+    blocks = cells.where("ix >= 0 AND iy >= 0 AND iz >= 0").groupBy(*[F.floor(F.col(c) / 2).alias(c) for c in ("ix", "iy", "iz")]).agg(F.max("l").alias("l"))
+    eight = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    eight = eight.select((100 + 2 * F.col("ix") + F.col("i") % 2).alias("ix"), (2 * F.col("iy") + F.floor(F.col("i") / 2) % 2).alias("iy"), (2 * F.col("iz") + F.floor(F.col("i") / 4)).alias("iz"), "l")
+    return octree.inner_nodes(cells.unionByName(eight), Workspace(spark)).select("depth", "code", "children", "n")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from marram.functions.geometry import CIVIDIS, VIRIDIS, colour, logistic, rotate, vec
-from marram.operators import maps, voxels
+from marram.operators import figures, maps, voxels
+from marram.operators.kept_map import KeptMap
 from marram.operators.voxels import CELL
 from marram.plans.registry import events, points, query, r6, table
+from marram.session import Workspace, shared_folder
 from marram.sources import sinks
 
 FX, FY, CX, CY, FB = 386.0, 386.0, 424.0, 240.0, 20.0
@@ -161,6 +164,22 @@ def clamped_fold(spark, sf_dir):
     return _fold(spark, sf_dir).select(*CELL, (r6("l") + 0.0).alias("l"))
 
 
+@query(f"WITH {_EVIDENCE}, {_FOLD} SELECT ix, iy, iz, round(l, 6) + 0.0 AS l FROM fold")
+def kept_map(spark, sf_dir):
+    """The same frames in three batches, added to a kept map that is compacted once."""
+    evidence = voxels.frame_evidence(_evidence(spark, sf_dir), ["frame"])
+    low, high = evidence.agg(F.min("frame"), F.max("frame")).first()
+    work = Workspace(spark)
+    folder = f"{shared_folder(spark)}/map-{uuid.uuid4().hex}"
+    kept = KeptMap(spark, folder, voxels.Occupancy(), buckets=8, chunk=12)
+    third = (high - low) // 3 + 1
+    for batch in range(3):
+        kept.add(evidence.where(F.col("frame").between(low + batch * third, low + (batch + 1) * third - 1)), batch)
+        if batch == 1:
+            kept.compact()
+    return work.keep(kept.cells()).select(*CELL, (r6("l") + 0.0).alias("l"))
+
+
 @query(f"WITH {_EVIDENCE}, {_FOLD} SELECT CASE WHEN l > 0.85 THEN 'occupied' WHEN l < -0.4 THEN 'free' ELSE 'unknown' END AS label, count(*) AS n FROM fold GROUP BY 1")
 def classify(spark, sf_dir):
     return _fold(spark, sf_dir).groupBy(maps.classify(F.col("l")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -384,3 +403,30 @@ k AS (SELECT DISTINCT floor(i * ((n - 1) / 699.0::DOUBLE))::BIGINT AS pos FROM (
 SELECT event_id FROM o WHERE pos IN (SELECT pos FROM k) OR n <= 700""")
 def thinning(spark, sf_dir):
     return maps.thinned(events(spark, sf_dir), 700, ["value", "event_id"]).select("event_id")
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)
+SELECT a.vec_id FROM e a WHERE a.vec_id % 5 <> 0 AND EXISTS (SELECT 1 FROM e b WHERE b.vec_id % 5 = 0 AND b.label = a.label AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 0.1)""")
+def near_others(spark, sf_dir):
+    """Points that another of their frame is near, by a hashed grid."""
+    p = points(spark, sf_dir, ["x", "y", "z"])
+    fifth = F.col("vec_id") % 5 == 0
+    return voxels.near_rows(p.where(~fifth), p.where(fifth), ["label"], ("x", "y", "z"), ("x", "y", "z"), 0.1).select("vec_id")
+
+
+@query("""WITH e AS (SELECT event_type, epoch_us(ts) / 1e6 AS t, value, event_id FROM events), b AS (SELECT min(t) AS lo, max(t) AS hi FROM e),
+p AS (SELECT *, least(floor((t - lo) / (hi - lo) * 300), 299)::INT AS px FROM e, b)
+SELECT event_type, px, round(min(value), 6) AS least, round(max(value), 6) AS most, round(arg_min(value, t), 6) AS first, round(arg_max(value, t), 6) AS last FROM p GROUP BY event_type, px""")
+def figure_spans(spark, sf_dir):
+    """What a figure 300 pixels wide shows of the events' values in time."""
+    e = events(spark, sf_dir).withColumn("t", F.col("t") / 1e6)
+    low, high = e.agg(F.min("t"), F.max("t")).first()
+    found = figures.spans(e, ["event_type"], "t", "value", low, high, 300)
+    return found.select("event_type", "px", *[r6(c).alias(c) for c in ("least", "most", "first", "last")])
+
+
+@query("""SELECT label, least(floor((embedding[1]::DOUBLE + 0.2) / 0.4 * 40), 39)::INT AS px, least(floor((embedding[2]::DOUBLE + 0.2) / 0.4 * 30), 29)::INT AS py, min(vec_id) AS since
+FROM embeddings WHERE embedding[1]::DOUBLE BETWEEN -0.2 AND 0.2 AND embedding[2]::DOUBLE BETWEEN -0.2 AND 0.2 GROUP BY ALL""")
+def figure_trails(spark, sf_dir):
+    """Pixels that a figure of 40 by 30 shows of points in the plane."""
+    return figures.trails(points(spark, sf_dir, ["x", "y"]), ["label"], "vec_id", "x", "y", (-0.2, 0.2, -0.2, 0.2), 40, 30)

@@ -7,13 +7,14 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.operators import alignment, maps, problem, segmented, solve, stereo, voxels
+from marram.operators import alignment, constraints, figures, maps, problem, segmented, solve, stereo, voxels
 from marram.operators.asof import TRACK_SLOT, nearest_asof
 from marram.operators.cleaning import first_rows
 from marram.operators.constraints import Config
 from marram.operators.problem import Problem
 from marram.operators.ranks import ranked
 from marram.operators.voxels import CELL, Occupancy
+from marram.session import Workspace
 from marram.sources import dimensions, logs, sinks
 
 ROBOTS = ("ifo001", "ifo002", "ifo003")
@@ -66,7 +67,10 @@ def read_inputs(spark: SparkSession, at: Layout, seq: str, robots: tuple[str, ..
     if with_heights:
         bias = at.config("height/bias.yaml")
         heights = _all([number(logs.heights(spark, at.logs, seq, r, dimensions.height_bias(spark, bias, r)), k) for k, r in enumerate(robots)]).withColumnRenamed("timestamp", "t")
-    return Inputs(tracks, truth, logs.ranges(spark, at.logs, seq, list(robots)), dimensions.anchors(spark, at.config("uwb/anchors.yaml"), seq), dimensions.tag_arms(spark, at.config("uwb/tags.yaml")), heights)
+    # Every table is read many times, and the truth is a fitted spline: each is made once.
+    work = Workspace(spark)
+    tracks, truth, heights = work.keep(tracks), work.keep(truth), None if heights is None else work.keep(heights)
+    return Inputs(tracks, truth, work.keep(logs.ranges(spark, at.logs, seq, list(robots))), dimensions.anchors(spark, at.config("uwb/anchors.yaml"), seq), dimensions.tag_arms(spark, at.config("uwb/tags.yaml")), heights)
 
 
 #: Nodes of a run that one task solves; a longer run is cut into segments of so many seconds.
@@ -80,6 +84,9 @@ def solved(inputs: Inputs, config: Config, with_marginals: bool = False, most: i
     each where it lies; the solution is the same.
     """
     made = problem.build(inputs.tracks, inputs.truth, inputs.ranges, inputs.anchors, config, inputs.arms, inputs.heights)
+    work = Workspace(inputs.tracks.sparkSession)
+    made = replace(made, nodes=work.keep(made.nodes), factors=work.keep(made.factors))
+    made = replace(made, stats=constraints.stats(made.factors, ["kind"]))
     if made.nodes.count() > task_nodes:
         found = segmented.optimise(made.factors, made.nodes, F.floor(F.col("t") / seconds), F.col("t"), most=most, with_marginals=with_marginals)
         return made, found.nodes.withColumns({"cost": F.lit(found.cost), "first_cost": F.lit(found.first_cost), "rounds": F.lit(found.rounds)})
@@ -96,6 +103,39 @@ def scored(tracks: DataFrame, truth: DataFrame, with_scale: bool = False) -> Dat
     return alignment.rmse(alignment.aligned_by_similarity(pairs, ["robot"], with_scale), ["robot"])
 
 
+#: Pixels of a figure of tracks, and of errors in time.
+FIGURE = (480, 480)
+
+
+def figures_of(inputs: Inputs, fused: DataFrame, folder: str, seq: str, robots: tuple[str, ...] = ROBOTS) -> None:
+    """<folder>/<seq>_<robot>_tracks.svg and <seq>_errors.svg: fitted tracks over the truth, and distances from it in time."""
+    width, height = FIGURE
+    pairs = []
+    for name, tracks in (("odometry", inputs.tracks), ("fused", fused)):
+        left = tracks.select("robot", "t", *[F.col(c).alias(s) for c, s in zip("xyz", alignment.SRC, strict=True)])
+        right = inputs.truth.select("robot", F.col("t").alias("rt"), *[F.col(c).alias(d) for c, d in zip("xyz", alignment.DST, strict=True)])
+        met = alignment.aligned_by_similarity(nearest_asof(left, right, ["robot"], "t", "rt", list(alignment.DST), slot=TRACK_SLOT), ["robot"], False)
+        pairs.append(met.withColumn("name", F.lit(name)))
+    work = Workspace(inputs.tracks.sparkSession)
+    met = work.keep(_all(pairs))
+    names = F.array(*map(F.lit, robots))
+    label = F.concat_ws(" ", F.get(names, F.col("robot")), "name")
+    low, high = met.agg(F.min("t"), F.max("t")).first()
+    if low is not None:
+        high = high if high > low else low + 1.0
+        off = met.select(label.alias("series"), "t", F.col("error"))
+        sinks.spans_svg(figures.spans(off, ["series"], "t", "error", low, high, width), "series", f"{folder}/{seq}_errors.svg", f"{seq}: distance from the truth", low, high, width)
+    for k, robot in enumerate(robots):
+        own = met.where(F.col("robot") == k)
+        tracks = own.select("name", "t", F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(own.where("name = 'fused'").select(F.lit("truth").alias("name"), "t", F.col(alignment.DST[0]).alias("x"), F.col(alignment.DST[1]).alias("y")))
+        x0, x1, y0, y1 = tracks.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if x0 is not None:
+            reach = max(x1 - x0, y1 - y0, 1e-6) / 2
+            box = ((x0 + x1) / 2 - reach, (x0 + x1) / 2 + reach, (y0 + y1) / 2 - reach, (y0 + y1) / 2 + reach)
+            sinks.trails_svg(figures.trails(tracks, ["name"], "t", "x", "y", box, width, height), "name", f"{folder}/{seq}_{robot}_tracks.svg", f"{seq}, {robot}: tracks from above", box, width, height)
+    work.drop_all_but()
+
+
 def report(inputs: Inputs, made: Problem, found: DataFrame, robots: tuple[str, ...] = ROBOTS) -> DataFrame:
     """robot (name), n, before, after, improve_pct: error of the odometry and of the fused tracks."""
     before = scored(inputs.tracks, inputs.truth).select("robot", F.col("rmse").alias("before"))
@@ -106,17 +146,15 @@ def report(inputs: Inputs, made: Problem, found: DataFrame, robots: tuple[str, .
 
 
 def fuse(spark: SparkSession, at: Layout, seq: str, out: str, config: Config | None = None, robots: tuple[str, ...] = ROBOTS) -> dict:
-    """Build, solve, score against the truth and write <out>/<seq>_summary.json; what it holds."""
+    """Build, solve, score against the truth and write <out>/<seq>_summary.json and figures; what the summary holds."""
     config = config or Config()
     inputs = read_inputs(spark, at, seq, robots, with_heights=config.use_height)
     made, found = solved(inputs, config)
-    found = found.cache()
-    try:
-        summary = sinks.summary_json(report(inputs, made, found, robots), made.stats, f"{out}/{seq}_summary.json")
-        summary["biases"] = {robots[r["robot"]]: r["bias"] for r in problem.biases(found).collect()}
-        return summary
-    finally:
-        found.unpersist()
+    found = Workspace(spark).keep(found)
+    summary = sinks.summary_json(report(inputs, made, found, robots), made.stats, f"{out}/{seq}_summary.json")
+    figures_of(inputs, problem.trajectory(found, made.nodes), out, seq, robots)
+    summary["biases"] = {robots[r["robot"]]: r["bias"] for r in problem.biases(found).collect()}
+    return summary
 
 
 def fused_poses(made: Problem, found: DataFrame, extrinsics: dict[int, list[float]], robots: tuple[str, ...] = ROBOTS) -> DataFrame:
@@ -214,6 +252,7 @@ def slice_raster(cells: DataFrame, resolution: float, centre: float = 0.8, band:
 
 def compare(points: DataFrame, c: Occupancy, centre: float = 0.8) -> DataFrame:
     """suppressed, uniform_free, percent: what weighting takes from the free cells of a slice."""
+    points = Workspace(points.sparkSession).keep(points)  # depths are made once for both maps
     rasters = [slice_raster(occupancy_map(points, replace(c, weighted=w)), c.resolution, centre) for w in (True, False)]
     return maps.suppressed_share(maps.difference(*rasters, ["gx", "gy"]))
 
@@ -226,6 +265,7 @@ def camera_tracks(points: DataFrame) -> DataFrame:
 def export(points: DataFrame, c: Occupancy, template: str, path: str, title: str, subtitle: str = "", most_free: int = 60_000) -> dict:
     """Map the points and write the viewer page; its payload."""
     spark = points.sparkSession
+    points = Workspace(spark).keep(points)
     cells = occupancy_map(points, c).cache()
     try:
         scene = sinks.viewer_scene(cells, camera_tracks(points), c.resolution, most_free=most_free)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import html
 import json
 
 import numpy as np
@@ -159,3 +160,41 @@ def front_end_settings(calibration) -> str:
     camera = [(f"Camera1.{k}", repr(v)) for k, v in zip(("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2"), (*calibration.intrinsics[0], *calibration.distortion[0]), strict=True)]
     size = [(f"Camera.{k}", str(v)) for k, v in zip(("width", "height"), calibration.size, strict=True)]
     return "%YAML:1.0\n" + "".join(f"{k}: {v}\n" for k, v in (*head, *camera, *size, *FRONT_END))
+
+
+#: Colours of a figure's series, in their order.
+STROKES = ("#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377", "#bbbbbb")
+
+
+def _svg(width: int, height: int, title: str, names: list[str], shapes: list[str], labels: list[tuple[float, float, str]]) -> str:
+    text = lambda x, y, s: f'<text x="{x:g}" y="{y:g}" font-size="11">{html.escape(s)}</text>'
+    legend = [text(width + 8, 16 + 14 * k, n).replace("<text", f'<text fill="{STROKES[k % len(STROKES)]}"') for k, n in enumerate(names)]
+    frame = f'<rect width="{width}" height="{height}" fill="none" stroke="#888"/>'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="-50 -24 {width + 200} {height + 50}">{text(0, -8, title)}{frame}{"".join(shapes)}{"".join(legend)}{"".join(text(*label) for label in labels)}</svg>'
+
+
+def spans_svg(reduced: DataFrame, name: str, path: str, title: str, low: float, high: float, width: int, height: int = 240) -> None:
+    """A figure of ``figures.spans`` (one column of keys, ``name``): a line a series, with every column's range."""
+    rows = reduced.orderBy(name, "px").toPandas()  # at most ``width`` rows a series
+    least, most = (float(rows["least"].min()), float(rows["most"].max())) if len(rows) else (0.0, 1.0)
+    y = lambda v: height - (v - least) / max(most - least, 1e-12) * height
+    names, shapes = [], []
+    for k, (series, own) in enumerate(rows.groupby(name, sort=True)):
+        names.append(str(series))
+        points = " ".join(f"{x + 0.5:g},{y(v):.2f}" for x, *four in own[["px", "first", "least", "most", "last"]].itertuples(index=False) for v in four)
+        shapes.append(f'<polyline fill="none" stroke="{STROKES[k % len(STROKES)]}" points="{points}"/>')
+    labels = [(-46, height, f"{least:.3g}"), (-46, 10, f"{most:.3g}"), (0, height + 14, f"{low:.4g}"), (width - 30, height + 14, f"{high:.4g}")]
+    write_text(reduced.sparkSession, path, _svg(width, height, title, names, shapes, labels))
+
+
+def trails_svg(reduced: DataFrame, name: str, path: str, title: str, bounds: tuple[float, float, float, float], width: int, height: int) -> None:
+    """A figure of ``figures.trails`` (one column of keys, ``name``): a pixel for each one visited."""
+    rows = reduced.orderBy(name, "since").toPandas()  # at most width * height rows a series
+    names, shapes = [], []
+    for k, (series, own) in enumerate(rows.groupby(name, sort=True)):
+        names.append(str(series))
+        path_data = "".join(f"M{x} {height - 1 - y}h1v1h-1z" for x, y in zip(own["px"], own["py"], strict=True))
+        shapes.append(f'<path fill="{STROKES[k % len(STROKES)]}" d="{path_data}"/>')
+    x0, x1, y0, y1 = bounds
+    labels = [(-46, height, f"{y0:.3g}"), (-46, 10, f"{y1:.3g}"), (0, height + 14, f"{x0:.3g}"), (width - 30, height + 14, f"{x1:.3g}")]
+    write_text(reduced.sparkSession, path, _svg(width, height, title, names, shapes, labels))
