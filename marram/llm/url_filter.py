@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,12 +102,33 @@ def path_tokens(path: str) -> list[str]:
     return [f"p:#{len(part)}" if part.isdigit() else "p:" + part for part in _ALNUM.findall(path.lower())]
 
 
-_MARKUP = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.DOTALL)
+_OPENS, _CLOSES = re.compile(r"<(?:script|style)\b"), re.compile(r"</(?:script|style)>")
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Distinct words that a task holds before it passes its counts on.
 HELD_WORDS = 200_000
 
 
+def without_markup(html: str) -> str:
+    """Tags, and scripts and styles with what is in them, as one space each; what is never closed stays. One walk, linear in the page."""
+    out, at, closed = [], 0, 0  # ``closed``: end of the next closing mark of a script or style, -1 if there is none
+    while (i := html.find("<", at)) >= 0:
+        out.append(html[at:i])
+        end = -1
+        if closed >= 0 and (m := _OPENS.match(html, i)):
+            if closed < m.end() + 8:  # the shortest closing mark has 8 characters
+                c = _CLOSES.search(html, m.end())
+                closed = c.end() if c else -1
+            end = closed
+        if end < 0:
+            end = html.find(">", i) + 1
+            if not end:
+                at = i
+                break
+        out.append(" ")
+        at = end
+    return "".join([*out, html[at:]])
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of each task; the empty word has the number of all words."""
 
@@ -117,7 +139,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
     for batch in batches:
         for x in batch.column(0):
-            plain = _MARKUP.sub(" ", x.as_py() or "").lower()
+            plain = without_markup(x.as_py() or "").lower()
             words.update(_LETTERS.findall(plain))
             if len(words) > HELD_WORDS:
                 yield out(words)
@@ -125,33 +147,55 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(words)
 
 
-#: Characters of pieces that a task holds before it passes them on.
-HELD_CHARS = 4_000_000
+#: An odd number and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _pieces(longest: int):
-    """(part, word): every run of letters within a host part, up to the longest word that there is."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def window_hashes(text: str, length: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hashes of every run of ``length`` characters, modulo 2^64, from ``sums`` of the whole text."""
+    sums = prefix_sums(text) if sums is None else sums
+    n = len(sums) - length
+    return ((sums[length:] - sums[:n]) * _powers(_INVERSE, n) * np.uint64(2 * length + 1)).view(np.int64)
+
+
+def prefix_sums(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(_BASE, len(codes)), dtype=np.uint64)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: str, found: set[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.string()), pa.array(list(found), pa.string())], names=["part", "word"])
 
+def _pieces(lengths: list[int]):
+    """(at, hash): for each part, named by its row, the hashes of its runs of letters that are as long as some word.
+
+    A row is 16 bytes, and there are as many as the part has letters for each length that occurs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                part, found, held = x.as_py(), set(), 0
-                for letters in _LETTERS.findall(part):
-                    for at in range(len(letters)):
-                        for end in range(at + 1, min(len(letters), at + longest) + 1):
-                            found.add(letters[at:end])
-                            held += end - at + len(part)
-                            if held > HELD_CHARS:
-                                yield out(part, found)
-                                found, held = set(), 0
-                yield out(part, found)
+            for at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for letters in _LETTERS.findall(x):
+                    sums = prefix_sums(letters)
+                    for length in lengths:
+                        if length > len(letters):
+                            break
+                        found = np.unique(window_hashes(letters, length, sums))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), at)), pa.array(found)], names=["at", "hash"])
 
     return run
 
 
+def _hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [int(window_hashes(w, len(w))[0]) for w in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), *batch.columns], names=["hash", "word", "n"])
+
+
 def word_counts(texts: DataFrame, text_col: str) -> tuple[DataFrame, int]:
     """(word, n) of the words of letters in the texts, mark-up cut out, counted over all rows and seen LEAST_COUNT times; and the number of all."""
     counts = small_batches(texts.select(F.col(text_col).cast("string"))).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -162,12 +206,15 @@ def word_counts(texts: DataFrame, text_col: str) -> tuple[DataFrame, int]:
 
 def segmented(parts: DataFrame, words: DataFrame, total: int) -> DataFrame:
     """(part, words array<string>) of the distinct parts of hosts, each split with the probabilities of the words that lie in it."""
-    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    parts = cut(parts.select("part").distinct())
-    pieces = stored(parts.mapInArrow(_pieces(longest), "part string, word string").distinct())
-    known = cut(pieces.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).join(words, "word"))
-    met = spread_join(pieces, known, ["word"], "rows", known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
-    within = met.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    # As many lengths as words can have; a corpus of n letters has fewer than the root of 2 n.
+    lengths = sorted(r["length"] for r in words.select(F.char_length("word").alias("length")).distinct().collect())
+    parts = stored(parts.select("part").distinct().withColumn("at", F.monotonically_increasing_id()).select("at", "part"))
+    pieces = stored(parts.mapInArrow(_pieces(lengths), "at long, hash long").distinct())
+    # Two words of one hash both come along; the search looks words up by their letters, so the wrong one is never found.
+    hashed = words.select("word", "n").mapInArrow(_hashed_words, "hash long, word string, n long")
+    known = cut(pieces.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).join(hashed, "hash"))
+    met = spread_join(pieces, known, ["hash"], "rows", known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    within = met.groupBy("at").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     unknown = -math.log(total + 1) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +222,7 @@ def segmented(parts: DataFrame, words: DataFrame, total: int) -> DataFrame:
             split = [Segmenter({w["word"]: math.log(w["n"] / total) for w in known or ()}, unknown).split(part) for part, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(split, pa.list_(pa.string()))], names=["part", "words"])
 
-    return parts.join(within, "part", "left").select("part", "known").mapInArrow(run, "part string, words array<string>")
+    return parts.join(within, "at", "left").select("part", "known").mapInArrow(run, "part string, words array<string>")
 
 
 def _host_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
