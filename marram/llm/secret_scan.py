@@ -26,8 +26,10 @@ KINDS = ("assign", "access", "hex", "live")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: Unlabelled strings that may be credentials: long enough, of the letters that keys are written in.
-_LOOSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+#: Unlabelled strings that may be credentials: long enough, of the letters that keys are written in; beside ``=`` as in ``NAME=value`` and query strings.
+_LOOSE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])", re.ASCII)
+#: A piece of a path that is a plain word.
+_PLAIN = re.compile(r"[a-z_-]{2,}", re.ASCII)
 
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
@@ -43,6 +45,12 @@ def looks_random(value: str, bits: float = 3.5) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and entropy(value) >= bits
 
 
+def looks_like_path(value: str) -> bool:
+    """Three pieces between slashes or more, at least half of them plain words: pieces of a random string are not."""
+    pieces = [p for p in value.split("/") if p]
+    return len(pieces) >= 3 and 2 * sum(_PLAIN.fullmatch(p) is not None for p in pieces) >= len(pieces)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, kind index, value) of the base rules, in code points; spans of one kind don't overlap."""
     out = []
@@ -62,7 +70,7 @@ def loose_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
     for m in _LOOSE.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if not (k < len(taken) and taken[k][0] < m.end()) and looks_random(m[0]):
+        if not (k < len(taken) and taken[k][0] < m.end()) and looks_random(m[0]) and not looks_like_path(m[0]):
             out.append((m.start(), m.end(), 3, m[0]))
     return out
 
