@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marram.functions.geometry import vec
-from marram.operators import alignment, constraints, problem, solve
+from marram.operators import alignment, constraints, problem, segmented, solve
 from marram.operators.asof import nearest_asof
 from marram.plans.registry import DAY, HOUR, events, of_type, points, query, r6, table
 
@@ -354,6 +354,58 @@ def pose_marginals(spark, sf_dir):
     return found.select("id", (at(3, 3) + at(4, 4) + at(5, 5)).alias("trace"), F.array(*[at(r, c) for r in (3, 4, 5) for c in (3, 4, 5)]).alias("sigma_pos"))
 
 
+#: Sigmas of the climb between poses, of heights, of the first pose, and of rotations, which are held level: a tilt would explain part of a climb.
+_CLIMB, _HEIGHT, _FIRST, _LEVEL = 0.05, 0.12, 0.3, 1e-4
+
+_HEIGHTS = f"""WITH RECURSIVE n AS (
+    SELECT label, label::BIGINT * 1000000000 + vec_id AS id, embedding[1]::DOUBLE AS h, embedding[2]::DOUBLE AS climb, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings
+), up AS (
+    SELECT label, k, h AS m, 1 / (1 / {_FIRST}::DOUBLE ** 2 + 1 / {_HEIGHT}::DOUBLE ** 2) AS p FROM n WHERE k = 1
+    UNION ALL
+    SELECT n.label, n.k, up.m + n.climb + (up.p + {_CLIMB}::DOUBLE ** 2) / (up.p + {_CLIMB}::DOUBLE ** 2 + {_HEIGHT}::DOUBLE ** 2) * (n.h - up.m - n.climb), 1 / (1 / (up.p + {_CLIMB}::DOUBLE ** 2) + 1 / {_HEIGHT}::DOUBLE ** 2)
+    FROM up JOIN n ON n.label = up.label AND n.k = up.k + 1
+), met AS (SELECT n.label, n.id, n.k, n.n, up.m, up.p, lead(n.climb) OVER (PARTITION BY n.label ORDER BY n.k) AS climb FROM n JOIN up ON up.label = n.label AND up.k = n.k),
+down AS (
+    SELECT label, k, m AS z, p AS variance FROM met WHERE k = n
+    UNION ALL
+    SELECT b.label, b.k, b.m + b.p / (b.p + {_CLIMB}::DOUBLE ** 2) * (d.z - b.m - b.climb), b.p + (b.p / (b.p + {_CLIMB}::DOUBLE ** 2)) ** 2 * (d.variance - b.p - {_CLIMB}::DOUBLE ** 2)
+    FROM down d JOIN met b ON b.label = d.label AND b.k = d.k - 1
+)
+SELECT met.id, round(z, 6) + 0.0 AS z, round(variance, 9) AS variance FROM down JOIN met ON met.label = down.label AND met.k = down.k"""
+
+
+def _climbs(spark, sf_dir):
+    """Level poses per label, each with a height, the climb from one to the next, and a prior on the first; heights and climbs contradict each other."""
+    rows = points(spark, sf_dir, ["h", "climb"]).withColumn("id", F.col("label").cast("long") * 1_000_000_000 + F.col("vec_id"))
+    zero, level = [F.lit(0.0), F.lit(0.0)], _fixed(0, 0, 0, 1)
+    links = constraints.adjacent(rows, ["label"], "id", ["climb"], 1_000_000_000)
+    odometry = links.select("label", *problem.factor_row("odometry", F.col("a_id"), F.col("b_id"), [*zero, F.col("b_climb"), *level], [F.lit(_LEVEL)] * 3 + [F.lit(_CLIMB)] * 3))
+    heights = rows.select("label", *problem.factor_row("height", F.col("id"), None, [F.col("h")], [F.lit(_HEIGHT)]))
+    first = rows.groupBy("label").agg(F.min(F.struct("id", "h")).alias("f")).select("label", "f.*")
+    prior = first.select("label", *problem.factor_row("pose_prior", F.col("id"), None, [*zero, F.col("h"), *level], [F.lit(_LEVEL)] * 3 + [F.lit(_FIRST)] * 3))
+    nodes = rows.select("label", "id", F.lit(0.1).alias("x"), F.lit(-0.1).alias("y"), (F.col("h") + 0.2).alias("z"), *[v.alias(c) for c, v in zip(("qx", "qy", "qz", "qw"), level, strict=True)])
+    return nodes, odometry.unionByName(heights).unionByName(prior)
+
+
+def _z_and_variance(found):
+    return found.select("id", (r6("z") + 0.0).alias("z"), F.round(F.get("covariance", F.lit(35)), 9).alias("variance"))
+
+
+@query(_HEIGHTS)
+def noisy_heights(spark, sf_dir):
+    """Solution and marginals of contradicting measurements; the heights' part is linear, which a filter and smoother in SQL solve."""
+    nodes, factors = _climbs(spark, sf_dir)
+    return _z_and_variance(solve.optimise_groups(factors, nodes, ["label"], with_marginals=True))
+
+
+@query(_HEIGHTS)
+def noisy_heights_by_segments(spark, sf_dir):
+    """The same as one problem, eliminated by segments of forty ids, level by level."""
+    nodes, factors = _climbs(spark, sf_dir)
+    segment = F.col("label").cast("long") * 64 + F.floor(F.col("id") % 1_000_000_000 / 40)
+    return _z_and_variance(segmented.optimise(factors.drop("label"), nodes, segment, fan=64, tolerance=1e-7, with_marginals=True).nodes)
+
+
 @query("SELECT DISTINCT label, 0.3 AS bias, 0.0 AS error FROM embeddings")
 def range_bias_solved(spark, sf_dir):
     """Ranges that all read 0.3 too long: the bias that each label's chain finds, and the largest error of its poses."""
