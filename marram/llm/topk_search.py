@@ -6,13 +6,16 @@ the highest impact, times its own component, down, adding to one accumulator a r
 of a row's score is at most (norm of the row's unprocessed part) * (norm of the query over the
 same dimensions), by Cauchy-Schwarz; a row whose accumulator plus that cannot reach the bar, the
 k-th best score that is sure by now, is proven out and its later postings are passed over. When
-few rows are left, or the last step is done, those left are rescored exactly. Nothing is dropped
+few rows are left, or the last step is done, those left are rescored exactly. Integers beyond what
+doubles multiply safely are held with a power of two taken off, a shard and a query block each with
+its own, and rescored whole. Nothing is dropped
 without that proof. The bar starts from exact scores against one shard, whose rows are candidates
 too. The opening step runs as matrix products for a block of queries, the later ones by query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ SHARD_CELLS, SHARD_ROWS, QUERY_ROWS, LEVELS, UNIT_SHARDS = 1 << 18, 4096, 256, 8
 SHARES, RESCORE = (0.35, 0.5, 0.6, 0.7, 0.85), 64
 SCALE = 256.0
 _EXACT = float(1 << 53)
+#: Bits that integers of a block keep before a power of two is taken off: products of sums of their squares stay inside doubles.
+BITS = 230
 
 
 def whole_vector(vector: Column) -> Column:
@@ -37,41 +42,53 @@ def whole_vector(vector: Column) -> Column:
     return F.when(~F.coalesce(bad, F.lit(True)), double)
 
 
-def matrix(rows: list[list[float]], width: int) -> np.ndarray:
-    """floor(256 * x) of the rows as one matrix of integers (as doubles), shorter rows filled up with zeros."""
+def matrix(rows: list[list[float]], width: int) -> tuple[np.ndarray, int]:
+    """floor(256 * x) of the rows as one matrix of doubles and a shift: integers are the doubles times 2 ** shift, exactly. Shorter rows are filled up with zeros."""
     out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    with np.errstate(over="ignore"):
-        out = np.floor(out * SCALE)
-    if np.isinf(out).any():
-        raise OverflowError("a component times 256 is beyond the range of doubles")
-    return out
+    # A double is at most 2 ** 1024, and 256 times one that large is whole already.
+    shift = max(0, int(np.frexp(np.abs(out).max(initial=0))[1]) + 8 - BITS)
+    small = np.abs(out) < 2.0**45
+    whole = np.where(small, np.floor(np.where(small, out, 0.0) * SCALE) / SCALE, out)
+    return np.ldexp(whole, 8 - shift), shift
 
 
-def exact_scores(rows: np.ndarray, queries: np.ndarray) -> list[int]:
+def exact_scores(rows: np.ndarray, queries: np.ndarray, shifts: tuple[int, int] = (0, 0)) -> list[int]:
     """Integer products of paired rows, exact at any size."""
     if not rows.size:
         return [0] * len(rows)
     most = float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1]
-    if most < _EXACT:
+    if most < _EXACT and not any(shifts):
         return (rows * queries).sum(axis=1).astype(np.int64).tolist()
-    whole = np.frompyfunc(int, 1, 1)
-    return (whole(rows) * whole(queries)).sum(axis=1).tolist()
 
+    def whole(values: np.ndarray, shift: int) -> np.ndarray:
+        ratios = np.frompyfunc(lambda x: x.as_integer_ratio(), 1, 1)(values)
+        return np.frompyfunc(lambda r: (r[0] << shift) // r[1], 1, 1)(ratios)
 
-def packed_matrix(m: np.ndarray) -> tuple[str, bytes]:
-    """The smallest kind of number that holds a matrix of integers, and its bytes."""
+    return (whole(rows, shifts[0]) * whole(queries, shifts[1])).sum(axis=1).tolist()
+
+
+def packed_matrix(m: np.ndarray, shift: int) -> tuple[str, bytes]:
+    """The smallest kind of number that holds a matrix, and its bytes."""
     top = float(np.abs(m).max(initial=0))
-    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<f8"
+    kind = "<f8" if shift else "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<f8"
     return kind, m.astype(kind).tobytes()
 
 
+def sort_key(score: int) -> bytes:
+    """Bytes that compare as the scores do, whatever their sizes: a sign, the length, and the digits (inverted below zero)."""
+    size = abs(score)
+    digits = size.to_bytes((size.bit_length() + 7) // 8, "big")
+    body = len(digits).to_bytes(4, "big") + digits
+    return b"\1" + body if score >= 0 else b"\0" + bytes(255 - b for b in body)
+
+
 class Shard:
     """Impact levels of some rows, and how many postings each segment (level, dimension) has."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, shift: int = 0):
+        self.ids, self.rows, self.shift = ids, rows, shift
         size = np.abs(rows)
         # Level edges are quantiles of the impacts: segments hold about as many postings each.
         inside = np.quantile(size, np.linspace(1, 0, LEVELS + 1)[1:-1]) if size.size else np.zeros(0)
@@ -92,14 +109,26 @@ class Best:
     @property
     def bar(self) -> float:
         """A score under which a row cannot enter."""
-        return max(self.sure, float(self.rows[-1][0])) if len(self.rows) == self.k else self.sure
+        return self.under(0)
+
+    def under(self, shift: int) -> float:
+        """The bar in units of 2 ** shift."""
+        sure = math.ldexp(self.sure, -shift) if math.isfinite(self.sure) else self.sure
+        if len(self.rows) < self.k:
+            return sure
+        last = self.rows[-1][0] >> shift
+        return max(sure, float(last) if last.bit_length() < 1000 else -math.inf)
 
     def add(self, scores: list[int], ids: np.ndarray) -> None:
         self.rows = sorted([*self.rows, *zip(scores, ids.tolist(), strict=True)], key=lambda r: (-r[0], r[1]))[: self.k]
 
 
-def search_shard(shard: Shard, q_ids: np.ndarray, queries: np.ndarray, bests: list[Best]) -> int:
-    """Bring the bests of a block of queries up to date with the rows of a shard; the number of postings that took."""
+def search_shard(shard: Shard, q_ids: np.ndarray, queries: np.ndarray, bests: list[Best], shift: int = 0) -> int:
+    """Bring the bests of a block of queries up to date with the rows of a shard; the number of postings that took.
+
+    ``shift`` is the queries'; bounds are kept in units of both shifts.
+    """
+    shifts = (shard.shift, shift)
     n, levels = len(shard.ids), len(shard.tops)
     # Sums of up to that size are exact in single precision, or in double; beyond it, slack covers rounding.
     top = float(shard.square.max(initial=0)) + float((queries**2).sum(axis=1).max(initial=0))
@@ -130,7 +159,7 @@ def search_shard(shard: Shard, q_ids: np.ndarray, queries: np.ndarray, bests: li
     others = shard.ids[:, None] != q_ids[None, :]
     for j, best in enumerate(bests):
         at = np.flatnonzero(others[:, j])
-        bar = bar_of(low[at, j], best, best.bar)
+        bar = bar_of(low[at, j], best, best.under(sum(shifts)))
         at = at[high[at, j] >= bar]
         own, left, q_left = acc[at, j], row_left[at, j], query_left[at, j]
         for before, end in zip(ends, ends[1:]):
@@ -149,7 +178,7 @@ def search_shard(shard: Shard, q_ids: np.ndarray, queries: np.ndarray, bests: li
             stay = own + space >= bar
             at, own, left, q_left = at[stay], own[stay], left[stay], q_left[stay]
         work += int((shard.rows[at] != 0).sum())
-        best.add(exact_scores(shard.rows[at], np.broadcast_to(queries[j], (len(at), shard.width))), shard.ids[at])
+        best.add(exact_scores(shard.rows[at], np.broadcast_to(queries[j], (len(at), shard.width)), shifts), shard.ids[at])
     return work
 
 
@@ -162,12 +191,12 @@ def _packed(most: int, cells: int):
         width = 0
 
         def block() -> pa.RecordBatch:
-            m = matrix(rows, width)
-            kind, data = packed_matrix(m)
-            columns = [pa.array([len(ids)], pa.int64()), pa.array([width], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([kind]), pa.array([data], pa.binary())]
+            m, shift = matrix(rows, width)
+            kind, data = packed_matrix(m, shift)
+            columns = [pa.array([len(ids)], pa.int64()), pa.array([width], pa.int64()), pa.array([shift], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([kind]), pa.array([data], pa.binary())]
             ids.clear()
             rows.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["n", "width", "ids", "kind", "data"])
+            return pa.RecordBatch.from_arrays(columns, names=["n", "width", "shift", "ids", "kind", "data"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -183,7 +212,7 @@ def _packed(most: int, cells: int):
     return run
 
 
-_BLOCK = "n long, width long, ids binary, kind string, data binary"
+_BLOCK = "n long, width long, shift long, ids binary, kind string, data binary"
 
 
 def _unpack(r: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -210,12 +239,18 @@ def _with_bars(sample: dict | None, k: int):
                 top = np.partition(found, len(s_ids) - k, axis=1)[:, len(s_ids) - k] if len(s_ids) >= k else np.full(len(ids), -np.inf)
                 # Products are rounded where they are beyond 53 bits; the bar gives way by more than that.
                 most = float(np.abs(queries).max(initial=0)) * float(np.abs(others).max(initial=0)) * max(1, width)
-                bars.append((top - (0.0 if most < _EXACT else 1e-12 * most)).tobytes())
+                sure = top - (0.0 if most < _EXACT else 1e-12 * most)
+                # Where a power of two is taken off, there is no bar to start from.
+                bars.append((np.full(len(ids), -np.inf) if r["shift"] or (sample and sample["shift"]) else sure).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bars, pa.binary())], names=[*batch.schema.names, "bars"])
 
     return run
 
 
+#: The range of 64-bit integers.
+LONGS = (-(2**63), 2**63 - 1)
+
+
 def _search(k: int):
     """Rows of a partition sorted by (unit, query): a unit's shards come first and are held, its query blocks stream by."""
 
@@ -228,19 +263,17 @@ def _search(k: int):
                     unit, shards = r["unit"], []
                 ids, rows = _unpack(r)
                 if not r["query"]:
-                    shards.append(Shard(ids, rows))
+                    shards.append(Shard(ids, rows, r["shift"]))
                     continue
                 bests = [Best(k, float(bar)) for bar in np.frombuffer(r["bars"])]
                 for at, s in enumerate(shards):
                     width = max(s.width, rows.shape[1])
                     if s.width < width:
-                        s = shards[at] = Shard(s.ids, _widened(s.rows, width))
-                    search_shard(s, ids, _widened(rows, width), bests)
-                out = [(q, i_, s_) for q, best in zip(ids.tolist(), bests, strict=True) for s_, i_ in best.rows]
-                if any(abs(s) >= 10**38 for _, _, s in out):
-                    raise OverflowError("a score has more than 38 digits")
-                columns = list(zip(*out, strict=True)) if out else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.decimal128(38, 0)), strict=True)], names=["query_id", "vec_id", "exact"])
+                        s = shards[at] = Shard(s.ids, _widened(s.rows, width), s.shift)
+                    search_shard(s, ids, _widened(rows, width), bests, r["shift"])
+                out = [(q, i_, max(min(s_, LONGS[1]), LONGS[0]), str(s_), sort_key(s_)) for q, best in zip(ids.tolist(), bests, strict=True) for s_, i_ in best.rows]
+                columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["query_id", "vec_id", "score", "exact_score", "place"])
 
     return run
 
@@ -265,12 +298,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, sample: dict | None
     units = max(1, -(-count // UNIT_SHARDS), min(index.sparkSession.sparkContext.defaultParallelism, count))
     shards = index.select(F.pmod(F.xxhash64("ids"), F.lit(units)).alias("unit"), F.lit(False).alias("query"), *_BLOCK.replace(",", "").split()[::2], F.lit(None).cast("binary").alias("bars"))
     blocks = queries.mapInArrow(_packed(QUERY_ROWS, SHARD_CELLS), _BLOCK).mapInArrow(_with_bars(sample, k), _BLOCK + ", bars binary")
-    blocks = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(units - 1).cast("long"))).alias("unit"), F.lit(True).alias("query"), "n", "width", "ids", "kind", "data", "bars")
+    blocks = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(units - 1).cast("long"))).alias("unit"), F.lit(True).alias("query"), "n", "width", "shift", "ids", "kind", "data", "bars")
     met = shards.unionByName(blocks).repartition(units, "unit").sortWithinPartitions("unit", "query")
-    found = small_batches(met).mapInArrow(_search(k), "query_id long, vec_id long, exact decimal(38,0)")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id"))).where(F.col("rank") <= k)
-    fits = F.least(F.greatest("exact", F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)"))
-    return ranked.select("query_id", "rank", "vec_id", fits.cast("long").alias("score"), F.col("exact").alias("exact_score"))
+    found = small_batches(met).mapInArrow(_search(k), "query_id long, vec_id long, score long, exact_score string, place binary")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", "exact_score")
 
 
 def top_k(vectors: DataFrame, query_ids: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -281,7 +313,7 @@ def top_k(vectors: DataFrame, query_ids: Column, k: int = 5, id_col: str = "vec_
     filled up with zeros; rows that repeat an id count once, with the smallest of their vectors;
     ties go to the smaller id; fewer than k candidates are all returned; an empty table gives no
     rows; other columns are ignored. Scores are exact integers at any size and ranked as such;
-    score is held to 64 bits, exact_score has 38 digits, and more than that is an OverflowError.
+    score is held to 64 bits, exact_score has all digits (a string), for any finite components.
     A row is one value, however wide; shards and query blocks hold a bounded number of components.
     """
     index = stored(build_index(vectors, id_col, vector_col))

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import hashlib
+from fractions import Fraction
 
 import pytest
 import corpus_pipeline
@@ -177,6 +178,17 @@ def test_topk_defined_cases(spark):
     assert topk_search.top_k(v.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_topk_of_the_largest_finite_components(spark):
+    vectors = {0: [1.7e308, -3.5], 50: [0.3, 1e-300], 1: [1e307, 2.0], 2: [1e307, 1.0], 3: [-1e307, 0.0], 4: [0.5, 0.25], 5: [2.0**45 + 0.5, -0.001], 6: [5e-324, -5e-324], 7: [7.1e305, 1e200], 8: [1e150, -1e150]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"], int(r["exact_score"])) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0, 6).collect()}
+    whole = {i: [Fraction(x) * 256 // 1 for x in v] for i, v in vectors.items()}
+    for q in (0, 50):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q))[:6]
+        assert [got[q, k] for k in range(1, 7)] == [(i, max(min(-s, 2**63 - 1), -(2**63)), -s) for s, i in scores]
+    assert [topk_search.sort_key(a) for a in sorted([0, -1, 1, 255, 256, -256, -255, 10**400, -(10**400)])] == sorted(topk_search.sort_key(a) for a in [0, -1, 1, 255, 256, -256, -255, 10**400, -(10**400)])
+
+
 def test_url_filter_defined_cases(spark):
     rows = [(1, None, None), (2, "no scheme", ""), (3, "HTTP://A.Example.COM/en/7?x#y", "<p>a b</p>"), (4, "x://b.com/en/", None), (5, "x://net/de/8", None), (6, "x://q.example.net/de/81", ""), (6, "x://q.example.net/de/81", ""), (None, "x://org#f", None), (7, "x://netx/de/", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "word", "place")})

@@ -21,7 +21,7 @@ from tests.llm.test_brute_force import brute_groups
 def test_topk_passes_over_most_postings():
     rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
     ids = rows["vec_id"].to_numpy()
-    m = topk_search.matrix(rows["embedding"].to_pylist(), 64)
+    m, _ = topk_search.matrix(rows["embedding"].to_pylist(), 64)
     shard = topk_search.Shard(ids, m)
     asked = np.flatnonzero(ids % 50 == 0)
     bests = [topk_search.Best(5) for _ in asked]
