@@ -184,10 +184,47 @@ def common_stems(spark, sf_dir):
     return of_type(e, "view").select("minute").intersect(of_type(e, "click").select("minute"))
 
 
-@query()
+def _spline(unit: float, smooth: float, digits: int) -> str:
+    """Reinsch's five diagonals eliminated forwards and put back backwards, a row at a time."""
+    lam = f"{(1 - smooth) / smooth!r}::DOUBLE"
+    return f"""WITH RECURSIVE knot AS (
+    SELECT user_id AS u, t, min(value) AS y, count(*) AS times, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM (SELECT user_id, epoch_us(ts) / {unit!r}::DOUBLE AS t, value FROM events) GROUP BY user_id, t
+), step AS (
+    SELECT u, k, lead(t) OVER w - t AS h, lead(t, 2) OVER w - lead(t) OVER w AS i, y, lead(y) OVER w AS y1, lead(y, 2) OVER w AS y2 FROM knot WINDOW w AS (PARTITION BY u ORDER BY k)
+), q AS (SELECT u, k, h, i, 1 / h AS p, -1 / h - 1 / i AS q, 1 / i AS r, y, y1, y2 FROM step WHERE i IS NOT NULL),
+c AS (
+    SELECT u, k, p, q, r, (h + i) / 3 + {lam} * (p * p + q * q + r * r) AS a, coalesce(i / 6 + {lam} * (q * lead(p) OVER w + r * lead(q) OVER w), 0) AS b, coalesce({lam} * r * lead(p, 2) OVER w, 0) AS c, p * y + q * y1 + r * y2 AS f, lead(k) OVER w IS NULL AS final
+    FROM q WINDOW w AS (PARTITION BY u ORDER BY k)
+), down AS (
+    SELECT u, k, a AS d, b / a AS l, c / a AS m, f AS z, 0.0::DOUBLE AS pd, 0.0::DOUBLE AS pm, 0.0::DOUBLE AS pz FROM c WHERE k = 1
+    UNION ALL
+    SELECT u, k, d, (b - was_d * was_l * was_m) / d, c / d, z, was_d, was_m, was_z
+    FROM (SELECT c.u, c.k, c.b, c.c, c.a - o.d * o.l * o.l - o.pd * o.pm * o.pm AS d, c.f - o.l * o.z - o.pm * o.pz AS z, o.d AS was_d, o.l AS was_l, o.m AS was_m, o.z AS was_z FROM down o JOIN c ON c.u = o.u AND c.k = o.k + 1)
+), up AS (
+    SELECT down.u, down.k, z / d AS g, 0.0::DOUBLE AS pg FROM down JOIN c ON c.u = down.u AND c.k = down.k WHERE final
+    UNION ALL
+    SELECT n.u, n.k, n.z / n.d - n.l * o.g - n.m * o.pg, o.g FROM up o JOIN down n ON n.u = o.u AND n.k = o.k - 1
+), back AS (
+    SELECT u, k, sum(v) AS v FROM (
+        SELECT u, k, p * g AS v FROM up JOIN c USING (u, k) UNION ALL SELECT u, k + 1, q * g FROM up JOIN c USING (u, k) UNION ALL SELECT u, k + 2, r * g FROM up JOIN c USING (u, k)) GROUP BY u, k
+)
+SELECT knot.u AS user_id, t, round(y - {lam} * coalesce(v, 0), {digits}) AS value FROM knot LEFT JOIN back USING (u, k), LATERAL (SELECT unnest(range(times)))"""
+
+
+def _smooth_values(spark, sf_dir, unit: float, smooth: float, digits: int):
+    e = events(spark, sf_dir).select("user_id", (F.col("t") / unit).alias("t"), "value")
+    return cleaning.smoothed(e, ["user_id"], "t", ["value"], smooth).select("user_id", "t", F.round("value", digits).alias("value"))
+
+
+@query(_spline(1e6, 0.9999, 6))
 def smoothing_spline(spark, sf_dir):
-    e = events(spark, sf_dir).select("user_id", (F.col("t") / 1e6).alias("t"), "value")
-    return cleaning.smoothed(e, ["user_id"], "t", ["value"], 0.9999)
+    return _smooth_values(spark, sf_dir, 1e6, 0.9999, 6)
+
+
+@query(_spline(8.64e10, 0.7, 4))
+def stiff_spline(spark, sf_dir):
+    """Time in days, where the second derivative weighs about as much as the values; times that lie seconds apart cost the last digits."""
+    return _smooth_values(spark, sf_dir, 8.64e10, 0.7, 4)
 
 
 @query("""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marram.functions.geometry import vec
-from marram.operators import alignment, constraints, problem, segmented, solve
+from marram.operators import alignment, constraints, factor_math, lie, problem, segmented, solve
 from marram.operators.asof import nearest_asof
 from marram.plans.registry import DAY, HOUR, events, of_type, points, query, r6, table
 
@@ -483,3 +485,89 @@ def first_pose_align(spark, sf_dir):
     pose = lambda kind: of_type(e, kind).select(F.col("user_id").alias("robot"), "t", *[c.alias(n) for c, n in zip(at, "xyz", strict=True)], F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"), F.cos(half).alias("qw"))
     found = problem.first_pose_alignment(pose("purchase"), pose("view"))
     return found.select("robot", r6("yaw").alias("yaw"), *[F.round(c, 5).alias(c) for c in ("tx", "ty", "tz")])
+
+
+@query("""SELECT min(id) AS id FROM (SELECT s_suppkey::INTEGER AS id, CASE WHEN s_suppkey < 40 THEN s_suppkey // 4 ELSE 1000 + s_suppkey END AS component FROM supplier)
+GROUP BY component HAVING NOT bool_or(id IN (0, 8, 13))""")
+def gauge_choice(spark, sf_dir):
+    """Entities that carry the gauge: the first of each component of the pairs that may range each other, where none may range an anchor."""
+    entities = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("id"))
+    pairs = tuple((k + 1, k) for k in range(40) if k % 4 != 3)
+    return constraints.gauge_entities(entities, constraints.Config(anchor_robots=(0, 8, 13), inter_pairs=pairs))
+
+
+_UNIT = "sqrt(embedding[{0}]::DOUBLE ** 2 + embedding[{1}]::DOUBLE ** 2 + embedding[{2}]::DOUBLE ** 2)"
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, embedding[1]::DOUBLE / n AS x, embedding[2]::DOUBLE / n AS y, embedding[3]::DOUBLE / n AS z, embedding[4]::DOUBLE / n AS w,
+    embedding[5]::DOUBLE / {_UNIT.format(5, 6, 7)} AS a, embedding[6]::DOUBLE / {_UNIT.format(5, 6, 7)} AS b, embedding[7]::DOUBLE / {_UNIT.format(5, 6, 7)} AS c,
+    embedding[8]::DOUBLE AS l, embedding[9]::DOUBLE AS m, embedding[10]::DOUBLE AS o
+    FROM (SELECT *, sqrt(embedding[1]::DOUBLE ** 2 + embedding[2]::DOUBLE ** 2 + embedding[3]::DOUBLE ** 2 + embedding[4]::DOUBLE ** 2) AS n FROM embeddings)),
+u AS (SELECT vec_id, l, m, o, a * (1 - 2 * (y * y + z * z)) + b * 2 * (x * y + z * w) + c * 2 * (x * z - y * w) AS p,
+    a * 2 * (x * y - z * w) + b * (1 - 2 * (x * x + z * z)) + c * 2 * (y * z + x * w) AS q,
+    a * 2 * (x * z + y * w) + b * 2 * (y * z - x * w) + c * (1 - 2 * (x * x + y * y)) AS r FROM v)
+SELECT vec_id, round(m * r - o * q, 6) + 0.0 AS rx, round(o * p - l * r, 6) + 0.0 AS ry, round(l * q - m * p, 6) + 0.0 AS rz, round(p, 6) + 0.0 AS tx, round(q, 6) + 0.0 AS ty, round(r, 6) + 0.0 AS tz FROM u""")
+def antenna_jacobian(spark, sf_dir):
+    """How a range changes as the pose that carries the antenna turns and moves: the arm crossed with the direction seen in the body, and that direction."""
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}")
+    names = ["rx", "ry", "rz", "tx", "ty", "tz"]
+
+    def run(batches):
+        for pdf in batches:
+            values = pdf[[f"e{i}" for i in range(10)]].to_numpy()
+            unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+            found = factor_math.range_jacobian(lie.rotation_of(unit(values[:, :4])), unit(values[:, 4:7]), values[:, 7:10])
+            yield pd.DataFrame(found, columns=names).assign(vec_id=pdf["vec_id"].to_numpy())[["vec_id", *names]]
+
+    found = table(spark, sf_dir, "embeddings").select("vec_id", *[e(i) for i in range(10)]).mapInPandas(run, "vec_id long, " + ", ".join(f"{n} double" for n in names))
+    return found.select("vec_id", *[(r6(n) + 0.0).alias(n) for n in names])
+
+
+@query("SELECT (vec_id % 3)::INTEGER AS robot, vec_id::INTEGER AS i, vec_id::DOUBLE / 2 AS t, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 1.0::DOUBLE AS qw FROM embeddings WHERE label > 1")
+def trajectory_rows(spark, sf_dir):
+    """Solved poses by robot and time; nodes of biases and anchors are none."""
+    p = points(spark, sf_dir, ["x", "y", "z"]).withColumns({**{c: F.lit(0.0) for c in ("qx", "qy", "qz")}, "qw": F.lit(1.0), "id": F.col("vec_id")})
+    robot = F.when(F.col("label") > 1, (F.col("vec_id") % 3).cast("int"))
+    nodes = p.select("id", robot.alias("robot"), F.col("vec_id").cast("int").alias("i"), (F.col("vec_id") / 2).alias("t"))
+    return problem.trajectory(p, nodes)
+
+
+@query("""
+WITH n AS (SELECT user_id % 3 AS robot, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts) - 1 AS i FROM events WHERE event_type = 'view'),
+nodes AS (SELECT robot * 1000000000 + i AS id, robot, t, i FROM n),
+odometry AS (SELECT * FROM (SELECT id AS a, lead(id) OVER w AS b, lead(t) OVER w - t AS gap FROM nodes WINDOW w AS (PARTITION BY robot ORDER BY t)) WHERE gap <= 3600),
+r AS (SELECT event_id, epoch_us(ts) / 1e6 AS t, user_id % 3 AS robot, CASE WHEN event_id % 2 = 0 THEN NULL ELSE (user_id + 1) % 3 END AS peer, event_id % 7 AS anchor FROM events WHERE event_type = 'purchase'),
+a AS (SELECT * FROM (SELECT r.*, n.id AS a, abs(r.t - n.t) AS ga, row_number() OVER (PARTITION BY r.event_id ORDER BY abs(r.t - n.t), n.t, n.id) AS k FROM r JOIN nodes n ON n.robot = r.robot) WHERE k = 1 AND ga <= 1800),
+b AS (SELECT * FROM (SELECT a.event_id, n.id AS b, abs(a.t - n.t) AS gb, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.t - n.t), n.t, n.id) AS j FROM a JOIN nodes n ON n.robot = a.peer) WHERE j = 1 AND gb <= 1800),
+ranged AS (
+    SELECT a, 1000000000000000 + anchor AS b, 2000000000000000 + robot AS c FROM a WHERE peer IS NULL AND anchor < 5 AND robot = 0
+    UNION ALL SELECT a, b, 2000000000000000 + robot FROM a JOIN b USING (event_id) WHERE least(robot, peer) = 0 AND greatest(robot, peer) = 1),
+h AS (SELECT user_id % 3 AS robot, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'click'),
+height AS (SELECT id AS a FROM nodes n WHERE EXISTS (SELECT 1 FROM h WHERE h.robot = n.robot AND abs(h.t - n.t) <= 3600)),
+gauge AS (SELECT id AS a FROM nodes WHERE robot = 2 AND i = 0),
+touched AS (SELECT a AS id FROM odometry UNION SELECT b FROM odometry UNION SELECT a FROM ranged UNION SELECT b FROM ranged UNION SELECT a FROM height UNION SELECT a FROM gauge),
+rows AS (
+    SELECT 'odometry' AS kind, a, b, NULL::BIGINT AS c, 0.0041::DOUBLE AS sigma FROM odometry
+    UNION ALL SELECT 'inter_range', a, b, c, NULL FROM ranged
+    UNION ALL SELECT 'height', a, NULL, NULL, NULL FROM height
+    UNION ALL SELECT 'pose_prior', a, NULL, NULL, 0.001 FROM gauge
+    UNION ALL SELECT 'pose_prior', id, NULL, NULL, 10 FROM nodes WHERE id NOT IN (SELECT id FROM touched)
+    UNION ALL SELECT 'gravity', id, NULL, NULL, NULL FROM nodes
+    UNION ALL SELECT DISTINCT 'bias_prior', c, NULL::BIGINT, NULL::BIGINT, 1.0 FROM ranged
+    UNION ALL SELECT DISTINCT 'anchor_pin', b, NULL::BIGINT, NULL::BIGINT, 0.0001 FROM ranged WHERE b >= 1000000000000000)
+SELECT kind, a, b, c, sigma FROM rows""")
+def problem_rows(spark, sf_dir):
+    """Every constraint of a whole problem: motions, heights, ranges with biases and anchors as unknowns, their priors, tilt, the gauge of the robot that nothing grounds, and weak priors; the sigma of the last component where it is fixed."""
+    e = events(spark, sf_dir).withColumn("s", F.col("t") / 1e6)
+    robot = (F.col("user_id") % 3).cast("int").alias("robot")
+    level = [F.lit(v).alias(c) for c, v in (("qx", 0.0), ("qy", 0.0), ("qz", 0.0), ("qw", 1.0))]
+    tracks = of_type(e, "view").select(robot, F.col("s").alias("t"), (F.col("value") / 10).alias("x"), (F.col("event_id") % 50 / 10).alias("y"), F.lit(1.0).alias("z"), *level, F.lit(0.0).alias("v"))
+    fixed = F.col("event_id") % 2 == 0
+    tag = lambda c: (c % 3 * 10 + 10).cast("int")
+    ranges = of_type(e, "purchase").select(F.col("s").alias("timestamp"), tag(F.col("user_id")).alias("from_id"), F.when(fixed, (F.col("event_id") % 7).cast("int")).otherwise(tag(F.col("user_id") + 1)).alias("to_id"), (F.col("value") / 10).alias("range"), F.lit(0.1).alias("std"), (F.col("value") / 10).alias("gt_range"), F.when(fixed, "anchor").otherwise("inter").alias("kind"))
+    heights = of_type(e, "click").select(robot, F.col("s").alias("t"), F.lit(1.0).alias("h"))
+    config = constraints.Config(bias_mode="online", pin_anchors=True, use_height=True, range_tolerance=1800.0, max_odometry_gap=3600.0, anchor_robots=(0,), inter_pairs=((1, 0),))
+    found = problem.build(tracks, tracks.drop("v"), ranges, _anchors(spark).toDF("id", "x", "y", "z"), config, heights=heights).factors
+    last = F.when(F.col("kind") == "bias_prior", F.get("sigma", F.lit(3))).when(F.col("kind").isin("odometry", "pose_prior", "anchor_pin"), F.get("sigma", F.lit(5)))
+    return found.select("kind", "a", "b", "c", last.alias("sigma"))

@@ -65,12 +65,23 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.folders = spark, {}, []
         atexit.register(self._close)
 
     def _close(self) -> None:
         if SparkContext._active_spark_context is not None:
             self.drop_all_but()
+            for path in self.folders:
+                self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def folder(self) -> str:
+        """A folder of its own for files that are read until the application ends; writers make it."""
+        self.folders.append(f"{shared_folder(self.spark)}/work-{uuid.uuid4().hex}")
+        return self.folders[-1]
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read back: its lineage ends there, whichever executor is lost."""
@@ -84,8 +95,7 @@ class Workspace:
         for table in tables:
             _, path = self.paths.pop(id(table), (None, None))
             if path is not None:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                self._remove(path)
 
     def drop_all_but(self, *tables: DataFrame) -> None:
         self.drop(*[t for t, _ in list(self.paths.values()) if all(t is not k for k in tables)])
