@@ -15,6 +15,7 @@ from marram.functions.geometry import minus, plus, rotate, times, vec
 from marram.operators import alignment, cleaning, constraints
 from marram.operators.asof import TRACK_SLOT, nearest_asof, nearest_to_first
 from marram.operators.constraints import Config
+from marram.session import Workspace
 
 #: Sigmas of odometry, tilt, gauge, per-robot and weak priors, heights; all in radians and metres.
 ODOMETRY_SIGMA = (0.0124, 0.0041)
@@ -185,11 +186,12 @@ def _scalar_nodes(ids: DataFrame, x: Column, y: Column | None = None, z: Column
 def build(tracks: DataFrame, truth: DataFrame, ranges: DataFrame, anchors: DataFrame, config: Config | None = None, arms: DataFrame | None = None, heights: DataFrame | None = None) -> Problem:
     """The whole problem: odometry, tilt, heights, ranges, biases, pinned anchors, gauge and weak priors.
 
-    heights: robot, t, h.
+    heights: robot, t, h. Nodes, ranges and constraints are read several times below, so each is
+    written to the shared folder once instead of being derived again.
     """
-    config = config or Config()
+    config, work = config or Config(), Workspace(tracks.sparkSession)
     raw = numbered(tracks)
-    nodes = placed(raw, truth, config)
+    nodes = work.keep(placed(raw, truth, config))
     links = constraints.adjacent(raw, ["robot"], "t", ["id", *_POSE], config.max_odometry_gap)
     qa, qb = (tuple(F.col(f"{s}_{c}") for c in _QUAT) for s in "ab")
     d = minus(tuple(F.col(f"b_{c}") for c in "xyz"), tuple(F.col(f"a_{c}") for c in "xyz"))
@@ -209,12 +211,14 @@ def build(tracks: DataFrame, truth: DataFrame, ranges: DataFrame, anchors: DataF
         met = nearest_asof(nodes.where(F.col("i") % config.height_every == 0).select("robot", "t", "id"), right, ["robot"], "t", "ht", ["h"], 2 * config.range_tolerance)
         touching.append(met.select(*factor_row("height", F.col("id"), None, [F.col("h")], [F.lit(HEIGHT_SIGMA)], HEIGHT_HUBER)))
     ranged = range_rows(nodes, ranges, anchors, arms, config)
-    touching.append(ranged)
+    if ranged is not None:
+        ranged = work.keep(ranged)
+        touching.append(ranged)
     if not config.gauge_per_robot:
         entities = tracks.select(F.col("robot").alias("id")).distinct()
         targets = constraints.gauge_entities(entities, config).select(F.col("id").alias("robot"))
         touching.append(first.join(targets, "robot", "left_semi").select(*factor_row("pose_prior", F.col("id"), None, here, _six(GAUGE_SIGMA))))
-    touching = _union(touching)
+    touching = work.keep(_union(touching))
     loose = constraints.untouched(nodes, [(touching, [["a"], ["b"]])], ["id"])
     weak = loose.select(*factor_row("pose_prior", F.col("id"), None, here, _six(WEAK_SIGMA)))
     rest, unknowns = [weak], [nodes.select("id", *_POSE, "robot", "i", "t")]
