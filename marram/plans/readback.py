@@ -185,3 +185,22 @@ def summary_back(spark, sf_dir):
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("j"))
     rows = whole.select(F.explode("j.per_robot").alias("robot", "of"), F.col("j.stats")["odd"].alias("odd"))
     return rows.select("robot", "of.*", "odd")
+
+
+@query("""
+SELECT label, e[1] AS first, e[7] AS middle, e[16] AS final, e[17] AS fx, e[20] AS cy, e[28] AS distortion, (label + 1) * 16 AS width, abs(e[32]) AS baseline
+FROM (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY label)""")
+def read_cameras(spark, sf_dir):
+    """Each robot's camera files, made of its first row: a pose of a camera in the body, and a stereo calibration."""
+    root, at = _folder(spark), lambda e, low, high: ", ".join(map(repr, e[low:high]))
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("e")).collect()  # one row a robot
+    out = []
+    for label, e in rows:
+        pose, stereo = f"{root}/{label}/vins.yaml", f"{root}/{label}/stereo.yaml"
+        sinks.write_text(spark, pose, f"%YAML:1.0\nbody_T_cam0: !!opencv-matrix\n  rows: 4\n  data: [{at(e, 0, 8)},\n    {at(e, 8, 16)}]\nbody_T_cam1: !!opencv-matrix\n  data: [1]\n")
+        camera = lambda k: f"cam{k}:\n  intrinsics: [{at(e, 16, 20)}]\n  distortion_coeffs: [{at(e, 20 + 4 * k, 24 + 4 * k)}]\n  resolution: [{16 * (label + 1)}, 8]\n"  # noqa: B023, E731
+        moved = f"  T_cn_cnm1:\n  - [{at(e, 28, 32)}]\n  - [{at(e, 32, 36)}]\n  - [{at(e, 36, 40)}]\n  - [0, 0, 0, 1]\n"
+        sinks.write_text(spark, stereo, camera(0) + camera(1) + moved)
+        body, found = dimensions.extrinsic(spark, pose), dimensions.stereo_calibration(spark, stereo)
+        out.append((label, body[0], body[6], body[15], found.intrinsics[1][0], found.matrix(0)[5], found.distortion[1][3], found.size[0], found.baseline))
+    return spark.createDataFrame(out, "label int, first double, middle double, final double, fx double, cy double, distortion double, width int, baseline double")
