@@ -295,34 +295,79 @@ def optimise_groups(factors: DataFrame, nodes: DataFrame, by: list[str], most: i
     return nodes.select(*by, "id", *_POSE).groupBy(*by).cogroup(factors.groupBy(*by)).applyInPandas(run, f"{fields}, {NODE}, cost double, first_cost double, rounds int, covariance array<double>")
 
 
+def _starts(anchors: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Starting points 4*n*3 of n problems with k anchors each (n*k*3): their mean, where differences of squared ranges vanish, and
+    that point moved to either side of the plane that fits the anchors best, by what the ranges leave over."""
+    mean = anchors.mean(axis=1)
+    d = anchors - mean[:, None]
+    square = (d**2).sum(axis=2) - z**2
+    linear = np.einsum("nik,nk->ni", np.linalg.pinv(2 * d, rcond=1e-9), square - square.mean(axis=1, keepdims=True))
+    normal = np.linalg.eigh(np.swapaxes(d, 1, 2) @ d)[1][:, :, 0]
+    flat = linear - (linear * normal).sum(axis=1, keepdims=True) * normal
+    over = (z**2 - ((flat[:, None] - d) ** 2).sum(axis=2)).mean(axis=1)
+    side = np.sqrt(np.maximum(over, 0))[:, None] * normal
+    return np.stack([mean, mean + linear, mean + flat + side, mean + flat - side])
+
+
+def _located(anchors: np.ndarray, z: np.ndarray, sigma: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions n*3, costs n and traces n of n problems with k ranges each: a damped descent from every start, of which the lowest end counts.
+
+    From one start alone the descent may stay in a local minimum, even where the ranges are exact.
+    """
+    starts = _starts(anchors, z)
+    tries, n = len(starts), len(z)
+    p = starts.reshape(-1, 3)
+    anchors, z, sigma = (np.tile(v, (tries,) + (1,) * (v.ndim - 1)) for v in (anchors, z, sigma))
+
+    def at(q, rows):
+        d = q[:, None] - anchors[rows]
+        size = np.sqrt((d**2).sum(axis=2))
+        e, j = (size - z[rows]) / sigma[rows], d / np.maximum(size, fm.LEAST_LENGTH)[..., None] / sigma[rows][..., None]
+        return (e**2).sum(axis=1), (np.swapaxes(j, 1, 2) @ e[..., None])[..., 0], np.swapaxes(j, 1, 2) @ j
+
+    live = np.arange(len(p))
+    cost, g, h = at(p, live)
+    damping = np.full(len(p), 1e-3)
+    for _ in range(most):
+        own = h[live]
+        diagonal = damping[live, None] * np.maximum(np.diagonal(own, axis1=1, axis2=2), 1e-9)
+        step = np.linalg.solve(own + diagonal[..., None] * np.eye(3), -g[live][..., None])[..., 0]
+        cost2, g2, h2 = at(p[live] + step, live)
+        better = cost2 <= cost[live]
+        up = live[better]
+        p[up] += step[better]
+        cost[up], g[up], h[up] = cost2[better], g2[better], h2[better]
+        damping[live] = np.where(better, np.maximum(damping[live] / 10, 1e-12), damping[live] * 10)
+        live = live[~(better & (np.abs(step).max(axis=1) < 1e-10))]
+        if not len(live):
+            break
+    costs = cost.reshape(tries, n)
+    # Of ends that are as low but for rounding the first counts.
+    first = (costs <= costs.min(axis=0) * (1 + 1e-9) + 1e-15).argmax(axis=0)
+    best = first * n + np.arange(n)
+    return p[best], 0.5 * cost[best], np.trace(np.linalg.pinv(h[best]), axis1=1, axis2=2)
+
+
 def multilaterate(ranges: DataFrame, by: list[str], most: int = 50) -> DataFrame:
     """by, x, y, z, cost, trace: each group's position from ranges (ax, ay, az, z, sigma) to fixed points, with the trace of its covariance.
 
-    Groups are independent three-parameter problems, solved where they lie.
+    Groups are independent three-parameter problems, solved many at once where they lie.
     """
+    names = ["ax", "ay", "az", "z", "sigma"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        anchors, z, sigma = (pdf[c].to_numpy(dtype=float) for c in (["ax", "ay", "az"], "z", "sigma"))
-        p, damping = anchors.mean(axis=0), 1e-3
-
-        def at(q):
-            d = q - anchors
-            n = np.linalg.norm(d, axis=1)
-            return (n - z) / sigma, d / np.maximum(n, fm.LEAST_LENGTH)[:, None] / sigma[:, None]
-
-        e, j = at(p)
-        for _ in range(most):
-            h = j.T @ j
-            step = np.linalg.solve(h + damping * np.diag(np.maximum(np.diag(h), 1e-9)), -j.T @ e)
-            e2, j2 = at(p + step)
-            if e2 @ e2 <= e @ e:
-                p, e, j, damping = p + step, e2, j2, max(damping / 10, 1e-12)
-                if np.abs(step).max() < 1e-10:
-                    break
-            else:
-                damping *= 10
-        covariance = np.linalg.pinv(j.T @ j)
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), *p, 0.5 * float(e @ e), float(np.trace(covariance))]], columns=[*by, "x", "y", "z", "cost", "trace"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = np.zeros((len(pdf), 5))
+            sizes = pdf["__n"].to_numpy()
+            for k in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == k)
+                for part in np.array_split(rows, -(-len(rows) * k // 50_000)):
+                    v = np.stack([np.stack(pdf[f"__{c}"].iloc[part].to_list()).astype(float) for c in names], axis=2)
+                    found[part] = np.column_stack(_located(v[..., :3], v[..., 3], v[..., 4], most))
+            yield pd.concat([pdf[by], pd.DataFrame(found, columns=["x", "y", "z", "cost", "trace"], index=pdf.index)], axis=1)
 
     kinds = {f.name: f.dataType.simpleString() for f in ranges.schema.fields}
-    return ranges.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", x double, y double, z double, cost double, trace double")
+    # Sorted, so that sums do not depend on the order of arrival.
+    all_of = F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in names])))
+    groups = ranges.groupBy(*by).agg(all_of.alias("__all")).select(*by, F.size("__all").alias("__n"), *[F.col(f"__all.{c}").alias(f"__{c}") for c in names])
+    return groups.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", x double, y double, z double, cost double, trace double")

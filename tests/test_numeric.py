@@ -230,3 +230,13 @@ def test_multilateration(spark):
     rows = [(i, *map(float, a), float(np.linalg.norm(t - a)), 0.1) for i, t in enumerate(truth) for a in anchors]
     out = solve.multilaterate(spark.createDataFrame(rows, "id long, ax double, ay double, az double, z double, sigma double"), ["id"]).orderBy("id").collect()
     assert np.allclose([[r["x"], r["y"], r["z"]] for r in out], truth, atol=1e-6)
+
+
+def test_multilateration_leaves_local_minima(spark):
+    """Exact ranges fit one point only; from the mean of the anchors alone the descent ended at costs of 385 and 53."""
+    anchors = np.array([[-3, -3, 0.5], [3, -3, 2.5], [3, 3, 0.5], [-3, 3, 2.5], [0, 0, 3.0]])
+    truth = np.array([[-1.30676, 0.87386, 5.25111], [2.85174, 3.0784, 1.98718], [0.4, -0.7, 1.1]])
+    rows = [(i, *map(float, a), float(np.linalg.norm(t - a)), 0.1) for i, t in enumerate(truth) for a in anchors[: 4 if i == 2 else 5]]
+    out = solve.multilaterate(spark.createDataFrame(rows, "id long, ax double, ay double, az double, z double, sigma double"), ["id"]).orderBy("id").collect()
+    assert np.allclose([[r["x"], r["y"], r["z"]] for r in out], truth, atol=1e-6)
+    assert max(r["cost"] for r in out) < 1e-9
