@@ -14,8 +14,8 @@
    across components are compared by signature, in blocks that split large buckets; pairs that may
    reach the threshold tie their documents into loose groups, and within these such pairs are
    verified on full sets, again block by block. So no pair that shares a bucket goes unjudged, and
-   no step gives a row for each pair of a group. A bucket of very many open rows is banded again
-   first: a pair of it is judged where the two share a second bucket.
+   no step gives a row for each pair of a group. A bucket of very many open rows is divided
+   first, by the rarest values in its rows' signatures, so that the same pairs are judged.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ LEAST_PERCENT = 75
 LEAST_ESTIMATE = LEAST_PERCENT / 100 - 4.4 * (LEAST_PERCENT / 100 * (1 - LEAST_PERCENT / 100) / PLACES) ** 0.5
 #: Pivots a member is verified against at first; what they leave open is settled across components.
 FIRST_PIVOTS = 2
-#: Rows of a bucket that are compared at once, against as many, and rows from which a bucket is banded again: until there, blocks copy fewer rows.
+#: Rows of a bucket that are compared at once, against as many, and rows from which a bucket is divided by rare places: until there, blocks copy fewer rows.
 BLOCK = 8192
 REBAND = BLOCK * BANDS
 #: Where full sets are at hand, as many rows, of as many shingles (8 bytes each), and pairs that one copy of a pivot's set serves.
@@ -346,15 +346,51 @@ def _spread(blocks: str):
     return F.pmod(F.xxhash64("id"), F.greatest(F.col(blocks), F.lit(1))).cast("int")
 
 
+def least_agreeing() -> int:
+    """Places in which two signatures agree at least, if they may belong to a link."""
+    return next(n for n in range(PLACES + 1) if estimate(n / PLACES) >= LEAST_ESTIMATE)
+
+
+def _by_rare_places(rows: DataFrame) -> DataFrame:
+    """rows (bk, id, component, sig) as (bk, id, component) in one bucket for each of the rarest (place, value) of their signatures.
+
+    In any one order of all (place, value), two signatures that agree in n of PLACES places have one
+    of them in common among the first PLACES - n + 1 of each. So every pair of a bucket that may
+    belong to a link meets again, and values that many rows share, which come last, bring few together.
+    """
+    kept = PLACES - least_agreeing() + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(PLACES * 256, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                counts += np.bincount((_bytes(batch.column(0)) + np.arange(PLACES) * 256).ravel(), minlength=len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["token", "n"])
+
+    counted = rows.select("sig").mapInArrow(lean(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy("n", "token").select("token").toArrow()
+    rank = np.empty(PLACES * 256, dtype=np.int32)
+    rank[counted.column(0).to_numpy()] = np.arange(PLACES * 256, dtype=np.int32)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ranks = rank[_bytes(batch.column(3)) + np.arange(PLACES) * 256]
+                first = np.sort(ranks, axis=1)[:, :kept]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * kept), pa.array(first.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["bk", "id", "component", "rare"])
+
+    found = small_batches(rows.select("bk", "id", "component", "sig")).mapInArrow(lean(rarest), "bk long, id long, component long, rare array<int>")
+    return found.select("bk", "id", "component", F.explode("rare").alias("rare")).select(F.xxhash64("bk", "rare").alias("bk"), "id", "component")
+
+
 def _loose_links(labelled: DataFrame, reps: DataFrame, again: bool = True) -> DataFrame:
     """Links (a, b) that tie the candidate pairs across components in the buckets of labelled (bk, id, component)."""
     open_ = cut(labelled.groupBy("bk").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("rows")).where("c1 <> c2").drop("c1", "c2"))
     huge, more = open_.where(F.col("rows") > REBAND), None
     if again and not huge.isEmpty():
         # REBAND bounds the number of these buckets to a small part of all rows.
-        twice = labelled.join(huge.select("bk"), "bk", "left_semi").join(reps.select("id", "bands"), "id")
-        twice = twice.select(F.col("bk").alias("first"), "id", "component", F.explode("bands").alias("second")).where("first <> second")
-        more = _loose_links(stored(twice.select(F.xxhash64("first", "second").alias("bk"), "id", "component")), reps, False)
+        twice = stored(labelled.join(F.broadcast(huge.select("bk")), "bk", "left_semi").join(reps.select("id", "sig"), "id"))
+        more = _loose_links(stored(_by_rare_places(twice)), reps, False)
         open_ = open_.where(F.col("rows") <= REBAND)
     total = open_.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     last = F.ceil(F.col("rows") / BLOCK).cast("int")
@@ -371,9 +407,9 @@ def loose_groups(members: DataFrame, labels: DataFrame, reps: DataFrame) -> Data
     members: bk, id. A bucket of more than BLOCK rows is split by hashed id into blocks, and every
     pair of blocks is a unit of its own: no task holds more than two blocks of a bucket. Units give
     spanning forests only, so a bucket of n alike rows gives about n rows a unit, not n squared. A
-    bucket of more than REBAND rows is banded again instead: its rows go to one bucket for each of
-    their other bands, so the rows that move are proportional to its size, and a pair at similarity
-    0.75 that shares it and shares no other band (7.6e-6 at most) is the only one that is not met.
+    bucket of more than REBAND rows is divided first: each row goes to one bucket for each of the 54
+    rarest places of its signature, so the rows that move are proportional to its size. Candidate
+    pairs all meet there, so the links' groups are those that blocks of the whole bucket would give.
     """
     labelled = stored(members.join(labels, "id", "left").select("bk", "id", F.coalesce("component", "id").alias("component")))
     groups = components(_loose_links(labelled, reps))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marram.llm import bpe, chat_format, language_id, mixing, near_dedup, queries, secret_scan, suffix_tree_lm, topk_search, url_filter
+from marram.llm.components import components
 from marram.llm.vocabulary import default_vocabulary
 from tests.llm.test_brute_force import brute_groups
 
@@ -110,6 +111,27 @@ def test_a_huge_bucket_moves_rows_in_proportion(spark):
     assert copies <= near_dedup.BANDS * n
 
 
+def test_dividing_a_huge_bucket_leaves_the_candidate_pairs_as_they_are(spark, monkeypatch):
+    """Pairs that share one bucket alone, and look alike in as few places as a link may, meet however many rows the bucket has."""
+    rng = np.random.default_rng(5)
+    least = near_dedup.least_agreeing()
+    assert near_dedup.estimate((least - 1) / near_dedup.PLACES) < near_dedup.LEAST_ESTIMATE <= near_dedup.estimate(least / near_dedup.PLACES)
+    common = rng.integers(0, 256, near_dedup.PLACES, dtype=np.uint8)
+    rows = []
+    for k in range(40):
+        own = np.where(np.arange(near_dedup.PLACES) < 50, common, rng.integers(0, 256, near_dedup.PLACES, dtype=np.uint8))
+        other, differ = own.copy(), rng.permutation(near_dedup.PLACES)[: near_dedup.PLACES - least + k % 2]
+        other[differ] += np.uint8(1)
+        rows += [(2 * k, 100, own.tobytes(), [7, 1000 + 2 * k]), (2 * k + 1, 100, other.tobytes(), [7, 1001 + 2 * k])]
+    reps = spark.createDataFrame([(i, n, bytearray(sig), bands) for i, n, sig, bands in rows], "id long, n_shingles long, sig binary, bands array<long>")
+    labelled = reps.select(F.lit(7).cast("long").alias("bk"), "id", F.col("id").alias("component"))
+    groups = lambda: sorted(map(tuple, components(near_dedup._loose_links(labelled, reps)).collect()))
+    whole = groups()
+    assert len(whole) == 40
+    monkeypatch.setattr(near_dedup, "REBAND", 8)
+    assert groups() == whole
+
+
 # op4
 
 
