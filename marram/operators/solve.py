@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ from marram.operators.lie import inverse_right_jacobian, quat_of, rotation_of, s
 NODE = "id long, x double, y double, z double, qx double, qy double, qz double, qw double"
 FACTOR = "kind string, a long, b long, meas array<double>, point array<double>, arm_a array<double>, arm_b array<double>, sigma array<double>, huber double, c long"
 
+#: Constraints of a group that are linearised at once.
+LINEAR_ROWS = 8192
+
 _H = [f"h{i}" for i in range(36)]
 _G = [f"g{i}" for i in range(6)]
 _POSE = ["x", "y", "z", "qx", "qy", "qz", "qw"]
@@ -167,34 +171,28 @@ def residuals(factors: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFram
     return rows.mapInPandas(run, f"{fields}, residual array<double>, cost double")
 
 
-class BlockCholesky:
-    """L L' of a symmetric block matrix given by its blocks (i <= j), eliminated in the order given."""
+class PlacedCholesky:
+    """L L' of a symmetric block matrix of n*n blocks, given by those (i <= j) that are not zero, eliminated in their order."""
 
-    def __init__(self, blocks: dict, order: list[int], damping: float = 0.0):
-        self.order, place = order, {k: n for n, k in enumerate(order)}
-        self.columns: list[dict[int, np.ndarray]] = [dict() for _ in order]
-        for (i, j), m in blocks.items():
-            a, b = place[i], place[j]
-            if a == b:
-                self.columns[a][a] = m + np.diag(damping * np.maximum(np.diag(m), 1e-9))
-            elif a < b:
-                self.columns[a][b] = m.T.copy()
-            else:
-                self.columns[b][a] = m.copy()
-        for n, column in enumerate(self.columns):
-            low = np.linalg.cholesky(column[n])
+    def __init__(self, n: int, pairs: np.ndarray, blocks: np.ndarray, damping: float = 0.0):
+        self.columns: list[dict[int, np.ndarray]] = [{} for _ in range(n)]
+        for i, j, m in zip(*pairs.T.tolist(), blocks, strict=True):
+            self.columns[i][j] = m.T if i < j else m + np.diag(damping * np.maximum(np.diag(m), 1e-9))
+        for k, column in enumerate(self.columns):
+            low = np.linalg.cholesky(column[k])
             inverse = np.linalg.inv(low)
-            column[n] = low
-            below = sorted(k for k in column if k > n)
-            for k in below:
-                column[k] = column[k] @ inverse.T
-            for at, k in enumerate(below):
+            column[k] = low
+            below = sorted(j for j in column if j > k)
+            for j in below:
+                column[j] = column[j] @ inverse.T
+            for at, j in enumerate(below):
                 for m in below[at:]:
-                    target = self.columns[k]
-                    target[m] = target.get(m, np.zeros((6, 6))) - column[m] @ column[k].T
+                    target = self.columns[j]
+                    target[m] = target.get(m, np.zeros((6, 6))) - column[m] @ column[j].T
 
-    def solve(self, rhs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-        y = [rhs.get(k, np.zeros(6)).copy() for k in self.order]
+    def solve(self, rhs: np.ndarray) -> np.ndarray:
+        """n*6 from n*6."""
+        y = rhs.copy()
         for n, column in enumerate(self.columns):
             y[n] = np.linalg.solve(column[n], y[n])
             for k, m in column.items():
@@ -203,96 +201,154 @@ class BlockCholesky:
         for n in range(len(y) - 1, -1, -1):
             for k, m in self.columns[n].items():
                 if k > n:
-                    y[n] = y[n] - m.T @ y[k]
+                    y[n] -= m.T @ y[k]
             y[n] = np.linalg.solve(self.columns[n][n].T, y[n])
-        return dict(zip(self.order, y, strict=True))
+        return y
+
+    def marginals(self) -> np.ndarray:
+        """Diagonal blocks n*6*6 of the inverse, by the recursion that needs the inverse only where the factor has blocks.
+
+        Columns of the inverse take the place of the factor's, which is gone afterwards.
+        """
+        inverse = self.columns
+        get = lambda a, b: inverse[b][a] if a >= b else inverse[a][b].T
+        out = np.empty((len(inverse), 6, 6))
+        for n in range(len(inverse) - 1, -1, -1):
+            column = inverse[n]
+            own = np.linalg.inv(column[n])
+            scaled = {k: column[k] @ own for k in column if k > n}
+            found = {k: -sum(get(k, m) @ scaled[m] for m in scaled) for k in scaled}
+            out[n] = found[n] = own.T @ own - sum((scaled[k].T @ found[k] for k in scaled), np.zeros((6, 6)))
+            inverse[n] = found
+        return out
+
+
+class BlockCholesky:
+    """The same of blocks {(i, j): 6*6, i <= j or the other way round, not both}, over keys that are eliminated in the order given."""
+
+    def __init__(self, blocks: dict, order: list[int], damping: float = 0.0):
+        self.order, place = order, {k: n for n, k in enumerate(order)}
+        at = [(place[i], place[j]) for i, j in blocks]
+        pairs = np.sort(np.array(at, dtype=np.int64).reshape(-1, 2), axis=1)
+        placed = [m if a <= b else m.T for (a, b), m in zip(at, blocks.values(), strict=True)]
+        self.factor = PlacedCholesky(len(order), pairs, np.array(placed).reshape(-1, 6, 6), damping)
+
+    def solve(self, rhs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        return dict(zip(self.order, self.factor.solve(np.stack([rhs.get(k, np.zeros(6)) for k in self.order])), strict=True))
 
     def marginals(self) -> dict[int, np.ndarray]:
-        """Diagonal 6*6 blocks of the inverse, by the recursion that needs the inverse only where the factor has blocks."""
-        inverse: dict[tuple[int, int], np.ndarray] = {}
-        get = lambda a, b: inverse[(a, b)] if a >= b else inverse[(b, a)].T
-        for n in range(len(self.order) - 1, -1, -1):
-            column = self.columns[n]
-            own = np.linalg.inv(column[n])
-            below = [k for k in column if k > n]
-            scaled = {k: column[k] @ own for k in below}
-            for k in below:
-                inverse[(k, n)] = -sum(get(k, m) @ scaled[m] for m in below)
-            inverse[(n, n)] = own.T @ own - sum((scaled[k].T @ inverse[(k, n)] for k in below), np.zeros((6, 6)))
-        return {k: inverse[(n, n)] for n, k in enumerate(self.order)}
+        return dict(zip(self.order, self.factor.marginals(), strict=True))
 
 
-def moved(pose: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """A pose (x, y, z, quaternion) after a right tangent."""
-    r, (dr, dt) = rotation_of(pose[3:]), se3_exp(step)
-    return np.concatenate([pose[:3] + r @ dt, quat_of(r @ dr)])
+def moved(poses: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Poses n*7 (x, y, z, quaternion) after right tangents n*6."""
+    r, (dr, dt) = rotation_of(poses[:, 3:]), se3_exp(steps)
+    return np.concatenate([poses[:, :3] + (r @ dt[..., None])[..., 0], quat_of(r @ dr)], axis=1)
 
 
 @dataclass
 class Descent:
-    state: dict[int, np.ndarray]
+    state: np.ndarray
     cost: float
     first_cost: float
     rounds: int
-    blocks: dict
+    blocks: np.ndarray
 
 
-def descend(system, state: dict[int, np.ndarray], order: list[int], most: int, tolerance: float) -> Descent:
-    """Levenberg-Marquardt; system(state) gives blocks, gradients and cost."""
+def descend(system, state: np.ndarray, pairs: np.ndarray, most: int, tolerance: float) -> Descent:
+    """Levenberg-Marquardt; system(state) gives blocks (of ``pairs``), gradients and cost."""
     h, g, cost = system(state)
     first, damping, rounds = cost, 1e-4, 0
     while rounds < most:
         rounds += 1
-        step = BlockCholesky(h, order, damping).solve({k: -v for k, v in g.items()})
-        there = {k: moved(v, step[k]) for k, v in state.items()}
+        step = PlacedCholesky(len(state), pairs, h, damping).solve(-g)
+        there = moved(state, step)
         h2, g2, cost2 = system(there)
         if cost2 <= cost:
             gain = cost - cost2
             state, h, g, cost, damping = there, h2, g2, cost2, max(damping / 10, 1e-12)
-            if gain <= tolerance * max(cost, 1e-12) or max(np.abs(x).max() for x in step.values()) < 1e-9:
+            if gain <= tolerance * max(cost, 1e-12) or np.abs(step).max() < 1e-9:
                 break
         else:
             damping *= 10
             if damping > 1e8:
                 break
+        del h2, g2
     return Descent(state, cost, first, rounds, h)
 
 
+class Constraints:
+    """A group's constraints (FACTOR columns) as they came, over places of nodes; they are linearised LINEAR_ROWS at a time."""
+
+    def __init__(self, rows: pa.Table, ids: np.ndarray):
+        self.rows, self.n = rows.select([c for c in rows.column_names if c not in ("a", "b", "c")]), len(ids)
+        self.at: dict[str, np.ndarray] = {}
+        for s in "abc":
+            known = rows[s].is_valid().to_numpy()
+            of = rows[s].fill_null(0).to_numpy()
+            place = np.minimum(np.searchsorted(ids, of), self.n - 1)
+            if not (ids[place] == of)[known].all():
+                raise ValueError(f"constraints of a group whose node {s} is not in it")
+            self.at[s] = np.where(known, place, -1)
+        codes = [np.arange(self.n) * (self.n + 1)]
+        for s, t in (("a", "b"), ("a", "c"), ("b", "c")):
+            both = (self.at[s] >= 0) & (self.at[t] >= 0)
+            x, y = self.at[s][both], self.at[t][both]
+            codes.append(np.unique(np.minimum(x, y) * self.n + np.maximum(x, y)))
+        self.codes = np.unique(np.concatenate(codes))
+        self.pairs = np.stack([self.codes // self.n, self.codes % self.n], axis=1)
+
+    def system(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Blocks of ``pairs``, gradients n*6 and the cost at poses n*7."""
+        h, g, cost = np.zeros((len(self.codes), 36)), np.zeros((self.n, 6)), 0.0
+        for first in range(0, len(self.rows), LINEAR_ROWS):
+            chunk = self.rows.slice(first, LINEAR_ROWS).to_pandas()
+            for s in "abc":
+                place = self.at[s][first : first + LINEAR_ROWS]
+                chunk[s] = np.where(place >= 0, place, np.nan)
+                chunk[[f"{s}_{c}" for c in _POSE]] = state[place]
+            found = blocks(chunk)
+            i, j = found["i"].to_numpy(), found["j"].to_numpy()
+            h[np.searchsorted(self.codes, i * self.n + j)] += found[_H].to_numpy()
+            own = i == j
+            g[i[own]] += found.loc[own, _G].to_numpy()
+            cost += float(found["cost"].sum())
+        return h.reshape(-1, 6, 6), g, cost
+
+
 def optimise_groups(factors: DataFrame, nodes: DataFrame, by: list[str], most: int = 100, tolerance: float = 1e-9, with_marginals: bool = False) -> DataFrame:
     """by, NODE columns, cost, first_cost, rounds, covariance array<double> (36, of [rotation, translation]; null without marginals).
 
     Each group of factors and nodes is a problem of its own and is solved in one task, so many are
-    solved at once and nothing comes to the driver; a group must fit in a task.
+    solved at once and nothing comes to the driver; a group must fit in a task, which holds its rows
+    as they came, the blocks of its normal equations and their factor.
     """
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+    rows = factors.select(*by, "kind", *[F.col(s).cast("long").alias(s) for s in "abc"], "meas", "point", "arm_a", "arm_b", "sigma", "huber")
 
-    def run(own_nodes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        own_nodes = own_nodes.sort_values("id", ignore_index=True)
-        ids = own_nodes["id"].to_numpy(dtype=np.int64)
-        poses = own_nodes[_POSE].to_numpy(dtype=float)
-        own = own.reset_index(drop=True)
-        at = {s: np.searchsorted(ids, own[s].fillna(ids[0] if len(ids) else 0).to_numpy(dtype=np.int64)) for s in "abc"}
-
-        def system(state: dict[int, np.ndarray]):
-            now = np.stack([state[k] for k in ids.tolist()])
-            sides = [pd.DataFrame(now[at[s]], columns=[f"{s}_{c}" for c in _POSE]) for s in "abc"]
-            return _as_system(blocks(pd.concat([own, *sides], axis=1)))
-
+    def run(own_nodes: pa.Table, own: pa.Table) -> pa.Table:
+        own_nodes = own_nodes.sort_by("id")
+        ids = own_nodes["id"].to_numpy()
+        state = np.stack([own_nodes[c].to_numpy() for c in _POSE], axis=1).astype(float)
+        cost, first, rounds, marginals = 0.0, 0.0, 0, None
         if len(own) and len(ids):
-            order = ids.tolist()
-            found = descend(system, dict(zip(order, poses, strict=True)), order, most, tolerance)
-            now, cost, first, rounds = np.stack([found.state[k] for k in order]), found.cost, found.first_cost, found.rounds
-            marginals = BlockCholesky(found.blocks, order).marginals() if with_marginals else {}
+            constraints = Constraints(own.drop_columns(by), ids)
+            found = descend(constraints.system, state, constraints.pairs, most, tolerance)
+            state, cost, first, rounds = found.state, found.cost, found.first_cost, found.rounds
+            if with_marginals:
+                marginals = PlacedCholesky(len(ids), constraints.pairs, found.blocks).marginals()
+        n = len(ids)
+        if marginals is None:
+            covariance = pa.nulls(n, pa.list_(pa.float64()))
         else:
-            now, cost, first, rounds, marginals = poses, 0.0, 0.0, 0, {}
-        out = own_nodes[[*by, "id"]].copy()
-        out[_POSE] = now
-        out["cost"], out["first_cost"], out["rounds"] = cost, first, rounds
-        out["covariance"] = [marginals[k].reshape(-1).tolist() if k in marginals else None for k in ids.tolist()]
-        return out
+            covariance = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 36), pa.array(marginals.reshape(-1)))
+        figures = [pa.array(np.full(n, v, dtype=t)) for v, t in ((cost, float), (first, float), (rounds, np.int32))]
+        columns = [*[own_nodes[c] for c in (*by, "id")], *[pa.array(np.ascontiguousarray(v)) for v in state.T], *figures, covariance]
+        return pa.table(columns, names=[*by, "id", *_POSE, "cost", "first_cost", "rounds", "covariance"])
 
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in by)
-    return nodes.select(*by, "id", *_POSE).groupBy(*by).cogroup(factors.groupBy(*by)).applyInPandas(run, f"{fields}, {NODE}, cost double, first_cost double, rounds int, covariance array<double>")
+    grouped = nodes.select(*by, F.col("id").cast("long").alias("id"), *_POSE).groupBy(*by)
+    return grouped.cogroup(rows.groupBy(*by)).applyInArrow(run, f"{fields}, {NODE}, cost double, first_cost double, rounds int, covariance array<double>")
 
 
 def _starts(anchors: np.ndarray, z: np.ndarray) -> np.ndarray:

@@ -194,6 +194,34 @@ def test_groups_are_solved_as_one_by_one(spark):
             assert r["covariance"] is None and r["rounds"] == 0
 
 
+def test_a_groups_constraints_are_linearised_in_bounded_memory(monkeypatch):
+    """200,000 ranges to 20,000 poses: the blocks and one chunk of constraints, not all of them at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, each = 20_000, 10
+    ids = np.arange(n) * 3
+    a = np.repeat(ids, each)
+    anchors = RNG.uniform(-3, 3, (len(a), 3))
+    none = pa.nulls(len(a), pa.list_(pa.float64()))
+    column = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * (v.size // len(a))), pa.array(v.ravel()))
+    link = pa.nulls(len(a), pa.int64())
+    rows = pa.table({"kind": ["anchor_range"] * len(a), "a": a, "b": link, "c": link, "meas": column(np.ones(len(a))), "point": column(anchors), "arm_a": none, "arm_b": none, "sigma": column(np.full(len(a), 0.1)), "huber": np.zeros(len(a))})
+    state = np.concatenate([RNG.uniform(-1, 1, (n, 3)), np.tile([0.0, 0.0, 0.0, 1.0], (n, 1))], axis=1)
+    constraints = solve.Constraints(rows, ids)
+    tracemalloc.start()
+    h, g, cost = constraints.system(state)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    d = np.repeat(state[:, :3], each, axis=0) - anchors
+    assert cost == pytest.approx(0.5 * (((np.linalg.norm(d, axis=1) - 1) / 0.1) ** 2).sum())
+    monkeypatch.setattr(solve, "LINEAR_ROWS", 77_777)
+    h2, g2, cost2 = constraints.system(state)
+    assert np.allclose(h, h2) and np.allclose(g, g2) and cost == pytest.approx(cost2)
+
+
 def test_pose_marginals_against_a_dense_inverse(spark, small_dir):
     """The registered query's covariances against the inverse of the whole information matrix."""
     from marram.plans import estimation
