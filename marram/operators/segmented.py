@@ -17,7 +17,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,22 +85,34 @@ def coded(factors: DataFrame, nodes: DataFrame, fan: int) -> tuple[DataFrame, Da
     return placed, factors.drop(*"abc").withColumnsRenamed({f"__{s}": s for s in "abc"}), levels
 
 
+def _matrix(t: pa.Table, columns: list[str]) -> np.ndarray:
+    """Columns of a table, nulls as not a number. Fronts are many and small and their columns too many for a frame each."""
+    return np.stack([t[c].to_numpy() for c in columns], axis=1)
+
+
+def _table(head: list[pa.Array], names: list[str], values: np.ndarray, columns: list[str]) -> pa.Table:
+    return pa.table([*head, *[pa.array(v) for v in np.ascontiguousarray(values.T)]], names=[*names, *columns])
+
+
 class Front:
     """Blocks {(i, j): 6*6, i <= j}, gradients and undamped diagonals of a front, whose nodes of ``level`` are eliminated."""
 
-    def __init__(self, pdf: pd.DataFrame, level: int):
-        summed = pdf.groupby(["i", "j"], as_index=False)[_H + _G + _D].sum()
-        i, j = summed["i"].to_numpy(), summed["j"].to_numpy()
+    def __init__(self, t: pa.Table, level: int):
+        i, j, v = t["i"].to_numpy(), t["j"].to_numpy(), _matrix(t, _H + _G + _D)
+        order = np.lexsort((j, i))
+        i, j, v = i[order], j[order], v[order]
+        first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        i, j, v = i[first], j[first], np.add.reduceat(v, first, axis=0)
         self.order = np.unique(np.concatenate([i, j]))
         self.inner = int((self.order >> _LEVEL_AT == level).sum())
         a, b = np.searchsorted(self.order, i), np.searchsorted(self.order, j)
         # Columns of the lower triangle, by place in the order.
         self.columns: list[dict[int, np.ndarray]] = [{} for _ in self.order]
         self.g, self.d = np.zeros((len(self.order), 6)), np.zeros((len(self.order), 6))
-        for n, m, h in zip(a.tolist(), b.tolist(), summed[_H].to_numpy().reshape(-1, 6, 6), strict=True):
+        for n, m, h in zip(a.tolist(), b.tolist(), v[:, :36].reshape(-1, 6, 6), strict=True):
             self.columns[n][m] = h.T.copy()
         own = i == j
-        self.g[a[own]], self.d[a[own]] = summed.loc[own, _G].to_numpy(), summed.loc[own, _D].to_numpy()
+        self.g[a[own]], self.d[a[own]] = v[own, 36:42], v[own, 42:]
 
     def eliminate(self, damping: float) -> None:
         for n in range(self.inner):
@@ -118,7 +131,7 @@ class Front:
                     step = column[m] @ column[k].T
                     target[m] = target[m] - step if m in target else -step
 
-    def rows(self, front: int, level: int) -> pd.DataFrame:
+    def rows(self, front: int, level: int) -> pa.Table:
         """Factor rows of the inner nodes (block L_ji, gradient reduced), update rows of the others."""
         i, j, h = [], [], []
         for n, column in enumerate(self.columns):
@@ -128,10 +141,11 @@ class Front:
                 h.append(block if n < self.inner else block.T)
         i, j = np.array(i), np.array(j)
         own = (i == j)[:, None]
-        out = pd.DataFrame(np.concatenate([np.stack(h).reshape(-1, 36), np.where(own, self.g[i], 0.0), np.where(own, self.d[i], 0.0)], axis=1), columns=_H + _G + _D)
-        kind = np.where(i < self.inner, "factor", "update")
-        head = pd.DataFrame({"front": front, "kind": kind, "level": np.where(i < self.inner, level, self.order[i] >> _LEVEL_AT).astype(np.int32), "i": self.order[i], "j": self.order[j]})
-        return pd.concat([head, out], axis=1)
+        out = np.concatenate([np.stack(h).reshape(-1, 36), np.where(own, self.g[i], 0.0), np.where(own, self.d[i], 0.0)], axis=1)
+        inner = i < self.inner
+        levels = np.where(inner, level, self.order[i] >> _LEVEL_AT).astype(np.int32)
+        head = [pa.array(np.full(len(i), front)), pa.array(np.where(inner, "factor", "update").tolist()), pa.array(levels), pa.array(self.order[i]), pa.array(self.order[j])]
+        return _table(head, ["front", "kind", "level", "i", "j"], out, _H + _G + _D)
 
 
 def _with_diagonals(blocks: DataFrame) -> DataFrame:
@@ -140,10 +154,10 @@ def _with_diagonals(blocks: DataFrame) -> DataFrame:
 
 
 def _elimination(level: int, damping: float):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        front = Front(pdf, level)
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        front = Front(t, level)
         front.eliminate(damping)
-        return front.rows(key[0], level)
+        return front.rows(key[0].as_py(), level)
 
     return run
 
@@ -156,27 +170,29 @@ def _eliminated(linear: DataFrame, levels: int, fan: int, damping: float, work:
         rows = linear.where(F.col("level") == level).select(*columns)
         for earlier in done:
             rows = rows.unionByName(earlier.where((F.col("kind") == "update") & (F.col("level") == level)).select(*columns))
-        done.append(work.keep(rows.withColumn("front", _front(F.col("i"), level, fan)).groupBy("front").applyInPandas(_elimination(level, damping), _FRONT)))
+        done.append(work.keep(rows.withColumn("front", _front(F.col("i"), level, fan)).groupBy("front").applyInArrow(_elimination(level, damping), _FRONT)))
     return done
 
 
-def _columns(pdf: pd.DataFrame) -> tuple[np.ndarray, dict[int, dict[int, np.ndarray]], dict[int, np.ndarray]]:
+def _columns(t: pa.Table) -> tuple[np.ndarray, dict[int, dict[int, np.ndarray]], dict[int, np.ndarray]]:
     """Inner codes in order, their factor columns {i: {j: block}} and reduced gradients."""
     columns: dict[int, dict[int, np.ndarray]] = {}
-    for i, j, h in zip(pdf["i"].tolist(), pdf["j"].tolist(), pdf[_H].to_numpy().reshape(-1, 6, 6), strict=True):
-        columns.setdefault(i, {})[j] = h
-    own = pdf[pdf["i"] == pdf["j"]]
-    return np.sort(own["i"].to_numpy()), columns, dict(zip(own["i"].tolist(), own[_G].to_numpy(), strict=True))
-
-
-def _substitute(pdf: pd.DataFrame) -> pd.DataFrame:
-    order, columns, g = _columns(pdf)
-    known = pdf[pdf[_S[0]].notna()].drop_duplicates("j")
-    x = dict(zip(known["j"].tolist(), known[_S].to_numpy(), strict=True))
+    i, j = t["i"].to_numpy(), t["j"].to_numpy()
+    for n, k, h in zip(i.tolist(), j.tolist(), _matrix(t, _H).reshape(-1, 6, 6), strict=True):
+        columns.setdefault(n, {})[k] = h
+    own = i == j
+    return np.sort(i[own]), columns, dict(zip(i[own].tolist(), _matrix(t, _G)[own], strict=True))
+
+
+def _substitute(t: pa.Table) -> pa.Table:
+    order, columns, g = _columns(t)
+    steps = _matrix(t, _S)
+    known = np.isfinite(steps[:, 0])
+    x = dict(zip(t["j"].to_numpy()[known].tolist(), steps[known], strict=True))
     for n in order[::-1].tolist():
         rest = -g[n] - sum((block.T @ x[k] for k, block in columns[n].items() if k != n), np.zeros(6))
         x[n] = np.linalg.solve(columns[n][n].T, rest)
-    return pd.DataFrame(np.stack([x[n] for n in order.tolist()]), columns=_S).assign(code=order)[["code", *_S]]
+    return _table([pa.array(order)], ["code"], np.stack([x[n] for n in order.tolist()]), _S)
 
 
 def _steps(done: list[DataFrame], work: Workspace) -> DataFrame:
@@ -188,17 +204,18 @@ def _steps(done: list[DataFrame], work: Workspace) -> DataFrame:
             met = own.select("*", *[F.lit(None).cast("double").alias(s) for s in _S])
         else:
             met = own.join(steps.withColumnRenamed("code", "j"), "j", "left")
-        found = work.keep(met.groupBy("front").applyInPandas(_substitute, _STEP))
+        found = work.keep(met.groupBy("front").applyInArrow(_substitute, _STEP))
         steps = found if steps is None else steps.unionByName(found)
     return steps
 
 
-def _selected(pdf: pd.DataFrame) -> pd.DataFrame:
+def _selected(t: pa.Table) -> pa.Table:
     """Blocks of the inverse at the inner nodes' columns; rows of kind update bring those between the others."""
-    factor = pdf["kind"] == "factor"
-    order, columns, _ = _columns(pdf[factor])
+    factor = pc.equal(t["kind"], "factor")
+    order, columns, _ = _columns(t.filter(factor))
+    between = t.filter(pc.invert(factor))
     inverse: dict[tuple[int, int], np.ndarray] = {}
-    for i, j, h in zip(pdf.loc[~factor, "i"].tolist(), pdf.loc[~factor, "j"].tolist(), pdf.loc[~factor, _H].to_numpy().reshape(-1, 6, 6), strict=True):
+    for i, j, h in zip(between["i"].to_pylist(), between["j"].to_pylist(), _matrix(between, _H).reshape(-1, 6, 6), strict=True):
         inverse[i, j] = h
     get = lambda a, b: inverse[a, b] if a <= b else inverse[b, a].T
     out = []
@@ -210,7 +227,7 @@ def _selected(pdf: pd.DataFrame) -> pd.DataFrame:
         inverse[n, n] = own.T @ own - sum((scaled[k].T @ inverse[n, k].T for k in scaled), np.zeros((6, 6)))
         out += [(n, k) for k in (n, *scaled)]
     blocks = np.stack([inverse[pair] for pair in out]).reshape(-1, 36)
-    return pd.DataFrame(blocks, columns=_H).assign(i=[n for n, _ in out], j=[k for _, k in out])[["i", "j", *_H]]
+    return _table([pa.array([n for n, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], ["i", "j"], blocks, _H)
 
 
 def _inverse(done: list[DataFrame], work: Workspace) -> DataFrame:
@@ -221,7 +238,7 @@ def _inverse(done: list[DataFrame], work: Workspace) -> DataFrame:
         if inverse is not None:
             between = rows.where("kind = 'update'").select("front", "kind", "i", "j", *_G)
             own = own.unionByName(between.join(inverse, ["i", "j"]))
-        found = work.keep(own.groupBy("front").applyInPandas(_selected, _INVERSE))
+        found = work.keep(own.groupBy("front").applyInArrow(_selected, _INVERSE))
         inverse = found if inverse is None else inverse.unionByName(found)
     return inverse
 

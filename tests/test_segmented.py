@@ -1,6 +1,7 @@
 """What is too long for one task, cut into pieces, against the same work in one piece."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marram.operators import factor_math as fm
@@ -143,3 +144,23 @@ def test_outliers_in_pieces_equal_one_pass(spark):
     cols = ["qx", "qy", "qz", "qw"]
     whole = sorted(map(tuple, cleaning.rotation_outliers(turns, ["k"], "o", cols).collect()))
     assert sorted(map(tuple, cleaning.rotation_outliers(turns, ["k"], "o", cols, task_rows=50, piece_rows=16).collect())) == whole
+
+
+def test_a_front_of_arrow_rows_against_a_dense_system():
+    """Four nodes eliminated from repeated blocks, steps substituted, and the selected inverse, all on Arrow tables."""
+    rng, n = np.random.default_rng(6), 4
+    a = rng.normal(size=(6 * n, 6 * n))
+    dense, g = a @ a.T + 6 * np.eye(6 * n), rng.normal(size=(n, 6))
+    part = lambda m, i, j: m[6 * i : 6 * i + 6, 6 * j : 6 * j + 6]
+    pairs = [(i, j) for i in range(n) for j in range(i, n)] * 2
+    values = np.stack([np.concatenate([part(dense, i, j).ravel() / 2, g[i] / 2 * (i == j), np.zeros(6)]) for i, j in pairs])
+    i, j = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+    rows = segmented._elimination(0, 0.0)((pa.scalar(5),), segmented._table([i, j], ["i", "j"], values, segmented._H + segmented._G + segmented._D))
+    assert set(rows["front"].to_pylist()) == {5} and set(rows["kind"].to_pylist()) == {"factor"}
+    none = segmented._table([], [], np.full((len(rows), 6), np.nan), segmented._S)
+    met = pa.table([*rows.columns, *none.columns], names=[*rows.column_names, *none.column_names])
+    steps = segmented._matrix(segmented._substitute(met), segmented._S)
+    assert np.allclose(steps.ravel(), -np.linalg.solve(dense, g.ravel()))
+    found, inverse = segmented._selected(rows), np.linalg.inv(dense)
+    for i, j, h in zip(found["i"].to_pylist(), found["j"].to_pylist(), segmented._matrix(found, segmented._H), strict=True):
+        assert np.allclose(h.reshape(6, 6), part(inverse, i, j))
