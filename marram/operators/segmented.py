@@ -280,23 +280,25 @@ def optimise(factors: DataFrame, nodes: DataFrame, segment: Column | None = None
         return linear, linear.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
 
     linear, cost = system(state)
-    first, damping, rounds = cost, 1e-4, 0
+    first, damping, rounds, last = cost, 1e-4, 0, False
     while rounds < most:
         rounds += 1
         steps = _steps(_eliminated(linear, levels, fan, damping, work), work)
         there = work.keep(_moved(state, steps))
         linear2, cost2 = system(there)
         longest = steps.agg(F.greatest(*[F.max(F.abs(s)) for s in _S])).first()[0]
-        if cost2 <= cost:
+        # A small gain leaves a step of about its root: one more follows, whose gain may be lost in rounding.
+        if cost2 <= cost * (1 + 1e-12 * last):
             gain = cost - cost2
             state, linear, cost, damping = there, linear2, cost2, max(damping / 10, 1e-12)
             work.drop_all_but(placed, factors, state, linear)
-            if gain <= tolerance * max(cost, 1e-12) or longest < 1e-9:
+            if last or longest < 1e-9:
                 break
+            last = gain <= tolerance * max(cost, 1e-12)
         else:
             work.drop_all_but(placed, factors, state, linear)
             damping *= 10
-            if damping > 1e8:
+            if last or damping > 1e8:
                 break
     found = placed.select("id", F.col("code")).join(state.withColumnRenamed("id", "code"), "code")
     if with_marginals:
