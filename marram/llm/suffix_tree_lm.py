@@ -11,8 +11,11 @@ Counts cover the whole training part, and contexts and edges seen LEAST_COUNT ti
 the corpus' size, so the tree grows with it. Lengths up to SHORT, of which there are 256 ** SHORT
 contexts at most, are built on the driver. For the longer ones each task merges its counts and sends
 them, packed as sorted arrays, to the task that builds all contexts with the same last bytes, into a
-table of slots. Texts are scored against as many slots at once as a worker holds, in several passes
-if need be.
+table of slots.
+
+Texts to be scored are packed into blocks. Each block sends its distinct grams to the tasks that hold
+their slots, gets their logs back and adds them up by text, so texts are read once and no task holds
+more than one part of the tree, however large it is.
 """
 
 from __future__ import annotations
@@ -20,33 +23,41 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import crc32_residue, lean, small_batches, stored
+from marram.llm.common import Batches, crc32_residue, discard, last_stored, lean, small_batches, stored, tidy
 
 DEPTH = 7
 #: Contexts and edges of the tree were seen this often at least.
 LEAST_COUNT = 2
 #: Lengths that every worker has in full. Longer contexts with the same SHORT + 1 last bytes lie together.
 SHORT = 2
-#: Slots of the longer contexts, training symbols for each part that one task builds from, and entries of the tree that a pass holds.
+#: Slots of the longer contexts, training symbols for each part that one task builds from, and entries of the tree that a task scores grams against.
 SLOTS, PART_SYMBOLS, PASS_ENTRIES = 4096, 3_000_000, 3_000_000
 #: A context is kept if its divergence (nats) and its log-likelihood ratio reach these.
 LEAST_DIVERGENCE, LEAST_RATIO = 0.005, 20.0
-#: Sums over rows go through this type, so that they are the same in any order.
-EXACT = "decimal(38,12)"
+#: Sums over rows are of whole parts of this size, so that they are the same in any order.
+EXACT = 1e9
+#: Logs travel as whole parts of this size of a nat.
+LOG_UNIT = 1 << 18
 #: Symbols' worth of belief in the suffix' distribution.
 PRIOR = 16.0
 #: Words with this share of all words are looked up in a broadcast table (at most 1 / share); the rest are joined.
 WORD_SHARE = 1e-6
-#: Bytes of text that are counted and that are scored at once, and counts a task holds before it passes them on.
-CHUNK_BYTES, SCORE_BYTES, HELD_GRAMS, HELD_WORDS = 1_500_000, 300_000, 4_000_000, 150_000
+#: Bytes of text that are counted and that are scored at once, and grams and words a task holds before it passes their counts on.
+CHUNK_BYTES, SCORE_BYTES, HELD_GRAMS, HELD_WORDS = 1_500_000, 300_000, 4_000_000, 1_500_000
+#: Symbols whose distinct grams are sent together; a longer text is a block of its own.
+BLOCK_SYMBOLS = 12_000_000
+#: Training symbols whose grams a task counts together.
+PACK_SYMBOLS = 14_000_000
+#: Symbols whose grams are sorted and looked up together.
+PIECE_SYMBOLS, LOOKUP_SYMBOLS = 1 << 21, 1 << 18
 
 END = b"\n"
 _PAD = END * DEPTH
@@ -57,22 +68,45 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def symbols_of(words: list[bytes]) -> bytes:
+    return _PAD + b" ".join(words) + END
+
+
+def keys_of(data: bytes | memoryview | pa.Buffer) -> np.ndarray:
+    """The key (DEPTH context bytes, then the symbol) that starts at each byte."""
+    return np.ndarray((max(0, len(data) - DEPTH),), dtype=">u8", buffer=data, strides=(1,)).astype(np.uint64)
+
+
+def near_first(keys: np.ndarray) -> np.ndarray:
+    """Keys with the context's bytes from the nearest to the farthest, so that sorted ones with the same suffix lie together."""
+    keys = keys.byteswap()
+    return (keys << _U(8)) | (keys >> _U(56))
+
+
+def far_first(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> _U(8)) | (keys << _U(56))).byteswap()
+
+
+def between(lengths: np.ndarray) -> np.ndarray:
+    """Of texts of so many symbols, laid one after the other, the keys that reach from one into the next."""
+    ends = np.cumsum(lengths + DEPTH)[:-1] - DEPTH
+    return (ends[:, None] + np.arange(DEPTH)).ravel()
+
+
 def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (DEPTH context bytes, then the symbol) of every position of the texts, and the number of positions of each."""
-    joined = [b" ".join(w) for w in texts]
-    lengths = np.array([len(j) + 1 for j in joined], dtype=np.int64)
-    data = np.frombuffer(b"".join(x for j in joined for x in (_PAD, j, END)), dtype=np.uint8)
-    keys = np.zeros(max(0, len(data) - DEPTH), dtype=np.uint64)
-    for k in range(DEPTH + 1):
-        keys <<= _U(8)
-        keys |= data[k : k + len(keys)]
-    # keys[i] ends at byte i + DEPTH; of each text, skip the DEPTH positions that pad the next one.
-    starts = np.concatenate(([0], np.cumsum(lengths + DEPTH)[:-1])).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
-    keep = np.ones(len(keys), dtype=bool)
-    for k in range(DEPTH):
-        skip = starts[1:] - DEPTH + k
-        keep[skip] = False
-    return keys[keep], lengths
+    """Keys of every position of the texts, and the number of positions of each."""
+    symbols = [symbols_of(w) for w in texts]
+    lengths = np.array([len(x) - DEPTH for x in symbols], dtype=np.int64)
+    return np.delete(keys_of(b"".join(symbols)), between(lengths)), lengths
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their counts; sorts ``keys``."""
+    keys.sort()
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    return keys[starts], np.diff(starts, append=len(keys))
 
 
 def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,27 +157,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w, g, n): words, with END counting the texts, and grams of SHORT + 1 bytes."""
     schema = pa.schema([("w", pa.binary()), ("g", pa.int64()), ("n", pa.int64())])
 
-    def words_out(words: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], schema=schema)
+    def words_out() -> pa.RecordBatch:
+        found = pa.chunked_array(words, pa.binary()).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values"), pa.nulls(len(found), pa.int64()), found.field("counts")], schema=schema)
 
-    short, words, texts = np.zeros(0, np.uint64), Counter(), 0
+    short, words, texts = np.zeros(0, np.uint64), [], 0
     counts = np.zeros(0, np.int64)
     for batch in batches:
         for _, group in _chunks(batch.column(0), CHUNK_BYTES):
             texts += len(group)
-            for w in group:
-                words.update(w)
-            if len(words) > HELD_WORDS:
-                yield words_out(words)
-                words = Counter()
-            keys, n = np.unique(windows(group)[0] & _U((1 << 8 * (SHORT + 1)) - 1), return_counts=True)
-            short, counts = _merge([(short, counts), (keys, n.astype(np.int64))])
+            words.append(pa.array(chain.from_iterable(group), pa.binary()))
+            if sum(map(len, words)) > HELD_WORDS:
+                yield words_out()
+                words = []
+            keys, n = _distinct((windows(group)[0] & _U((1 << 8 * (SHORT + 1)) - 1)).astype(np.uint32))
+            short, counts = _merge([(short, counts), (keys.astype(np.uint64), n)])
     if words:
-        yield words_out(words)
+        yield words_out()
     if len(short):
         yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.binary()), pa.array(short.view(np.int64)), pa.array(counts)], schema=schema)
     if texts:
-        yield words_out(Counter({END: texts}))
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.nulls(1, pa.int64()), pa.array([texts])], schema=schema)
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -152,6 +186,18 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((last * _U(0x9E3779B97F4A7C15)) >> _U(20)) % _U(parts)).astype(np.uint32)
 
 
+def flat(values: np.ndarray) -> bytes:
+    """Values byte by byte of all, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unflat(data: bytes, n: int, kind: np.dtype | type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=size * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
+
+
 def squeezed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys and their counts, compressed: differences of keys and 32-bit counts, byte by byte of all."""
     planes = [np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T, counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T]
@@ -165,14 +211,14 @@ def unsqueezed(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(parts: int):
-    """(part, n, grams): grams of DEPTH + 1 bytes and how often a task saw them, squeezed."""
+    """(part, n, grams): grams of DEPTH + 1 bytes, the nearest first, and how often a task saw them, squeezed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held()
+        room, size = np.empty(PACK_SYMBOLS, np.uint64), 0  # what is not filled takes no memory
 
-        def out() -> pa.RecordBatch:
-            keys, counts = held.take()
-            part = _part(keys, parts)
+        def out(all_keys: np.ndarray) -> pa.RecordBatch:
+            keys, counts = _distinct(all_keys)
+            part = _part(far_first(keys), parts)
             order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
             part, keys, counts = part[order], keys[order], counts[order]
             edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -182,11 +228,17 @@ def _pack(parts: int):
 
         for batch in batches:
             for _, group in _chunks(batch.column(0), CHUNK_BYTES):
-                keys, counts = np.unique(windows(group)[0], return_counts=True)
-                if len(keys) and held.add(keys, counts.astype(np.int64)):
-                    yield out()
-        if held.size:
-            yield out()
+                keys = near_first(windows(group)[0])
+                if size + len(keys) > len(room) and size:
+                    yield out(room[:size])
+                    size = 0
+                if len(keys) > len(room):
+                    yield out(keys)
+                    continue
+                room[size : size + len(keys)] = keys
+                size += len(keys)
+        if size:
+            yield out(room[:size])
 
     return run
 
@@ -202,10 +254,9 @@ class Table:
         at = self.slot(keys)
         while len(left):
             free = self.keys[at] == np.iinfo(np.uint64).max
-            slots, first = np.unique(at[free], return_index=True)
-            won = left[free][first]
-            self.keys[slots], self.values[slots] = keys[won], values[won]
+            self.keys[at[free]] = keys[left[free]]  # of several, the last stays
             rest = self.keys[at] != keys[left]
+            self.values[at[~rest]] = values[left[~rest]]
             left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
@@ -319,6 +370,209 @@ def _entries(built: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENTRY, strict=True)], schema=_ENTRY)
 
 
+def _looked_up(known: Broadcast, n: int) -> Batches:
+    """The first n columns of each row with word scores; after them, the symbols of up to BLOCK_SYMBOLS together as a row."""
+    word_scores = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("rest", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))]
+    of_block = [("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
+        symbols: list[bytes] = []
+        ids: list[int] = []
+        size = 0
+
+        def block(fields: list[pa.Field]) -> pa.RecordBatch:
+            data = b"".join(symbols)
+            row = [ids[0], len(data), pa.compress(data, codec="zstd", asbytes=True), list(ids), [len(x) - DEPTH for x in symbols]]
+            symbols.clear()
+            ids.clear()
+            none = [pa.nulls(1, f.type) for f in fields] + [pa.nulls(1, t) for _, t in word_scores]
+            return pa.RecordBatch.from_arrays([*none, *[pa.array([x], t) for x, (_, t) in zip(row, of_block, strict=True)]], names=names)
+
+        for batch in batches:
+            fields = list(batch.schema)[:n]
+            names = [f.name for f in fields] + [a for a, _ in word_scores + of_block]
+            for first, group in _chunks(batch.column(n), SCORE_BYTES):
+                base, hits, rest, times = [], [], [], []
+                for words in group:
+                    v = np.fromiter(map(get, [*words, END], repeat(-1.0)), dtype=np.float64, count=len(words) + 1)
+                    out = np.flatnonzero(v < 0)
+                    hits.append(len(v) - len(out))
+                    base.append(float(v.sum() + len(out)))
+                    others = Counter(words[i] if i < len(words) else END for i in out)
+                    rest.append(list(others))
+                    times.append(list(others.values()))
+                    symbols.append(symbols_of(words))
+                    size += len(symbols[-1])
+                own = batch.slice(first, len(group)).columns[:n]
+                ids += own[-1].to_pylist()
+                columns = [pa.array(c, t) for c, (_, t) in zip([[len(w) + 1 for w in group], hits, base, rest, times], word_scores, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *columns, *[pa.nulls(len(group), t) for _, t in of_block]], names=names)
+                if size >= BLOCK_SYMBOLS:
+                    yield block(fields)
+                    size = 0
+        if size:
+            yield block(fields)
+
+    return run
+
+
+#: What is sent to a part of the tree: its own entries, without a block, and the distinct grams of blocks.
+_SENT = "part int, block long, n long, data binary"
+_PACKED = np.dtype([("length", "u1"), ("edge", "u1"), ("k", "<u8"), ("v", "<f4")])
+
+
+def _by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by part, in which equal ones stay as they are, and (part, start, end) in it."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    return order, list(zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True))
+
+
+def _sent(rows: list[tuple[int, int | None, int, bytes]]) -> pa.RecordBatch:
+    kinds = [("part", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[name for name, _ in kinds])
+
+
+def _sent_entries(parts: np.ndarray) -> Batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            entries = np.empty(len(t), _PACKED)
+            for name in _PACKED.names:
+                entries[name] = t.column(name).to_numpy()
+            order, spans = _by_part(parts[t.column("slot").to_numpy()])
+            entries = entries[order]
+            return _sent([(part, None, y - x, flat(entries[x:y])) for part, x, y in spans])
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= HELD_GRAMS // 4:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return run
+
+
+def _grams_of(data: memoryview, lengths: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """A block's distinct grams, the nearest byte first, and their order by part with its spans."""
+    pieces, at, size = [], 0, len(data) - DEPTH
+    skip = between(lengths)  # the keys there are no grams of a text, so any that is one
+    some = near_first(keys_of(data[: DEPTH + 1]))[0]
+    while at < size:
+        end = min(at + PIECE_SYMBOLS, size)
+        keys = near_first(keys_of(data[at : end + DEPTH]))
+        keys[skip[np.searchsorted(skip, at) : np.searchsorted(skip, end)] - at] = some
+        pieces.append(_distinct(keys)[0])
+        at = end
+    grams = _distinct(np.concatenate(pieces))[0] if len(pieces) > 1 else pieces[0]
+    return grams, *_by_part(parts[_slot(far_first(grams) >> _U(8))])
+
+
+def _sent_grams(parts: np.ndarray) -> Batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, n, data, lengths in zip(*(batch.column(c) for c in ("block", "n", "data", "lengths")), strict=True):
+                grams, order, spans = _grams_of(memoryview(pa.decompress(data.as_buffer(), n.as_py(), codec="zstd")), lengths.values.to_numpy(), parts)
+                grams = grams[order]
+                for at in range(0, len(spans), 64):
+                    yield _sent([(part, block.as_py(), y - x, flat(np.diff(grams[x:y], prepend=_U(0)))) for part, x, y in spans[at : at + 64]])
+
+    return run
+
+
+def _answered(short: Broadcast) -> Batches:
+    """Logs of the grams sent to each part, in the order in which they came. A part's entries come before its grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries: list[np.ndarray] = []
+        asked: list[tuple[int, np.ndarray]] = []
+        own, tree, size = None, None, 0
+
+        def out() -> pa.RecordBatch:
+            grams = _distinct(np.concatenate([g for _, g in asked]))[0]
+            logs = np.rint(tree.log_p(far_first(grams)) * LOG_UNIT).astype(np.int32)
+            return _sent([(own, block, len(g), flat(logs[np.searchsorted(grams, g)])) for block, g in asked]).select(["block", "part", "n", "data"])
+
+        for batch in batches:
+            for part, block, n, data in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "n", "data")), strict=True):
+                if part != own:
+                    if asked:
+                        yield out()
+                    own, tree, entries, asked, size = part, None, [], [], 0
+                if block is None:
+                    entries.append(unflat(data, n, _PACKED))
+                    continue
+                if tree is None:
+                    tree = _grown(short.value, np.concatenate([np.empty(0, _PACKED), *entries]))
+                    entries = []
+                asked.append((block, np.cumsum(unflat(data, n, np.uint64), dtype=np.uint64)))
+                size += n
+                if size >= HELD_GRAMS // 2:
+                    yield out()
+                    asked, size = [], 0
+        if asked:
+            yield out()
+
+    return run
+
+
+def _grown(short: SuffixTree, entries: np.ndarray) -> SuffixTree:
+    """``short`` with the longer contexts of these entries."""
+    tree = SuffixTree(short.root, list(short.edges), list(short.states))
+    for at in range(SHORT + 1, DEPTH + 1):
+        for tables, kind in ((tree.edges, 1), (tree.states, 0)):
+            own = entries[(entries["length"] == at) & (entries["edge"] == kind)]
+            tables.append(Table(own["k"].copy(), own["v"].copy()))
+    return tree
+
+
+def _added_up(parts: np.ndarray) -> Batches:
+    """(row_id, score) of a block's texts. A block's logs come before its symbols, by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for part, n, packed, ids, lengths in zip(*(batch.column(c) for c in ("part", "n", "data", "ids", "lengths")), strict=True):
+                if part.is_valid:
+                    held.append(unflat(packed.as_buffer(), n.as_py(), np.int32))
+                    continue
+                data, lengths = memoryview(pa.decompress(packed.as_buffer(), n.as_py(), codec="zstd")), lengths.values.to_numpy()
+                grams, order, _ = _grams_of(data, lengths, parts)
+                logs = np.empty(len(grams), dtype=np.int32)
+                logs[order] = np.concatenate(held)
+                held = []
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(_sums(data, lengths, grams, logs) / (LOG_UNIT * np.log(10)))], names=["row_id", "score"])
+
+    return run
+
+
+def _sums(data: memoryview, lengths: np.ndarray, grams: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """For each text of a block the sum of the logs of its grams."""
+    sums = np.empty(len(lengths), dtype=np.int64)
+    starts = np.r_[0, np.cumsum(lengths + DEPTH)]
+    first = 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + LOOKUP_SYMBOLS, "right")) - 1)
+        keys = near_first(keys_of(data[starts[first] : starts[last]]))
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        found = logs[np.minimum(np.searchsorted(grams, keys[new]), len(grams) - 1)]
+        of = np.zeros(len(keys) + 1, dtype=np.int64)
+        of[order] = found[np.cumsum(new) - 1]
+        at = starts[first:last] - starts[first]
+        sums[first:last] = np.add.reduceat(of, np.c_[at, at + lengths[first:last]].ravel())[::2]
+        first = last
+    return sums
+
+
 def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     t = df.toArrow()
     keys, counts = t.column(0).to_numpy().astype(np.int64).view(np.uint64), t.column(1).to_numpy()
@@ -365,20 +619,22 @@ class Model:
                     if p != part:
                         yield from built()
                         part = p
-                    held.add(*unsqueezed(grams.as_py(), n))
+                    keys, counts = unsqueezed(grams.as_py(), n)
+                    held.add(far_first(keys), counts)
             yield from built()
 
-        parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SYMBOLS))
+        parts = self.parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SYMBOLS))
         packed = texts.mapInArrow(lean(_pack(parts)), "part int, n int, grams binary").repartition(parts, "part").sortWithinPartitions("part")
         table = stored(packed.mapInArrow(lean(run), "length int, edge boolean, slot int, k long, v float"))
         return short, table, {r["slot"]: r["count"] for r in table.groupBy("slot").count().collect()}
 
     def passes(self) -> list[list[int]]:
-        """Slots that are scored together, of PASS_ENTRIES entries in all, or one slot."""
+        """Slots that a task scores grams against, of PASS_ENTRIES entries in all and fewer for a larger corpus, or one slot."""
+        most = min(PASS_ENTRIES, -(-sum(self.slots.values()) // self.parts))
         out, size = [[]], 0
         for slot in range(SLOTS):
             own = self.slots.get(slot, 0)
-            if out[-1] and size + own > PASS_ENTRIES:
+            if out[-1] and size + own > most:
                 out.append([])
                 size = 0
             out[-1].append(slot)
@@ -403,70 +659,27 @@ class Model:
     def score(self, docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
         """carry columns with n_tokens, n_known, train_tokens, base_score, score for every row."""
         unit = -np.log10(self.tokens + self.types + 1)
-        known = {w: float(np.log10(n + 1)) for w, n in self.frequent.items()}
-        context = docs.sparkSession.sparkContext
-        words_shared = context.broadcast(known)
-        n = len(carry) + 1
-        added = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.binary()))]
-        passes = self.passes()
-
-        def log_sums(tree: SuffixTree, slots: list[int], group: list[list[bytes]]) -> np.ndarray:
-            """For each text the sum over the positions whose contexts are in these slots."""
-            keys, lengths = windows(group)
-            if len(slots) == SLOTS:
-                logs = tree.log_p(keys)
-            else:
-                slot = _slot(keys >> _U(8))
-                own = np.flatnonzero((slot >= slots[0]) & (slot <= slots[-1]))
-                logs = np.zeros(len(keys))
-                logs[own] = tree.log_p(keys[own])
-            return np.add.reduceat(logs, np.concatenate(([0], np.cumsum(lengths)[:-1]))) / np.log(10)
-
-        def first_pass(shared, slots: list[int]):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                get, tree = words_shared.value.get, shared.value
-                for batch in batches:
-                    for first, group in _chunks(batch.column(n), SCORE_BYTES):
-                        logs = log_sums(tree, slots, group)
-                        base, hits, rest = [], [], []
-                        for words in group:
-                            v = np.fromiter(map(get, [*words, END], repeat(-1.0)), dtype=np.float64, count=len(words) + 1)
-                            out = np.flatnonzero(v < 0)
-                            hits.append(len(v) - len(out))
-                            base.append(float(v.sum() + len(out)))
-                            rest.append([words[i] if i < len(words) else END for i in out])
-                        columns = [[len(w) + 1 for w in group], hits, base, logs, rest]
-                        yield pa.RecordBatch.from_arrays([*batch.slice(first, len(group)).columns[:n], *[pa.array(c, t) for c, (_, t) in zip(columns, added, strict=True)]], names=[*carry, "row_id", *[a for a, _ in added]])
-
-            return run
-
-        def later_pass(shared, slots: list[int]):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                tree = shared.value
-                for batch in batches:
-                    for first, group in _chunks(batch.column(1), SCORE_BYTES):
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(group)), pa.array(log_sums(tree, slots, group))], names=["row_id", "score"])
-
-            return run
-
+        spark = docs.sparkSession
+        tidy(spark)
+        known = spark.sparkContext.broadcast({w: float(np.log10(n + 1)) for w, n in self.frequent.items()})
         rows = docs.select(*carry, F.monotonically_increasing_id().alias("row_id"), F.col(text_col).cast("string").alias("__text"))
-        if len(passes) > 1:
-            rows = stored(rows)  # every pass reads the same row ids
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
-        scored, later = None, []
-        for slots in passes:
-            shared = context.broadcast(self.tree_of(slots))
-            if scored is None:
-                scored = stored(small_batches(rows).mapInArrow(lean(first_pass(shared, slots)), f"{fields}, n_tokens long, n_known long, base double, score double, rest array<binary>"))
-            else:
-                later.append(stored(small_batches(rows.select("row_id", "__text")).mapInArrow(lean(later_pass(shared, slots)), "row_id long, score double")))
-            shared.destroy()
-        if later:
-            more = reduce(DataFrame.unionByName, later).groupBy("row_id").agg(F.sum(F.col("score").cast(EXACT)).cast("double").alias("later"))
-            scored = scored.join(more, "row_id").withColumn("score", F.col("score") + F.col("later")).drop("later")
-        rare = scored.select("row_id", F.explode("rest").alias("w")).groupBy("row_id", "w").agg(F.count(F.lit(1)).alias("k"))
-        met = rare.join(self.others, "w").groupBy("row_id").agg(F.sum("k").alias("more"), F.sum((F.col("k") * F.log10(F.col("n") + 1)).cast(EXACT)).cast("double").alias("add"))
-        return scored.join(met, "row_id", "left").select(
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+        both = stored(small_batches(rows).mapInArrow(lean(_looked_up(known, len(carry) + 1)), f"{fields}, n_tokens long, n_known long, base double, rest array<binary>, times array<long>, block long, n long, data binary, ids array<long>, lengths array<long>"))
+        known.destroy()
+        scored, blocks = both.where("block IS NULL"), both.where("block IS NOT NULL")
+        logs = self._logs(blocks)
+        done = last_stored()
+        tidy(spark)  # the grams have been delivered
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * blocks.count())
+        met = logs.withColumns({"ids": F.lit(None).cast("array<long>"), "lengths": F.lit(None).cast("array<long>")})
+        met = met.unionByName(blocks.select("block", F.lit(None).cast("int").alias("part"), "n", "data", "ids", "lengths"))
+        met = met.repartition(n, "block").sortWithinPartitions("block", F.col("part").asc_nulls_last())
+        sums = stored(met.select("block", "part", "n", "data", "ids", "lengths").mapInArrow(lean(_added_up(self._parts())), "row_id long, score double"))
+        discard(spark, [done])
+        rare = scored.select("row_id", F.inline(F.arrays_zip("rest", "times"))).toDF("row_id", "w", "k")
+        worth = self.others.select("w", F.round(F.log10(F.col("n") + 1) * EXACT).cast("long").alias("worth"))
+        more = rare.join(worth, "w").groupBy("row_id").agg(F.sum("k").alias("more"), (F.sum(F.col("k") * F.col("worth")) / EXACT).alias("add"))
+        return scored.drop("rest", "times", "block", "n", "data", "ids", "lengths").join(sums, "row_id").join(more, "row_id", "left").select(
             *carry,
             "n_tokens",
             (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
@@ -475,6 +688,21 @@ class Model:
             "score",
         )
 
+    def _parts(self) -> np.ndarray:
+        """The part of the tree in which each slot is."""
+        return np.repeat(np.arange(len(parts := self.passes())), [len(p) for p in parts]).astype(np.uint16)
+
+    def _logs(self, blocks: DataFrame) -> DataFrame:
+        """(block, part, n, data): logs of a block's distinct grams in order, those of each part of the tree apart."""
+        parts = self._parts()
+        entries = self.table.mapInArrow(lean(_sent_entries(parts)), _SENT)
+        grams = small_batches(blocks.select("block", "n", "data", "lengths")).mapInArrow(lean(_sent_grams(parts)), _SENT)
+        sent = entries.unionByName(grams).repartition(int(parts[-1]) + 1, "part").sortWithinPartitions("part", F.col("block").asc_nulls_first())
+        shared = blocks.sparkSession.sparkContext.broadcast(self.short)
+        out = stored(sent.mapInArrow(lean(_answered(shared)), "block long, part int, n long, data binary"))
+        shared.destroy()
+        return out
+
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.

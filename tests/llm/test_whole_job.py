@@ -46,3 +46,43 @@ def test_url_lexicon_keeps_rare_words_of_hosts(spark):
     parts = pages.select(F.explode(F.split("host", r"\.")).alias("part"))
     split = {r["part"]: r["words"] for r in url_filter.segmented(parts, *url_filter.word_counts(pages, "html")).collect()}
     assert split["cheappills" + long] == ["cheap", "pills", long] and split["x"] == ["x"]
+
+
+def test_lm_reads_texts_once_however_large_the_tree(spark, small_dir, monkeypatch):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").where("n_chars < 3000").limit(100).select("doc_id", "text")
+    docs = spark.createDataFrame([*docs.collect(), (-1, None), (-2, "é "), (-3, "Never-seen never-seen")], docs.schema)
+    model = suffix_tree_lm.Model(docs.where("doc_id > 0"), word_share=0.01)
+    assert len(model.frequent) < model.types
+    texts = {r["doc_id"]: suffix_tree_lm.words_of(r["text"]) for r in docs.collect()}
+    counts = {r["w"]: r["n"] for r in model.words.collect()}
+    monkeypatch.setattr(suffix_tree_lm, "PASS_ENTRIES", sum(model.slots.values()) // 20)
+    assert len(model.passes()) > 10
+    stored_tables = []
+    monkeypatch.setattr(suffix_tree_lm, "stored", lambda df, keep=suffix_tree_lm.stored: stored_tables.append(df) or keep(df))
+    rows = model.score(docs, ["doc_id"]).collect()
+    assert len(stored_tables) == 3 and len(rows) == len(texts)  # texts as blocks, logs of their grams, scores: no more with more parts
+    whole = model.tree
+    for r in rows:
+        words = texts[r["doc_id"]]
+        keys, _ = suffix_tree_lm.windows([words])
+        assert abs(r["score"] - whole.log_p(keys).sum() / np.log(10)) < 2e-6 * len(keys)
+        known = [counts.get(w, 0) for w in [*words, b"\n"]]
+        assert (r["n_tokens"], r["n_known"]) == (len(known), sum(n > 0 for n in known))
+        assert abs(r["base_score"] - sum(np.log10((n + 1) / (model.tokens + model.types + 1)) for n in known)) < 1e-6
+
+
+def test_lm_blocks_of_one_text_give_the_same_scores(spark, monkeypatch):
+    texts = ["a rose is a rose", "", "is a rose", "x" * 300, "the end"] * 5
+    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    data = b"".join(suffix_tree_lm.symbols_of(suffix_tree_lm.words_of(t)) for t in texts)
+    parts = (np.arange(suffix_tree_lm.SLOTS) % 7).astype(np.uint16)
+    grams, order, spans = suffix_tree_lm._grams_of(memoryview(data), lengths, parts)
+    keys, counted = suffix_tree_lm.windows([suffix_tree_lm.words_of(t) for t in texts])
+    assert (counted == lengths).all() and set(suffix_tree_lm.far_first(grams).tolist()) == set(keys.tolist())
+    assert sorted(order.tolist()) == list(range(len(grams))) and spans[-1][2] == len(grams)
+    logs = np.arange(len(grams), dtype=np.int32)
+    sums = suffix_tree_lm._sums(memoryview(data), lengths, grams, logs)
+    monkeypatch.setattr(suffix_tree_lm, "PIECE_SYMBOLS", 10)
+    monkeypatch.setattr(suffix_tree_lm, "LOOKUP_SYMBOLS", 10)
+    again = suffix_tree_lm._grams_of(memoryview(data), lengths, parts)
+    assert (again[0] == grams).all() and (suffix_tree_lm._sums(memoryview(data), lengths, grams, logs) == sums).all()
