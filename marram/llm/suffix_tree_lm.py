@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import Batches, crc32_residue, discard, last_stored, lean, small_batches, stored, tidy
+from marram.llm.common import Batches, crc32_residue, lean, small_batches, stored, tidy
 
 DEPTH = 7
 #: Contexts and edges of the tree were seen this often at least.
@@ -668,14 +668,12 @@ class Model:
         known.destroy()
         scored, blocks = both.where("block IS NULL"), both.where("block IS NOT NULL")
         logs = self._logs(blocks)
-        done = last_stored()
-        tidy(spark)  # the grams have been delivered
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * blocks.count())
         met = logs.withColumns({"ids": F.lit(None).cast("array<long>"), "lengths": F.lit(None).cast("array<long>")})
         met = met.unionByName(blocks.select("block", F.lit(None).cast("int").alias("part"), "n", "data", "ids", "lengths"))
         met = met.repartition(n, "block").sortWithinPartitions("block", F.col("part").asc_nulls_last())
         sums = stored(met.select("block", "part", "n", "data", "ids", "lengths").mapInArrow(lean(_added_up(self._parts())), "row_id long, score double"))
-        discard(spark, [done])
+        tidy(spark)  # the grams and logs have been delivered
         rare = scored.select("row_id", F.inline(F.arrays_zip("rest", "times"))).toDF("row_id", "w", "k")
         worth = self.others.select("w", F.round(F.log10(F.col("n") + 1) * EXACT).cast("long").alias("worth"))
         more = rare.join(worth, "w").groupBy("row_id").agg(F.sum("k").alias("more"), (F.sum(F.col("k") * F.col("worth")) / EXACT).alias("add"))
@@ -699,9 +697,7 @@ class Model:
         grams = small_batches(blocks.select("block", "n", "data", "lengths")).mapInArrow(lean(_sent_grams(parts)), _SENT)
         sent = entries.unionByName(grams).repartition(int(parts[-1]) + 1, "part").sortWithinPartitions("part", F.col("block").asc_nulls_first())
         shared = blocks.sparkSession.sparkContext.broadcast(self.short)
-        out = stored(sent.mapInArrow(lean(_answered(shared)), "block long, part int, n long, data binary"))
-        shared.destroy()
-        return out
+        return sent.mapInArrow(lean(_answered(shared)), "block long, part int, n long, data binary")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def test_lm_reads_texts_once_however_large_the_tree(spark, small_dir, monkeypatc
     stored_tables = []
     monkeypatch.setattr(suffix_tree_lm, "stored", lambda df, keep=suffix_tree_lm.stored: stored_tables.append(df) or keep(df))
     rows = model.score(docs, ["doc_id"]).collect()
-    assert len(stored_tables) == 3 and len(rows) == len(texts)  # texts as blocks, logs of their grams, scores: no more with more parts
+    assert len(stored_tables) == 2 and len(rows) == len(texts)  # texts as blocks, scores: no more with more parts
     whole = model.tree
     for r in rows:
         words = texts[r["doc_id"]]
