@@ -20,13 +20,13 @@ more than one part of the tree, however large it is.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,13 +51,15 @@ PRIOR = 16.0
 #: Words with this share of all words are looked up in a broadcast table (at most 1 / share); the rest are joined.
 WORD_SHARE = 1e-6
 #: Bytes of text that are counted and that are scored at once, and grams and words a task holds before it passes their counts on.
-CHUNK_BYTES, SCORE_BYTES, HELD_GRAMS, HELD_WORDS = 1_500_000, 300_000, 4_000_000, 1_500_000
+CHUNK_BYTES, SCORE_BYTES, HELD_GRAMS, HELD_WORDS = 1_500_000, 1_500_000, 4_000_000, 1_500_000
 #: Symbols whose distinct grams are sent together; a longer text is a block of its own.
 BLOCK_SYMBOLS = 12_000_000
 #: Training symbols whose grams a task counts together.
 PACK_SYMBOLS = 14_000_000
-#: Symbols whose grams are sorted and looked up together.
-PIECE_SYMBOLS, LOOKUP_SYMBOLS = 1 << 21, 1 << 18
+#: Symbols whose grams are sorted and looked up together, and that other steps pass through at a time, in little memory.
+PIECE_SYMBOLS, LOOKUP_SYMBOLS, FEW_SYMBOLS = 1 << 21, 1 << 21, 1 << 18
+#: Turns in which blocks get their logs, so that those of a part of them are on disk at a time, and blocks from which on there is more than one.
+ROUNDS, ROUND_BLOCKS = 3, 12
 
 END = b"\n"
 _PAD = END * DEPTH
@@ -77,6 +79,11 @@ def keys_of(data: bytes | memoryview | pa.Buffer) -> np.ndarray:
     return np.ndarray((max(0, len(data) - DEPTH),), dtype=">u8", buffer=data, strides=(1,)).astype(np.uint64)
 
 
+def raw_of(data: bytes | memoryview | pa.Buffer) -> np.ndarray:
+    """The bytes of the key that starts at each byte, as they lie: the symbol in the highest, then the context from near to far."""
+    return np.ndarray((max(0, len(data) - DEPTH),), dtype="<u8", buffer=data, strides=(1,)).astype(np.uint64)
+
+
 def near_first(keys: np.ndarray) -> np.ndarray:
     """Keys with the context's bytes from the nearest to the farthest, so that sorted ones with the same suffix lie together."""
     keys = keys.byteswap()
@@ -180,6 +187,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.nulls(1, pa.int64()), pa.array([texts])], schema=schema)
 
 
+def _each(keys: np.ndarray, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``of`` says of sorted keys, the nearest first, which depends on their SHORT + 1 last bytes of context: such keys lie together."""
+    last = keys >> _U(64 - 8 * (SHORT + 1))
+    starts = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
+    return np.repeat(of(keys[starts]), np.diff(starts, append=len(keys)))
+
+
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     """The part that builds a gram's contexts, by their last SHORT + 1 bytes."""
     last = (keys >> _U(8)) & _U((1 << 8 * (SHORT + 1)) - 1)
@@ -218,7 +232,7 @@ def _pack(parts: int):
 
         def out(all_keys: np.ndarray) -> pa.RecordBatch:
             keys, counts = _distinct(all_keys)
-            part = _part(far_first(keys), parts)
+            part = _each(keys, lambda some: _part(far_first(some), parts))
             order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
             part, keys, counts = part[order], keys[order], counts[order]
             edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -357,17 +371,31 @@ def _slot(contexts: np.ndarray) -> np.ndarray:
     return (((last * _U(0x9E3779B1)) >> _U(16)) % _U(SLOTS)).astype(np.int32)
 
 
-_ENTRY = pa.schema([("length", pa.int32()), ("edge", pa.bool_()), ("slot", pa.int32()), ("k", pa.int64()), ("v", pa.float32())])
+_PACKED = np.dtype([("length", "u1"), ("edge", "u1"), ("k", "<u8"), ("v", "<f4")])
 
 
 def _entries(built: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """(slot, n, data): the kept edges and states of each slot, packed."""
+    slots, found = [], []
     for length, (e_keys, logs, of, c_keys, gamma, keep) in enumerate(built, SHORT + 1):
-        for edge, keys, values in ((True, e_keys[keep[of]], logs[keep[of]]), (False, c_keys[keep], gamma[keep])):
-            slots = _slot(keys >> _U(8) if edge else keys)
-            for at in range(0, len(keys), 200_000):
-                k = keys[at : at + 200_000]
-                columns = [np.full(len(k), length), np.full(len(k), edge), slots[at : at + 200_000], k.view(np.int64), values[at : at + 200_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENTRY, strict=True)], schema=_ENTRY)
+        for edge, keys, values in ((1, e_keys[keep[of]], logs[keep[of]]), (0, c_keys[keep], gamma[keep])):
+            own = np.empty(len(keys), _PACKED)
+            own["length"], own["edge"], own["k"], own["v"] = length, edge, keys, values
+            slots.append(_slot(keys >> _U(8) if edge else keys))
+            found.append(own)
+    order, spans = _by_part(np.concatenate(slots).astype(np.uint16))
+    entries = np.concatenate(found)[order]
+    for at in range(0, len(spans), 64):
+        rows = [(slot, y - x, flat(entries[x:y])) for slot, x, y in spans[at : at + 64]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slot", "n", "data"])
+
+
+def _by_text(of: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Texts in order, their distinct words, and how often each text has each."""
+    found = words.dictionary_encode()
+    kinds = max(1, len(found.dictionary))
+    both, counts = _distinct(of.astype(np.uint64) * _U(kinds) + found.indices.to_numpy().astype(np.uint64))
+    return (both // _U(kinds)).astype(np.int64), found.dictionary.take(pa.array((both % _U(kinds)).astype(np.int64))), pa.array(counts)
 
 
 def _looked_up(known: Broadcast, n: int) -> Batches:
@@ -376,14 +404,14 @@ def _looked_up(known: Broadcast, n: int) -> Batches:
     of_block = [("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+        words_known, worth = known.value
         symbols: list[bytes] = []
         ids: list[int] = []
         size = 0
 
         def block(fields: list[pa.Field]) -> pa.RecordBatch:
             data = b"".join(symbols)
-            row = [ids[0], len(data), pa.compress(data, codec="zstd", asbytes=True), list(ids), [len(x) - DEPTH for x in symbols]]
+            row = [ids[0], len(data), pa.Codec("zstd", compression_level=3).compress(data, asbytes=True), list(ids), [len(x) - DEPTH for x in symbols]]
             symbols.clear()
             ids.clear()
             none = [pa.nulls(1, f.type) for f in fields] + [pa.nulls(1, t) for _, t in word_scores]
@@ -393,20 +421,21 @@ def _looked_up(known: Broadcast, n: int) -> Batches:
             fields = list(batch.schema)[:n]
             names = [f.name for f in fields] + [a for a, _ in word_scores + of_block]
             for first, group in _chunks(batch.column(n), SCORE_BYTES):
-                base, hits, rest, times = [], [], [], []
+                lengths = np.array([len(words) + 1 for words in group])
+                ends = np.r_[0, np.cumsum(lengths)[:-1]]
+                flat_words = pa.array(chain.from_iterable([*words, END] for words in group), pa.binary())
+                at = pc.index_in(flat_words, value_set=words_known)
+                out = at.is_null().to_numpy(zero_copy_only=False)
+                base = np.add.reduceat(np.where(out, 0.0, worth[at.fill_null(0).to_numpy()]), ends)
+                hits = lengths - np.add.reduceat(out, ends, dtype=np.int64)
+                of, rest, times = _by_text(np.repeat(np.arange(len(group)), lengths - hits), flat_words.filter(at.is_null()))
+                offsets = pa.array(np.searchsorted(of, np.arange(len(group) + 1)), pa.int32())
                 for words in group:
-                    v = np.fromiter(map(get, [*words, END], repeat(-1.0)), dtype=np.float64, count=len(words) + 1)
-                    out = np.flatnonzero(v < 0)
-                    hits.append(len(v) - len(out))
-                    base.append(float(v.sum() + len(out)))
-                    others = Counter(words[i] if i < len(words) else END for i in out)
-                    rest.append(list(others))
-                    times.append(list(others.values()))
                     symbols.append(symbols_of(words))
                     size += len(symbols[-1])
                 own = batch.slice(first, len(group)).columns[:n]
                 ids += own[-1].to_pylist()
-                columns = [pa.array(c, t) for c, (_, t) in zip([[len(w) + 1 for w in group], hits, base, rest, times], word_scores, strict=True)]
+                columns = [pa.array(lengths), pa.array(hits), pa.array(base), *(pa.ListArray.from_arrays(offsets, x) for x in (rest, times))]
                 yield pa.RecordBatch.from_arrays([*own, *columns, *[pa.nulls(len(group), t) for _, t in of_block]], names=names)
                 if size >= BLOCK_SYMBOLS:
                     yield block(fields)
@@ -419,7 +448,6 @@ def _looked_up(known: Broadcast, n: int) -> Batches:
 
 #: What is sent to a part of the tree: its own entries, without a block, and the distinct grams of blocks.
 _SENT = "part int, block long, n long, data binary"
-_PACKED = np.dtype([("length", "u1"), ("edge", "u1"), ("k", "<u8"), ("v", "<f4")])
 
 
 def _by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -437,25 +465,9 @@ def _sent(rows: list[tuple[int, int | None, int, bytes]]) -> pa.RecordBatch:
 
 def _sent_entries(parts: np.ndarray) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            entries = np.empty(len(t), _PACKED)
-            for name in _PACKED.names:
-                entries[name] = t.column(name).to_numpy()
-            order, spans = _by_part(parts[t.column("slot").to_numpy()])
-            entries = entries[order]
-            return _sent([(part, None, y - x, flat(entries[x:y])) for part, x, y in spans])
-
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size >= HELD_GRAMS // 4:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
+            part = pa.array(parts[batch.column(0).to_numpy()].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(batch), pa.int64()), *batch.columns[1:]], names=["part", "block", "n", "data"])
 
     return run
 
@@ -464,15 +476,28 @@ def _grams_of(data: memoryview, lengths: np.ndarray, parts: np.ndarray) -> tuple
     """A block's distinct grams, the nearest byte first, and their order by part with its spans."""
     pieces, at, size = [], 0, len(data) - DEPTH
     skip = between(lengths)  # the keys there are no grams of a text, so any that is one
-    some = near_first(keys_of(data[: DEPTH + 1]))[0]
     while at < size:
         end = min(at + PIECE_SYMBOLS, size)
-        keys = near_first(keys_of(data[at : end + DEPTH]))
-        keys[skip[np.searchsorted(skip, at) : np.searchsorted(skip, end)] - at] = some
-        pieces.append(_distinct(keys)[0])
+        keys = np.empty(end - at, np.uint64)
+        for a in range(at, end, FEW_SYMBOLS):
+            b = min(a + FEW_SYMBOLS, end)
+            keys[a - at : b - at] = _turned(raw_of(data[a : b + DEPTH]))
+        keys[skip[np.searchsorted(skip, at) : np.searchsorted(skip, end)] - at] = _turned(raw_of(data[: DEPTH + 1]))
+        pieces.append(_unique(keys))
         at = end
-    grams = _distinct(np.concatenate(pieces))[0] if len(pieces) > 1 else pieces[0]
-    return grams, *_by_part(parts[_slot(far_first(grams) >> _U(8))])
+    grams = _unique(np.concatenate(pieces)) if len(pieces) > 1 else pieces[0]
+    return grams, *_by_part(_each(grams, lambda some: parts[_slot(far_first(some) >> _U(8))]))
+
+
+def _turned(raw: np.ndarray) -> np.ndarray:
+    """As ``near_first``, from ``raw_of``."""
+    return (raw << _U(8)) | (raw >> _U(56))
+
+
+def _unique(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys; sorts ``keys``."""
+    keys.sort()
+    return keys[np.r_[True, keys[1:] != keys[:-1]]]
 
 
 def _sent_grams(parts: np.ndarray) -> Batches:
@@ -548,28 +573,59 @@ def _added_up(parts: np.ndarray) -> Batches:
                 logs = np.empty(len(grams), dtype=np.int32)
                 logs[order] = np.concatenate(held)
                 held = []
+                del order
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(_sums(data, lengths, grams, logs) / (LOG_UNIT * np.log(10)))], names=["row_id", "score"])
 
     return run
 
 
+#: Times this, keys are spread over all their bits.
+_SPREAD = _U(0x9E3779B97F4A7C15)
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *map(np.arange, starts, ends)])
+
+
 def _sums(data: memoryview, lengths: np.ndarray, grams: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """For each text of a block the sum of the logs of its grams."""
-    sums = np.empty(len(lengths), dtype=np.int64)
-    starts = np.r_[0, np.cumsum(lengths + DEPTH)]
-    first = 0
-    while first < len(lengths):
-        last = max(first + 1, int(np.searchsorted(starts, starts[first] + LOOKUP_SYMBOLS, "right")) - 1)
-        keys = near_first(keys_of(data[starts[first] : starts[last]]))
-        order = np.argsort(keys)
-        keys = keys[order]
-        new = np.r_[True, keys[1:] != keys[:-1]]
-        found = logs[np.minimum(np.searchsorted(grams, keys[new]), len(grams) - 1)]
-        of = np.zeros(len(keys) + 1, dtype=np.int64)
-        of[order] = found[np.cumsum(new) - 1]
-        at = starts[first:last] - starts[first]
-        sums[first:last] = np.add.reduceat(of, np.c_[at, at + lengths[first:last]].ravel())[::2]
-        first = last
+    """For each text of a block the sum of the logs of its grams.
+
+    Positions and grams are sorted by the upper bits of a spread key, with their place in the lower
+    bits, so that both come in the same order. The few grams that share those bits are looked up.
+    """
+    size, skip, starts = len(data) - DEPTH, between(lengths), np.r_[0, np.cumsum(lengths + DEPTH)[:-1]]
+    most = min(size, LOOKUP_SYMBOLS)
+    bits = _U(max(most, len(grams)).bit_length())
+    low = (_U(1) << bits) - _U(1)
+    own = (((grams >> _U(8)) | (grams << _U(56))) * _SPREAD & ~low) | np.arange(len(grams), dtype=np.uint64)
+    own.sort()
+    values = logs[(own & low).astype(np.int64)]
+    own >>= bits
+    marks = own  # of grams that share one, the first is found
+    shared = np.unique(marks[1:][marks[1:] == marks[:-1]])
+    sums = np.zeros(len(lengths), dtype=np.int64)
+    for at in range(0, size, most):
+        end = min(at + most, size)
+        none = skip[np.searchsorted(skip, at) : np.searchsorted(skip, end)] - at
+        keys = np.empty(end - at, np.uint64)
+        for a in range(0, end - at, FEW_SYMBOLS):
+            b = min(a + FEW_SYMBOLS, end - at)
+            keys[a:b] = raw_of(data[at + a : at + b + DEPTH]) * _SPREAD & ~low | np.arange(a, b, dtype=np.uint64)
+        keys[none] = raw_of(data[: DEPTH + 1]) * _SPREAD & ~low | none.astype(np.uint64)
+        keys.sort()
+        of = np.empty(end - at, dtype=np.int32)
+        for a in range(0, end - at, FEW_SYMBOLS):
+            place, own = keys[a : a + FEW_SYMBOLS] & low, keys[a : a + FEW_SYMBOLS] >> bits
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            here = slice(np.searchsorted(marks, own[0]), np.searchsorted(marks, own[-1], "right"))  # few, so that the search stays in the cache
+            of[place.astype(np.int64)] = np.repeat(values[here][np.searchsorted(marks[here], own[first])], np.diff(first, append=len(own)))
+        if len(shared):
+            there = (keys[_ranges(np.searchsorted(keys, shared << bits), np.searchsorted(keys, (shared << bits) | low, "right"))] & low).astype(np.int64)
+            exact = np.ndarray((end - at,), dtype="<u8", buffer=data[at : end + DEPTH], strides=(1,))[there].astype(np.uint64)
+            of[there] = logs[np.minimum(np.searchsorted(grams, _turned(exact)), len(grams) - 1)]
+        of[none] = 0
+        a, b = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, end)
+        sums[a:b] += np.add.reduceat(of, np.maximum(starts[a:b] - at, 0), dtype=np.int64)
     return sums
 
 
@@ -625,8 +681,8 @@ class Model:
 
         parts = self.parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SYMBOLS))
         packed = texts.mapInArrow(lean(_pack(parts)), "part int, n int, grams binary").repartition(parts, "part").sortWithinPartitions("part")
-        table = stored(packed.mapInArrow(lean(run), "length int, edge boolean, slot int, k long, v float"))
-        return short, table, {r["slot"]: r["count"] for r in table.groupBy("slot").count().collect()}
+        table = stored(packed.mapInArrow(lean(run), "slot int, n long, data binary"))
+        return short, table, {r["slot"]: r["n"] for r in table.groupBy("slot").agg(F.sum("n").alias("n")).collect()}
 
     def passes(self) -> list[list[int]]:
         """Slots that a task scores grams against, of PASS_ENTRIES entries in all and fewer for a larger corpus, or one slot."""
@@ -643,14 +699,8 @@ class Model:
 
     def tree_of(self, slots: list[int]) -> SuffixTree:
         """The tree with the longer contexts of these consecutive slots only."""
-        tree = SuffixTree(self.short.root, list(self.short.edges), list(self.short.states))
-        t = self.table.where(F.col("slot").between(slots[0], slots[-1])).select("length", "edge", "k", "v").toArrow()
-        length, edge, keys, values = (t.column(i).to_numpy() for i in range(4))
-        for at in range(SHORT + 1, DEPTH + 1):
-            for tables, kind in ((tree.edges, True), (tree.states, False)):
-                own = (length == at) & (edge == kind)
-                tables.append(Table(keys[own].view(np.uint64), values[own]))
-        return tree
+        t = self.table.where(F.col("slot").between(slots[0], slots[-1])).select("n", "data").toArrow()
+        return _grown(self.short, np.concatenate([np.empty(0, _PACKED), *(unflat(data, n, _PACKED) for n, data in zip(*(c.to_pylist() for c in t.columns), strict=True))]))
 
     @property
     def tree(self) -> SuffixTree:
@@ -661,22 +711,22 @@ class Model:
         unit = -np.log10(self.tokens + self.types + 1)
         spark = docs.sparkSession
         tidy(spark)
-        known = spark.sparkContext.broadcast({w: float(np.log10(n + 1)) for w, n in self.frequent.items()})
+        known = spark.sparkContext.broadcast((pa.array(self.frequent, pa.binary()), np.log10(np.array([*self.frequent.values(), 0]) + 1)))
         rows = docs.select(*carry, F.monotonically_increasing_id().alias("row_id"), F.col(text_col).cast("string").alias("__text"))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
         both = stored(small_batches(rows).mapInArrow(lean(_looked_up(known, len(carry) + 1)), f"{fields}, n_tokens long, n_known long, base double, rest array<binary>, times array<long>, block long, n long, data binary, ids array<long>, lengths array<long>"))
         known.destroy()
         scored, blocks = both.where("block IS NULL"), both.where("block IS NOT NULL")
-        logs = self._logs(blocks)
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * blocks.count())
-        met = logs.withColumns({"ids": F.lit(None).cast("array<long>"), "lengths": F.lit(None).cast("array<long>")})
-        met = met.unionByName(blocks.select("block", F.lit(None).cast("int").alias("part"), "n", "data", "ids", "lengths"))
-        met = met.repartition(n, "block").sortWithinPartitions("block", F.col("part").asc_nulls_last())
-        sums = stored(met.select("block", "part", "n", "data", "ids", "lengths").mapInArrow(lean(_added_up(self._parts())), "row_id long, score double"))
-        tidy(spark)  # the grams and logs have been delivered
+        total = blocks.count()
+        rounds = ROUNDS if total >= ROUND_BLOCKS else 1
+        sums = None
+        for k in range(rounds):
+            own = stored(self._sums_of(blocks.where(F.pmod(F.hash("block"), F.lit(rounds)) == k), -(-total // rounds), rounds))
+            tidy(spark)  # the round's grams and logs have been delivered
+            sums = own if sums is None else sums.unionByName(own)
         rare = scored.select("row_id", F.inline(F.arrays_zip("rest", "times"))).toDF("row_id", "w", "k")
         worth = self.others.select("w", F.round(F.log10(F.col("n") + 1) * EXACT).cast("long").alias("worth"))
-        more = rare.join(worth, "w").groupBy("row_id").agg(F.sum("k").alias("more"), (F.sum(F.col("k") * F.col("worth")) / EXACT).alias("add"))
+        more = rare.join(worth.hint("shuffle_hash"), "w").groupBy("row_id").agg(F.sum("k").alias("more"), (F.sum(F.col("k") * F.col("worth")) / EXACT).alias("add"))
         return scored.drop("rest", "times", "block", "n", "data", "ids", "lengths").join(sums, "row_id").join(more, "row_id", "left").select(
             *carry,
             "n_tokens",
@@ -690,12 +740,21 @@ class Model:
         """The part of the tree in which each slot is."""
         return np.repeat(np.arange(len(parts := self.passes())), [len(p) for p in parts]).astype(np.uint16)
 
-    def _logs(self, blocks: DataFrame) -> DataFrame:
+    def _sums_of(self, blocks: DataFrame, n_blocks: int, rounds: int) -> DataFrame:
+        """(row_id, score) of the texts of these blocks, which meet the logs of their grams."""
+        n = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * n_blocks)
+        met = self._logs(blocks, rounds).withColumns({"ids": F.lit(None).cast("array<long>"), "lengths": F.lit(None).cast("array<long>")})
+        met = met.unionByName(blocks.select("block", F.lit(None).cast("int").alias("part"), "n", "data", "ids", "lengths"))
+        met = met.repartition(n, "block").sortWithinPartitions("block", F.col("part").asc_nulls_last())
+        return met.select("block", "part", "n", "data", "ids", "lengths").mapInArrow(lean(_added_up(self._parts())), "row_id long, score double")
+
+    def _logs(self, blocks: DataFrame, rounds: int) -> DataFrame:
         """(block, part, n, data): logs of a block's distinct grams in order, those of each part of the tree apart."""
         parts = self._parts()
         entries = self.table.mapInArrow(lean(_sent_entries(parts)), _SENT)
         grams = small_batches(blocks.select("block", "n", "data", "lengths")).mapInArrow(lean(_sent_grams(parts)), _SENT)
-        sent = entries.unionByName(grams).repartition(int(parts[-1]) + 1, "part").sortWithinPartitions("part", F.col("block").asc_nulls_first())
+        n = -(-(int(parts[-1]) + 1) // rounds)
+        sent = entries.unionByName(grams).repartition(n, "part").sortWithinPartitions("part", F.col("block").asc_nulls_first())
         shared = blocks.sparkSession.sparkContext.broadcast(self.short)
         return sent.mapInArrow(lean(_answered(shared)), "block long, part int, n long, data binary")
 

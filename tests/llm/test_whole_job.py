@@ -86,3 +86,35 @@ def test_lm_blocks_of_one_text_give_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "LOOKUP_SYMBOLS", 10)
     again = suffix_tree_lm._grams_of(memoryview(data), lengths, parts)
     assert (again[0] == grams).all() and (suffix_tree_lm._sums(memoryview(data), lengths, grams, logs) == sums).all()
+
+
+def test_lm_blocks_get_their_logs_in_turns(spark, small_dir, monkeypatch):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").where("n_chars < 3000").limit(60).select("doc_id", "text").repartition(9)
+    model = suffix_tree_lm.Model(docs)
+    whole = {r["doc_id"]: r["score"] for r in model.score(docs, ["doc_id"]).collect()}
+    monkeypatch.setattr(suffix_tree_lm, "ROUND_BLOCKS", 2)
+    turns, sums_of = [], model._sums_of
+
+    def noted(blocks, *rest):
+        turns.append({r["block"] for r in blocks.select("block").collect()})
+        return sums_of(blocks, *rest)
+
+    monkeypatch.setattr(model, "_sums_of", noted)
+    assert {r["doc_id"]: r["score"] for r in model.score(docs, ["doc_id"]).collect()} == whole
+    # No turn has all the blocks on disk, and each block has one turn.
+    assert len(turns) == suffix_tree_lm.ROUNDS and sum(map(len, turns)) == len(set.union(*turns)) > max(map(len, turns))
+
+
+def test_lm_sums_are_exact_where_grams_share_a_mark(monkeypatch):
+    texts = [bytes(t).split() for t in np.random.default_rng(1).integers(97, 123, (40, 500), dtype=np.uint8)]
+    data, lengths = b"".join(map(suffix_tree_lm.symbols_of, texts)), np.array([len(suffix_tree_lm.symbols_of(t)) - 7 for t in texts])
+    grams, _, _ = suffix_tree_lm._grams_of(memoryview(data), lengths, np.zeros(suffix_tree_lm.SLOTS, np.uint16))
+    logs = -np.arange(len(grams), dtype=np.int32) ** 2 % 999_983
+    keys = suffix_tree_lm.near_first(suffix_tree_lm.windows(texts)[0])
+    exact = np.add.reduceat(logs[np.searchsorted(grams, keys)].astype(np.int64), np.r_[0, np.cumsum(lengths)[:-1]])
+    for spread in (suffix_tree_lm._SPREAD, np.uint64(1 << 40 | 1), np.uint64(1)):  # the last ones spread next to nothing, so most grams share
+        monkeypatch.setattr(suffix_tree_lm, "_SPREAD", spread)
+        for most in (1 << 21, 777):
+            monkeypatch.setattr(suffix_tree_lm, "LOOKUP_SYMBOLS", most)
+            monkeypatch.setattr(suffix_tree_lm, "FEW_SYMBOLS", most // 3)
+            assert (suffix_tree_lm._sums(memoryview(data), lengths, grams, logs) == exact).all()
