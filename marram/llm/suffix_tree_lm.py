@@ -454,7 +454,9 @@ def _by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order by part, in which equal ones stay as they are, and (part, start, end) in it."""
     order = np.argsort(part, kind="stable")
     part = part[order]
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    if not len(part):
+        return order, []
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     return order, list(zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True))
 
 

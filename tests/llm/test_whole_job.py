@@ -118,3 +118,9 @@ def test_lm_sums_are_exact_where_grams_share_a_mark(monkeypatch):
             monkeypatch.setattr(suffix_tree_lm, "LOOKUP_SYMBOLS", most)
             monkeypatch.setattr(suffix_tree_lm, "FEW_SYMBOLS", most // 3)
             assert (suffix_tree_lm._sums(memoryview(data), lengths, grams, logs) == exact).all()
+
+
+def test_lm_part_of_the_tree_without_entries_gives_none():
+    none = np.zeros(0, np.uint64)
+    empty = (none, np.zeros(0), np.zeros(0, np.int64), none, np.zeros(0), np.zeros(0, bool))
+    assert list(suffix_tree_lm._entries([empty] * 5)) == []
